@@ -1,0 +1,17 @@
+"""Column functions: versions, renames, selection, casts, text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def evaluate_once(df: DataFrame, **exprs: Column) -> DataFrame:
+    """Add columns whose (expensive) expressions must run once per row.
+
+    Catalyst inlines a projected expression into every consumer (a parsed JSON
+    payload read as twelve fields would be parsed twelve times).  Producing the
+    values through ``inline(array(struct(...)))`` — a one-row generator — keeps
+    them as real columns, evaluated once.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))

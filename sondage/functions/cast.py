@@ -83,9 +83,8 @@ def json_item_keys(c: Column | str) -> Column:
     """
     c = _col(c).cast("string")
     keys = F.transform(F.from_json(c, ITEMS_SCHEMA).getField("items"), lambda x: x.getField("key"))
-    return (F.when(c.isNull(), F.lit(None).cast("string"))
-            .when(c == "", F.lit(""))
-            .when(F.size(keys) > 0, F.array_join(keys, ",")))
+    # One parse per value: no items (or no keys) joins to '' which becomes null.
+    return F.when(c == "", F.lit("")).otherwise(F.nullif(F.array_join(keys, ","), F.lit("")))
 
 
 def json_valid(c: Column | str) -> Column:
@@ -156,8 +155,10 @@ def json_flatten(df: DataFrame, column: str, keys: Sequence[str] | None = None,
     Keys are discovered with one distinct aggregate (bounded by the schema)
     unless given.
     """
-    m = F.from_json(_col(column).cast("string"), "map<string,string>")
+    from . import evaluate_once
     if keys is None:
-        keys = sorted(r[0] for r in df.select(F.explode(F.map_keys(m))).distinct().collect())
+        keys = sorted(r[0] for r in df.select(F.explode(F.json_object_keys(_col(column).cast("string"))))
+                      .distinct().collect())
+    parsed = evaluate_once(df, _m=F.from_json(_col(column).cast("string"), "map<string,string>"))
     cols = [_col(c) for c in df.columns if c != column]
-    return df.select(*cols, *[F.element_at(m, F.lit(k)).alias(f"{column}{separator}{k}") for k in keys])
+    return parsed.select(*cols, *[F.element_at("_m", F.lit(k)).alias(f"{column}{separator}{k}") for k in keys])

@@ -4,22 +4,28 @@ Plan shape
 ----------
 1. Scan the raw store with the survey, time and version predicates pushed
    down (O01, O04, O13).
-2. Key discovery: one aggregate ``distinct(survey, version, key)`` over the
-   decoded payloads (partial aggregation keeps the shuffle tiny), skipped when
-   the profile already lists the keys.  Its size is the survey *schema*, not
-   the data, so it is safe to bring to the driver.
+2. Key discovery: one aggregate ``distinct(survey, version, key)`` over
+   ``json_object_keys(data)`` (partial aggregation keeps the shuffle tiny),
+   skipped when the profile already lists the keys.  Its size is the survey
+   *schema*, not the data, so it is safe to bring to the driver.
 3. For every (survey, version) member the processor chain (O44) runs on column
    *metadata*: casts append an operation to a column, renames change its name.
    Nothing is executed yet.
-4. The per-member results are merged into ONE projection: each output column
-   is ``coalesce`` of the payload lookups that feed it (a row only carries the
+4. The payload is parsed once, into a struct holding only the needed keys
+   (the parser skips the rest).  The per-member results are merged into ONE
+   projection: each output column is ``coalesce`` of the payload fields that
+   feed it (a row only carries the
    keys of its own member, and the per-member collision check guarantees one
    source per row), guarded by a member predicate only where one raw key is
    treated differently by different members.  One scan, one JSON parse, one
    whole-stage-codegen projection — the version loop of a row-at-a-time
    builder disappears.
-5. Optional in-batch de-duplication on ``id`` (O31 'ignore' semantics) as an
-   aggregate with partial aggregation, never a window over an unbounded key.
+5. In-batch de-duplication on ``(survey, id)`` (O31 'ignore' semantics).
+   ``auto`` first finds duplicate keys by shuffling the keys only; with none
+   the payload is never shuffled, with a few (counted, below
+   ``DEDUPE_BROADCAST_MAX``) only their rows are de-duplicated through
+   broadcast semi/anti joins, otherwise one aggregate with a partial step
+   (never a window over an unbounded key).
 """
 
 from __future__ import annotations
@@ -29,12 +35,14 @@ from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import evaluate_once
 from ..functions.cast import RESULT_TYPES, cast_expr
 from ..functions.rename import (DEFAULT_SEPARATOR, RenameChain, default_chain, parse_rename_rules)
 from ..functions.select import ColumnSelector
 from ..functions.versions import VersionSelector, padded, parse_selector, parse_version, version_array
-from ..sources.raw import decode, time_range_filter
+from ..sources.raw import time_range_filter
 
 # --- fixed values ----------------------------------------------------------------------------
 POSITIONS = ["before_casting", "default_casting", "after_casting", "default_renaming", "end"]
@@ -47,6 +55,9 @@ QUESTION_TYPE_MAP = {"multiple": "bool", "date": "date", "unknown": "json"}
 ALWAYS_DATES = ["submitted", "opened"]
 # ---------------------------------------------------------------------------------------------
 
+DEDUPE_BROADCAST_MAX = 200_000  # duplicate keys broadcast at most (checked by a count first)
+BAD_FIELD = "__sondage_corrupt__"  # corrupt-record column of the payload parse
+
 
 class TypeConflictError(ValueError):
     pass
@@ -157,7 +168,7 @@ class BuildProfile:
     start_time: object = None
     end_time: object = None
     mode: str = "ignore"
-    dedupe: bool = True
+    dedupe: bool | str = "auto"
     on_error: str = "error"
     keys: Mapping | None = None  # {(survey, version): [keys]} when the schema is known
 
@@ -210,7 +221,7 @@ def parse_profile(spec: Mapping) -> BuildProfile:
         start_time=spec.get("start_time"),
         end_time=spec.get("end_time"),
         mode=spec.get("mode", "ignore"),
-        dedupe=spec.get("dedupe", True),
+        dedupe=spec.get("dedupe", "auto"),
         on_error=spec.get("on_error", "error"),
         keys=spec.get("keys"),
     )
@@ -242,7 +253,7 @@ def _member_lit(survey, version) -> str:
     return f"{survey or ''}\u0001{version}"
 
 
-def compile_projection(plans: Mapping[tuple, Plan], payload: Column, survey_col: Column,
+def compile_projection(plans: Mapping[tuple, Plan], lookup: Callable[[str], Column], survey_col: Column,
                        version_col: Column, on_error: str = "error") -> dict[str, Column]:
     """Merge per-member plans into one expression per output column."""
     # raw key -> {(target, spec)} over the members that contain it
@@ -261,7 +272,7 @@ def compile_projection(plans: Mapping[tuple, Plan], payload: Column, survey_col:
             raise TypeConflictError(f"column {target!r} gets types {sorted(types)} in different versions")
         terms = []
         for spec, members in sorted(sources.items(), key=lambda kv: (kv[0].key, kv[0].ops)):
-            e = F.element_at(payload, F.lit(spec.key))
+            e = lookup(spec.key)
             for op in spec.ops:
                 e = cast_expr(e, op, on_error)
             if len(by_key[spec.key]) > 1:  # same key treated differently elsewhere: guard it
@@ -280,19 +291,35 @@ def output_order(names: Sequence[str]) -> list[str]:
     return std + rest
 
 
-def discover_members(decoded: DataFrame, survey_col: str = "survey") -> dict[tuple, list[str]]:
+def discover_members(raw: DataFrame, survey_col: str = "survey", data_col: str = "data") -> dict[tuple, list[str]]:
     """(survey, version) -> sorted payload keys; one small aggregate job.
 
-    The result is the survey schema (versions x questions), not the data.
+    ``json_object_keys`` parses the payload without building values; the
+    distinct triples are combined map-side.  The result is the survey schema
+    (versions x questions), not the data.
     """
-    has_survey = survey_col in decoded.columns
-    s = F.col(survey_col) if has_survey else F.lit(None).cast("string")
-    rows = (decoded.select(s.alias("s"), F.col("version").alias("v"),
-                           F.explode(F.map_keys("payload")).alias("k"))
+    s = F.col(survey_col) if survey_col in raw.columns else F.lit(None).cast("string")
+    rows = (raw.select(s.alias("s"), F.col("version").alias("v"),
+                       F.explode(F.json_object_keys(F.col(data_col).cast("string"))).alias("k"))
             .groupBy("s", "v").agg(F.collect_set("k").alias("keys")).collect())
     return {(r["s"], r["v"]): sorted(r["keys"]) for r in rows}
 
 
+def payload_struct(keys: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(k, T.StringType()) for k in keys]
+                        + [T.StructField(BAD_FIELD, T.StringType())])
+
+
+def decode_struct(data: Column, keys: Sequence[str]) -> Column:
+    """Parse the payload into a struct of just ``keys`` (text; nested objects stay JSON text)."""
+    return F.from_json(data.cast("string"), payload_struct(keys), {"columnNameOfCorruptRecord": BAD_FIELD})
+
+
+def payload_ok(p: Column) -> Column:
+    """The payload parsed as a JSON object (malformed text, arrays, scalars and null fail)."""
+    return p.isNotNull() & p.getField(BAD_FIELD).isNull()
+
+
 def dedupe_latest_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                         payload_cols: Sequence[str]) -> DataFrame:
     """Keep one row per key: the smallest by ``order`` (deterministic 'first').
@@ -307,6 +334,29 @@ def dedupe_latest_first(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in payload_cols]))
 
 
+def dedupe_raw(df: DataFrame, keys: Sequence[str], mode: bool | str = "auto") -> DataFrame:
+    """In-batch de-duplication of raw rows on ``keys``; first by (version, submitted, data)."""
+    if not mode:
+        return df
+    keys = list(keys)
+    order = [version_array(F.col("version")), F.col("submitted"), F.col("data")]
+    payload_cols = [c for c in df.columns if c not in keys]
+    if mode != "auto":
+        return dedupe_latest_first(df, keys, order, payload_cols)
+    dup = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).cache()
+    n = dup.count()  # keys only are shuffled, with a partial step
+    if n == 0:
+        dup.unpersist()
+        return df
+    if n <= DEDUPE_BROADCAST_MAX:  # proven small: broadcast, the payload is not shuffled
+        b = F.broadcast(dup)
+        clean = df.join(b, keys, "left_anti")
+        fixed = dedupe_latest_first(df.join(b, keys, "left_semi"), keys, order, payload_cols)
+        return clean.unionByName(fixed.select(*df.columns))
+    dup.unpersist()
+    return dedupe_latest_first(df, keys, order, payload_cols)
+
+
 def prepare_raw(raw: DataFrame, profile: BuildProfile, survey: str | None = None) -> DataFrame:
     """Survey, time and version predicates on the raw rows (all pushed before decode)."""
     df = raw
@@ -328,18 +378,15 @@ def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | No
     prof = profile if isinstance(profile, BuildProfile) else parse_profile(profile)
     df = prepare_raw(raw, prof, survey)
     has_survey = "survey" in df.columns
-    if prof.dedupe:
-        keys = ["survey", "id"] if has_survey else ["id"]
-        payload_cols = [c for c in df.columns if c not in keys]
-        df = dedupe_latest_first(
-            df, keys, [version_array(F.col("version")), F.col("submitted"), F.col("data")], payload_cols)
-    dec = df.withColumn("payload", decode("data")).where(F.col("payload").isNotNull())
-    members = prof.keys if prof.keys is not None else discover_members(dec)
-    if not members:
-        members = {}
-    plans = member_plans(members, prof)
+    df = dedupe_raw(df, ["survey", "id"] if has_survey else ["id"], prof.dedupe)
+    members = prof.keys if prof.keys is not None else discover_members(df)
+    plans = member_plans(members or {}, prof)
+    keys = sorted({spec.key for plan in plans.values() for spec in plan.values()})
+    # The payload is parsed once per row (see ``evaluate_once``), then read field by field.
+    dec = evaluate_once(df.select(*[c for c in ("survey", "version") if c in df.columns], "data"),
+                        _p=decode_struct(F.col("data"), keys)).where(payload_ok(F.col("_p")))
     s_col = F.col("survey") if has_survey else F.lit(None).cast("string")
-    exprs = compile_projection(plans, F.col("payload"), s_col, F.col("version"), prof.on_error)
+    exprs = compile_projection(plans, lambda k: F.col("_p").getField(k), s_col, F.col("version"), prof.on_error)
     out_cols = []
     if include_survey or (include_survey is None and has_survey):
         out_cols.append(s_col.alias("survey"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import evaluate_once
 from ..functions.rename import DEFAULT_SEPARATOR
 
 # --- fixed values (fixture rules of FIXTURES.md) ----------------------------------------------
@@ -26,8 +27,19 @@ SI_EPOCH = 1704067200  # 2024-01-01T00:00:00Z
 # ------------------------------------------------------------------------------------------------
 
 
+SMALL_TABLES = {"region", "nation"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table.  A scan with fewer splits than the cluster has cores
+    (a small file written as one row group) is spread round-robin so every core
+    works; at scale the scan already has far more splits and this never fires."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in SMALL_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def _k(events: DataFrame) -> Column:
@@ -58,9 +70,9 @@ def _payload(survey: Column, rid: Column, pid: Column, version: Column, submitte
     ), lambda key, v: v.isNotNull())
     items = F.array(*[F.struct(F.lit(str(i)).alias("key")) for i in (1, 2, 3)])
     q5 = F.to_json(F.struct(F.slice(items, 1, (k % 4).cast("int")).alias("items")))
-    head = F.to_json(texts)
+    head = F.regexp_replace(F.to_json(texts), "}$", "")
     return F.concat(
-        F.substr(head, F.lit(1), F.length(head) - 1),
+        head,
         F.lit(',"submitted":'), submitted.cast("string"),
         F.lit(',"opened":'), opened.cast("string"),
         F.lit(',"'), q("main", "Q5"), F.lit('":'), q5,
@@ -80,17 +92,18 @@ def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
         ev = ev.where(F.col("event_id") % 3 != 0)
     elif variant == "R_batch":
         ev = ev.where(F.col("event_id") % 2 == 0)
-    k = _k(ev)
-    submitted = _submitted(ev["ts"])
-    version = F.concat(F.lit("24-1-"), (F.floor(F.dayofmonth(ev["ts"]) / 10) + 1).cast("string"))
-    rid = F.concat(F.lit("r"), ev["event_id"].cast("string"))
-    pid = F.concat(F.lit("p"), ev["user_id"].cast("string"))
-    opened = submitted - ev["event_id"] % 600
+    ev = evaluate_once(ev, _k=_k(ev), _sub=_submitted(ev["ts"]))  # props parsed once per row
+    k = F.col("_k")
+    submitted = F.col("_sub")
+    version = F.concat(F.lit("24-1-"), (F.floor(F.dayofmonth("ts") / 10) + 1).cast("string"))
+    rid = F.concat(F.lit("r"), F.col("event_id").cast("string"))
+    pid = F.concat(F.lit("p"), F.col("user_id").cast("string"))
+    opened = submitted - F.col("event_id") % 600
     q2 = F.concat(F.lit("b"), k.cast("string")) if variant == "R_batch" else k.cast("string")
-    data = _payload(ev["event_type"], rid, pid, version, submitted, opened, k, q2, separator)
+    data = _payload(F.col("event_type"), rid, pid, version, submitted, opened, k, q2, separator)
     out = ev.select(
-        ev["event_type"].alias("survey"), rid.alias("id"), submitted.alias("submitted"),
-        version.alias("version"), data.alias("data"), ev["event_id"].alias("_eid"))
+        F.col("event_type").alias("survey"), rid.alias("id"), submitted.alias("submitted"),
+        version.alias("version"), data.alias("data"), F.col("event_id").alias("_eid"))
     if variant == "R_bad":
         out = out.withColumn("data", F.when(F.col("_eid") % 97 == 0, F.substring("data", 1, 10))
                              .otherwise(F.col("data")))
