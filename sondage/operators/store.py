@@ -103,7 +103,7 @@ def upsert(target: DataFrame | None, batch: DataFrame, keys: Sequence[str], mode
 
 
 def new_snapshot_path(spark: SparkSession, table: str) -> str:
-    return f"{checkpoint_dir(spark)}/tables/{table}/snap-{_dt.datetime.utcnow():%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    return f"{checkpoint_dir(spark)}/tables/{table}/snap-{_dt.datetime.now(_dt.timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
 
 
 def publish(spark: SparkSession, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
