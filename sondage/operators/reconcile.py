@@ -55,7 +55,8 @@ def pending_ids(ids: DataFrame, done: DataFrame, id_col: str = "id") -> DataFram
     return ids.select(id_col).distinct().join(done.select(id_col), id_col, "left_anti")
 
 
-def work_batches(ids: DataFrame, max_run: int | None, max_batch: int, id_col: str = "id") -> DataFrame:
+def work_batches(ids: DataFrame, max_run: int | None, max_batch: int, id_col: str = "id",
+                 spark: SparkSession | None = None) -> DataFrame:
     """The first ``max_run`` ids (the run limit is the feature), cut into
     batches of ``max_batch``.  After the limit the data is at most ``max_run`` rows."""
     o = ids.select(id_col).orderBy(id_col)
@@ -64,8 +65,10 @@ def work_batches(ids: DataFrame, max_run: int | None, max_batch: int, id_col: st
         rn = F.row_number().over(Window.orderBy(id_col)) - 1
         return o.select(id_col, (rn / max_batch).cast("bigint").alias("batch"))
     # Unbounded: number rows without a global window (dense index per sorted partition).
-    idx = o.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1] // max_batch))
-    return idx.toDF([id_col, "batch"])
+    from .store import dense_index
+    spark = spark or ids.sparkSession
+    idx = dense_index(spark, ids.select(id_col), id_col, start=0)
+    return idx.select(id_col, F.floor(F.col("idx") / max_batch).cast("bigint").alias("batch"))
 
 
 def missing_versions(published: DataFrame, repository: DataFrame, published_after: int | None = None) -> DataFrame:

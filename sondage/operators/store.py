@@ -131,6 +131,90 @@ def current(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
+# --- keyed partitioned tables -----------------------------------------------------------------
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
+    """A keyed Parquet table (files of several schema generations are merged)."""
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except Exception as e:  # noqa: BLE001 — AnalysisException: path does not exist yet
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def _check_types(target: DataFrame, batch: DataFrame) -> None:
+    evolve_schema(target.limit(0), batch.limit(0))
+
+
+def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], mode: str = "ignore",
+                partition_by: Sequence[str] = ("survey",), order: Sequence[Column] | None = None) -> int:
+    """Keyed write into a partitioned Parquet table, touching only the batch's partitions.
+
+    * ``ignore``: the batch's first row per key, minus keys already stored, is
+      *appended*: stored files are never rewritten.  The stored keys are read
+      only for the partitions present in the batch (a semi-join on the
+      partition columns, which dynamic partition pruning turns into a scan of
+      those partitions only).  Re-running the same batch adds nothing, so a
+      retried micro-batch is idempotent.
+    * ``replace``: only the partitions the batch touches are recomputed (stored
+      rows minus replaced keys, plus the batch's latest row per key),
+      checkpointed, then written with dynamic partition overwrite.
+
+    New columns are added (files are read with schema merging); a column whose
+    type changes is an error.  Returns the number of rows written.
+    """
+    keys, parts = list(keys), list(partition_by)
+    target = read_keyed(spark, path)
+    w = lambda df: df.write.partitionBy(*parts) if parts else df.write
+    if target is None:
+        fresh = upsert(None, batch, keys, mode if mode != "plain" else "ignore", order)
+        fresh = fresh.checkpoint() if mode == "replace" else fresh
+        w(fresh).mode("append").parquet(path)
+        return spark.read.parquet(path).count()
+    _check_types(target, batch)
+    touched = batch.select(*parts).distinct() if parts else None
+    scope = target.join(touched, parts, "left_semi") if parts else target
+    if mode in ("ignore", "plain"):
+        if mode == "plain":
+            upsert(scope, batch, keys, "plain")  # raises on a duplicate key
+        fresh = first_per_key(batch, keys, order).join(scope.select(*keys), keys, "left_anti")
+        fresh = fresh.checkpoint()  # counted and written from one materialization
+        n = fresh.count()
+        if n:
+            w(fresh).mode("append").parquet(path)
+        return n
+    if mode == "replace":
+        new_parts = upsert(scope, batch, keys, "replace", order).checkpoint()
+        (w(new_parts).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
+        return new_parts.count()
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def dense_index(spark: SparkSession, df: DataFrame, order_col: str, start: int = 1,
+                name: str = "idx") -> DataFrame:
+    """Dense row numbers in ``order_col`` order, without a global window.
+
+    The rows are range-partitioned on the order column and checkpointed (so
+    both passes see the same partitions); each partition numbers its own rows
+    and adds the count of all rows in earlier partitions.  The offsets table
+    has one row per partition, a proven bound, so it is broadcast.
+    """
+    checkpoint_dir(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, order_col).withColumn("_p", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).collect()  # one row per partition
+    offsets, acc = [], start - 1
+    for r in sorted(counts, key=lambda r: r["_p"]):
+        offsets.append((r["_p"], acc))
+        acc += r["_n"]
+    off_df = spark.createDataFrame(offsets or [(0, start - 1)], "_p int, _off bigint")
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(order_col))
+    return (ranged.join(F.broadcast(off_df), "_p")
+            .withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_p", "_off"))
+
+
 # --- participant dimension ----------------------------------------------------------------------
 
 
@@ -138,10 +222,7 @@ def participant_dim(spark: SparkSession, responses: DataFrame, dim: DataFrame |
                     id_col: str = "global_id") -> DataFrame:
     """Add unseen ``global_id`` values with dense surrogate ids after the current max.
 
-    New ids follow the sorted ``global_id`` order.  No global window: the new
-    keys are range-partitioned, each partition numbers its rows locally and a
-    per-partition offset (one row per partition) is added.  The new keys are
-    checkpointed first so the two passes see the same partitions.
+    New ids follow the sorted ``global_id`` order (``dense_index``: no global window).
     """
     seen = responses.select(F.col(id_col).alias("global_id")).where(F.col("global_id").isNotNull()).distinct()
     if dim is not None:
@@ -149,18 +230,7 @@ def participant_dim(spark: SparkSession, responses: DataFrame, dim: DataFrame |
         base = dim.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).first()[0]
     else:
         base = 0
-    checkpoint_dir(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = seen.repartitionByRange(parts, "global_id").withColumn("_p", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).collect()  # one row per partition
-    offsets, acc = [], base
-    for r in sorted(counts, key=lambda r: r["_p"]):
-        offsets.append((r["_p"], acc))
-        acc += r["_n"]
-    off_df = spark.createDataFrame(offsets or [(0, base)], "_p int, _off bigint")
-    local = F.row_number().over(Window.partitionBy("_p").orderBy("global_id"))
-    new = (ranged.join(F.broadcast(off_df), "_p")  # bounded by the number of partitions
-           .select((F.col("_off") + local).cast("bigint").alias("id"), "global_id"))
+    new = dense_index(spark, seen, "global_id", start=base + 1, name="id").select("id", "global_id")
     return new if dim is None else dim.select("id", "global_id").unionByName(new)
 
 

@@ -643,25 +643,25 @@ def _land(spark, sf, variant="R", files=8):
 @query
 def stream_ingest(spark, sf):
     src = _land(spark, sf, "R_dup")
-    table = f"raw_{uuid.uuid4().hex[:8]}"
-    SM.ingest_stream(spark, src, table, max_files_per_trigger=3)
-    return SO.current(spark, table).select("survey", "id", "version", "submitted")
+    store = _scratch(spark, "raw_store")
+    SM.ingest_stream(spark, src, store, max_files_per_trigger=3, key_catalog=store + "_keys")
+    return SO.read_keyed(spark, store).select("survey", "id", "version", "submitted")
 
 
 @query
 def stream_build(spark, sf):
     src = _land(spark, sf)
-    table = f"flat_{uuid.uuid4().hex[:8]}"
+    table = _scratch(spark, "flat")
     SM.build_stream(spark, src, table, fx.fixture_profile())
-    return SO.current(spark, table).select("survey", "id", "version", "Q1_0", "Q2", "Q5", "EX_Q2")
+    return SO.read_keyed(spark, table).select("survey", "id", "version", "Q1_0", "Q2", "Q5", "EX_Q2")
 
 
 @query
 def stream_daily(spark, sf):
     src = _land(spark, sf)
-    table = f"daily_{uuid.uuid4().hex[:8]}"
+    table = _scratch(spark, "daily")
     SM.daily_stream(spark, src, table)
-    return SO.current(spark, table).select("day", "survey", "n")
+    return SO.read_keyed(spark, table).select("day", "survey", "n")
 
 
 ORACLE = {k: v for k, v in O.ORACLE.items() if k in QUERIES}

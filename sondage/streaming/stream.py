@@ -1,16 +1,22 @@
 """Structured Streaming jobs.
 
-* ``ingest_stream``  new response files -> raw store, one row per (survey, id);
-  each micro-batch is an ``ignore`` upsert against the current store snapshot
-  (the checkpoint replaces the reference's restart point).
-* ``build_stream``   each micro-batch through the flat build, then an
-  ``ignore`` upsert with additive evolution into the flat table.
+* ``ingest_stream``  new response files -> raw store, one row per (survey, id).
+  Each micro-batch *appends* only the keys the store lacks (``write_keyed``
+  'ignore': the anti-join reads the batch's survey partitions only), so a
+  retried micro-batch adds nothing and stored files are never rewritten.  The
+  same micro-batch also records its distinct ``(survey, version, key)`` in a
+  key catalog, so a later build needs no discovery pass over the payloads.
+  The stream checkpoint replaces the reference's restart point.
+* ``build_stream``   each micro-batch through the flat build, appended to the
+  flat table the same way (additive schema evolution).
 * ``daily_stream``   tumbling daily counts per survey with a watermark and
-  bounded lateness, ``update`` mode into a keyed ``replace`` table.
+  bounded lateness, ``update`` mode, merged into a keyed table with
+  ``replace`` (only the touched survey partitions are rewritten).
 
-Every job runs with ``Trigger.AvailableNow`` by default (process what has
-landed, then stop); on a cluster the same code runs continuously with a
-processing-time trigger.  Checkpoints live under ``spark.checkpoint.dir``.
+Jobs run with ``Trigger.AvailableNow`` by default (process what has landed,
+then stop); on a cluster the same code runs continuously with a
+processing-time trigger.  Checkpoints and tables live under
+``spark.checkpoint.dir`` unless paths are given.
 
 Streaming state: no unbounded ``dropDuplicates`` on ids (it would grow for
 ever); de-duplication happens against the store inside ``foreachBatch``, and
@@ -25,19 +31,23 @@ from typing import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import current, publish, upsert
+from ..operators.store import read_keyed, write_keyed
 from ..plans.build import build_flat, parse_profile
 from ..session import checkpoint_dir
 
 RAW_SCHEMA = "survey string, id string, submitted bigint, version string, data string"
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/tables/{name}"
+
+
 def _ckpt(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _run(query_writer, available_now: bool = True):
-    w = query_writer.trigger(availableNow=True) if available_now else query_writer
+def _run(writer, available_now: bool = True):
+    w = writer.trigger(availableNow=True) if available_now else writer
     q = w.start()
     q.awaitTermination()
     if q.exception() is not None:
@@ -45,23 +55,38 @@ def _run(query_writer, available_now: bool = True):
     return q
 
 
-def ingest_stream(spark: SparkSession, source_dir: str, table: str, fmt: str = "json",
-                  available_now: bool = True, max_files_per_trigger: int | None = None):
+def batch_keys(batch: DataFrame) -> DataFrame:
+    """Distinct ``(survey, version, key)`` of a batch of raw rows (schema-sized)."""
+    return batch.select("survey", "version", F.explode(F.json_object_keys("data")).alias("key")).distinct()
+
+
+def load_key_catalog(spark: SparkSession, path: str) -> dict[tuple, list[str]]:
+    """The key catalog as build ``keys``: ``{(survey, version): [keys]}`` (the survey schema)."""
+    cat = read_keyed(spark, path)
+    if cat is None:
+        return {}
+    rows = cat.groupBy("survey", "version").agg(F.collect_set("key").alias("keys")).collect()
+    return {(r["survey"], r["version"]): sorted(r["keys"]) for r in rows}
+
+
+def ingest_stream(spark: SparkSession, source_dir: str, store: str, fmt: str = "json",
+                  available_now: bool = True, max_files_per_trigger: int | None = None,
+                  key_catalog: str | None = None):
     """Landed response files -> raw store (``ignore`` on ``(survey, id)``)."""
     reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.load(source_dir)
+    order = [F.col("version"), F.col("submitted"), F.col("data")]
 
     def merge(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        target = current(spark, table)
-        order = [F.col("version"), F.col("submitted"), F.col("data")]
-        new = upsert(target, batch, ["survey", "id"], "ignore", order)
-        publish(spark, new, table)
+        write_keyed(spark, store, batch, ["survey", "id"], "ignore", ("survey",), order)
+        if key_catalog:
+            write_keyed(spark, key_catalog, batch_keys(batch), ["survey", "version", "key"], "ignore", ("survey",))
 
-    return _run(src.writeStream.foreachBatch(merge).option("checkpointLocation", _ckpt(spark, table)),
+    return _run(src.writeStream.foreachBatch(merge).option("checkpointLocation", _ckpt(spark, "ingest")),
                 available_now)
 
 
@@ -74,11 +99,9 @@ def build_stream(spark: SparkSession, source_dir: str, table: str, profile: Mapp
     def merge(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        flat = build_flat(batch, prof)
-        target = current(spark, table)
-        publish(spark, upsert(target, flat, ["survey", "id"], "ignore"), table)
+        write_keyed(spark, table, build_flat(batch, prof), ["survey", "id"], "ignore", ("survey",))
 
-    return _run(src.writeStream.foreachBatch(merge).option("checkpointLocation", _ckpt(spark, table)),
+    return _run(src.writeStream.foreachBatch(merge).option("checkpointLocation", _ckpt(spark, "build")),
                 available_now)
 
 
@@ -100,11 +123,10 @@ def daily_stream(spark: SparkSession, source_dir: str, table: str, fmt: str = "j
     def merge(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        target = current(spark, table)
-        publish(spark, upsert(target, batch, ["day", "survey"], "replace", [F.col("n")]), table)
+        write_keyed(spark, table, batch, ["day", "survey"], "replace", ("survey",), [F.col("n")])
 
     return _run(counts.writeStream.outputMode("update").foreachBatch(merge)
-                .option("checkpointLocation", _ckpt(spark, table)), available_now)
+                .option("checkpointLocation", _ckpt(spark, "daily")), available_now)
 
 
 def land_files(df: DataFrame, path: str, fmt: str = "json", files: int | None = None) -> str:

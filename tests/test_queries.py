@@ -67,3 +67,19 @@ def test_stream_equals_batch(spark):
     stream = q["stream_build"](spark, SF_SMALL)
     batch = q["build_flat"](spark, SF_SMALL).select(*stream.columns)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_key_catalog_feeds_the_build(spark, tmp_path):
+    from sondage.plans.build import build_flat
+    from sondage.sources import fixtures as fx
+    from sondage.streaming import stream as SM
+    src = str(tmp_path / "landed")
+    SM.land_files(fx.raw_responses(spark, SF_SMALL), src, "json", 4)
+    store, cat = str(tmp_path / "store"), str(tmp_path / "keys")
+    SM.ingest_stream(spark, src, store, key_catalog=cat)
+    keys = SM.load_key_catalog(spark, cat)
+    raw = spark.read.parquet(store)
+    with_cat = build_flat(raw, fx.fixture_profile(keys=keys))
+    discovered = build_flat(raw, fx.fixture_profile())
+    assert with_cat.columns == discovered.columns
+    assert sorted(map(tuple, with_cat.collect())) == sorted(map(tuple, discovered.collect()))

@@ -75,3 +75,44 @@ def test_export_roundtrip(spark, tmp_path):
     back = SO.read_export(spark, str(tmp_path / "x"), "json")
     assert sorted((r["survey"], r["period_start"], r["id"]) for r in back.collect()) == \
         [("s", 1, "a"), ("s", 2, "b"), ("t", 1, "c")]
+
+
+def test_write_keyed_ignore_appends_and_is_idempotent(spark, tmp_path):
+    path = str(tmp_path / "kt")
+    b1 = spark.createDataFrame([("s", "a", 1), ("s", "b", 1), ("t", "a", 1)], "survey string, id string, v int")
+    assert SO.write_keyed(spark, path, b1, ["survey", "id"], "ignore") == 3
+    b2 = spark.createDataFrame([("s", "a", 9), ("t", "c", 2), ("t", "c", 3)], "survey string, id string, v int")
+    assert SO.write_keyed(spark, path, b2, ["survey", "id"], "ignore") == 1
+    assert SO.write_keyed(spark, path, b2, ["survey", "id"], "ignore") == 0  # a retried batch adds nothing
+    got = {(r["survey"], r["id"]): r["v"] for r in SO.read_keyed(spark, path).collect()}
+    assert got == {("s", "a"): 1, ("s", "b"): 1, ("t", "a"): 1, ("t", "c"): 2}
+
+
+def test_write_keyed_replace_touches_only_batch_partitions(spark, tmp_path):
+    path = str(tmp_path / "kr")
+    b1 = spark.createDataFrame([("s", "a", 1), ("s", "b", 1), ("t", "a", 1)], "survey string, id string, v int")
+    SO.write_keyed(spark, path, b1, ["survey", "id"], "replace")
+    t_files = sorted(p.name for p in (tmp_path / "kr" / "survey=t").iterdir())
+    b2 = spark.createDataFrame([("s", "a", 5), ("s", "z", 7)], "survey string, id string, v int")
+    SO.write_keyed(spark, path, b2, ["survey", "id"], "replace", order=[F.col("v")])
+    got = {(r["survey"], r["id"]): r["v"] for r in SO.read_keyed(spark, path).collect()}
+    assert got == {("s", "a"): 5, ("s", "b"): 1, ("s", "z"): 7, ("t", "a"): 1}
+    assert sorted(p.name for p in (tmp_path / "kr" / "survey=t").iterdir()) == t_files
+
+
+def test_write_keyed_evolves_schema(spark, tmp_path):
+    path = str(tmp_path / "ke")
+    SO.write_keyed(spark, path, spark.createDataFrame([("s", "a", 1)], "survey string, id string, v int"), ["id"])
+    SO.write_keyed(spark, path, spark.createDataFrame([("s", "b", 2, "x")], "survey string, id string, v int, w string"),
+                   ["id"])
+    got = {r["id"]: r["w"] for r in SO.read_keyed(spark, path).collect()}
+    assert got == {"a": None, "b": "x"}
+    with pytest.raises(SO.SchemaEvolutionError):
+        SO.write_keyed(spark, path, spark.createDataFrame([("s", "c", "no")], "survey string, id string, v string"),
+                       ["id"])
+
+
+def test_dense_index_without_global_window(spark):
+    df = spark.createDataFrame([(f"k{i:04d}",) for i in range(500)], "k string")
+    out = SO.dense_index(spark, df, "k", start=0).collect()
+    assert sorted((r["k"], r["idx"]) for r in out) == [(f"k{i:04d}", i) for i in range(500)]
