@@ -285,6 +285,10 @@ def compile_projection(plans: Mapping[tuple, Plan], lookup: Callable[[str], Colu
     return exprs
 
 
+def _uses_json(plans: Mapping[tuple, Plan], target: str) -> bool:
+    return any("json" in plan[target].ops for plan in plans.values() if target in plan)
+
+
 def output_order(names: Sequence[str]) -> list[str]:
     std = [c for c in STANDARD_FIELDS if c in names]
     rest = sorted(c for c in names if c not in STANDARD_FIELDS)
@@ -387,6 +391,13 @@ def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | No
                         _p=decode_struct(F.col("data"), keys)).where(payload_ok(F.col("_p")))
     s_col = F.col("survey") if has_survey else F.lit(None).cast("string")
     exprs = compile_projection(plans, lambda k: F.col("_p").getField(k), s_col, F.col("version"), prof.on_error)
+    # JSON-typed columns parse text again (no code generation for JSON): they are
+    # computed in their own one-row generator so the final projection stays in
+    # whole-stage codegen.
+    json_cols = sorted(t for t in exprs if _uses_json(plans, t))
+    if json_cols:
+        dec = evaluate_once(dec, _j=F.struct(*[exprs[t].alias(t) for t in json_cols]))
+        exprs.update({t: F.col("_j").getField(t) for t in json_cols})
     out_cols = []
     if include_survey or (include_survey is None and has_survey):
         out_cols.append(s_col.alias("survey"))
