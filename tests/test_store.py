@@ -116,3 +116,39 @@ def test_dense_index_without_global_window(spark):
     df = spark.createDataFrame([(f"k{i:04d}",) for i in range(500)], "k string")
     out = SO.dense_index(spark, df, "k", start=0).collect()
     assert sorted((r["k"], r["idx"]) for r in out) == [(f"k{i:04d}", i) for i in range(500)]
+
+
+def test_sources_from_files(spark, tmp_path):
+    import json
+    import zlib
+
+    from sondage.sources import raw as RW
+    info = {"key": "weekly", "versions": [
+        {"versionId": "24-1-1", "published": 1704067200, "questions": [
+            {"key": "weekly.main.Q1", "questionType": "multiple", "title": "t",
+             "responses": [{"key": "0", "label": "a"}, {"key": "1", "label": "b"}]}]},
+        {"versionId": "24-2-1", "published": 1706745600, "questions": []}]}
+    (tmp_path / "info.json").write_text(json.dumps(info))
+    doc = spark.read.schema(RW.SURVEY_INFO_SCHEMA).json(str(tmp_path / "info.json"))
+    flat = RW.flatten_survey_info(doc, explode_responses=True).collect()
+    assert [(r["version"], r["question"], r["response"]) for r in flat] == \
+        [("24-1-1", "weekly.main.Q1", "0"), ("24-1-1", "weekly.main.Q1", "1")]
+    (tmp_path / "ids.txt").write_text(" p1 \n\np2\np1\n")
+    assert sorted(r["id"] for r in RW.read_id_list(spark, str(tmp_path / "ids.txt")).collect()) == ["p1", "p2"]
+    (tmp_path / "ids.json").write_text(json.dumps({"p3": "x", " p4": "y"}))
+    assert sorted(r["id"] for r in RW.read_id_list(spark, str(tmp_path / "ids.json"), "json_keys").collect()) == \
+        ["p3", "p4"]
+    blobs = spark.createDataFrame([(zlib.compress(b'{"a": "1"}'),), (b"junk",), (None,)], "data binary")
+    got = [r[0] for r in blobs.select(RW.decompress("data", "zlib")).collect()]
+    assert got == ['{"a": "1"}', None, None]
+
+
+def test_quarantine_and_recode(spark):
+    from sondage.sources import raw as RW
+    df = spark.createDataFrame([("a", '{"x": "TRUE", "y": "True", "z": {"k": 1}}'), ("b", "{bad"), ("c", "[]"),
+                                ("d", "{}")], "id string, data string")
+    good, bad = RW.split_quarantine(df)
+    assert sorted(r["id"] for r in good.collect()) == ["a", "d"]
+    assert sorted(r["id"] for r in bad.collect()) == ["b", "c"]
+    m = good.where(F.col("id") == "a").select(RW.recode_flags("payload").alias("m")).first()["m"]
+    assert m == {"x": "true", "y": "True", "z": '{"k":1}'}
