@@ -23,7 +23,7 @@ BOOL_FALSE = ["0", "false"]
 CAST_TYPES = ["bool", "json", "date"]
 # ---------------------------------------------------------------------------------------------
 
-# A plain decimal number, as Python's float() reads it (no '1d'/'1f' suffixes, no '1_0').
+# A plain decimal number, as Python's float() reads it (no '1d'/'1f' suffixes).
 NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 # Years 0001..9999 in epoch seconds: beyond them a timestamp overflows.
 _MIN_EPOCH, _MAX_EPOCH = -62135596800, 253402300799
@@ -61,7 +61,8 @@ def parse_number(c: Column | str) -> Column:
 
     ``nan``/``inf`` (any case, signed) are kept as NaN/Infinity like ``float()``.
     """
-    s = F.trim(_col(c).cast("string"))
+    # Python also accepts single underscores between digits ('1_000').
+    s = F.regexp_replace(F.trim(_col(c).cast("string")), r"(?<=[0-9])_(?=[0-9])", "")
     low = F.lower(s)
     special = (F.when(low.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
                .when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))

@@ -109,9 +109,11 @@ def parse_collectors(spec) -> list[dict]:
     return out
 
 
-def multi_stats(states: DataFrame, spec, flags_col: str = "flags") -> DataFrame:
+def multi_stats(states: DataFrame, spec="counts", flags_col: str = "flags") -> DataFrame:
     """All collectors, long result ``(name, type, label, key, value)``.
 
+    Without a spec only ``counts`` runs (the reference's default).
+
     Summaries share one aggregate; counts and categories share one explode of
     the flag map and one grouped count.
     """

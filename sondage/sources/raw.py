@@ -38,13 +38,27 @@ def _epoch(bound) -> int | None:
     raise TypeError(f"unsupported time bound {bound!r}")
 
 
+def day_of(epoch: Column) -> Column:
+    """UTC day of an epoch-seconds column (the raw store's ``day`` partition)."""
+    return F.to_date(F.timestamp_seconds(epoch))
+
+
 def time_range_filter(df: DataFrame, start=None, end=None, column: str = "submitted") -> DataFrame:
-    """``start <= column <= end``, both inclusive, each optional (epoch seconds)."""
+    """``start <= column <= end``, both inclusive, each optional (epoch seconds).
+
+    When the table carries the ``day`` partition column the same bounds also
+    prune day partitions, on top of the row-group statistics of ``column``.
+    """
     lo, hi = _epoch(start), _epoch(end)
+    has_day = column == "submitted" and "day" in df.columns
     if lo is not None:
         df = df.where(F.col(column) >= F.lit(lo))
+        if has_day:
+            df = df.where(F.col("day") >= day_of(F.lit(lo)))
     if hi is not None:
         df = df.where(F.col(column) <= F.lit(hi))
+        if has_day:
+            df = df.where(F.col("day") <= day_of(F.lit(hi)))
     return df
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..operators.store import read_keyed, write_keyed
 from ..plans.build import build_flat, parse_profile
 from ..session import checkpoint_dir
+from ..sources.raw import day_of
 
 RAW_SCHEMA = "survey string, id string, submitted bigint, version string, data string"
 
@@ -71,8 +72,14 @@ def load_key_catalog(spark: SparkSession, path: str) -> dict[tuple, list[str]]:
 
 def ingest_stream(spark: SparkSession, source_dir: str, store: str, fmt: str = "json",
                   available_now: bool = True, max_files_per_trigger: int | None = None,
-                  key_catalog: str | None = None):
-    """Landed response files -> raw store (``ignore`` on ``(survey, id)``)."""
+                  key_catalog: str | None = None, partition_by=("survey", "day")):
+    """Landed response files -> raw store (``ignore`` on ``(survey, id)``).
+
+    The store is partitioned by survey and submission day, so each micro-batch
+    reads the stored ids of the days it touches only.  ``submitted`` is the
+    server's submission time: a re-fetched response keeps it, so its
+    duplicate always lands in the same day partition.
+    """
     reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -82,7 +89,8 @@ def ingest_stream(spark: SparkSession, source_dir: str, store: str, fmt: str = "
     def merge(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        write_keyed(spark, store, batch, ["survey", "id"], "ignore", ("survey",), order)
+        rows = batch.withColumn("day", day_of(F.col("submitted"))) if "day" in partition_by else batch
+        write_keyed(spark, store, rows, ["survey", "id"], "ignore", tuple(partition_by), order)
         if key_catalog:
             write_keyed(spark, key_catalog, batch_keys(batch), ["survey", "version", "key"], "ignore", ("survey",))
 

@@ -50,11 +50,11 @@ def test_epoch_edges(spark):
 
 
 def test_parse_number_like_python_float(spark):
-    vals = ["1.5", " 2 ", "nan", "-inf", "1e2", "1d", "abc", "", None]
+    vals = ["1.5", " 2 ", "nan", "-inf", "1e2", "1_000", "1d", "abc", "", None, "1__0", "_1"]
     df = spark.createDataFrame([(x,) for x in vals], "v string")
     got = [r[0] for r in df.select(C.parse_number("v")).collect()]
     assert got[0] == 1.5 and got[1] == 2.0 and math.isnan(got[2]) and got[3] == float("-inf")
-    assert got[4] == 100.0 and got[5:] == [None, None, None, None]
+    assert got[4] == 100.0 and got[5] == 1000.0 and got[6:] == [None] * 6
 
 
 def test_json_item_keys_edges(spark):

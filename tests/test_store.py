@@ -152,3 +152,15 @@ def test_quarantine_and_recode(spark):
     assert sorted(r["id"] for r in bad.collect()) == ["b", "c"]
     m = good.where(F.col("id") == "a").select(RW.recode_flags("payload").alias("m")).first()["m"]
     assert m == {"x": "true", "y": "True", "z": '{"k":1}'}
+
+
+def test_time_filter_prunes_day_partitions(spark, tmp_path):
+    from sondage.sources import raw as RW
+    rows = [("s", f"r{i}", 1704067200 + 86400 * i, "1", "{}") for i in range(10)]
+    df = spark.createDataFrame(rows, "survey string, id string, submitted long, version string, data string")
+    df.withColumn("day", RW.day_of(F.col("submitted"))).write.partitionBy("survey", "day").parquet(str(tmp_path / "r"))
+    store = spark.read.parquet(str(tmp_path / "r"))
+    q = RW.scan_raw(store, survey="s", start=1704067200 + 86400 * 3, end=1704067200 + 86400 * 5)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1][:400]
+    assert sorted(r["id"] for r in q.collect()) == ["r3", "r4", "r5"]
