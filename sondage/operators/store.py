@@ -107,28 +107,32 @@ def new_snapshot_path(spark: SparkSession, table: str) -> str:
 
 
 def publish(spark: SparkSession, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as a new snapshot of ``table`` and point ``_current`` at it.
+    """Write ``df`` as a new snapshot of ``table``, then record it as current.
 
-    The previous snapshot stays readable until the pointer moves, so an upsert
-    that reads the current table never overwrites what it reads.
+    The previous snapshot stays readable until the new one is recorded, so an
+    upsert that reads the current table never overwrites what it reads.  The
+    pointer log is append-only (a failed job leaves the old pointer in place).
     """
     path = new_snapshot_path(spark, table)
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite") \
-        .text(f"{checkpoint_dir(spark)}/tables/{table}/_current")
+    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
+    spark.createDataFrame([(stamp, path)], "stamp string, path string").coalesce(1).write.mode("append") \
+        .json(f"{checkpoint_dir(spark)}/tables/{table}/_pointers")
     return path
 
 
 def current(spark: SparkSession, table: str) -> DataFrame | None:
-    base = f"{checkpoint_dir(spark)}/tables/{table}/_current"
+    """The latest published snapshot of ``table`` (None before the first)."""
+    base = f"{checkpoint_dir(spark)}/tables/{table}/_pointers"
     try:
-        path = spark.read.text(base).first()[0]
+        row = spark.read.schema("stamp string, path string").json(base) \
+            .agg(F.max_by("path", "stamp").alias("path")).first()
     except Exception:  # noqa: BLE001 — no snapshot yet
         return None
-    return spark.read.parquet(path)
+    return None if row is None or row["path"] is None else spark.read.parquet(row["path"])
 
 
 # --- keyed partitioned tables -----------------------------------------------------------------

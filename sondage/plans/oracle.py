@@ -16,6 +16,8 @@ MISSING_AFTER = SI_EPOCH + 86400 * 60
 TIME_FROM = 1704412800       # 2024-01-05 00:00:00
 TIME_TO = 1705795199         # 2024-01-20 23:59:59
 TIME_ONLY_FROM = 1705276800  # 2024-01-15 00:00:00
+BASE_UNTIL = 1705708800      # first load: responses before 2024-01-20
+BATCH_FROM = 1705276800      # next load re-fetches from 2024-01-15
 
 
 def iso(x: str) -> str:
@@ -235,8 +237,8 @@ ORACLE["build_plan"] = f"""{FLAT}
 SELECT survey, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(Q2) AS BIGINT) AS n_q2,
   CAST(count(EX_Q2) AS BIGINT) AS n_ex_q2 FROM flat GROUP BY survey"""
 
-BASE = flat_sql("event_id % 3 <> 0")
-BATCH = flat_sql("event_id % 2 = 0", "'b' || CAST(k AS VARCHAR)")
+BASE = flat_sql(f"sub < {BASE_UNTIL}")
+BATCH = flat_sql(f"sub >= {BATCH_FROM}", "'b' || CAST(k AS VARCHAR)")
 
 ORACLE["upsert_ignore"] = f"""WITH {E}, base AS ({BASE}), batch AS ({BATCH})
 SELECT id, Q2, version FROM base
@@ -254,10 +256,12 @@ ORACLE["registry_upsert"] = f"""WITH {E}, s AS (SELECT DISTINCT survey FROM e)
 SELECT survey, 'responses_' || survey AS "table", 'raw' AS type FROM s
 UNION ALL SELECT survey, 'pollster_results_' || survey, 'flat' FROM s"""
 
-ORACLE["participant_dim"] = f"""WITH {E}, g AS (SELECT DISTINCT user_id, 'p' || user_id AS global_id FROM e),
-old AS (SELECT global_id, row_number() OVER (ORDER BY global_id) AS id FROM g WHERE user_id % 3 = 0),
+ORACLE["participant_dim"] = f"""WITH {E},
+g0 AS (SELECT DISTINCT 'p' || user_id AS global_id FROM e WHERE sub < {BASE_UNTIL}),
+g AS (SELECT DISTINCT 'p' || user_id AS global_id FROM e),
+old AS (SELECT global_id, row_number() OVER (ORDER BY global_id) AS id FROM g0),
 new AS (SELECT global_id, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY global_id) AS id
-        FROM g WHERE user_id % 3 <> 0)
+        FROM g WHERE global_id NOT IN (SELECT global_id FROM g0))
 SELECT CAST(id AS BIGINT) AS id, global_id FROM old UNION ALL SELECT CAST(id AS BIGINT), global_id FROM new"""
 
 ORACLE["survey_info_upsert"] = f"""WITH {SI}, v AS (SELECT DISTINCT survey, version, published, p_partkey % 5 <> 0 AS in_repo FROM si),

@@ -399,10 +399,9 @@ def registry_upsert(spark, sf):
 
 @query
 def participant_dim(spark, sf):
-    flat = FLAT(spark, sf).select("global_id")
-    old = flat.where(F.substring("global_id", 2, 12).cast("bigint") % 3 == 0)
-    dim = SO.participant_dim(spark, old, None)
-    return SO.participant_dim(spark, flat, dim)
+    # The dimension as built from the first load, then extended by the whole table.
+    dim = SO.participant_dim(spark, FLAT(spark, sf, "R_base").select("global_id"), None)
+    return SO.participant_dim(spark, FLAT(spark, sf).select("global_id"), dim)
 
 
 @query

@@ -24,6 +24,10 @@ QUESTION_TYPES = ["single", "multiple", "date", "unknown"]  # by p_partkey % 4
 EMAIL_DOMAINS = ["a.org", "b.org", "skip.test"]  # by c_nationkey % 3
 SKIP_SUFFIX = "skip.test"
 SI_EPOCH = 1704067200  # 2024-01-01T00:00:00Z
+# Incremental sync: the store holds responses before BASE_UNTIL; the next load
+# re-fetches from BATCH_FROM (an overlap, as a restart point re-reads recent days).
+BASE_UNTIL = 1705708800  # 2024-01-20T00:00:00Z (exclusive)
+BATCH_FROM = 1705276800  # 2024-01-15T00:00:00Z (inclusive)
 # ------------------------------------------------------------------------------------------------
 
 
@@ -84,14 +88,16 @@ def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
     """R: ``raw(survey, id, submitted, version, data)`` from ``events``.
 
     Variants: ``R_bad`` (10-character payload where ``event_id % 97 = 0``),
-    ``R_dup`` (rows with ``event_id % 5 = 0`` twice), ``R_base``
-    (``event_id % 3 <> 0``), ``R_batch`` (``event_id % 2 = 0`` with Q2 changed).
+    ``R_dup`` (rows with ``event_id % 5 = 0`` twice), ``R_base`` (responses
+    before ``BASE_UNTIL``) and ``R_batch`` (responses from ``BATCH_FROM`` on,
+    with Q2 changed): together they cover the whole table and overlap on the
+    re-fetched days.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     if variant == "R_base":
-        ev = ev.where(F.col("event_id") % 3 != 0)
+        ev = ev.where(F.col("ts") < F.timestamp_seconds(F.lit(BASE_UNTIL)).cast("timestamp_ntz"))
     elif variant == "R_batch":
-        ev = ev.where(F.col("event_id") % 2 == 0)
+        ev = ev.where(F.col("ts") >= F.timestamp_seconds(F.lit(BATCH_FROM)).cast("timestamp_ntz"))
     ev = evaluate_once(ev, _k=_k(ev), _sub=_submitted(ev["ts"]))  # props parsed once per row
     k = F.col("_k")
     submitted = F.col("_sub")
@@ -232,7 +238,7 @@ def localized_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T: ``(n_nationkey, text)`` with ``text`` a localized-text array (en: nation+region, fr: nation)."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    j = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"], "left")
+    j = nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
     text = F.array(
         F.struct(F.lit("en").alias("code"), F.array(F.struct(F.col("n_name").alias("str")),
                                                     F.struct(F.col("r_name").alias("str"))).alias("parts")),
