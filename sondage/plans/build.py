@@ -387,7 +387,8 @@ def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | No
     plans = member_plans(members or {}, prof)
     keys = sorted({spec.key for plan in plans.values() for spec in plan.values()})
     # The payload is parsed once per row (see ``evaluate_once``), then read field by field.
-    dec = evaluate_once(df.select(*[c for c in ("survey", "version") if c in df.columns], "data"),
+    carried = [c for c in ("survey", "version") if c in df.columns] + ([] if keys else ["id"])
+    dec = evaluate_once(df.select(*carried, "data"),
                         _p=decode_struct(F.col("data"), keys)).where(payload_ok(F.col("_p")))
     s_col = F.col("survey") if has_survey else F.lit(None).cast("string")
     exprs = compile_projection(plans, lambda k: F.col("_p").getField(k), s_col, F.col("version"), prof.on_error)

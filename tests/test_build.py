@@ -128,3 +128,27 @@ def test_discover_members(spark):
     raw = spark.createDataFrame([row("s", "a", 1, "1", **{"k1": "x"}), row("s", "b", 1, "2", **{"k2": "y"})], RAW)
     m = discover_members(raw)
     assert "k1" in m[("s", "1")] and "k2" in m[("s", "2")] and "k2" not in m[("s", "1")]
+
+
+def test_empty_input(spark):
+    raw = spark.createDataFrame([], RAW)
+    out = build_flat(raw, profile())
+    assert out.count() == 0 and "id" in out.columns
+
+
+def test_versions_of_unequal_length_dispatch(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "2", **{"s.main.Q1": "x"}),
+                                 row("s", "b", 1, "2-0-1", **{"s.main.Q1": "y"}),
+                                 row("s", "c", 1, "1-9", **{"s.main.Q1": "z"})], RAW)
+    rule = {"name": "rename", "rules": [{"fixed": {"s.main.Q1": "s.main.Q1new"}}], "version": "2-0-0"}
+    out = {r["id"]: (r["Q1"], r["Q1new"]) for r in build_flat(raw, profile(processors=[rule])).collect()}
+    # "2" equals "2-0-0" (missing parts are 0); "2-0-1" and "1-9" do not.
+    assert out == {"a": (None, "x"), "b": ("y", None), "c": ("z", None)}
+
+
+def test_stats_on_empty_states(spark):
+    from sondage.operators import stats as ST
+    empty = spark.createDataFrame([], "participantId string, studyStatus string, flags map<string,string>")
+    assert ST.flag_counts(empty).count() == 0
+    r = ST.flag_summary(empty, "x").first()
+    assert r["n"] == 0 and r["mean"] is None
