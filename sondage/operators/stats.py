@@ -158,9 +158,18 @@ def multi_stats(states: DataFrame, spec="counts", flags_col: str = "flags") -> D
 # --- participants and responses -------------------------------------------------------------------
 
 
-def assigned_counts(states: DataFrame, status: str | None = "active") -> DataFrame:
-    """Participants per (surveyKey, category) of their assigned surveys."""
+def assigned_counts(states: DataFrame, status: str | None = "active",
+                    assignments: DataFrame | None = None) -> DataFrame:
+    """Participants per (surveyKey, category) of their assigned surveys.
+
+    ``states`` holds nested ``assignedSurveys``; or pass ``assignments``
+    ``(participantId, surveyKey, category)`` in long form, semi-joined to the
+    participants with the status.
+    """
     s = states if status in (None, "all") else states.where(F.col("studyStatus") == F.lit(status))
+    if assignments is not None:
+        return (assignments.join(s.select("participantId"), "participantId", "left_semi")
+                .groupBy("surveyKey", "category").agg(F.count("*").alias("n")))
     return (s.select(F.explode("assignedSurveys").alias("a"))
             .groupBy(F.col("a.surveyKey").alias("surveyKey"), F.col("a.category").alias("category"))
             .agg(F.count("*").alias("n")))

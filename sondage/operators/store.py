@@ -30,6 +30,13 @@ from pyspark.sql.window import Window
 from ..session import checkpoint_dir
 
 
+# --- fixed values ----------------------------------------------------------------------------
+# Table names in the table registry: raw store and flat table of a survey.
+RAW_TABLE_PREFIX = "responses_"
+FLAT_TABLE_PREFIX = "pollster_results_"
+# ---------------------------------------------------------------------------------------------
+
+
 class DuplicateKeyError(ValueError):
     pass
 

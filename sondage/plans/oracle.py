@@ -8,6 +8,8 @@ Timestamps are compared as UTC text (yyyy-MM-dd HH:MM:SS), doubles rounded to 4
 
 from __future__ import annotations
 
+from ..operators.store import FLAT_TABLE_PREFIX, RAW_TABLE_PREFIX
+
 SI_EPOCH = 1704067200
 ANCHOR = 1704067200          # Monday 2024-01-01 00:00:00 UTC
 MAX_CATALOG = 1706140800     # 2024-01-25 00:00:00 UTC
@@ -253,8 +255,8 @@ SELECT id, Q2, CAST(NULL AS VARCHAR) AS Q6 FROM base
 UNION ALL SELECT id, Q2, Q6 FROM batch WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.id = batch.id)"""
 
 ORACLE["registry_upsert"] = f"""WITH {E}, s AS (SELECT DISTINCT survey FROM e)
-SELECT survey, 'responses_' || survey AS "table", 'raw' AS type FROM s
-UNION ALL SELECT survey, 'pollster_results_' || survey, 'flat' FROM s"""
+SELECT survey, '{RAW_TABLE_PREFIX}' || survey AS "table", 'raw' AS type FROM s
+UNION ALL SELECT survey, '{FLAT_TABLE_PREFIX}' || survey, 'flat' FROM s"""
 
 ORACLE["participant_dim"] = f"""WITH {E},
 g0 AS (SELECT DISTINCT 'p' || user_id AS global_id FROM e WHERE sub < {BASE_UNTIL}),

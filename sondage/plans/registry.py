@@ -389,10 +389,11 @@ def evolve_schema(spark, sf):
 @query
 def registry_upsert(spark, sf):
     s = R(spark, sf).select("survey").distinct()
-    existing = s.select("survey", F.concat(F.lit("responses_"), "survey").alias("table"), F.lit("raw").alias("type"))
-    batch = s.select("survey", F.concat(F.lit("pollster_results_"), "survey").alias("table"),
+    existing = s.select("survey", F.concat(F.lit(SO.RAW_TABLE_PREFIX), "survey").alias("table"),
+                        F.lit("raw").alias("type"))
+    batch = s.select("survey", F.concat(F.lit(SO.FLAT_TABLE_PREFIX), "survey").alias("table"),
                      F.lit("flat").alias("type")) \
-        .unionByName(s.select("survey", F.concat(F.lit("responses_"), "survey").alias("table"),
+        .unionByName(s.select("survey", F.concat(F.lit(SO.RAW_TABLE_PREFIX), "survey").alias("table"),
                               F.lit("raw_again").alias("type")))
     return SO.registry_upsert(existing, batch)
 
@@ -509,7 +510,9 @@ def multi_stats(spark, sf):
 
 @query
 def assigned_counts(spark, sf):
-    return ST.assigned_counts(fx.participants(spark, sf), "active")
+    # Long form: one row per assignment (no per-participant arrays are built).
+    states = fx.participants(spark, sf).select("participantId", "studyStatus")
+    return ST.assigned_counts(states, "active", assignments=fx.assignments(spark, sf))
 
 
 @query

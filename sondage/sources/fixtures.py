@@ -182,6 +182,13 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "array<struct<surveyKey:string,category:string>>")).alias("assignedSurveys")))
 
 
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P's assigned surveys in long form: ``(participantId, surveyKey, category)``, one per order."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("participantId"),
+                         F.col("o_orderstatus").alias("surveyKey"), F.col("o_orderpriority").alias("category"))
+
+
 def wanted_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flag-sync input ``(participantId, flags)``: custkey % 4 = 0 -> segment BUILDING, minor 0."""
     cust = table(spark, sf_dir, "customer").select("c_custkey")

@@ -119,3 +119,15 @@ def test_periods(spark):
     bad = spark.createDataFrame([("s", 10, 20), ("s", 15, 30), ("s", 40, 99)], "survey string, start long, end long")
     v = {(r["start"], r["violation"]) for r in PD.catalog_violations(bad, F.lit(0), F.lit(50)).collect()}
     assert v == {(15, "overlaps_previous"), (40, "end_after_max")}
+
+
+def test_assigned_counts_nested_equals_long(spark):
+    states = spark.createDataFrame([
+        ("p1", "active", [("s1", "a"), ("s2", "b")]), ("p2", "inactive", [("s1", "a")]), ("p3", "active", [])],
+        "participantId string, studyStatus string, assignedSurveys array<struct<surveyKey:string,category:string>>")
+    long = spark.createDataFrame([("p1", "s1", "a"), ("p1", "s2", "b"), ("p2", "s1", "a")],
+                                 "participantId string, surveyKey string, category string")
+    nested = sorted(map(tuple, ST.assigned_counts(states, "active").collect()))
+    flat = sorted(map(tuple, ST.assigned_counts(states.drop("assignedSurveys"), "active", long).collect()))
+    assert nested == flat == [("s1", "a", 1), ("s2", "b", 1)]
+    assert sorted(map(tuple, ST.assigned_counts(states, "all").collect())) == [("s1", "a", 2), ("s2", "b", 1)]
