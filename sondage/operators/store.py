@@ -49,21 +49,46 @@ def _ordered_struct(cols: Sequence[Column]) -> Column:
     return F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
 
 
+DEDUPE_BROADCAST_MAX = 200_000  # duplicate keys broadcast at most (checked by a count first)
+
+
+def _pick_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], latest: bool) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    pick = F.max_by if latest else F.min_by
+    return (df.groupBy(*keys).agg(pick(row, _ordered_struct(order)).alias("_r"))
+            .select(*keys, *[F.col("_r").getField(c).alias(c) for c in rest]))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None,
-                  latest: bool = False) -> DataFrame:
+                  latest: bool = False, mode: str = "auto") -> DataFrame:
     """One row per key: the smallest (or, with ``latest``, largest) by ``order``.
 
     Without an order all non-key columns order the rows (a total, deterministic
-    choice).  Aggregate with a partial step: a hot key is combined map-side.
+    choice).  ``auto`` first shuffles the keys only to find duplicated keys:
+    with none the rows never move; with a few (counted, at most
+    ``DEDUPE_BROADCAST_MAX``) only their rows are de-duplicated, through
+    broadcast semi/anti joins; otherwise (and with ``mode='full'``) one
+    aggregate whose partial step combines a hot key inside each task.
     """
+    keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.select(*keys).distinct()
     order = order or [F.col(f"`{c}`") for c in rest]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    pick = F.max_by if latest else F.min_by
-    return (df.groupBy(*keys).agg(pick(row, _ordered_struct(order)).alias("_r"))
-            .select(*keys, *[F.col("_r").getField(c).alias(c) for c in rest]))
+    if mode != "auto":
+        return _pick_per_key(df, keys, order, latest)
+    dup = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).cache()
+    n = dup.count()
+    if n == 0:
+        dup.unpersist()
+        return df
+    if n <= DEDUPE_BROADCAST_MAX:
+        b = F.broadcast(dup)
+        fixed = _pick_per_key(df.join(b, keys, "left_semi"), keys, order, latest)
+        return df.join(b, keys, "left_anti").unionByName(fixed.select(*df.columns))
+    dup.unpersist()
+    return _pick_per_key(df, keys, order, latest)
 
 
 def evolve_schema(target: DataFrame, batch: DataFrame) -> DataFrame:

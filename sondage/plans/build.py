@@ -55,7 +55,6 @@ QUESTION_TYPE_MAP = {"multiple": "bool", "date": "date", "unknown": "json"}
 ALWAYS_DATES = ["submitted", "opened"]
 # ---------------------------------------------------------------------------------------------
 
-DEDUPE_BROADCAST_MAX = 200_000  # duplicate keys broadcast at most (checked by a count first)
 BAD_FIELD = "__sondage_corrupt__"  # corrupt-record column of the payload parse
 
 
@@ -324,41 +323,16 @@ def payload_ok(p: Column) -> Column:
     return p.isNotNull() & p.getField(BAD_FIELD).isNull()
 
 
-def dedupe_latest_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                        payload_cols: Sequence[str]) -> DataFrame:
-    """Keep one row per key: the smallest by ``order`` (deterministic 'first').
+def dedupe_raw(df: DataFrame, keys: Sequence[str], mode: bool | str = "auto") -> DataFrame:
+    """In-batch de-duplication of raw rows on ``keys``; first by (version, submitted, data).
 
-    ``min_by`` is an aggregate with a partial (map-side) step, so a hot key is
-    combined inside each task before the shuffle instead of piling up in one
-    window partition.
+    ``auto`` shuffles the keys only unless duplicates exist (``store.first_per_key``).
     """
-    ordering = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    row = F.struct(*[F.col(c) for c in payload_cols])
-    return (df.groupBy(*keys).agg(F.min_by(row, ordering).alias("_r"))
-            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in payload_cols]))
-
-
-def dedupe_raw(df: DataFrame, keys: Sequence[str], mode: bool | str = "auto") -> DataFrame:
-    """In-batch de-duplication of raw rows on ``keys``; first by (version, submitted, data)."""
     if not mode:
         return df
-    keys = list(keys)
+    from ..operators.store import first_per_key
     order = [version_array(F.col("version")), F.col("submitted"), F.col("data")]
-    payload_cols = [c for c in df.columns if c not in keys]
-    if mode != "auto":
-        return dedupe_latest_first(df, keys, order, payload_cols)
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).cache()
-    n = dup.count()  # keys only are shuffled, with a partial step
-    if n == 0:
-        dup.unpersist()
-        return df
-    if n <= DEDUPE_BROADCAST_MAX:  # proven small: broadcast, the payload is not shuffled
-        b = F.broadcast(dup)
-        clean = df.join(b, keys, "left_anti")
-        fixed = dedupe_latest_first(df.join(b, keys, "left_semi"), keys, order, payload_cols)
-        return clean.unionByName(fixed.select(*df.columns))
-    dup.unpersist()
-    return dedupe_latest_first(df, keys, order, payload_cols)
+    return first_per_key(df, keys, order, mode="auto" if mode == "auto" else "full")
 
 
 def prepare_raw(raw: DataFrame, profile: BuildProfile, survey: str | None = None) -> DataFrame:

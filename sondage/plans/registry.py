@@ -53,6 +53,7 @@ def scalars(df: DataFrame) -> DataFrame:
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the engine's clock is UTC
         return scalars(fn(spark, sf))
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
