@@ -84,8 +84,11 @@ def json_item_keys(c: Column | str) -> Column:
     """
     c = _col(c).cast("string")
     keys = F.transform(F.from_json(c, ITEMS_SCHEMA).getField("items"), lambda x: x.getField("key"))
-    # One parse per value: no items (or no keys) joins to '' which becomes null.
-    return F.when(c == "", F.lit("")).otherwise(F.nullif(F.array_join(keys, ","), F.lit("")))
+    # One parse per value: no items (or no keys) join to '' which becomes null.  (``nullif``
+    # would repeat its argument, and so the parse; a one-element filter keeps a single copy.)
+    joined = F.array_join(keys, ",")
+    non_empty = F.try_element_at(F.filter(F.array(joined), lambda x: x != ""), F.lit(1))
+    return F.when(c == "", F.lit("")).otherwise(non_empty)
 
 
 def json_valid(c: Column | str) -> Column:

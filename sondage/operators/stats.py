@@ -41,19 +41,23 @@ def flag_category(states: DataFrame, field: str, flags_col: str = "flags") -> Da
             .groupBy("value").agg(F.count("*").alias("n")))
 
 
-def summary_aggs(value: Column, present: Column, prefix: str = "") -> list[Column]:
-    """O23 as aggregate Columns over one text value.
+def summary_inputs(value: Column, present: Column, prefix: str = "") -> list[Column]:
+    """Per-row inputs of O23, computed once in a projection: the parsed number and presence."""
+    return [parse_number(value).alias(prefix + "x"), present.alias(prefix + "present")]
+
+
+def summary_aggs(prefix: str = "") -> list[Column]:
+    """O23 as aggregate Columns over ``summary_inputs``.
 
     ``n/mean/var(pop)/min/max`` over the valid non-NaN numbers, ``nan`` the NaN
     count, ``invalid`` the count of present values that are not numbers (null
     included).  Spark's ``max`` ranks NaN highest, so NaN is filtered first.
     """
-    x = parse_number(value)
+    x, present = F.col(prefix + "x"), F.col(prefix + "present")
     valid = present & x.isNotNull() & ~F.isnan(x)
     xv = F.when(valid, x)
-    n = F.count(xv)
     return [
-        n.cast("bigint").alias(prefix + "n"),
+        F.count(xv).cast("bigint").alias(prefix + "n"),
         F.avg(xv).alias(prefix + "mean"),
         F.var_pop(xv).alias(prefix + "var"),
         F.min(xv).alias(prefix + "min"),
@@ -66,8 +70,8 @@ def summary_aggs(value: Column, present: Column, prefix: str = "") -> list[Colum
 def flag_summary(states: DataFrame, field: str, flags_col: str = "flags") -> DataFrame:
     """O23 ``summary:f`` over a flag; with n = 0 the mean/var/min/max are null."""
     m = F.col(flags_col)
-    present = F.map_contains_key(m, F.lit(field))
-    return states.agg(*summary_aggs(F.element_at(m, F.lit(field)), present))
+    present = F.coalesce(F.map_contains_key(m, F.lit(field)), F.lit(False))
+    return states.select(*summary_inputs(F.element_at(m, F.lit(field)), present)).agg(*summary_aggs())
 
 
 # --- O61: several collectors in one pass ----------------------------------------------------------
@@ -137,11 +141,12 @@ def multi_stats(states: DataFrame, spec="counts", flags_col: str = "flags") -> D
         parts.append(t.groupBy("name", "type", "label", "key").agg(F.count("*").cast("double").alias("value")))
     summ = [c for c in cols if c["type"] == "summary"]
     if summ:
-        aggs = []
+        inputs, aggs = [], []
         for i, c in enumerate(summ):
-            present = F.map_contains_key(m, F.lit(c["field"]))
-            aggs.extend(summary_aggs(F.element_at(m, F.lit(c["field"])), present, prefix=f"s{i}_"))
-        wide = states.agg(*aggs)
+            present = F.coalesce(F.map_contains_key(m, F.lit(c["field"])), F.lit(False))
+            inputs.extend(summary_inputs(F.element_at(m, F.lit(c["field"])), present, prefix=f"s{i}_"))
+            aggs.extend(summary_aggs(prefix=f"s{i}_"))
+        wide = states.select(*inputs).agg(*aggs)
         entries = []
         for i, c in enumerate(summ):
             for k in SUMMARY_KEYS:
