@@ -416,26 +416,88 @@ def infer_column_types(si_rows: DataFrame, survey: str, versions: VersionSelecto
     return {c: t for c, (_, t) in out.items()}
 
 
-def build_plan(raw: DataFrame, plan: Mapping) -> dict[str, DataFrame]:
+def load_spec(path: str) -> dict:
+    """A profile or plan file: YAML (when PyYAML is installed) or JSON."""
+    import json
+    import os
+    with open(path, encoding="utf-8") as fh:
+        text = fh.read()
+    if os.path.splitext(path)[1].lower() in (".yaml", ".yml"):
+        try:
+            import yaml
+        except ImportError as e:  # optional dependency
+            raise ImportError("reading a YAML profile needs PyYAML; use JSON instead") from e
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
+def _plan_entries(plan: Mapping) -> list[tuple[str, object]]:
+    """``surveys`` as a mapping ``{survey: config}`` (documented form) or a list of dicts."""
+    surveys = plan.get("surveys") or {}
+    if isinstance(surveys, Mapping):
+        return list(surveys.items())
+    out = []
+    for entry in surveys:
+        entry = dict(entry)
+        s = entry.pop("survey")
+        prof = entry.pop("profile", None)
+        out.append((s, (prof, entry)))
+    return out
+
+
+def resolve_profile(config, profiles: Mapping, base_dir: str = ".") -> dict:
+    """A plan entry -> profile dict: a dict, a profile name, ``'@file'`` (relative to
+    the plan) or None (defaults only)."""
+    import os
+    overrides = {}
+    if isinstance(config, tuple):
+        config, overrides = config
+    if config is None:
+        prof = {}
+    elif isinstance(config, str) and config.startswith("@"):
+        prof = load_spec(os.path.join(base_dir, config[1:]))
+    elif isinstance(config, str):
+        if config not in profiles:
+            raise KeyError(f"unknown profile {config!r}")
+        prof = profiles[config]
+    else:
+        prof = config
+    return {**prof, **overrides}
+
+
+def build_plan(raw: DataFrame, plan: Mapping, base_dir: str = ".") -> dict[str, DataFrame]:
     """Several surveys from one partitioned source.
 
-    ``plan = {'profiles': {name: profile}, 'surveys': [{'survey': s, 'profile':
-    name | dict, ...overrides}], 'only': [s, ...]}``.  Each survey is a
-    separate lazy job over its own partition of the raw store.
+    ``plan = {'profiles': {name: profile}, 'surveys': {survey: profile | name |
+    '@file' | None}, 'only': [...]}`` (a list of ``{'survey': s, 'profile':
+    ...}`` also works).  Each survey is a separate lazy job over its own
+    partition of the raw store; the shared ``defaults`` apply to every survey.
     """
-    profiles = plan.get("profiles", {})
-    shared = plan.get("defaults", {})
+    profiles = plan.get("profiles", {}) or {}
+    shared = plan.get("defaults", {}) or {}
     only = set(plan.get("only") or [])
     out = {}
-    for entry in plan.get("surveys", []):
-        s = entry["survey"]
+    for s, config in _plan_entries(plan):
         if only and s not in only:
             continue
-        prof = entry.get("profile", {})
-        if isinstance(prof, str):
-            if prof not in profiles:
-                raise KeyError(f"unknown profile {prof!r} for survey {s!r}")
-            prof = profiles[prof]
-        spec = {**shared, **prof, **{k: v for k, v in entry.items() if k not in ("survey", "profile")}}
+        spec = {**shared, **resolve_profile(config, profiles, base_dir)}
         out[s] = build_flat(raw, spec, survey=s, include_survey=True)
     return out
+
+
+def run_build_plan(spark, raw: DataFrame, plan: Mapping, target_dir: str, base_dir: str = ".") -> DataFrame:
+    """O45/O46 end to end: build every survey of the plan and write its flat table
+    (keyed on ``id`` with the profile's mode), then record the tables (O33).
+
+    Returns the registry entries ``(survey, table, type, rows_written)``.
+    """
+    from ..operators.store import FLAT_TABLE_PREFIX, write_keyed
+    profiles = plan.get("profiles", {}) or {}
+    shared = plan.get("defaults", {}) or {}
+    rows = []
+    for s, flat in build_plan(raw, plan, base_dir).items():
+        spec = {**shared, **resolve_profile(dict(_plan_entries(plan))[s], profiles, base_dir)}
+        table = spec.get("target_table", FLAT_TABLE_PREFIX + "{survey}").format(survey=s)
+        n = write_keyed(spark, f"{target_dir}/{table}", flat, ["id"], spec.get("mode", "ignore"), ())
+        rows.append((s, table, "flat", int(n)))
+    return spark.createDataFrame(rows, "survey string, table string, type string, rows_written long")

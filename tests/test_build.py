@@ -152,3 +152,26 @@ def test_stats_on_empty_states(spark):
     assert ST.flag_counts(empty).count() == 0
     r = ST.flag_summary(empty, "x").first()
     assert r["n"] == 0 and r["mean"] is None
+
+
+def test_plan_file_forms(spark, tmp_path):
+    import json as _json
+
+    from sondage.plans.build import load_spec, run_build_plan
+    raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Q1|0": "1"}), row("t", "b", 2, "1"),
+                                 row("u", "c", 3, "1")], RAW)
+    (tmp_path / "t.json").write_text(_json.dumps({"schema": {"t.main.Q9": "bool"}}))
+    (tmp_path / "plan.yaml").write_text(
+        "profiles:\n  std:\n    schema:\n      s.main.Q1|0: bool\n"
+        "surveys:\n  s: std\n  t: '@t.json'\n  u: ~\n")
+    plan = load_spec(str(tmp_path / "plan.yaml"))
+    got = {k: v.count() for k, v in build_plan(raw, plan, base_dir=str(tmp_path)).items()}
+    assert got == {"s": 1, "t": 1, "u": 1}
+    assert build_plan(raw, plan, base_dir=str(tmp_path))["s"].first()["Q1_0"] is True
+    reg = run_build_plan(spark, raw, plan, str(tmp_path / "out"), base_dir=str(tmp_path))
+    assert sorted((r["table"], r["rows_written"]) for r in reg.collect()) == \
+        [("pollster_results_s", 1), ("pollster_results_t", 1), ("pollster_results_u", 1)]
+    again = run_build_plan(spark, raw, plan, str(tmp_path / "out"), base_dir=str(tmp_path))
+    assert all(r["rows_written"] == 0 for r in again.collect())  # building twice adds nothing
+    with pytest.raises(KeyError):
+        build_plan(raw, {"surveys": {"s": "missing"}})
