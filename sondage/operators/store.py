@@ -78,16 +78,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] |
     order = order or [F.col(f"`{c}`") for c in rest]
     if mode != "auto":
         return _pick_per_key(df, keys, order, latest)
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).cache()
+    # Not cached: nothing is left pinned in memory by a long-running stream; when
+    # duplicates exist the key-only aggregate simply runs again for the broadcast.
+    dup = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
     n = dup.count()
     if n == 0:
-        dup.unpersist()
         return df
     if n <= DEDUPE_BROADCAST_MAX:
         b = F.broadcast(dup)
         fixed = _pick_per_key(df.join(b, keys, "left_semi"), keys, order, latest)
         return df.join(b, keys, "left_anti").unionByName(fixed.select(*df.columns))
-    dup.unpersist()
     return _pick_per_key(df, keys, order, latest)
 
 

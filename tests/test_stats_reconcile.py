@@ -131,3 +131,21 @@ def test_assigned_counts_nested_equals_long(spark):
     flat = sorted(map(tuple, ST.assigned_counts(states.drop("assignedSurveys"), "active", long).collect()))
     assert nested == flat == [("s1", "a", 1), ("s2", "b", 1)]
     assert sorted(map(tuple, ST.assigned_counts(states, "all").collect())) == [("s1", "a", 2), ("s2", "b", 1)]
+
+
+def test_daily_counts_resume_replaces_repeated_days(spark):
+    raw = spark.createDataFrame([("s", 0), ("s", 86400), ("s", 86400 + 5)], "survey string, submitted long")
+    first = ST.daily_counts(raw)
+    later = raw.unionByName(spark.createDataFrame([("s", 86400 + 9), ("s", 2 * 86400)], "survey string, submitted long"))
+    restart = "1970-01-02"
+    merged = ST.merge_daily(first, ST.daily_counts(later, since=restart), restart)
+    assert sorted((str(r["day"]), r["n"]) for r in merged.collect()) == \
+        [("1970-01-01", 1), ("1970-01-02", 3), ("1970-01-03", 1)]
+
+
+def test_restart_points(spark):
+    raw = spark.createDataFrame([("s", 86400 * 3 + 50), ("s", 86400 * 5 + 7), ("t", 10)], "survey string, submitted long")
+    assert dict(PD.restart_point(raw).collect()) == {"s": 86400 * 5, "t": 0}
+    cat = spark.createDataFrame([("s", 0, 7 * 86400), ("s", 7 * 86400, 14 * 86400)], "survey string, start long, end long")
+    assert dict(PD.catalog_restart(cat, now=8 * 86400).collect()) == {"s": 7 * 86400}
+    assert dict(PD.catalog_restart(cat, now=30 * 86400).collect()) == {"s": 7 * 86400}
