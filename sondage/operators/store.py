@@ -334,6 +334,32 @@ def export_responses(df: DataFrame, path: str, fmt: str = "csv",
         raise ValueError(f"unknown export format {fmt!r}")
 
 
+def export_with_catalog(spark: SparkSession, df: DataFrame, path: str, anchor: int, fmt: str = "csv",
+                        layout: str = "wide", ids: Sequence[str] = ("id",), time_col: str = "submitted",
+                        period_days: int = 7) -> DataFrame:
+    """O09 + O39: export responses one folder per survey and period, and return the catalog.
+
+    ``layout='long'`` writes one row per id x column (O10).  The catalog has a
+    row per non-empty period ``(survey, start, end, n, path, updated)``; only
+    the periods present in ``df`` are overwritten (dynamic partition overwrite).
+    """
+    from .periods import period_of
+    from .reshape import wide_to_long
+    rows = df.withColumn("period_start", period_of(F.col(time_col), anchor, period_days))
+    if layout == "long":
+        keep = [*ids, "survey", "period_start"]
+        rows = wide_to_long(rows, keep, [c for c in rows.columns if c not in keep])
+    elif layout != "wide":
+        raise ValueError(f"unknown layout {layout!r}")
+    export_responses(rows, path, fmt, ("survey", "period_start"))
+    step = period_days * 86400
+    cat = rows.groupBy("survey", "period_start").agg(F.count("*").alias("n"))
+    return cat.select("survey", F.col("period_start").alias("start"), (F.col("period_start") + step).alias("end"),
+                      "n", F.concat(F.lit(path + "/survey="), "survey", F.lit("/period_start="),
+                                    F.col("period_start").cast("string")).alias("path"),
+                      F.current_timestamp().alias("updated"))
+
+
 def read_export(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -> DataFrame:
     r = spark.read
     if schema:

@@ -164,3 +164,15 @@ def test_time_filter_prunes_day_partitions(spark, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "day" in plan.split("PartitionFilters")[1][:400]
     assert sorted(r["id"] for r in q.collect()) == ["r3", "r4", "r5"]
+
+
+def test_export_with_catalog_wide_and_long(spark, tmp_path):
+    df = spark.createDataFrame([("s", "a", 86400 * 2, "x"), ("s", "b", 86400 * 9, None), ("t", "c", 86400 * 2, "z")],
+                               "survey string, id string, submitted long, q string")
+    cat = SO.export_with_catalog(spark, df, str(tmp_path / "w"), anchor=0, fmt="json")
+    assert sorted((r["survey"], r["start"], r["n"]) for r in cat.collect()) == \
+        [("s", 0, 1), ("s", 7 * 86400, 1), ("t", 0, 1)]
+    back = SO.read_export(spark, str(tmp_path / "w"), "json")
+    assert back.count() == 3
+    long = SO.export_with_catalog(spark, df, str(tmp_path / "l"), anchor=0, fmt="json", layout="long")
+    assert sum(r["n"] for r in long.collect()) == 5  # submitted x3, q x2 (null q dropped)
