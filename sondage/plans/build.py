@@ -104,19 +104,22 @@ class SchemaCast(Processor):
 
     column_types: Mapping | Callable | None = None
 
+    inferred: Mapping | None = None  # {survey: {column: type}} from survey info
+
     def types_for(self, survey: str | None) -> Mapping[str, str]:
+        """Precedence: inferred from survey info < built-in (instants) < profile."""
         ct = self.column_types
-        if ct is None:
-            return {}
-        return ct(survey) if callable(ct) else ct
+        profile = {} if ct is None else (ct(survey) if callable(ct) else ct)
+        inferred = dict((self.inferred or {}).get(survey, {}))
+        inferred.update({c: "date" for c in ALWAYS_DATES})
+        inferred.update(profile)
+        return inferred
 
     def plan(self, cols: Plan, survey: str | None) -> Plan:
         types = self.types_for(survey)
         out = {}
         for name, spec in cols.items():
             t = types.get(name)
-            if name in ALWAYS_DATES and t is None:
-                t = "date"
             out[name] = spec.with_op(t) if t in ("bool", "json", "date") else spec
         return out
 
@@ -208,7 +211,7 @@ def parse_profile(spec: Mapping) -> BuildProfile:
     procs: list[Processor] = []
     if spec.get("processors_defaults", True):
         procs.append(SchemaCast("default_casting", "default_casting", None,
-                                column_types=spec.get("schema")))
+                                column_types=spec.get("schema"), inferred=spec.get("inferred_schema")))
         procs.append(Rename("default_renaming", "default_renaming", None, chain=default_chain(sep)))
     for p in spec.get("processors") or []:
         procs.append(p if isinstance(p, Processor) else parse_processor(p, sep))
@@ -395,25 +398,27 @@ def version_dispatch_table(members: Mapping[tuple, Sequence[str]], profile: Buil
     return rows
 
 
-def infer_column_types(si_rows: DataFrame, survey: str, versions: VersionSelector | None = None,
-                       column: str = "column") -> dict[str, str]:
-    """Schema inference from survey info: question type -> column type (ours).
+def infer_column_types(si_rows: DataFrame, surveys: Sequence[str] | None = None,
+                       versions: VersionSelector | None = None, column: str = "column") -> dict[str, dict]:
+    """Schema inference from survey info: ``{survey: {column: type}}``.
 
-    ``multiple -> bool``, ``date -> date``, ``unknown -> json``, others text.
-    One type per column: the latest version's type wins (conflicts are reported
-    by ``type_conflicts``).  Bounded by the survey definition.
+    Question type -> column type (``multiple -> bool``, ``date -> date``,
+    ``unknown -> json``, others text); one type per column, the latest
+    version's (ties: the largest type name).  Computed by Spark, then brought
+    to the driver: its size is the survey definitions.  Pass the result as the
+    profile's ``inferred_schema``.
     """
-    rows = si_rows.where(F.col("survey") == F.lit(survey)).select("version", column, "questionType") \
-        .distinct().collect()
-    out: dict[str, tuple] = {}
-    for r in rows:
-        if versions is not None and not versions.is_empty and not versions.matches(r["version"]):
-            continue
-        t = QUESTION_TYPE_MAP.get(r["questionType"], "text")
-        vkey = padded(parse_version(r["version"]))
-        if r[column] not in out or out[r[column]][0] < vkey:
-            out[r[column]] = (vkey, t)
-    return {c: t for c, (_, t) in out.items()}
+    from ..operators.reconcile import latest_type, schema_rows_from_info
+    rows = si_rows
+    if surveys is not None:
+        rows = rows.where(F.col("survey").isin(list(surveys)))
+    if versions is not None and not versions.is_empty:
+        rows = rows.where(versions.column(F.col("version")))
+    types = latest_type(schema_rows_from_info(rows, column)).collect()
+    out: dict[str, dict] = {}
+    for r in types:
+        out.setdefault(r["survey"], {})[r["column"]] = r["type"]
+    return out
 
 
 def load_spec(path: str) -> dict:

@@ -324,6 +324,8 @@ SELECT coalesce(prev.survey, nw.survey) AS survey, coalesce(prev."column", nw."c
   CASE WHEN prev.type IS NULL THEN 'new' WHEN nw.type IS NULL OR prev.type = nw.type THEN 'kept' ELSE 'conflict' END AS status
 FROM prev FULL OUTER JOIN nw ON prev.survey = nw.survey AND prev."column" = nw."column\""""
 
+ORACLE["infer_schema"] = f"""WITH {SI} {LATEST.format(w='TRUE')}"""
+
 ORACLE["type_conflicts"] = f"""WITH {SI}
 SELECT survey, "column", CAST(count(DISTINCT type) AS BIGINT) AS n_types,
   string_agg(DISTINCT type, ',' ORDER BY type) AS types

@@ -480,6 +480,12 @@ def schema_merge(spark, sf):
     return RC.schema_merge(prev, new)
 
 
+@query
+def infer_schema(spark, sf):
+    """Schema inference from survey info (latest version's question type per column)."""
+    return RC.latest_type(_schema_rows(spark, sf))
+
+
 @query
 def type_conflicts(spark, sf):
     return RC.type_conflicts(_schema_rows(spark, sf))

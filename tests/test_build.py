@@ -175,3 +175,16 @@ def test_plan_file_forms(spark, tmp_path):
     assert all(r["rows_written"] == 0 for r in again.collect())  # building twice adds nothing
     with pytest.raises(KeyError):
         build_plan(raw, {"surveys": {"s": "missing"}})
+
+
+def test_schema_inference_precedence(spark):
+    from sondage.plans.build import infer_column_types
+    si = spark.createDataFrame([("s", "1-0-0", "s.main.Q1", "multiple", 1), ("s", "2-0-0", "s.main.Q1", "single", 2),
+                                ("s", "1-0-0", "s.main.Q2", "multiple", 1), ("s", "1-0-0", "s.main.Q3", "unknown", 1)],
+                               "survey string, version string, column string, questionType string, published long")
+    inferred = infer_column_types(si)
+    assert inferred == {"s": {"s.main.Q1": "text", "s.main.Q2": "bool", "s.main.Q3": "json"}}
+    raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Q1": "1", "s.main.Q2": "0", "s.main.Q3": "x"})], RAW)
+    out = build_flat(raw, {"inferred_schema": inferred, "schema": {"s.main.Q1": "bool"}}).first()
+    # profile overrides the inferred text type; inferred bool applies; json of a non-object is null
+    assert out["Q1"] is True and out["Q2"] is False and out["Q3"] is None
