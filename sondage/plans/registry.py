@@ -19,7 +19,7 @@ from ..functions import cast as C
 from ..functions import rename as RN
 from ..functions import text as TX
 from ..functions.select import project_fields, select_columns
-from ..functions.versions import parse_selector, version_array
+from ..functions.versions import version_array
 from ..operators import migrate as MG
 from ..operators import periods as PD
 from ..operators import reconcile as RC
@@ -31,7 +31,7 @@ from ..sources import fixtures as fx
 from ..sources import raw as RW
 from ..streaming import stream as SM
 from . import oracle as O
-from .build import Rename, build_flat, build_plan, parse_profile
+from .build import build_flat, build_plan, parse_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

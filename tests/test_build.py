@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from sondage.functions.rename import DuplicateColumnError
 from sondage.plans.build import (TypeConflictError, build_flat, build_plan, dedupe_raw, discover_members,

@@ -3,7 +3,6 @@
 import json
 import re
 
-from pyspark.sql import functions as F
 
 from sondage.operators import store as SO
 from sondage.plans.build import build_flat

@@ -2,7 +2,6 @@
 plus the streaming = batch invariant."""
 
 import math
-import os
 
 import duckdb
 import pandas as pd

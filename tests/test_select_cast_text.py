@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sondage.functions import cast as C
