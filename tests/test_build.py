@@ -187,3 +187,17 @@ def test_schema_inference_precedence(spark):
     out = build_flat(raw, {"inferred_schema": inferred, "schema": {"s.main.Q1": "bool"}}).first()
     # profile overrides the inferred text type; inferred bool applies; json of a non-object is null
     assert out["Q1"] is True and out["Q2"] is False and out["Q3"] is None
+
+
+def test_dedupe_ties_are_deterministic(spark):
+    rows = [row("s", "a", 5, "1", **{"s.main.Q2": v}) for v in ["zz", "aa", "mm"]]
+    for order in (rows, list(reversed(rows))):
+        raw = spark.createDataFrame(order, RAW)
+        assert [r["Q2"] for r in build_flat(raw, profile()).collect()] == ["aa"]
+
+
+def test_wide_long_wide_identity(spark):
+    from sondage.operators.reshape import long_to_wide, wide_to_long
+    wide = spark.createDataFrame([("a", "1", None, "x"), ("b", None, "2", "y")], "id string, p string, q string, r string")
+    back = long_to_wide(wide_to_long(wide, ["id"]), ["id"], keys=["p", "q", "r"])
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, wide.collect()))

@@ -74,3 +74,21 @@ def test_header_rename_is_case_sensitive(spark):
     df = spark.createDataFrame([(1, 2)], "Q1_0 int, q2_lk_1 int")
     out = header_rename(df, [(r"^Q(\d+)_", r"q\1_"), ("_lk_", "_likert_")])
     assert out.columns == ["q1_0", "q2_likert_1"]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_part = st.sampled_from(["intake", "main", "weekly", "EX", "Q1", "Q10", "q2", "mat.row1.col2", "likert_3",
+                         "LIKERT_12", "mat.row10.col2", "0", "open", "x$y", "a_b"])
+_key = st.builds(lambda q, r, sep: ".".join(q) + (sep + "|".join(r) if r else ""),
+                 st.lists(_part, min_size=1, max_size=3), st.lists(_part, max_size=2), st.just("|"))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(_key, min_size=1, max_size=15, unique=True))
+def test_column_form_equals_driver_form_property(spark, names):
+    df = spark.createDataFrame([(n,) for n in names], "source string")
+    chain = default_chain(SEP)
+    got = dict(df.select("source", chain.column(F.col("source")).alias("t")).collect())
+    assert got == {n: chain.target(n) for n in names}
