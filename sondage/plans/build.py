@@ -316,9 +316,21 @@ def payload_struct(keys: Sequence[str]) -> T.StructType:
                         + [T.StructField(BAD_FIELD, T.StringType())])
 
 
+def positional_name(i: int) -> str:
+    return f"k{i}"
+
+
 def decode_struct(data: Column, keys: Sequence[str]) -> Column:
-    """Parse the payload into a struct of just ``keys`` (text; nested objects stay JSON text)."""
-    return F.from_json(data.cast("string"), payload_struct(keys), {"columnNameOfCorruptRecord": BAD_FIELD})
+    """Parse the payload into a struct of just ``keys`` (text; nested objects stay JSON text).
+
+    The parser matches keys exactly; the struct is then cast to positional
+    field names (``k0..kN``, the corrupt-record flag last), so keys that differ
+    only in case never make a field reference ambiguous.
+    """
+    parsed = F.from_json(data.cast("string"), payload_struct(keys), {"columnNameOfCorruptRecord": BAD_FIELD})
+    positional = T.StructType([T.StructField(positional_name(i), T.StringType()) for i in range(len(keys))]
+                              + [T.StructField(BAD_FIELD, T.StringType())])
+    return parsed.cast(positional)
 
 
 def payload_ok(p: Column) -> Column:
@@ -368,7 +380,9 @@ def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | No
     dec = evaluate_once(df.select(*carried, "data"),
                         _p=decode_struct(F.col("data"), keys)).where(payload_ok(F.col("_p")))
     s_col = F.col("survey") if has_survey else F.lit(None).cast("string")
-    exprs = compile_projection(plans, lambda k: F.col("_p").getField(k), s_col, F.col("version"), prof.on_error)
+    index = {k: i for i, k in enumerate(keys)}
+    exprs = compile_projection(plans, lambda k: F.col("_p").getField(positional_name(index[k])), s_col,
+                               F.col("version"), prof.on_error)
     # JSON-typed columns parse text again (no code generation for JSON): they are
     # computed in their own one-row generator so the final projection stays in
     # whole-stage codegen.

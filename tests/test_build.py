@@ -201,3 +201,11 @@ def test_wide_long_wide_identity(spark):
     wide = spark.createDataFrame([("a", "1", None, "x"), ("b", None, "2", "y")], "id string, p string, q string, r string")
     back = long_to_wide(wide_to_long(wide, ["id"]), ["id"], keys=["p", "q", "r"])
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, wide.collect()))
+
+
+def test_keys_differing_only_in_case(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Q1": "x", "s.main.q1|1": "y"}),
+                                 row("s", "b", 1, "1", **{"s.main.q1": "z"})], RAW)
+    rule = {"name": "rename", "rules": [{"fixed": {"s.main.q1": "s.main.Q1b"}}]}
+    out = {r["id"]: (r["Q1"], r["q1_1"], r["Q1b"]) for r in build_flat(raw, profile(processors=[rule])).collect()}
+    assert out == {"a": ("x", "y", None), "b": (None, None, "z")}
