@@ -173,6 +173,7 @@ class BuildProfile:
     dedupe: bool | str = "auto"
     on_error: str = "error"
     keys: Mapping | None = None  # {(survey, version): [keys]} when the schema is known
+    compressor: str | None = None  # payload codec of the raw store (None/'none' or 'zlib')
 
     def chain_for(self, version: str) -> list:
         return [p for p in self.processors if p.applies_to(version)]
@@ -226,6 +227,7 @@ def parse_profile(spec: Mapping) -> BuildProfile:
         dedupe=spec.get("dedupe", "auto"),
         on_error=spec.get("on_error", "error"),
         keys=spec.get("keys"),
+        compressor=spec.get("compressor"),
     )
 
 
@@ -370,6 +372,9 @@ def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | No
     """
     prof = profile if isinstance(profile, BuildProfile) else parse_profile(profile)
     df = prepare_raw(raw, prof, survey)
+    if prof.compressor not in (None, "none") or isinstance(df.schema["data"].dataType, T.BinaryType):
+        from ..sources.raw import decompress
+        df = df.withColumn("data", decompress("data", prof.compressor or "none"))
     has_survey = "survey" in df.columns
     df = dedupe_raw(df, ["survey", "id"] if has_survey else ["id"], prof.dedupe)
     members = prof.keys if prof.keys is not None else discover_members(df)

@@ -209,3 +209,12 @@ def test_keys_differing_only_in_case(spark):
     rule = {"name": "rename", "rules": [{"fixed": {"s.main.q1": "s.main.Q1b"}}]}
     out = {r["id"]: (r["Q1"], r["q1_1"], r["Q1b"]) for r in build_flat(raw, profile(processors=[rule])).collect()}
     assert out == {"a": ("x", "y", None), "b": (None, None, "z")}
+
+
+def test_zlib_compressed_raw_store(spark):
+    import zlib
+    plain = [row("s", "a", 1, "1", **{"s.main.Q1|0": "1"}), row("s", "b", 2, "1", **{"s.main.Q1|0": "0"})]
+    packed = [(s_, i, t, v, bytearray(zlib.compress(d.encode()))) for s_, i, t, v, d in plain]
+    raw = spark.createDataFrame(packed, "survey string, id string, submitted long, version string, data binary")
+    out = {r["id"]: r["Q1_0"] for r in build_flat(raw, profile(compressor="zlib")).collect()}
+    assert out == {"a": True, "b": False}
