@@ -500,11 +500,20 @@ def build_plan(raw: DataFrame, plan: Mapping, base_dir: str = ".") -> dict[str,
     profiles = plan.get("profiles", {}) or {}
     shared = plan.get("defaults", {}) or {}
     only = set(plan.get("only") or [])
+    entries = [(s, {**shared, **resolve_profile(c, profiles, base_dir)}) for s, c in _plan_entries(plan)
+               if not only or s in only]
+    # One key-discovery job for every survey that needs it, instead of one per survey.  Only
+    # profiles without time bounds share it (their keys must come from the rows they build);
+    # the shared keys are narrowed to each profile's versions.
+    need = [s for s, spec in entries if spec.get("keys") is None and not spec.get("compressor")
+            and spec.get("start_time") is None and spec.get("end_time") is None]
+    members = discover_members(raw.where(F.col("survey").isin(need))) if need else {}
     out = {}
-    for s, config in _plan_entries(plan):
-        if only and s not in only:
-            continue
-        spec = {**shared, **resolve_profile(config, profiles, base_dir)}
+    for s, spec in entries:
+        if s in need:
+            sel = parse_selector(spec.get("versions"))
+            spec = {**spec, "keys": {m: k for m, k in members.items()
+                                     if m[0] == s and (sel.is_empty or sel.matches(m[1]))}}
         out[s] = build_flat(raw, spec, survey=s, include_survey=True)
     return out
 

@@ -218,3 +218,11 @@ def test_zlib_compressed_raw_store(spark):
     raw = spark.createDataFrame(packed, "survey string, id string, submitted long, version string, data binary")
     out = {r["id"]: r["Q1_0"] for r in build_flat(raw, profile(compressor="zlib")).collect()}
     assert out == {"a": True, "b": False}
+
+
+def test_plan_shared_discovery_respects_versions(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Old": "x"}), row("s", "b", 1, "2", **{"s.main.New": "y"})],
+                                RAW)
+    plan = {"surveys": {"s": {"versions": "2"}}}
+    out = build_plan(raw, plan)["s"]
+    assert "New" in out.columns and "Old" not in out.columns and out.count() == 1
