@@ -202,6 +202,7 @@ def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
     type changes is an error.  Returns the number of rows written.
     """
     keys, parts = list(keys), list(partition_by)
+    checkpoint_dir(spark)  # checkpoints below go to the shared folder the session names
     target = read_keyed(spark, path)
 
     def w(df: DataFrame):
