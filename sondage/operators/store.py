@@ -159,25 +159,28 @@ def publish(spark: SparkSession, df: DataFrame, table: str, partition_by: Sequen
 def current(spark: SparkSession, table: str) -> DataFrame | None:
     """The latest published snapshot of ``table`` (None before the first)."""
     base = f"{checkpoint_dir(spark)}/tables/{table}/_pointers"
-    try:
-        row = spark.read.schema("stamp string, path string").json(base) \
-            .agg(F.max_by("path", "stamp").alias("path")).first()
-    except Exception:  # noqa: BLE001 — no snapshot yet
+    if not path_exists(spark, base):
         return None
+    row = spark.read.schema("stamp string, path string").json(base) \
+        .agg(F.max_by("path", "stamp").alias("path")).first()
     return None if row is None or row["path"] is None else spark.read.parquet(row["path"])
 
 
 # --- keyed partitioned tables -----------------------------------------------------------------
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, through the Hadoop FileSystem of the path (HDFS, S3, local)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
-    """A keyed Parquet table (files of several schema generations are merged)."""
-    try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    except Exception as e:  # noqa: BLE001 — AnalysisException: path does not exist yet
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    """A keyed Parquet table (files of several schema generations are merged); None before the first write."""
+    if not path_exists(spark, path):
+        return None
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
 def _check_types(target: DataFrame, batch: DataFrame) -> None:
