@@ -70,9 +70,45 @@ def load_key_catalog(spark: SparkSession, path: str) -> dict[tuple, list[str]]:
     return {(r["survey"], r["version"]): sorted(r["keys"]) for r in rows}
 
 
+def ensure_meta(spark: SparkSession, meta_path: str, key_separator: str = "|", compressor: str = "none") -> None:
+    """The store's separator and codec are fixed by its first load; a later load
+    with other values is an error.  The meta is a one-row table written once."""
+    current = read_keyed(spark, meta_path)
+    mine = spark.createDataFrame([(key_separator, compressor)], "key_separator string, compressor string")
+    if current is None:
+        mine.coalesce(1).write.mode("errorifexists").parquet(meta_path)
+        return
+    row = current.first()
+    if (row["key_separator"], row["compressor"]) != (key_separator, compressor):
+        raise ValueError(f"store was created with separator {row['key_separator']!r} and codec "
+                         f"{row['compressor']!r}, not {key_separator!r} / {compressor!r}")
+
+
+def ingest_batch(spark: SparkSession, rows: DataFrame, store: str, key_catalog: str | None = None,
+                 import_log_path: str | None = None, partition_by=("survey", "day"), load_time=None) -> int:
+    """O47 (batch form) + O50: one load of raw rows into the keyed raw store.
+
+    New ``(survey, id)`` are appended (a repeated load adds nothing), the key
+    catalog gets the load's keys, and the import log one row per survey with
+    the load's time range.  Returns the number of rows added.
+    """
+    from ..operators.store import import_log
+    order = [F.col("version"), F.col("submitted"), F.col("data")]
+    data = rows.withColumn("day", day_of(F.col("submitted"))) if "day" in partition_by else rows
+    added = write_keyed(spark, store, data, ["survey", "id"], "ignore", tuple(partition_by), order)
+    if key_catalog:
+        write_keyed(spark, key_catalog, batch_keys(rows), ["survey", "version", "key"], "ignore", ("survey",))
+    if import_log_path:
+        t = F.current_timestamp() if load_time is None else F.lit(load_time)
+        import_log(rows, load_time=t).write.mode("append").parquet(import_log_path)
+    return added
+
+
 def ingest_stream(spark: SparkSession, source_dir: str, store: str, fmt: str = "json",
                   available_now: bool = True, max_files_per_trigger: int | None = None,
-                  key_catalog: str | None = None, partition_by=("survey", "day")):
+                  key_catalog: str | None = None, partition_by=("survey", "day"),
+                  import_log_path: str | None = None, meta_path: str | None = None,
+                  key_separator: str = "|"):
     """Landed response files -> raw store (``ignore`` on ``(survey, id)``).
 
     The store is partitioned by survey and submission day, so each micro-batch
@@ -84,15 +120,13 @@ def ingest_stream(spark: SparkSession, source_dir: str, store: str, fmt: str = "
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.load(source_dir)
-    order = [F.col("version"), F.col("submitted"), F.col("data")]
+    if meta_path:
+        ensure_meta(spark, meta_path, key_separator)
 
     def merge(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
-        rows = batch.withColumn("day", day_of(F.col("submitted"))) if "day" in partition_by else batch
-        write_keyed(spark, store, rows, ["survey", "id"], "ignore", tuple(partition_by), order)
-        if key_catalog:
-            write_keyed(spark, key_catalog, batch_keys(batch), ["survey", "version", "key"], "ignore", ("survey",))
+        ingest_batch(spark, batch, store, key_catalog, import_log_path, partition_by)
 
     return _run(src.writeStream.foreachBatch(merge).option("checkpointLocation", _ckpt(spark, "ingest")),
                 available_now)

@@ -94,3 +94,21 @@ def test_stream_ingest_replay_adds_nothing(spark, tmp_path):
     first = spark.read.parquet(store).count()
     SM.ingest_stream(spark, src, store)  # a fresh checkpoint re-reads every file
     assert spark.read.parquet(store).count() == first == fx.raw_responses(spark, SF_SMALL).count()
+
+
+def test_batch_ingest_log_and_meta(spark, tmp_path):
+    import pytest as _pytest
+
+    from sondage.sources import fixtures as fx
+    from sondage.streaming import stream as SM
+    rows = fx.raw_responses(spark, SF_SMALL, "R_dup")
+    store, log, meta = str(tmp_path / "store"), str(tmp_path / "log"), str(tmp_path / "meta")
+    SM.ensure_meta(spark, meta, "|")
+    added = SM.ingest_batch(spark, rows, store, import_log_path=log)
+    assert added == fx.raw_responses(spark, SF_SMALL).count()
+    assert SM.ingest_batch(spark, rows, store, import_log_path=log) == 0
+    entries = spark.read.parquet(log)
+    assert entries.count() == 2 * rows.select("survey").distinct().count()
+    SM.ensure_meta(spark, meta, "|")
+    with _pytest.raises(ValueError):
+        SM.ensure_meta(spark, meta, ";")
