@@ -83,8 +83,49 @@ def _payload(survey: Column, rid: Column, pid: Column, version: Column, submitte
         F.lit("}"))
 
 
+RAW_COLUMNS = ["survey", "id", "submitted", "version", "data"]
+
+
+def _fingerprint(spark: SparkSession, path: str) -> str:
+    """Size and modification time of a file, through its Hadoop FileSystem."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    return f"{st.getLen()}-{st.getModificationTime()}"
+
+
+def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R written once as a Parquet raw store in the shared checkpoint folder.
+
+    A real deployment keeps its raw responses in such a store; queries then read
+    Parquet (partition pruning on ``survey``, row-group statistics on
+    ``submitted``) instead of generating JSON from ``events`` each time.  The
+    store is keyed by the events file's size and modification time, written to a
+    private folder, then published by an atomic rename; a concurrent writer that
+    loses the rename simply reads the winner's copy.
+    """
+    import uuid
+
+    from ..session import checkpoint_dir
+    base = checkpoint_dir(spark).rstrip("/")
+    tag = _fingerprint(spark, f"{sf_dir}/events.parquet")
+    name = sf_dir.rstrip("/").replace("/", "_").strip("_")
+    final = f"{base}/fixtures/raw-{name}-{tag}"
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path(final)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        tmp = f"{base}/fixtures/.tmp-{uuid.uuid4().hex}"
+        (raw_responses(spark, sf_dir, "R", stored=False).sortWithinPartitions("survey", "submitted")
+         .write.partitionBy("survey").parquet(tmp))
+        fs.mkdirs(fs_path.getParent())
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), fs_path):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)  # another writer published first
+    return spark.read.parquet(final).select(*RAW_COLUMNS)
+
+
 def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
-                  separator: str = DEFAULT_SEPARATOR) -> DataFrame:
+                  separator: str = DEFAULT_SEPARATOR, stored: bool = True) -> DataFrame:
     """R: ``raw(survey, id, submitted, version, data)`` from ``events``.
 
     Variants: ``R_bad`` (10-character payload where ``event_id % 97 = 0``),
@@ -93,6 +134,16 @@ def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
     with Q2 changed): together they cover the whole table and overlap on the
     re-fetched days.
     """
+    if stored and separator == DEFAULT_SEPARATOR and variant != "R_batch":
+        r = raw_store(spark, sf_dir)
+        eid = F.substring("id", 2, 20).cast("bigint")
+        if variant == "R_base":
+            return r.where(F.col("submitted") < F.lit(BASE_UNTIL))
+        if variant == "R_bad":
+            return r.withColumn("data", F.when(eid % 97 == 0, F.substring("data", 1, 10)).otherwise(F.col("data")))
+        if variant == "R_dup":
+            return r.unionByName(r.where(eid % 5 == 0))
+        return r
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     if variant == "R_base":
         ev = ev.where(F.col("ts") < F.timestamp_seconds(F.lit(BASE_UNTIL)).cast("timestamp_ntz"))
