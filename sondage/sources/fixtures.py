@@ -94,7 +94,7 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
     return f"{st.getLen()}-{st.getModificationTime()}"
 
 
-def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_store(spark: SparkSession, sf_dir: str, variant: str = "R") -> DataFrame:
     """R written once as a Parquet raw store in the shared checkpoint folder.
 
     A real deployment keeps its raw responses in such a store; queries then read
@@ -110,13 +110,13 @@ def raw_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = checkpoint_dir(spark).rstrip("/")
     tag = _fingerprint(spark, f"{sf_dir}/events.parquet")
     name = sf_dir.rstrip("/").replace("/", "_").strip("_")
-    final = f"{base}/fixtures/raw-{name}-{tag}"
+    final = f"{base}/fixtures/{variant}-{name}-{tag}"
     jvm = spark.sparkContext._jvm
     fs_path = jvm.org.apache.hadoop.fs.Path(final)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
         tmp = f"{base}/fixtures/.tmp-{uuid.uuid4().hex}"
-        (raw_responses(spark, sf_dir, "R", stored=False).sortWithinPartitions("survey", "submitted")
+        (raw_responses(spark, sf_dir, variant, stored=False).sortWithinPartitions("survey", "submitted")
          .write.partitionBy("survey").parquet(tmp))
         fs.mkdirs(fs_path.getParent())
         if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), fs_path):
@@ -134,7 +134,9 @@ def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
     with Q2 changed): together they cover the whole table and overlap on the
     re-fetched days.
     """
-    if stored and separator == DEFAULT_SEPARATOR and variant != "R_batch":
+    if stored and separator == DEFAULT_SEPARATOR and variant == "R_batch":
+        return raw_store(spark, sf_dir, "R_batch")  # its payloads differ: stored on their own
+    if stored and separator == DEFAULT_SEPARATOR:
         r = raw_store(spark, sf_dir)
         eid = F.substring("id", 2, 20).cast("bigint")
         if variant == "R_base":
