@@ -226,3 +226,10 @@ def test_plan_shared_discovery_respects_versions(spark):
     plan = {"surveys": {"s": {"versions": "2"}}}
     out = build_plan(raw, plan)["s"]
     assert "New" in out.columns and "Old" not in out.columns and out.count() == 1
+
+
+def test_rename_excluded_is_honoured(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Q1": "x", "s.main.Q2": "y"})], RAW)
+    rule = {"name": "rename", "rules": [{"regex": {r"main\.Q": "main.R"}}], "excluded": ["s.main.Q2"]}
+    out = build_flat(raw, profile(processors=[rule]))
+    assert "R1" in out.columns and "Q2" in out.columns and "Q1" not in out.columns
