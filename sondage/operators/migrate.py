@@ -31,9 +31,18 @@ def email_suffix_filter(users: DataFrame, suffixes: Sequence[str]) -> DataFrame:
     return users.where(~email_filtered(F.col("email"), suffixes))
 
 
-def skip_empty_profiles(users: DataFrame, enabled: bool = True) -> DataFrame:
-    """Drop users with no profile when enabled."""
-    return users.where(F.size("profiles") > 0) if enabled else users
+def skip_empty_profiles(users: DataFrame, enabled: bool = True, profiles: DataFrame | None = None,
+                        key: str = "user_key") -> DataFrame:
+    """Drop users with no profile when enabled.
+
+    With ``profiles`` in long form (one row per profile, keyed by ``key``) this is a
+    semi-join and no per-user arrays are built.
+    """
+    if not enabled:
+        return users
+    if profiles is not None:
+        return users.join(profiles.select(key), key, "left_semi")
+    return users.where(F.size("profiles") > 0)
 
 
 def main_profile_first(profiles: Column | str) -> Column:
@@ -68,6 +77,22 @@ def migration_records(users: DataFrame, suffixes: Sequence[str], skip_empty: boo
         reason.alias("reason"))
 
 
+def migration_status(users: DataFrame, profiles: DataFrame, suffixes: Sequence[str], skip_empty: bool,
+                     key: str = "user_key") -> DataFrame:
+    """O74 status without building records: ``(key, email, status, reason)``.
+
+    Emptiness comes from a left join to the distinct profile owners (long form),
+    so no per-user arrays are built.
+    """
+    owners = profiles.select(key).distinct().withColumn("_has", F.lit(True))
+    j = users.join(owners, key, "left")
+    filtered = email_filtered(F.col("email"), suffixes)
+    empty = F.lit(bool(skip_empty)) & F.col("_has").isNull()
+    reason = F.when(filtered, F.lit(REASON_EMAIL)).when(empty, F.lit(REASON_EMPTY))
+    return j.select(key, "email", F.when(reason.isNull(), F.lit(STATUS_CREATED)).otherwise(F.lit(STATUS_SKIPPED))
+                    .alias("status"), reason.alias("reason"))
+
+
 def migration_report(records: DataFrame) -> DataFrame:
-    """O74 report: users per (status, reason)."""
+    """O74 report: users per (status, reason) — from ``migration_records`` or ``migration_status``."""
     return records.groupBy("status", "reason").agg(F.count("*").alias("n"))

@@ -583,7 +583,9 @@ def email_suffix_filter(spark, sf):
 
 @query
 def skip_empty_profiles(spark, sf):
-    return MG.skip_empty_profiles(fx.old_users(spark, sf)).select("user_key")
+    # Long form: a semi-join to the profile owners, no per-user arrays.
+    users = fx.old_users(spark, sf).select("user_key", "email")
+    return MG.skip_empty_profiles(users, profiles=fx.user_profiles(spark, sf)).select("user_key")
 
 
 @query
@@ -599,7 +601,9 @@ def _records(spark, sf):
 
 @query
 def migration_report(spark, sf):
-    return MG.migration_report(_records(spark, sf))
+    users = fx.old_users(spark, sf).select("user_key", "email")
+    status = MG.migration_status(users, fx.user_profiles(spark, sf), [fx.SKIP_SUFFIX], True)
+    return MG.migration_report(status)
 
 
 @query

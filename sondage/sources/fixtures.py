@@ -294,6 +294,15 @@ def old_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         prof.alias("profiles"))
 
 
+def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U's profiles in long form: ``(user_key, gid, name, main)``, one per order; the users
+    whose profiles FIXTURES.md empties have none."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.where(F.col("o_custkey") % 11 != 0).select(
+        F.col("o_custkey").alias("user_key"), F.col("o_orderkey").cast("string").alias("gid"),
+        F.col("o_orderpriority").alias("name"), (F.col("o_orderstatus") == "O").alias("main"))
+
+
 def localized_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T: ``(n_nationkey, text)`` with ``text`` a localized-text array (en: nation+region, fr: nation)."""
     nation = table(spark, sf_dir, "nation")

@@ -149,3 +149,15 @@ def test_restart_points(spark):
     cat = spark.createDataFrame([("s", 0, 7 * 86400), ("s", 7 * 86400, 14 * 86400)], "survey string, start long, end long")
     assert dict(PD.catalog_restart(cat, now=8 * 86400).collect()) == {"s": 7 * 86400}
     assert dict(PD.catalog_restart(cat, now=30 * 86400).collect()) == {"s": 7 * 86400}
+
+
+def test_migration_long_form_matches_nested(spark):
+    users = spark.createDataFrame([
+        (1, "a@x.org", [("g1", "n1", False)]), (2, "b@skip.test", [("g3", "n3", True)]), (3, "c@x.org", [])],
+        "user_key int, email string, profiles array<struct<gid:string,name:string,main:boolean>>")
+    profiles = spark.createDataFrame([(1, "g1", "n1", False), (2, "g3", "n3", True)],
+                                     "user_key int, gid string, name string, main boolean")
+    nested = MG.migration_report(MG.migration_records(users, ["skip.test"], True, "en", []))
+    flat = MG.migration_report(MG.migration_status(users.drop("profiles"), profiles, ["skip.test"], True))
+    assert sorted(map(tuple, nested.collect())) == sorted(map(tuple, flat.collect()))
+    assert sorted(r["user_key"] for r in MG.skip_empty_profiles(users.drop("profiles"), profiles=profiles).collect()) == [1, 2]
