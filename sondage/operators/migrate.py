@@ -52,6 +52,14 @@ def main_profile_first(profiles: Column | str) -> Column:
                     F.filter(p, lambda x: ~F.coalesce(x.getField("main"), F.lit(False))))
 
 
+def main_profile_first_long(spark, profiles: DataFrame, key: str = "user_key", seq: str = "seq") -> DataFrame:
+    """O73 in long form: each profile's position, main profiles first, then the
+    original order (``seq``); no user's profiles are held by one task."""
+    from .store import rank_within_group
+    ordered = profiles.withColumn("_rest", (~F.coalesce(F.col("main"), F.lit(False))).cast("int"))
+    return rank_within_group(spark, ordered, key, ["_rest", seq], "pos").drop("_rest")
+
+
 def migration_records(users: DataFrame, suffixes: Sequence[str], skip_empty: bool,
                       preferred_language: str, study_keys: Sequence[str], use_2fa: bool = False) -> DataFrame:
     """One target record per user and its status.

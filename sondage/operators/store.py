@@ -261,6 +261,29 @@ def dense_index(spark: SparkSession, df: DataFrame, order_col: str, start: int =
             .withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_p", "_off"))
 
 
+def rank_within_group(spark: SparkSession, df: DataFrame, group: str, order: Sequence[str], name: str = "pos",
+                      start: int = 0) -> DataFrame:
+    """Position of each row inside its group, in ``order``, with no group held by one task.
+
+    Rows are range-partitioned on ``(group, *order)``, so a hot group spans
+    several partitions, and checkpointed so every pass sees the same
+    partitions.  Rows per (partition, group) are counted, and each pair's
+    offset is the sum over the earlier partitions of that group; the offsets
+    table has one row per (partition, group).  Each row then adds its local
+    number inside its (partition, group), which is bounded by one partition.
+    """
+    checkpoint_dir(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [group, *order]
+    ranged = df.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy("_p", group).agg(F.count("*").alias("_n"))
+    offsets = counts.select("_p", group, (F.sum("_n").over(Window.partitionBy(group).orderBy("_p"))
+                                          - F.col("_n")).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_p", group).orderBy(*order))
+    return (ranged.join(offsets, ["_p", group])
+            .withColumn(name, (F.col("_off") + local - 1 + start).cast("int")).drop("_p", "_off"))
+
+
 # --- participant dimension ----------------------------------------------------------------------
 
 

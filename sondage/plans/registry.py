@@ -590,9 +590,9 @@ def skip_empty_profiles(spark, sf):
 
 @query
 def main_profile_first(spark, sf):
-    u = fx.old_users(spark, sf)
-    e = u.select("user_key", F.posexplode(MG.main_profile_first("profiles")).alias("pos", "p"))
-    return e.select("user_key", "pos", F.col("p.gid").alias("gid"), F.col("p.main").alias("main"))
+    # Long form: positions within each user without a per-user array or a per-user task.
+    ranked = MG.main_profile_first_long(spark, fx.user_profiles(spark, sf))
+    return ranked.select("user_key", "pos", "gid", "main")
 
 
 def _records(spark, sf):

@@ -300,7 +300,8 @@ def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.where(F.col("o_custkey") % 11 != 0).select(
         F.col("o_custkey").alias("user_key"), F.col("o_orderkey").cast("string").alias("gid"),
-        F.col("o_orderpriority").alias("name"), (F.col("o_orderstatus") == "O").alias("main"))
+        F.col("o_orderpriority").alias("name"), (F.col("o_orderstatus") == "O").alias("main"),
+        F.col("o_orderkey").alias("seq"))  # the profile's place in the user's original list
 
 
 def localized_nations(spark: SparkSession, sf_dir: str) -> DataFrame:

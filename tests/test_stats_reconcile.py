@@ -161,3 +161,18 @@ def test_migration_long_form_matches_nested(spark):
     flat = MG.migration_report(MG.migration_status(users.drop("profiles"), profiles, ["skip.test"], True))
     assert sorted(map(tuple, nested.collect())) == sorted(map(tuple, flat.collect()))
     assert sorted(r["user_key"] for r in MG.skip_empty_profiles(users.drop("profiles"), profiles=profiles).collect()) == [1, 2]
+
+
+def test_rank_within_group_spreads_a_hot_group(spark):
+    from sondage.operators import store as SO
+    rows = [("hot", i) for i in range(300)] + [("cold", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    out = SO.rank_within_group(spark, df, "g", ["v"]).collect()
+    assert sorted((r["g"], r["v"], r["pos"]) for r in out) == sorted((g, v, v) for g, v in rows)
+
+
+def test_main_profile_first_long_matches_nested(spark):
+    profiles = spark.createDataFrame([(1, "g1", "n", False, 1), (1, "g2", "n", True, 2), (1, "g3", "n", True, 3),
+                                      (2, "g4", "n", None, 1)], "user_key int, gid string, name string, main boolean, seq int")
+    got = sorted((r["user_key"], r["pos"], r["gid"]) for r in MG.main_profile_first_long(spark, profiles).collect())
+    assert got == [(1, 0, "g2"), (1, 1, "g3"), (1, 2, "g1"), (2, 0, "g4")]
