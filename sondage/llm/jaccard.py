@@ -47,6 +47,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sondage.llm.base import cut, pick, shuffle_width, texts_by_bytes
 from sondage.llm.components import components
@@ -58,6 +59,8 @@ SMALL = 128
 #: Bytes of a feature in the sets sent to be compared.
 FEATURE_BYTES = 6
 MAX_STARS = 6
+#: Documents to go that are broadcast at most (some 40 MB).
+BROADCAST_ROWS = 400_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -129,16 +132,16 @@ def _key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _members(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, key``: which word sequence each document has."""
-    rows = pick(df, doc_id=id_col, _text=text_col)
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``key``, its word sequence, for ``_text``."""
+    passed = [c for c in rows.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in texts_by_bytes(b, "_text"):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array([_key(words_of(t)) for t in texts], pa.binary())], ["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, len(texts)) for c in passed], pa.array([_key(words_of(t)) for t in texts], pa.binary())], [*passed, "key"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, key binary")
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in passed] + [T.StructField("key", T.BinaryType())]))
 
 
 def _texts(df: DataFrame, text_col: str, blocks: int) -> DataFrame:
@@ -306,8 +309,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 # --- 4. result -----------------------------------------------------------------------
 
 
-def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``."""
+def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key`` of each document, and ``key, n_shingles, component_id`` of each word sequence."""
     bands = Bands(percent)
     total = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     blocks = max(1, total // BLOCK_BYTES)
@@ -315,18 +318,36 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _texts(df, text_col, blocks)
     sets = cut(_choose(texts, _counts(texts, k, bands, buckets), k, bands, buckets), "sets")
     labels = components(_links(sets, percent))
-    members = cut(_members(df, id_col, text_col), "members")
+    members = cut(_keyed(pick(df, doc_id=id_col, _text=text_col)), "members")
     classes = (members.groupBy("key").agg(F.min("doc_id").alias("first"))
                .join(sets.select("key", "size"), "key", "left")
                .join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
     smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = classes.join(smallest, "label").select("key", F.coalesce("size", F.lit(0).cast("long")).alias("n_shingles"), "component_id")
-    rows = members.join(known, "key")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return members, classes.join(smallest, "label").select("key", F.coalesce("size", F.lit(0).cast("long")).alias("n_shingles"), "component_id")
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id``."""
+    members, classes = _classes(df, id_col, text_col, k, percent)
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return members.join(classes, "key").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows left when of each component the document with the smallest id stays, with all their columns."""
-    found = similar_documents(df, id_col, text_col, k, percent)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return df.join(stay, df[id_col].eqNullSafe(stay["_stays"]), "left_semi")
+    """Of each component the document with the smallest id, with all its columns; of repeated rows, one.
+
+    The documents to go are joined by id and word sequence: as a broadcast
+    while they are few, by a shuffle beyond ``BROADCAST_ROWS``.
+    """
+    members, classes = _classes(df, id_col, text_col, k, percent)
+    found = members.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(classes.filter("n_shingles > 0"), "key")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    marked = cut(found.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), stays.alias("_stays")), "marked")
+    n = marked.count()
+    rows = _keyed(df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[id_col].alias("doc_id"), df[text_col].alias("_text")))
+    same = rows["doc_id"].eqNullSafe(marked["_id"]) & (rows["key"] == marked["_key"])
+    out = rows.join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, same, "left")
+    once = out.filter("_stays is null").select("_row.*")
+    if marked.filter("_stays").isEmpty():
+        return once
+    return once.unionByName(out.filter("_stays").dropDuplicates(["doc_id", "key"]).select("_row.*"))
