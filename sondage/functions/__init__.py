@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Entries of a schema (keys, columns) that may reach the driver; more is an error, as that is no schema.
+MAX_SCHEMA_ENTRIES = 1_000_000
+
+
+class SchemaSizeError(ValueError):
+    pass
+
+
+def schema_rows(rows: DataFrame, what: str = "schema") -> list:
+    """Schema-sized rows at the driver, checked against the declared limit."""
+    got = rows.limit(MAX_SCHEMA_ENTRIES + 1).collect()
+    if len(got) > MAX_SCHEMA_ENTRIES:
+        raise SchemaSizeError(f"the {what} has more than {MAX_SCHEMA_ENTRIES} entries")
+    return got
+
+
 def evaluate_once(df: DataFrame, **exprs: Column) -> DataFrame:
     """Add columns whose (expensive) expressions must run once per row.
 

@@ -20,7 +20,7 @@ from .versions import parse_selector
 BOOL_TRUE = ["1", "true"]
 BOOL_FALSE = ["0", "false"]
 # Cast types that change a column; any other schema type leaves the text as it is.
-CAST_TYPES = ["bool", "json", "date"]
+CAST_TYPES = ["bool", "json", "date", "int", "float"]
 # ---------------------------------------------------------------------------------------------
 
 # A plain decimal number, as Python's float() reads it (no '1d'/'1f' suffixes).
@@ -70,6 +70,12 @@ def parse_number(c: Column | str) -> Column:
     return F.coalesce(special, F.when(s.rlike(NUMBER_RE), s.try_cast("double")))
 
 
+def to_int(c: Column | str) -> Column:
+    """A whole number's text -> BIGINT; other text, and numbers beyond 64 bits -> null."""
+    s = F.trim(_col(c).cast("string"))
+    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
+
+
 def epoch_to_timestamp(c: Column | str) -> Column:
     """Epoch seconds (number or text) -> TIMESTAMP; anything uncastable -> null."""
     x = parse_number(c)
@@ -91,19 +97,15 @@ def json_item_keys(c: Column | str) -> Column:
     return F.when(c == "", F.lit("")).otherwise(non_empty)
 
 
-def json_valid(c: Column | str) -> Column:
-    """True when the text parses as a JSON object (used to count bad JSON)."""
-    c = _col(c).cast("string")
-    return F.from_json(c, "map<string,string>").isNotNull()
-
-
 CASTERS = {
     "bool": to_bool,
     "date": epoch_to_timestamp,
     "json": json_item_keys,
+    "int": to_int,
+    "float": parse_number,
 }
 
-RESULT_TYPES = {"bool": "boolean", "date": "timestamp", "json": "string"}
+RESULT_TYPES = {"bool": "boolean", "date": "timestamp", "json": "string", "int": "bigint", "float": "double"}
 
 
 def cast_expr(c: Column | str, kind: str, on_error: str = "error") -> Column:
@@ -115,7 +117,7 @@ def cast_expr(c: Column | str, kind: str, on_error: str = "error") -> Column:
 
 
 def schema_cast(df: DataFrame, column_types: Mapping[str, str], on_error: str = "error") -> DataFrame:
-    """One projection applying bool, json and date casts; absent columns ignored."""
+    """One projection applying the casts of ``CAST_TYPES``; absent columns ignored."""
     present = set(df.columns)
     todo = {c: t for c, t in column_types.items() if c in present and t in CASTERS}
     # Apply in the fixed order bool, json, date (matters only if a name appears twice).
@@ -159,10 +161,9 @@ def json_flatten(df: DataFrame, column: str, keys: Sequence[str] | None = None,
     Keys are discovered with one distinct aggregate (bounded by the schema)
     unless given.
     """
-    from . import evaluate_once
+    from . import evaluate_once, schema_rows
     if keys is None:
-        keys = sorted(r[0] for r in df.select(F.explode(F.json_object_keys(_col(column).cast("string"))))
-                      .distinct().collect())
+        keys = sorted(r[0] for r in schema_rows(df.select(F.explode(F.json_object_keys(_col(column).cast("string")))).distinct(), "set of keys"))
     parsed = evaluate_once(df, _m=F.from_json(_col(column).cast("string"), "map<string,string>"))
     cols = [_col(c) for c in df.columns if c != column]
     return parsed.select(*cols, *[F.element_at("_m", F.lit(k)).alias(f"{column}{separator}{k}") for k in keys])

@@ -128,7 +128,8 @@ class RegexRename:
         return self.compiled().sub(self.py_replace, name)
 
     def column(self, c: Column | str) -> Column:
-        flags = "(?i)" if self.ignore_case else ""
+        # as Python reads patterns over text: Unicode case folding, digits and letters
+        flags = "(?iuU)" if self.ignore_case else "(?U)"
         return F.regexp_replace(_col(c), F.lit(flags + self.py_pattern),
                                 F.lit(_java_replacement(self.py_replace)))
 

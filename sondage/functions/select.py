@@ -11,6 +11,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class ColumnSelector:
@@ -63,14 +64,15 @@ def select_columns(df: DataFrame, conf) -> DataFrame:
 def project_fields(df: DataFrame, fields) -> DataFrame:
     """Fields to columns, a list or ``{column: field}``; a missing field is an error.
 
-    A field may be a nested path (``a.b``).
+    A field may be a nested path (``a.b``): a column, then fields of structs or
+    keys of maps.
     """
     pairs = list(fields.items()) if isinstance(fields, Mapping) else [(f, f) for f in fields]
-    out = []
-    for column, fld in pairs:
-        try:
-            df.select(F.col(fld))
-        except Exception as e:  # AnalysisException: unresolved field
-            raise KeyError(f"field {fld!r} not found") from e
-        out.append(F.col(fld).alias(column))
-    return df.select(*out)
+    for _, fld in pairs:
+        kind = df.schema
+        for name in fld.split("."):
+            found = [f.dataType for f in kind.fields if f.name.lower() == name.lower()] if isinstance(kind, T.StructType) else []
+            if not found and not isinstance(kind, T.MapType):
+                raise KeyError(f"field {fld!r} not found")
+            kind = found[0] if found else kind.valueType
+    return df.select(*[F.col(fld).alias(column) for column, fld in pairs])

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN_TIME = "Unknown"
+MAX_EPOCH = 253402300799  # 9999-12-31T23:59:59Z, the last time with a four-digit year
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 LOCALIZED_TYPE = "array<struct<code:string,parts:array<struct<str:string>>>>"
@@ -40,11 +41,11 @@ def localize_map(c: Column | str) -> Column:
 
 
 def published_iso(c: Column | str) -> Column:
-    """Epoch seconds -> ``YYYY-MM-DDTHH:MM:SS`` (UTC); zero, negative or
-    non-integer text -> ``Unknown``."""
+    """Epoch seconds -> ``YYYY-MM-DDTHH:MM:SS`` (UTC); zero, negative, beyond
+    year 9999 or non-integer text -> ``Unknown``."""
     s = F.trim(_col(c).cast("string"))
-    n = F.when(s.rlike(r"^[+-]?[0-9]{1,12}$"), s.try_cast("bigint"))
-    return F.when(n > 0, F.date_format(F.timestamp_seconds(n), ISO_FORMAT)).otherwise(F.lit(UNKNOWN_TIME))
+    n = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))  # null where even 64 bits are too few
+    return F.when((n > 0) & (n <= MAX_EPOCH), F.date_format(F.timestamp_seconds(n), ISO_FORMAT)).otherwise(F.lit(UNKNOWN_TIME))
 
 
 def midnight_floor(c: Column | str) -> Column:

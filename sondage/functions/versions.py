@@ -1,30 +1,31 @@
 """Survey versions (O05) and version selectors.
 
-A version is text like ``25-10-1``: integers compared position by position,
-a missing position counting as 0.  In Spark a version becomes an
-``ARRAY<INT>`` padded with zeros to a fixed width, so Spark's own array
-ordering gives the right comparison (``[25,1] < [25,1,0]`` unpadded).
+A version is text like ``25-10-1``: whole numbers compared position by
+position, a missing position counting as 0.  Its canonical form drops the
+zeros at the end, so that plain lexicographic order (of Python tuples, and of
+Spark arrays) is the order of versions, whatever their lengths.  In Spark a
+part is a ``DECIMAL(38,0)``: parts may be time stamps or longer.
 
-A selector is a string or nested list of rules:
+A selector is text, or a nested list of texts, of items separated by commas::
 
-* ``a``      exactly version ``a``
-* ``a:b``    inclusive range, either side may be empty (open)
-* ``!rule``  excludes; exclusion wins over inclusion
-* ``a,b``    several rules in one string
+    item     = [ "!" ] ( version | [ version ] ":" [ version ] )
 
-Selectors compile to one boolean Column, so filtering by version is a plain
-predicate Catalyst can push into the scan's projection.
+``!`` excludes, and exclusion wins over inclusion.  Each item is one closed
+interval of versions; a single version is the interval from itself to itself,
+and a missing side is open.  The driver's check and the Spark predicate both
+come from the intervals.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
-from typing import Iterable, Sequence
+from typing import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VERSION_WIDTH = 6
+PART_TYPE = "decimal(38,0)"
 
 
 class VersionError(ValueError):
@@ -32,183 +33,124 @@ class VersionError(ValueError):
 
 
 def parse_version(text: str) -> tuple[int, ...]:
-    """``'25-10-1'`` -> ``(25, 10, 1)``; a non-integer part is an error."""
+    """``'25-10-1'`` -> ``(25, 10, 1)``; a part that is no whole number is an error."""
     parts = str(text).strip().split("-")
-    out = []
-    for pos, part in enumerate(parts):
-        try:
-            out.append(int(part))
-        except ValueError:
-            raise VersionError(f"version {text!r}: integer expected at position {pos}") from None
-    return tuple(out)
+    bad = next((k for k, p in enumerate(parts) if not re.fullmatch(r"\s*\+?[0-9]+\s*", p)), None)
+    if bad is not None:
+        raise VersionError(f"version {text!r}: whole number expected at position {bad}")
+    return tuple(map(int, parts))
 
 
-def padded(v: Sequence[int], width: int = VERSION_WIDTH) -> tuple[int, ...]:
-    if len(v) > width:
-        raise VersionError(f"version {v} has more than {width} parts")
-    return tuple(v) + (0,) * (width - len(v))
+def canonical(v: str | Sequence[int]) -> tuple[int, ...]:
+    """The version without zeros at its end: ``(25, 1, 0)`` -> ``(25, 1)``."""
+    parts = list(parse_version(v) if isinstance(v, str) else v)
+    while parts and parts[-1] == 0:
+        parts.pop()
+    return tuple(parts)
 
 
 def compare_versions(a: str | Sequence[int], b: str | Sequence[int]) -> int:
     """-1, 0 or 1, with missing positions taken as 0."""
-    va = parse_version(a) if isinstance(a, str) else tuple(a)
-    vb = parse_version(b) if isinstance(b, str) else tuple(b)
-    n = max(len(va), len(vb))
-    pa, pb = padded(va, n), padded(vb, n)
-    return (pa > pb) - (pa < pb)
+    x, y = canonical(a), canonical(b)
+    return (x > y) - (x < y)
 
 
-def version_array(col: Column | str, width: int = VERSION_WIDTH, strict: bool = True) -> Column:
-    """Version text -> zero-padded ``ARRAY<INT>`` of ``width`` entries.
+def version_array(col: Column | str, strict: bool = True) -> Column:
+    """Version text -> canonical ``ARRAY<DECIMAL(38,0)>``, ordered as versions are.
 
-    ``strict`` makes a non-integer part an error (ANSI cast), otherwise null.
+    With ``strict`` a part that is no whole number is an error, otherwise null.
     """
     c = F.col(col) if isinstance(col, str) else col
-    parts = F.split(F.trim(c), "-")
-    if strict:
-        ints = F.transform(parts, lambda x: x.cast("int"))
-    else:
-        ints = F.transform(parts, lambda x: x.try_cast("int"))
-        ints = F.when(F.exists(ints, lambda x: x.isNull()), F.lit(None)).otherwise(ints)
-    too_long = F.size(ints) > width
-    pad = F.array_repeat(F.lit(0), F.greatest(F.lit(width) - F.size(ints), F.lit(0)))
-    return F.when(too_long, F.raise_error(F.concat(F.lit("version has too many parts: "), c))) \
-        .otherwise(F.concat(ints, pad))
-
-
-def _lit_version(v: Sequence[int], width: int) -> Column:
-    return F.array(*[F.lit(x).cast("int") for x in padded(v, width)])
-
-
-# --- selector rules -----------------------------------------------------------------------
+    parts = F.transform(F.split(F.trim(c), "-"), lambda p: p.cast(PART_TYPE) if strict else p.try_cast(PART_TYPE))
+    if not strict:
+        parts = F.when(~F.exists(parts, lambda p: p.isNull()), parts)
+    last = F.array_max(F.transform(parts, lambda p, k: F.when(p != 0, k + 1).otherwise(F.lit(0))))
+    return F.slice(parts, F.lit(1), last)
 
 
 @dataclass(frozen=True)
-class Eq:
-    version: tuple[int, ...]
-
-    def matches(self, v: Sequence[int]) -> bool:
-        n = max(len(v), len(self.version))
-        return padded(tuple(v), n) == padded(self.version, n)
+class Interval:
+    """Versions from ``low`` to ``high``, both included; None: open on that side."""
 
-    def column(self, varr: Column, width: int) -> Column:
-        return varr == _lit_version(self.version, width)
-
-
-@dataclass(frozen=True)
-class Range:
     low: tuple[int, ...] | None
     high: tuple[int, ...] | None
 
-    def matches(self, v: Sequence[int]) -> bool:
-        ok = True
-        if self.low is not None:
-            ok = ok and compare_versions(tuple(v), self.low) >= 0
-        if self.high is not None:
-            ok = ok and compare_versions(tuple(v), self.high) <= 0
-        return ok
+    def __contains__(self, v: tuple[int, ...]) -> bool:
+        return (self.low is None or self.low <= v) and (self.high is None or v <= self.high)
 
-    def column(self, varr: Column, width: int) -> Column:
-        cond = F.lit(True)
-        if self.low is not None:
-            cond = cond & (varr >= _lit_version(self.low, width))
-        if self.high is not None:
-            cond = cond & (varr <= _lit_version(self.high, width))
-        return cond
-
-
-@dataclass(frozen=True)
-class In:
-    versions: tuple[tuple[int, ...], ...]
-
-    def matches(self, v: Sequence[int]) -> bool:
-        return any(Eq(x).matches(v) for x in self.versions)
-
-    def column(self, varr: Column, width: int) -> Column:
-        return varr.isin(*[_lit_version(x, width) for x in self.versions]) if self.versions \
-            else F.lit(False)
+    def column(self, versions: Column) -> Column:
+        literal = lambda v: F.array(*[F.lit(str(x)).cast(PART_TYPE) for x in v]).cast(f"array<{PART_TYPE}>")
+        if self.low is not None and self.low == self.high:
+            return versions == literal(self.low)
+        sides = [versions >= literal(self.low)] if self.low is not None else []
+        sides += [versions <= literal(self.high)] if self.high is not None else []
+        return sides[0] & sides[1] if len(sides) == 2 else sides[0] if sides else versions.isNotNull()
 
 
 @dataclass
 class VersionSelector:
-    include: list = field(default_factory=list)
-    exclude: list = field(default_factory=list)
+    include: list[Interval] = field(default_factory=list)
+    exclude: list[Interval] = field(default_factory=list)
+    #: Whether a selector that only excludes matches nothing else either.
     strict_include: bool = False
 
     @property
     def is_empty(self) -> bool:
-        return not self.include and not self.exclude
+        return not (self.include or self.exclude)
 
     def matches(self, version: str | Sequence[int]) -> bool:
-        v = parse_version(version) if isinstance(version, str) else tuple(version)
-        if any(r.matches(v) for r in self.exclude):
-            return False
-        if not self.include:
-            # Only exclusions: everything else matches (documented meaning).
-            return not self.strict_include
-        return any(r.matches(v) for r in self.include)
-
-    def column(self, version_col: Column | str, width: int = VERSION_WIDTH) -> Column:
-        varr = version_array(version_col, width)
-        excl = F.lit(False)
-        for r in self.exclude:
-            excl = excl | r.column(varr, width)
-        if self.include:
-            incl = F.lit(False)
-            for r in self.include:
-                incl = incl | r.column(varr, width)
-        else:
-            incl = F.lit(not self.strict_include)
-        return ~excl & incl
-
-
-def _parse_item(spec: str, sel: VersionSelector) -> None:
-    spec = spec.strip()
-    if not spec:
-        return
-    excluding = spec.startswith("!")
-    if excluding:
-        spec = spec[1:].strip()
-    if ":" in spec:
-        bounds = spec.split(":")
-        if len(bounds) != 2:
-            raise VersionError(f"range {spec!r} must have exactly two sides")
-        lo, hi = (b.strip() for b in bounds)
-        rule = Range(parse_version(lo) if lo else None, parse_version(hi) if hi else None)
-    else:
-        rule = Eq(parse_version(spec))
-    (sel.exclude if excluding else sel.include).append(rule)
-
-
-def _parse_into(conf, sel: VersionSelector) -> None:
-    if conf is None:
-        return
+        v = canonical(version)
+        wanted = any(v in i for i in self.include) if self.include else not self.strict_include
+        return wanted and not any(v in i for i in self.exclude)
+
+    def column(self, version_col: Column | str) -> Column:
+        versions = version_array(version_col)
+
+        def one_of(intervals: list[Interval]) -> Column:
+            found = F.lit(False)
+            for i in intervals:
+                found = found | i.column(versions)
+            return found
+        wanted = one_of(self.include) if self.include else F.lit(not self.strict_include)
+        return wanted & ~one_of(self.exclude) if self.exclude else wanted
+
+
+_ITEM = re.compile(r"(!?)([^:!]*)(?::([^:!]*))?")
+
+
+def _items(conf, path: tuple[int, ...] = ()) -> Iterator[tuple[tuple[int, ...], str]]:
+    """The items of a selector with their places in its lists."""
     if isinstance(conf, str):
-        for item in conf.split(","):
-            _parse_item(item, sel)
+        yield from ((path, item.strip()) for item in conf.split(",") if item.strip())
     elif isinstance(conf, (list, tuple)):
-        for pos, sub in enumerate(conf):
-            try:
-                _parse_into(sub, sel)
-            except VersionError as e:
-                raise VersionError(f"version spec {pos}: {e}") from e
-    else:
-        raise VersionError(f"version spec must be text or list, not {type(conf).__name__}")
+        for k, sub in enumerate(conf):
+            yield from _items(sub, (*path, k))
+    elif conf is not None:
+        raise VersionError(f"a version selector is text or a list, not {type(conf).__name__}")
 
 
 def parse_selector(conf, strict_include: bool = False) -> VersionSelector:
     sel = VersionSelector(strict_include=strict_include)
-    _parse_into(conf, sel)
+    for path, item in _items(conf):
+        where = f"selector entry {'.'.join(map(str, path))}: " if path else ""
+        m = _ITEM.fullmatch(item)
+        low, high = (m[2].strip(), m[3] if m[3] is None else m[3].strip()) if m else ("", None)
+        if not low and high is None:
+            raise VersionError(f"{where}cannot read {item!r}; expected a version or a range a:b")
+        try:
+            first = canonical(low) if low else None
+            last = first if high is None else canonical(high) if high else None
+        except VersionError as e:
+            raise VersionError(f"{where}{e}") from None
+        (sel.exclude if m[1] else sel.include).append(Interval(first, last))
     return sel
 
 
 def filter_versions(df, selector, version_col: str = "version"):
     """O13 as a DataFrame filter; an empty selector keeps every row."""
     sel = selector if isinstance(selector, VersionSelector) else parse_selector(selector)
-    if sel.is_empty:
-        return df
-    return df.where(sel.column(F.col(version_col)))
+    return df if sel.is_empty else df.where(sel.column(F.col(version_col)))
 
 
 def sort_versions(versions: Iterable[str], descending: bool = False) -> list[str]:
-    return sorted(versions, key=lambda v: padded(parse_version(v)), reverse=descending)
+    return sorted(versions, key=canonical, reverse=descending)

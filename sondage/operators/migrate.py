@@ -15,15 +15,11 @@ REASON_EMAIL = "email_filter"
 REASON_EMPTY = "empty_profile"
 # ---------------------------------------------------------------------------------------------
 
-BROADCAST_MAX_SUFFIXES = 10_000
-
 
 def email_filtered(email: Column, suffixes: Sequence[str]) -> Column:
-    """True when the email ends with one of the suffixes (a short OR of ``endswith``)."""
-    cond = F.lit(False)
-    for s in suffixes:
-        cond = cond | email.endswith(s)
-    return cond
+    """True when the email ends with one of the suffixes: one expression for a list of any length."""
+    listed = F.array(*[F.lit(s) for s in suffixes]).cast("array<string>")
+    return F.exists(listed, lambda s: F.endswith(email, s))
 
 
 def email_suffix_filter(users: DataFrame, suffixes: Sequence[str]) -> DataFrame:
@@ -41,7 +37,7 @@ def skip_empty_profiles(users: DataFrame, enabled: bool = True, profiles: DataFr
     if not enabled:
         return users
     if profiles is not None:
-        return users.join(profiles.select(key), key, "left_semi")
+        return users.join(profiles.select(key).distinct(), key, "left_semi")
     return users.where(F.size("profiles") > 0)
 
 
@@ -85,6 +81,24 @@ def migration_records(users: DataFrame, suffixes: Sequence[str], skip_empty: boo
         reason.alias("reason"))
 
 
+def migration_records_long(spark, users: DataFrame, profiles: DataFrame, suffixes: Sequence[str], skip_empty: bool,
+                           preferred_language: str, study_keys: Sequence[str], use_2fa: bool = False,
+                           key: str = "user_key") -> tuple[DataFrame, DataFrame]:
+    """O74 in long form: ``(records, record profiles)``.
+
+    A record per user without its profiles, and ``(accountId, pos, gid, name)``
+    per profile, the main ones first.  No user's profiles meet in one row or
+    task.
+    """
+    lang = F.col("language") if "language" in users.columns else F.lit(None).cast("string")
+    status = migration_status(users, profiles, suffixes, skip_empty, key)
+    records = status.join(users.drop("email"), key).select(
+        key, F.col("email").alias("accountId"), F.coalesce(lang, F.lit(preferred_language)).alias("preferredLanguage"),
+        F.array(*[F.lit(s) for s in study_keys]).cast("array<string>").alias("studies"), F.lit(bool(use_2fa)).alias("use2FA"), "status", "reason")
+    placed = main_profile_first_long(spark, profiles, key)
+    return records, placed.join(users.select(key, F.col("email").alias("accountId")), key).select(key, "accountId", "pos", "gid", "name")
+
+
 def migration_status(users: DataFrame, profiles: DataFrame, suffixes: Sequence[str], skip_empty: bool,
                      key: str = "user_key") -> DataFrame:
     """O74 status without building records: ``(key, email, status, reason)``.

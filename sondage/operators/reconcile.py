@@ -7,29 +7,30 @@ switch to a broadcast after *measuring* a side.
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.versions import version_array
 
-BROADCAST_MAX_ENTRIES = 10_000  # a driver-side mapping list up to this size is broadcast
+def _differs(current, wanted):
+    return current.isNull() | ~current.eqNullSafe(wanted)
 
 
 def flag_sync_diff(states: DataFrame, wanted: DataFrame) -> DataFrame:
     """Flags to update — ``(participantId, flag, current, wanted)``.
 
-    Participants in the file and in the study; ``temporary`` ones are skipped;
-    a flag is kept when its current value is null or different.
+    Participants in the file and in the study; ``temporary`` ones are skipped (a
+    participant without a status is not); a flag is kept when its current value
+    is null or differs from the wanted one, which may be null.
     """
-    j = states.where(F.col("studyStatus") != "temporary").select("participantId", F.col("flags").alias("cur")) \
+    j = states.where(~F.col("studyStatus").eqNullSafe("temporary")).select("participantId", F.col("flags").alias("cur")) \
         .join(wanted.select("participantId", F.col("flags").alias("want")), "participantId")
     e = j.select("participantId", "cur", F.explode("want").alias("flag", "wanted"))
     cur = F.element_at(F.col("cur"), F.col("flag"))
     return e.select("participantId", "flag", cur.alias("current"), "wanted") \
-        .where(F.col("current").isNull() | (F.col("current") != F.col("wanted")))
+        .where(_differs(F.col("current"), F.col("wanted")))
 
 
 def flag_sync_summary(states: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -37,12 +38,10 @@ def flag_sync_summary(states: DataFrame, wanted: DataFrame) -> DataFrame:
 
     One left join from the file to the study, then one aggregate.
     """
-    live = states.where(F.col("studyStatus") != "temporary") \
+    live = states.where(~F.col("studyStatus").eqNullSafe("temporary")) \
         .select("participantId", F.col("flags").alias("cur"), F.lit(True).alias("_found"))
     j = wanted.select("participantId", F.col("flags").alias("want")).join(live, "participantId", "left")
-    differs = lambda e: (F.element_at(F.col("cur"), e.getField("key")).isNull()
-                         | (F.element_at(F.col("cur"), e.getField("key")) != e.getField("value")))
-    upd = F.size(F.filter(F.map_entries("want"), differs)) > 0
+    upd = F.exists(F.map_entries("want"), lambda e: _differs(F.element_at(F.col("cur"), e.getField("key")), e.getField("value")))
     found = F.col("_found").isNotNull()
     return j.agg(F.count("*").cast("bigint").alias("in_file"),
                  F.count(F.when(found, 1)).cast("bigint").alias("found"),
@@ -51,23 +50,19 @@ def flag_sync_summary(states: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def pending_ids(ids: DataFrame, done: DataFrame, id_col: str = "id") -> DataFrame:
-    """Ids not in the done list."""
-    return ids.select(id_col).distinct().join(done.select(id_col), id_col, "left_anti")
+    """Ids not in the done list; both sides are made distinct before they are shuffled."""
+    return ids.select(id_col).distinct().join(done.select(id_col).distinct(), id_col, "left_anti")
 
 
 def work_batches(ids: DataFrame, max_run: int | None, max_batch: int, id_col: str = "id",
                  spark: SparkSession | None = None) -> DataFrame:
     """The first ``max_run`` ids (the run limit is the feature), cut into
-    batches of ``max_batch``.  After the limit the data is at most ``max_run`` rows."""
-    o = ids.select(id_col).orderBy(id_col)
-    if max_run is not None:
-        o = o.limit(max_run)
-        rn = F.row_number().over(Window.orderBy(id_col)) - 1
-        return o.select(id_col, (rn / max_batch).cast("bigint").alias("batch"))
-    # Unbounded: number rows without a global window (dense index per sorted partition).
+    batches of ``max_batch``, all ids without a limit.  Rows are numbered inside
+    sorted ranges (``dense_index``), never in one task."""
     from .store import dense_index
-    spark = spark or ids.sparkSession
-    idx = dense_index(spark, ids.select(id_col), id_col, start=0)
+    idx = dense_index(spark or ids.sparkSession, ids.select(id_col), id_col, start=0)
+    if max_run is not None:
+        idx = idx.where(F.col("idx") < max_run)
     return idx.select(id_col, F.floor(F.col("idx") / max_batch).cast("bigint").alias("batch"))
 
 
@@ -93,13 +88,10 @@ def survey_name_map(spark: SparkSession, surveys: DataFrame, entries: Sequence[s
                     key_col: str = "survey") -> DataFrame:
     """Recode survey keys to names; unmapped keys keep their key.
 
-    The mapping is a driver-side configuration list; it is broadcast only
-    below ``BROADCAST_MAX_ENTRIES`` entries (otherwise a plain join).
+    The mapping is a driver-side configuration list, joined plainly: Spark
+    knows its size and picks the join.
     """
-    m = parse_name_map(entries)
-    mdf = spark.createDataFrame(list(m.items()) or [("", "")], f"{key_col} string, _name string")
-    if len(m) <= BROADCAST_MAX_ENTRIES:
-        mdf = F.broadcast(mdf)
+    mdf = spark.createDataFrame(list(parse_name_map(entries).items()), f"{key_col} string, _name string")
     return surveys.join(mdf, key_col, "left").withColumn("name", F.coalesce("_name", key_col)).drop("_name")
 
 
@@ -147,7 +139,3 @@ def schema_rows_from_info(si: DataFrame, column: str = "column") -> DataFrame:
     return si.select("survey", "version", F.col(column).alias("column"), type_of_question().alias("type"),
                      "published")
 
-
-def apply_mapping(df: DataFrame, mapping: Mapping[str, str], col: str) -> DataFrame:
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return df.withColumn(col, F.coalesce(F.element_at(m, F.col(col)), F.col(col)))

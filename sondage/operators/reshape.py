@@ -7,6 +7,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import schema_rows
+
 
 def wide_to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str] | None = None,
                  keep_nulls: bool = False) -> DataFrame:
@@ -31,5 +33,5 @@ def long_to_wide(df: DataFrame, ids: Sequence[str], key: str = "key", value: str
     the schema).  The pivot is a grouped aggregate with a partial step.
     """
     if keys is None:
-        keys = sorted(r[0] for r in df.select(key).distinct().collect())
+        keys = sorted(r[0] for r in schema_rows(df.select(key).distinct(), "set of keys"))
     return df.groupBy(*ids).pivot(key, list(keys)).agg(F.max(value))

@@ -7,12 +7,14 @@ Every statistic is a built-in aggregate, so Spark computes it with a partial
 
 from __future__ import annotations
 
-from typing import Mapping
-from pyspark.sql import Column, DataFrame
+from typing import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cast import parse_number
+from ..functions.versions import version_array
 
 # --- fixed values ----------------------------------------------------------------------------
 NA_VALUE = "_NA_"
@@ -77,14 +79,19 @@ def flag_summary(states: DataFrame, field: str, flags_col: str = "flags") -> Dat
 # --- O61: several collectors in one pass ----------------------------------------------------------
 
 
-def parse_collectors(spec) -> list[dict]:
+#: A user's collector: (states, field) -> DataFrame ``(key, value)``, built from aggregates or a grouped pandas UDF.
+Collector = Callable[[DataFrame, str], DataFrame]
+
+
+def parse_collectors(spec, own: Mapping[str, Collector] | None = None) -> list[dict]:
     """Collector specs: ``'counts, category:segment'``, or a list of such strings
-    and dicts ``{'type', 'field', 'name'}``.  Names must be unique."""
+    and dicts ``{'type', 'field', 'name'}``.  Names must be unique; ``own`` adds
+    types."""
     out = []
 
     def add(ctype, field, name):
         ctype = (ctype or "").strip()
-        if ctype not in KNOWN_COLLECTORS:
+        if ctype not in KNOWN_COLLECTORS and ctype not in (own or {}):
             raise ValueError(f"unknown collector type {ctype!r}")
         field = field.strip() if isinstance(field, str) else field
         if ctype != "counts" and not field:
@@ -113,15 +120,16 @@ def parse_collectors(spec) -> list[dict]:
     return out
 
 
-def multi_stats(states: DataFrame, spec="counts", flags_col: str = "flags") -> DataFrame:
+def multi_stats(states: DataFrame, spec="counts", flags_col: str = "flags", own: Mapping[str, Collector] | None = None) -> DataFrame:
     """All collectors, long result ``(name, type, label, key, value)``.
 
-    Without a spec only ``counts`` runs (the reference's default).
+    Without a spec only ``counts`` runs (the reference's default).  ``own`` holds
+    further collector types by name.
 
     Summaries share one aggregate; counts and categories share one explode of
     the flag map and one grouped count.
     """
-    cols = parse_collectors(spec)
+    cols = parse_collectors(spec, own)
     m = F.col(flags_col)
     parts: list[DataFrame] = []
     freq = [c for c in cols if c["type"] in ("counts", "category")]
@@ -154,6 +162,11 @@ def multi_stats(states: DataFrame, spec="counts", flags_col: str = "flags") -> D
                                         F.lit(LABEL_SUMMARY % c["field"]).alias("label"),
                                         F.lit(k).alias("key"), F.col(f"s{i}_{k}").cast("double").alias("value")))
         parts.append(wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    for c in cols:
+        if c["type"] in (own or {}):
+            made = own[c["type"]](states, c["field"])
+            parts.append(made.select(F.lit(c["name"]).alias("name"), F.lit(c["type"]).alias("type"), F.lit(f"{c['type']} of {c['field']}").alias("label"),
+                                     F.col("key").cast("string").alias("key"), F.col("value").cast("double").alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -201,6 +214,19 @@ def merge_daily(existing: DataFrame, fresh: DataFrame, restart_day) -> DataFrame
     return keep.unionByName(fresh.where(F.col("day") >= F.lit(restart_day).cast("date")))
 
 
+def resume_daily(spark: SparkSession, path: str, raw: DataFrame, time_col: str = "submitted") -> DataFrame:
+    """O63 end to end: the stored counts at ``path``, brought up to date from ``raw``.
+
+    Counts restart at the last day stored, which may have been incomplete; its
+    rows are replaced and earlier days are not read again.
+    """
+    from .store import read_keyed, write_keyed
+    done = read_keyed(spark, path)
+    since = None if done is None else done.agg(F.max("day")).first()[0]
+    write_keyed(spark, path, daily_counts(raw, time_col, since), ["day", "survey"], "replace", ("day",))
+    return read_keyed(spark, path)
+
+
 def time_bounds(raw: DataFrame, time_col: str = "submitted") -> DataFrame:
     """min/max submission time per survey."""
     return raw.groupBy("survey").agg(F.min(time_col).alias("min_time"), F.max(time_col).alias("max_time"))
@@ -234,9 +260,9 @@ def describe_tables(tables: Mapping[str, DataFrame], time_col: str = "submitted"
 
 
 def latest_version(info: DataFrame) -> DataFrame:
-    """The current published version per survey (latest ``published``)."""
-    return info.groupBy("survey").agg(F.max_by("version", F.struct("published", "version")).alias("version"),
-                                      F.max("published").alias("published"))
+    """The current published version per survey (latest ``published``; of those the largest version)."""
+    order = F.struct(F.col("published"), version_array("version"), F.col("version"))
+    return info.groupBy("survey").agg(F.max_by("version", order).alias("version"), F.max("published").alias("published"))
 
 
 def counter_snapshot(counters: DataFrame) -> DataFrame:
@@ -247,44 +273,21 @@ def counter_snapshot(counters: DataFrame) -> DataFrame:
 
 # --- O70: payload size by codec -------------------------------------------------------------------
 
-CODECS = ["zlib", "zlib-1", "zlib-3", "zstd"]  # zstd only when the package is present
+CODECS = ["none", "snappy", "gzip", "zstd"]
 
 
-def codec_sizes(raw: DataFrame, data_col: str = "data") -> DataFrame:
-    """Total payload bytes, and bytes/percent under each codec.
+def codec_sizes(spark: SparkSession, raw: DataFrame, folder: str, data_col: str = "data") -> DataFrame:
+    """What the payloads take on storage under each codec: ``(codec, bytes, percent)``.
 
-    Each task compresses its own Arrow batches and emits one partial row per
-    codec; Spark sums the partials.  No row ever leaves its task.  The task
-    function is self-contained so executors need nothing but the standard
-    library (and ``zstandard`` if installed).
+    Spark writes the payload column once with each codec under ``folder`` and
+    reads the sizes of the files; ``percent`` is of the uncompressed files.
     """
-    col = data_col
-
-    def per_partition(batches):
-        import zlib as _z
-
-        import pandas as _pd
-        codecs = {"zlib": lambda b: _z.compress(b), "zlib-1": lambda b: _z.compress(b, 1),
-                  "zlib-3": lambda b: _z.compress(b, 3)}
-        try:
-            import zstandard as _zs
-            codecs["zstd"] = _zs.ZstdCompressor().compress
-        except ImportError:
-            pass
-        total = {name: 0 for name in codecs}
-        raw_bytes = 0
-        for pdf in batches:
-            for v in pdf[col]:
-                if v is None:
-                    continue
-                b = v.encode("utf-8") if isinstance(v, str) else bytes(v)
-                raw_bytes += len(b)
-                for name, fn in codecs.items():
-                    total[name] += len(fn(b))
-        yield _pd.DataFrame({"codec": ["none"] + list(total), "bytes": [raw_bytes] + list(total.values())})
-
-    parts = raw.select(data_col).mapInPandas(per_partition, "codec string, bytes long")
-    sums = parts.groupBy("codec").agg(F.sum("bytes").alias("bytes"))
-    # The window runs over the summed rows only (one per codec).
-    base = F.max(F.when(F.col("codec") == "none", F.col("bytes"))).over(Window.partitionBy())
-    return sums.select("codec", "bytes", (F.col("bytes") * 100.0 / base).alias("percent"))
+    out = None
+    for codec in CODECS:
+        path = f"{folder}/codec={codec}"
+        raw.select(data_col).write.mode("errorifexists").option("compression", codec).parquet(path)
+        files = spark.read.parquet(path).select(F.col("_metadata.file_path"), F.col("_metadata.file_size")).distinct()
+        one = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")).select(F.lit(codec).alias("codec"), "bytes")
+        out = one if out is None else out.unionByName(one)
+    base = out.filter(F.col("codec") == CODECS[0]).select(F.col("bytes").alias("_all")).first()["_all"]
+    return out.withColumn("percent", F.col("bytes") * 100.0 / F.lit(base or 1))

@@ -7,18 +7,19 @@ Upsert modes on a key:
 * ``replace`` the batch wins: target rows whose key is in the batch are
   dropped, the batch's latest row per key is appended.
 * ``plain``   a key present twice (in the batch or against the target) is an
-  error.
+  error, from the first write on.
 
-Both sides are shuffled once on the key (sort-merge anti join, AQE may
-broadcast a side it *measures* small); in-batch de-duplication is an aggregate
-with a partial step on the same key, so its exchange is reused by the join.
-A new snapshot is written to a fresh folder and then published (``publish``),
-so a path being read is never overwritten.
+There is one plan whatever the data: rows move once, by key.  The first row
+per key is a ``row_number`` filter, of which Spark keeps one row per key in
+each task before the shuffle (window group limit), so a hot key does not
+travel; the anti join with the stored keys uses the same partitioning.  A key
+with nulls is a key like any other: nulls are equal.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 import uuid
 from typing import Sequence
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, tables_dir
 
 
 # --- fixed values ----------------------------------------------------------------------------
@@ -45,50 +46,34 @@ class SchemaEvolutionError(ValueError):
     pass
 
 
-def _ordered_struct(cols: Sequence[Column]) -> Column:
-    return F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
+def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    return functools.reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-DEDUPE_BROADCAST_MAX = 200_000  # duplicate keys broadcast at most (checked by a count first)
-
-
-def _pick_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], latest: bool) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    pick = F.max_by if latest else F.min_by
-    return (df.groupBy(*keys).agg(pick(row, _ordered_struct(order)).alias("_r"))
-            .select(*keys, *[F.col("_r").getField(c).alias(c) for c in rest]))
+def _without(df: DataFrame, other: DataFrame, keys: Sequence[str], kind: str = "left_anti") -> DataFrame:
+    """Rows of ``df`` whose key (nulls are equal) is not in ``other``; with ``left_semi`` those whose key is."""
+    right = other.select(*[F.col(f"`{k}`") for k in keys]).toDF(*keys)
+    return df.join(right, _same_key(df, right, keys), kind)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None,
-                  latest: bool = False, mode: str = "auto") -> DataFrame:
+                  latest: bool = False) -> DataFrame:
     """One row per key: the smallest (or, with ``latest``, largest) by ``order``.
 
     Without an order all non-key columns order the rows (a total, deterministic
-    choice).  ``auto`` first shuffles the keys only to find duplicated keys:
-    with none the rows never move; with a few (counted, at most
-    ``DEDUPE_BROADCAST_MAX``) only their rows are de-duplicated, through
-    broadcast semi/anti joins; otherwise (and with ``mode='full'``) one
-    aggregate whose partial step combines a hot key inside each task.
+    choice).  Lazy: one exchange on the key, before which each task keeps one
+    row per key.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     if not rest:
-        return df.select(*keys).distinct()
-    order = order or [F.col(f"`{c}`") for c in rest]
-    if mode != "auto":
-        return _pick_per_key(df, keys, order, latest)
-    # Not cached: nothing is left pinned in memory by a long-running stream; when
-    # duplicates exist the key-only aggregate simply runs again for the broadcast.
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
-    n = dup.count()
-    if n == 0:
-        return df
-    if n <= DEDUPE_BROADCAST_MAX:
-        b = F.broadcast(dup)
-        fixed = _pick_per_key(df.join(b, keys, "left_semi"), keys, order, latest)
-        return df.join(b, keys, "left_anti").unionByName(fixed.select(*df.columns))
-    return _pick_per_key(df, keys, order, latest)
+        return df.distinct()
+    by = [c.desc_nulls_last() if latest else c.asc_nulls_first() for c in order or [F.col(f"`{c}`") for c in rest]]
+    place = "_place"
+    while place in df.columns:
+        place = "_" + place
+    row = F.row_number().over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*by))
+    return df.withColumn(place, row).where(F.col(place) == 1).drop(place)
 
 
 def evolve_schema(target: DataFrame, batch: DataFrame) -> DataFrame:
@@ -113,17 +98,16 @@ def upsert(target: DataFrame | None, batch: DataFrame, keys: Sequence[str], mode
         fresh = first_per_key(batch, keys, order)
         if target is None:
             return fresh
-        return evolve_schema(target, fresh.join(target.select(*keys), keys, "left_anti"))
+        return evolve_schema(target, _without(fresh, target, keys))
     if mode == "replace":
         fresh = first_per_key(batch, keys, order, latest=True)
         if target is None:
             return fresh
-        kept = target.join(fresh.select(*keys), keys, "left_anti")
-        return evolve_schema(kept, fresh)
+        return evolve_schema(_without(target, fresh, keys), fresh)
     if mode == "plain":
         dup = batch.groupBy(*keys).count().where(F.col("count") > 1)
         if target is not None:
-            dup = dup.select(*keys).unionByName(batch.select(*keys).join(target.select(*keys), keys, "left_semi"))
+            dup = dup.select(*keys).unionByName(_without(batch.select(*keys), target, keys, "left_semi"))
         first = dup.limit(1).collect()
         if first:
             raise DuplicateKeyError(f"duplicate key {tuple(first[0][k] for k in keys)}")
@@ -134,50 +118,63 @@ def upsert(target: DataFrame | None, batch: DataFrame, keys: Sequence[str], mode
 # --- snapshots ---------------------------------------------------------------------------------
 
 
-def new_snapshot_path(spark: SparkSession, table: str) -> str:
-    return f"{checkpoint_dir(spark)}/tables/{table}/snap-{_dt.datetime.now(_dt.timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, through the Hadoop FileSystem of the path (HDFS, S3, local)."""
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _point(spark: SparkSession, path: str, snapshot: str) -> None:
+    """Record ``snapshot`` as the current contents of the table at ``path`` (an append-only log)."""
+    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
+    spark.createDataFrame([(stamp, snapshot)], "stamp string, path string").coalesce(1).write.mode("append").json(f"{path}/_pointers")
+
+
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    """The current snapshot of the table at ``path``; None where it has none."""
+    if not path_exists(spark, f"{path}/_pointers"):
+        return None
+    row = spark.read.schema("stamp string, path string").json(f"{path}/_pointers").agg(F.max_by("path", "stamp").alias("path")).first()
+    return row["path"]
+
+
+def _new_snapshot(path: str) -> str:
+    return f"{path}/snap-{_dt.datetime.now(_dt.timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
 
 
-def publish(spark: SparkSession, df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
+def publish(spark: SparkSession, df: DataFrame, table: str, partition_by: Sequence[str] = (), base: str | None = None) -> str:
     """Write ``df`` as a new snapshot of ``table``, then record it as current.
 
     The previous snapshot stays readable until the new one is recorded, so an
-    upsert that reads the current table never overwrites what it reads.  The
-    pointer log is append-only (a failed job leaves the old pointer in place).
+    upsert that reads the current table never overwrites what it reads, and a
+    failed job leaves the old contents in place.  Tables live in the warehouse
+    (``tables_dir``) unless ``base`` names another folder.
     """
-    path = new_snapshot_path(spark, table)
+    path = f"{base or tables_dir(spark)}/{table}"
+    snapshot = _new_snapshot(path)
     w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    stamp = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d%H%M%S%f")
-    spark.createDataFrame([(stamp, path)], "stamp string, path string").coalesce(1).write.mode("append") \
-        .json(f"{checkpoint_dir(spark)}/tables/{table}/_pointers")
-    return path
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(snapshot)
+    _point(spark, path, snapshot)
+    return snapshot
 
 
-def current(spark: SparkSession, table: str) -> DataFrame | None:
+def current(spark: SparkSession, table: str, base: str | None = None) -> DataFrame | None:
     """The latest published snapshot of ``table`` (None before the first)."""
-    base = f"{checkpoint_dir(spark)}/tables/{table}/_pointers"
-    if not path_exists(spark, base):
-        return None
-    row = spark.read.schema("stamp string, path string").json(base) \
-        .agg(F.max_by("path", "stamp").alias("path")).first()
-    return None if row is None or row["path"] is None else spark.read.parquet(row["path"])
+    snapshot = _pointed(spark, f"{base or tables_dir(spark)}/{table}")
+    return None if snapshot is None else spark.read.parquet(snapshot)
 
 
-# --- keyed partitioned tables -----------------------------------------------------------------
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists, through the Hadoop FileSystem of the path (HDFS, S3, local)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+# --- keyed tables --------------------------------------------------------------------------------
 
 
 def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
     """A keyed Parquet table (files of several schema generations are merged); None before the first write."""
+    path = _pointed(spark, path) or path
     if not path_exists(spark, path):
         return None
     return spark.read.option("mergeSchema", "true").parquet(path)
@@ -187,26 +184,46 @@ def _check_types(target: DataFrame, batch: DataFrame) -> None:
     evolve_schema(target.limit(0), batch.limit(0))
 
 
+def _drop_partitions(spark: SparkSession, path: str, parts: Sequence[str], gone: Sequence) -> None:
+    """Remove the folders of partitions that hold no row any more."""
+    catalog = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in gone:
+        name = "/".join(f"{p}={catalog.escapePathName(str(row[p])) if row[p] is not None else '__HIVE_DEFAULT_PARTITION__'}" for p in parts)
+        fs, p = _hadoop(spark, f"{path}/{name}")
+        fs.delete(p, True)
+
+
 def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], mode: str = "ignore",
                 partition_by: Sequence[str] = ("survey",), order: Sequence[Column] | None = None) -> int:
-    """Keyed write into a partitioned Parquet table, touching only the batch's partitions.
+    """Keyed write into a Parquet table; the key holds across all partitions.
 
-    * ``ignore``: the batch's first row per key, minus keys already stored, is
-      *appended*: stored files are never rewritten.  The stored keys are read
-      only for the partitions present in the batch (a semi-join on the
-      partition columns, which dynamic partition pruning turns into a scan of
-      those partitions only).  Re-running the same batch adds nothing, so a
-      retried micro-batch is idempotent.
-    * ``replace``: only the partitions the batch touches are recomputed (stored
-      rows minus replaced keys, plus the batch's latest row per key),
-      checkpointed, then written with dynamic partition overwrite.
+    Stored keys are looked up in the partitions that can hold them: those that
+    agree with the batch on the partition columns that are part of the key
+    (dynamic partition pruning scans these only, and only the key columns).
 
+    * ``ignore``: the batch's first row per key, minus keys already stored, is
+      *appended*; stored files are never rewritten.  Re-running the same batch
+      adds nothing, so a retried micro-batch is idempotent.
+    * ``replace``: the partitions the batch touches, and those that hold a row
+      it replaces, are recomputed, checkpointed, and written with dynamic
+      partition overwrite; one left empty is removed.  A run that failed in
+      between is healed by running the batch again.
+    * ``plain``: appended; a key that is there already, or twice in the batch,
+      is an error.
+
+    Without partitions the table is a chain of snapshots: ``replace`` writes a
+    new one and then points to it, so a failure leaves the old one current.
     New columns are added (files are read with schema merging); a column whose
     type changes is an error.  Returns the number of rows written.
     """
     keys, parts = list(keys), list(partition_by)
+    if mode not in ("ignore", "replace", "plain"):
+        raise ValueError(f"unknown mode {mode!r}")
     checkpoint_dir(spark)  # checkpoints below go to the shared folder the session names
     target = read_keyed(spark, path)
+    if target is not None:
+        _check_types(target, batch)
+    home = path if parts else _pointed(spark, path)
 
     def w(df: DataFrame):
         # Files sorted by submission time inside each partition keep row-group
@@ -214,95 +231,126 @@ def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
         if "submitted" in df.columns:
             df = df.sortWithinPartitions(*parts, "submitted")
         return df.write.partitionBy(*parts) if parts else df.write
-    if target is None:
-        fresh = upsert(None, batch, keys, mode if mode != "plain" else "ignore", order)
-        fresh = fresh.checkpoint() if mode == "replace" else fresh
-        w(fresh).mode("append").parquet(path)
-        return spark.read.parquet(path).count()
-    _check_types(target, batch)
-    touched = batch.select(*parts).distinct() if parts else None
-    scope = target.join(touched, parts, "left_semi") if parts else target
-    if mode in ("ignore", "plain"):
+
+    if target is None or mode != "replace":
+        known = target
+        shared = [p for p in parts if p in keys]
+        if known is not None and shared:
+            known = _without(known, batch.select(*shared).distinct(), shared, "left_semi")
         if mode == "plain":
-            upsert(scope, batch, keys, "plain")  # raises on a duplicate key
-        fresh = first_per_key(batch, keys, order).join(scope.select(*keys), keys, "left_anti")
+            upsert(known, batch, keys, "plain")  # raises on a duplicate key
+            fresh = batch
+        else:
+            fresh = first_per_key(batch, keys, order, latest=mode == "replace")
+            fresh = fresh if known is None else _without(fresh, known, keys)
         fresh = fresh.checkpoint()  # counted and written from one materialization
         n = fresh.count()
-        if n:
-            w(fresh).mode("append").parquet(path)
+        if n or target is None:
+            if home is None:
+                home = _new_snapshot(path)
+                w(fresh).mode("append").parquet(home)
+                _point(spark, path, home)
+            else:
+                w(fresh).mode("append").parquet(home)
         return n
-    if mode == "replace":
-        new_parts = upsert(scope, batch, keys, "replace", order).checkpoint()
-        (w(new_parts).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
-        return new_parts.count()
-    raise ValueError(f"unknown mode {mode!r}")
+    fresh = first_per_key(batch, keys, order, latest=True).checkpoint()
+    scope = target
+    if parts:
+        held = _without(target.select(*dict.fromkeys([*keys, *parts])), fresh, keys, "left_semi").select(*parts)
+        touched = held.unionByName(fresh.select(*parts)).distinct().checkpoint()
+        scope = _without(target, touched, parts, "left_semi")
+    new = evolve_schema(_without(scope, fresh, keys), fresh).checkpoint()
+    if parts:
+        gone = _without(touched, new.select(*parts).distinct(), parts).collect()  # partitions of this batch only
+        w(new).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        _drop_partitions(spark, path, parts, gone)
+    else:
+        snapshot = _new_snapshot(path)
+        w(new).parquet(snapshot)
+        _point(spark, path, snapshot)
+    return new.count()
+
+
+# --- numbering -----------------------------------------------------------------------------------
+
+
+def _placed(spark: SparkSession, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` in ranges of ``keys``, sorted, with its range ``_p`` and place in it ``_n``; checkpointed.
+
+    ``monotonically_increasing_id`` numbers the rows of each sorted range where
+    they are, so nothing is shuffled twice.
+    """
+    checkpoint_dir(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = F.monotonically_increasing_id()  # range in the upper bits, place in the lower 33
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", at).checkpoint()
+    return ranged.withColumn("_p", F.shiftright("_at", 33)).withColumn("_n", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
 
 def dense_index(spark: SparkSession, df: DataFrame, order_col: str, start: int = 1,
                 name: str = "idx") -> DataFrame:
     """Dense row numbers in ``order_col`` order, without a global window.
 
-    The rows are range-partitioned on the order column and checkpointed (so
-    both passes see the same partitions); each partition numbers its own rows
-    and adds the count of all rows in earlier partitions.  The offsets table
-    has one row per partition, a proven bound, so it is broadcast.
+    A row's number is its place in its range plus the rows of all earlier
+    ranges.  The offsets have one row per range, a proven bound, so they are
+    broadcast.
     """
-    checkpoint_dir(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, order_col).withColumn("_p", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).collect()  # one row per partition
-    offsets, acc = [], start - 1
+    ranged = _placed(spark, df, [order_col])
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c")).collect()  # one row per range
+    offsets, acc = [], start
     for r in sorted(counts, key=lambda r: r["_p"]):
         offsets.append((r["_p"], acc))
-        acc += r["_n"]
-    off_df = spark.createDataFrame(offsets or [(0, start - 1)], "_p int, _off bigint")
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(order_col))
-    return (ranged.join(F.broadcast(off_df), "_p")
-            .withColumn(name, (F.col("_off") + local).cast("bigint")).drop("_p", "_off"))
+        acc += r["_c"]
+    off_df = spark.createDataFrame(offsets, "_p bigint, _off bigint")
+    return ranged.join(F.broadcast(off_df), "_p").withColumn(name, F.col("_off") + F.col("_n")).drop("_p", "_n", "_off")
 
 
 def rank_within_group(spark: SparkSession, df: DataFrame, group: str, order: Sequence[str], name: str = "pos",
                       start: int = 0) -> DataFrame:
     """Position of each row inside its group, in ``order``, with no group held by one task.
 
-    Rows are range-partitioned on ``(group, *order)``, so a hot group spans
-    several partitions, and checkpointed so every pass sees the same
-    partitions.  Rows per (partition, group) are counted, and each pair's
-    offset is the sum over the earlier partitions of that group; the offsets
-    table has one row per (partition, group).  Each row then adds its local
-    number inside its (partition, group), which is bounded by one partition.
+    Rows are in ranges of ``(group, *order)``, so a hot group spans several.
+    For each (range, group) one row tells where the group begins in the range
+    and how many of its rows lie in earlier ranges; a row's position is the
+    sum of that and its place after the beginning.
     """
-    checkpoint_dir(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = [group, *order]
-    ranged = df.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("_p", group).agg(F.count("*").alias("_n"))
-    offsets = counts.select("_p", group, (F.sum("_n").over(Window.partitionBy(group).orderBy("_p"))
-                                          - F.col("_n")).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_p", group).orderBy(*order))
+    ranged = _placed(spark, df, [group, *order])
+    stretches = ranged.groupBy("_p", group).agg(F.count("*").alias("_c"), F.min("_n").alias("_first"))
+    earlier = F.sum("_c").over(Window.partitionBy(group).orderBy("_p")) - F.col("_c")
+    offsets = stretches.select("_p", group, (earlier - F.col("_first") + F.lit(start)).alias("_off"))
     return (ranged.join(offsets, ["_p", group])
-            .withColumn(name, (F.col("_off") + local - 1 + start).cast("int")).drop("_p", "_off"))
+            .withColumn(name, (F.col("_off") + F.col("_n")).cast("int")).drop("_p", "_n", "_off"))
 
 
 # --- participant dimension ----------------------------------------------------------------------
 
 
+def new_participants(spark: SparkSession, responses: DataFrame, dim: DataFrame | None,
+                     id_col: str = "global_id") -> DataFrame:
+    """The ``global_id`` values that the dimension lacks, with the dense ids that follow its largest."""
+    seen = responses.select(F.col(id_col).alias("global_id")).where(F.col("global_id").isNotNull()).distinct()
+    base = 0
+    if dim is not None:
+        seen = seen.join(dim.select("global_id"), "global_id", "left_anti")
+        base = dim.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).first()[0]
+    return dense_index(spark, seen, "global_id", start=base + 1, name="id").select("id", "global_id")
+
+
 def participant_dim(spark: SparkSession, responses: DataFrame, dim: DataFrame | None,
                     id_col: str = "global_id") -> DataFrame:
     """Add unseen ``global_id`` values with dense surrogate ids after the current max.
 
     New ids follow the sorted ``global_id`` order (``dense_index``: no global window).
     """
-    seen = responses.select(F.col(id_col).alias("global_id")).where(F.col("global_id").isNotNull()).distinct()
-    if dim is not None:
-        seen = seen.join(dim.select("global_id"), "global_id", "left_anti")
-        base = dim.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).first()[0]
-    else:
-        base = 0
-    new = dense_index(spark, seen, "global_id", start=base + 1, name="id").select("id", "global_id")
+    new = new_participants(spark, responses, dim, id_col)
     return new if dim is None else dim.select("id", "global_id").unionByName(new)
 
 
+def update_dimension(spark: SparkSession, path: str, responses: DataFrame, id_col: str = "global_id") -> int:
+    """O34 on a stored dimension: append the participants it lacks; how many."""
+    return write_keyed(spark, path, new_participants(spark, responses, read_keyed(spark, path), id_col), ["global_id"], "ignore", ())
+
+
 # --- registry, survey info, meta, import log ----------------------------------------------------
 
 
@@ -316,21 +364,16 @@ def survey_info_upsert(info: DataFrame | None, batch: DataFrame, mode: str = "re
     return upsert(info, batch, ["survey", "version"], mode)
 
 
-def meta_check(meta: DataFrame, column: str = "key_separator") -> DataFrame:
+def meta_check(meta: DataFrame, column: str = "key_separator", by: Sequence[str] = ()) -> DataFrame:
     """The separator is fixed after the first write — one distinct value at most.
 
-    Returns ``(n_values, consistent)``; ``assert_meta`` raises on a mismatch.
+    Returns ``(n_values, consistent)``, for each store named by the ``by``
+    columns; ``streaming.ensure_meta`` refuses a load that would break it.
     """
-    return meta.agg(F.count_distinct(column).cast("bigint").alias("n_values")) \
+    return meta.groupBy(*by).agg(F.count_distinct(column).cast("bigint").alias("n_values")) \
         .withColumn("consistent", F.col("n_values") <= 1)
 
 
-def assert_meta(meta: DataFrame, column: str = "key_separator") -> None:
-    row = meta_check(meta, column).first()
-    if not row["consistent"]:
-        raise ValueError(f"{column} differs from the one the store was created with")
-
-
 def import_log(batch: DataFrame, time_col: str = "submitted", group: Sequence[str] = ("survey",),
                load_time: Column | None = None) -> DataFrame:
     """One log row per non-empty load: ``(survey, start, end, n)`` from min/max."""
@@ -363,28 +406,44 @@ def export_responses(df: DataFrame, path: str, fmt: str = "csv",
 
 def export_with_catalog(spark: SparkSession, df: DataFrame, path: str, anchor: int, fmt: str = "csv",
                         layout: str = "wide", ids: Sequence[str] = ("id",), time_col: str = "submitted",
-                        period_days: int = 7) -> DataFrame:
-    """O09 + O39: export responses one folder per survey and period, and return the catalog.
-
-    ``layout='long'`` writes one row per id x column (O10).  The catalog has a
-    row per non-empty period ``(survey, start, end, n, path, updated)``; only
-    the periods present in ``df`` are overwritten (dynamic partition overwrite).
+                        period_days: int = 7, headers: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """O09 + O18 + O39: export responses, one file set per survey and period, and return the stored catalog.
+
+    A file set is a folder ``{survey}_responses_{start}_{end}.{ext}`` of part
+    files.  ``layout='long'`` writes one row per id x column (O10); ``headers``
+    are rename rules for the written columns.  The catalog at
+    ``path/catalog`` has a row per exported period ``(survey, start, end, n,
+    file, updated)``; an export replaces the periods present in ``df`` and
+    keeps the others, and ``periods.catalog_restart`` reads it.
     """
-    from .periods import period_of
+    from ..functions.rename import header_rename
+    from .periods import file_name, period_of
     from .reshape import wide_to_long
-    rows = df.withColumn("period_start", period_of(F.col(time_col), anchor, period_days))
+    checkpoint_dir(spark)  # the periods are kept in the shared folder
+    step = period_days * 86400
+    start = period_of(F.col(time_col), anchor, period_days)
+    rows = df.withColumn("file", file_name(F.col("survey"), start, start + F.lit(step), fmt)).withColumn("period_start", start)
+    periods = rows.groupBy("survey", F.col("period_start").alias("start"), (F.col("period_start") + step).alias("end"), "file") \
+        .agg(F.count("*").alias("n")).checkpoint()
+    rows = rows.drop("period_start")
     if layout == "long":
-        keep = [*ids, "survey", "period_start"]
+        keep = [*ids, "survey", "file"]
         rows = wide_to_long(rows, keep, [c for c in rows.columns if c not in keep])
     elif layout != "wide":
         raise ValueError(f"unknown layout {layout!r}")
-    export_responses(rows, path, fmt, ("survey", "period_start"))
-    step = period_days * 86400
-    cat = rows.groupBy("survey", "period_start").agg(F.count("*").alias("n"))
-    return cat.select("survey", F.col("period_start").alias("start"), (F.col("period_start") + step).alias("end"),
-                      "n", F.concat(F.lit(path + "/survey="), "survey", F.lit("/period_start="),
-                                    F.col("period_start").cast("string")).alias("path"),
-                      F.current_timestamp().alias("updated"))
+    if headers:
+        rows = header_rename(rows, headers)
+    staged = f"{path}/.staged-{uuid.uuid4().hex}"
+    export_responses(rows, staged, fmt, ("file",))
+    for r in periods.select("file").collect():  # a row per period of this export
+        fs, new = _hadoop(spark, f"{path}/{r['file']}")
+        fs.delete(new, True)
+        fs.rename(_hadoop(spark, f"{staged}/file={r['file']}")[1], new)
+    fs, rest = _hadoop(spark, staged)
+    fs.delete(rest, True)
+    entries = periods.select("survey", "start", "end", "n", "file", F.current_timestamp().alias("updated"))
+    write_keyed(spark, f"{path}/catalog", entries, ["survey", "start"], "replace", ())
+    return read_keyed(spark, f"{path}/catalog")
 
 
 def read_export(spark: SparkSession, path: str, fmt: str, schema: str | None = None) -> DataFrame:

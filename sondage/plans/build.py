@@ -4,28 +4,25 @@ Plan shape
 ----------
 1. Scan the raw store with the survey, time and version predicates pushed
    down (O01, O04, O13).
-2. Key discovery: one aggregate ``distinct(survey, version, key)`` over
-   ``json_object_keys(data)`` (partial aggregation keeps the shuffle tiny),
-   skipped when the profile already lists the keys.  Its size is the survey
-   *schema*, not the data, so it is safe to bring to the driver.
-3. For every (survey, version) member the processor chain (O44) runs on column
+2. The payload keys of each (survey, version) come from the key catalog kept at
+   ingest; the same scan checks that no payload holds a key the catalog lacks.
+   Without a catalog one aggregate discovers them (``distinct`` over
+   ``json_object_keys(data)``, combined in each task).  Their number is the
+   survey *schema*, not the data, and has a declared limit.
+3. The payload is parsed once, into a struct holding only the needed keys.
+   Rows that do not decode are left out here, before a copy is chosen, so a
+   truncated copy never displaces a whole one; ``build_rejects`` reports them.
+4. In-batch de-duplication on ``(survey, id)`` (O31 'ignore' semantics): one lazy
+   exchange on the key, each task keeping one row per key.
+5. For every (survey, version) member the processor chain (O44) runs on column
    *metadata*: casts append an operation to a column, renames change its name.
-   Nothing is executed yet.
-4. The payload is parsed once, into a struct holding only the needed keys
-   (the parser skips the rest).  The per-member results are merged into ONE
-   projection: each output column is ``coalesce`` of the payload fields that
-   feed it (a row only carries the
-   keys of its own member, and the per-member collision check guarantees one
-   source per row), guarded by a member predicate only where one raw key is
-   treated differently by different members.  One scan, one JSON parse, one
-   whole-stage-codegen projection — the version loop of a row-at-a-time
-   builder disappears.
-5. In-batch de-duplication on ``(survey, id)`` (O31 'ignore' semantics).
-   ``auto`` first finds duplicate keys by shuffling the keys only; with none
-   the payload is never shuffled, with a few (counted, below
-   ``DEDUPE_BROADCAST_MAX``) only their rows are de-duplicated through
-   broadcast semi/anti joins, otherwise one aggregate with a partial step
-   (never a window over an unbounded key).
+   The results are merged into ONE projection: each output column is
+   ``coalesce`` of the payload fields that feed it (a row only carries the keys
+   of its own member, and the per-member collision check guarantees one source
+   per row), guarded by a member predicate only where one raw key is treated
+   differently by different members.  A custom processor is a DataFrame
+   function; the chain is compiled up to it, the function gets the rows of its
+   versions, and the rest of the chain goes on with the columns it returns.
 """
 
 from __future__ import annotations
@@ -37,11 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import evaluate_once
-from ..functions.cast import RESULT_TYPES, cast_expr
+from ..functions import evaluate_once, schema_rows
+from ..functions.cast import CAST_TYPES, RESULT_TYPES, cast_expr
 from ..functions.rename import (DEFAULT_SEPARATOR, RenameChain, default_chain, parse_rename_rules)
 from ..functions.select import ColumnSelector
-from ..functions.versions import VersionSelector, padded, parse_selector, parse_version, version_array
+from ..functions.versions import VersionSelector, canonical, parse_selector, parse_version, version_array
 from ..sources.raw import time_range_filter
 
 # --- fixed values ----------------------------------------------------------------------------
@@ -56,27 +53,35 @@ ALWAYS_DATES = ["submitted", "opened"]
 # ---------------------------------------------------------------------------------------------
 
 BAD_FIELD = "__sondage_corrupt__"  # corrupt-record column of the payload parse
-
-
-class TypeConflictError(ValueError):
-    pass
+#: Columns that tell a row's member to custom processors and to what follows them.
+MEMBER_SURVEY, MEMBER_VERSION = "__survey", "__version"
+#: Types of a column that gets several: numbers widen; text is read as the other type; else text.
+NUMBERS = {"bigint", "double"}
 
 
 @dataclass(frozen=True)
 class ColumnSpec:
-    """Where an output column comes from: a payload key and the casts applied to it."""
+    """Where an output column comes from: a source column, its type, and the casts applied to it."""
 
     key: str
     ops: tuple = ()
+    base: str = "string"  # type of the source column
+    number: str | None = None  # 'int' or 'float': the key's values are all such JSON numbers
 
     @property
     def result_type(self) -> str:
-        return RESULT_TYPES.get(self.ops[-1], "string") if self.ops else "string"
+        op = self.ops[-1] if self.ops else self.number
+        return RESULT_TYPES[op] if op else self.base
 
     def with_op(self, op: str) -> "ColumnSpec":
-        if self.ops and self.ops[-1] == op:
+        if self.result_type == RESULT_TYPES[op] and op != "json":
             return self  # already of that type: the reference skips it too
-        return ColumnSpec(self.key, self.ops + (op,))
+        return ColumnSpec(self.key, self.ops + (op,), self.base)
+
+    def expr(self, source: Column, on_error: str) -> Column:
+        for op in self.ops or ((self.number,) if self.number else ()):
+            source = cast_expr(source, op, on_error)
+        return source
 
 
 Plan = dict  # current column name -> ColumnSpec, in insertion order
@@ -100,7 +105,7 @@ class Processor:
 
 @dataclass
 class SchemaCast(Processor):
-    """O27 in the chain: bool, json and date casts from the column-type map."""
+    """O27 in the chain: the casts of the column-type map; ``text`` keeps numbers as text."""
 
     column_types: Mapping | Callable | None = None
 
@@ -120,7 +125,7 @@ class SchemaCast(Processor):
         out = {}
         for name, spec in cols.items():
             t = types.get(name)
-            out[name] = spec.with_op(t) if t in ("bool", "json", "date") else spec
+            out[name] = spec.with_op(t) if t in CAST_TYPES else ColumnSpec(spec.key, spec.ops, spec.base) if t == "text" else spec
         return out
 
 
@@ -149,13 +154,21 @@ class Rename(Processor):
 
 @dataclass
 class Custom(Processor):
-    """A user function ``DataFrame -> DataFrame``, applied to the built table
-    (always at position ``end``; rows of other versions pass through unchanged)."""
+    """A user function ``DataFrame -> DataFrame`` at its position, for the rows of its versions.
+
+    It sees the columns as they are there (raw keys before the renaming, which
+    must differ in more than case), and ``__survey`` and ``__version``, which it
+    must keep.  Rows of other versions
+    pass through unchanged; columns it adds are null for them.
+    """
 
     fn: Callable[[DataFrame], DataFrame] | None = None
 
-    def plan(self, cols: Plan, survey: str | None) -> Plan:
-        return cols
+    def run(self, df: DataFrame) -> DataFrame:
+        if self.version is None or self.version.is_empty:
+            return self.fn(df)
+        mine = self.version.column(F.col(MEMBER_VERSION))
+        return self.fn(df.where(mine)).unionByName(df.where(~mine), allowMissingColumns=True)
 
 
 # --- profile --------------------------------------------------------------------------------------
@@ -170,10 +183,13 @@ class BuildProfile:
     start_time: object = None
     end_time: object = None
     mode: str = "ignore"
-    dedupe: bool | str = "auto"
+    dedupe: bool = True  # False: the raw store is keyed already
     on_error: str = "error"
     keys: Mapping | None = None  # {(survey, version): [keys]} when the schema is known
-    compressor: str | None = None  # payload codec of the raw store (None/'none' or 'zlib')
+    verify_keys: bool = True  # whether given keys are checked against every payload
+    numbers: Mapping = field(default_factory=dict)  # {key: 'int' | 'float'} with given keys
+    infer_numbers: bool = True  # whether keys whose values are all JSON numbers become int/float columns
+    compressor: str | None = None  # payload codec of the raw store (None/'none', 'zlib' or 'zstd')
 
     def chain_for(self, version: str) -> list:
         return [p for p in self.processors if p.applies_to(version)]
@@ -190,7 +206,12 @@ def order_processors(processors: Sequence[Processor]) -> list[Processor]:
     return sorted(processors, key=_position_rank)
 
 
-def parse_processor(spec: Mapping, separator: str) -> Processor:
+def parse_processor(spec: Mapping | str, separator: str, defaults: Mapping[str, Processor] | None = None) -> Processor:
+    """A processor definition, or the name of a default one."""
+    if isinstance(spec, str):
+        if spec not in (defaults or {}):
+            raise ValueError(f"unknown default processor {spec!r}")
+        return defaults[spec]
     name = spec["name"]
     position = spec.get("position", CUSTOM_DEFAULT_POSITION)
     version = parse_selector(spec["version"]) if spec.get("version") else None
@@ -202,20 +223,21 @@ def parse_processor(spec: Mapping, separator: str) -> Processor:
         chain = RenameChain(parse_rename_rules(spec["rules"], separator), excluded=spec.get("excluded") or ())
         return Rename(name, position, version, chain=chain)
     if name == "custom":
-        return Custom(name, "end", version, fn=spec["fn"])
+        return Custom(name, position, version, fn=spec["fn"])
     raise ValueError(f"unknown processor {name!r}")
 
 
 def parse_profile(spec: Mapping) -> BuildProfile:
     """A build profile in the reference vocabulary (plain dict)."""
     sep = spec.get("key_separator", DEFAULT_SEPARATOR)
-    procs: list[Processor] = []
+    defaults = {
+        "default_casting": SchemaCast("default_casting", "default_casting", None,
+                                      column_types=spec.get("schema"), inferred=spec.get("inferred_schema")),
+        "default_renaming": Rename("default_renaming", "default_renaming", None, chain=default_chain(sep))}
+    given = list(spec.get("processors") or [])
     if spec.get("processors_defaults", True):
-        procs.append(SchemaCast("default_casting", "default_casting", None,
-                                column_types=spec.get("schema"), inferred=spec.get("inferred_schema")))
-        procs.append(Rename("default_renaming", "default_renaming", None, chain=default_chain(sep)))
-    for p in spec.get("processors") or []:
-        procs.append(p if isinstance(p, Processor) else parse_processor(p, sep))
+        given += list(defaults)
+    procs = [p if isinstance(p, Processor) else parse_processor(p, sep, defaults) for p in given]
     return BuildProfile(
         separator=sep,
         versions=parse_selector(spec.get("versions")),
@@ -224,9 +246,12 @@ def parse_profile(spec: Mapping) -> BuildProfile:
         start_time=spec.get("start_time"),
         end_time=spec.get("end_time"),
         mode=spec.get("mode", "ignore"),
-        dedupe=spec.get("dedupe", "auto"),
+        dedupe=bool(spec.get("dedupe", True)),
         on_error=spec.get("on_error", "error"),
         keys=spec.get("keys"),
+        verify_keys=spec.get("verify_keys", True),
+        numbers=spec.get("numbers") or {},
+        infer_numbers=spec.get("infer_numbers", True),
         compressor=spec.get("compressor"),
     )
 
@@ -234,21 +259,32 @@ def parse_profile(spec: Mapping) -> BuildProfile:
 # --- dispatch --------------------------------------------------------------------------------------
 
 
-def member_plans(members: Mapping[tuple, Sequence[str]], profile: BuildProfile) -> dict[tuple, Plan]:
-    """Run each member's processor chain over its keys (driver-side, names only)."""
+def run_processors(plans: Mapping[tuple, Plan], processors: Sequence[Processor]) -> dict[tuple, Plan]:
+    """Run a stretch of the chain over each member's columns (driver-side, names and types only)."""
     out = {}
-    for (survey, version), keys in members.items():
-        parse_version(version)  # a malformed version is an error, as in the reference
-        cols: Plan = {k: ColumnSpec(k) for k in sorted(keys)}
-        for proc in profile.chain_for(version):
-            try:
-                cols = proc.plan(cols, survey)
-            except ValueError as e:
-                raise type(e)(f"survey {survey!r} version {version!r}: {e}") from e
+    for (survey, version), cols in plans.items():
+        for proc in processors:
+            if proc.applies_to(version):
+                try:
+                    cols = proc.plan(cols, survey)
+                except ValueError as e:
+                    raise type(e)(f"survey {survey!r} version {version!r}: {e}") from e
         out[(survey, version)] = cols
     return out
 
 
+def member_plans(members: Mapping[tuple, Sequence[str]], profile: BuildProfile,
+                 numbers: Mapping[str, str] | None = None) -> dict[tuple, Plan]:
+    """Each member's columns after its whole chain, custom functions left out."""
+    return run_processors(_payload_plans(members, numbers), [p for p in profile.processors if not isinstance(p, Custom)])
+
+
+def _payload_plans(members: Mapping[tuple, Sequence[str]], numbers: Mapping[str, str] | None) -> dict[tuple, Plan]:
+    for _, version in members:
+        parse_version(version)  # a malformed version is an error, as in the reference
+    return {m: {k: ColumnSpec(k, number=(numbers or {}).get(k)) for k in sorted(keys)} for m, keys in members.items()}
+
+
 def _member_key(survey_col: Column, version_col: Column) -> Column:
     return F.concat_ws("\u0001", F.coalesce(survey_col, F.lit("")), version_col)
 
@@ -257,9 +293,21 @@ def _member_lit(survey, version) -> str:
     return f"{survey or ''}\u0001{version}"
 
 
+def _common_type(types: set[str]) -> str:
+    """The type of a column that its members give several types."""
+    if types <= NUMBERS:
+        return "double" if len(types) > 1 else next(iter(types))
+    typed = types - {"string"}
+    return typed.pop() if len(typed) == 1 else "string"
+
+
 def compile_projection(plans: Mapping[tuple, Plan], lookup: Callable[[str], Column], survey_col: Column,
                        version_col: Column, on_error: str = "error") -> dict[str, Column]:
-    """Merge per-member plans into one expression per output column."""
+    """Merge per-member plans into one expression per output column.
+
+    A column that only some versions cast gets the cast type; the text of the
+    other versions is read as that type, null where it is no such value.
+    """
     # raw key -> {(target, spec)} over the members that contain it
     by_key: dict[str, set] = {}
     # target -> {spec -> [members]}
@@ -271,21 +319,17 @@ def compile_projection(plans: Mapping[tuple, Plan], lookup: Callable[[str], Colu
     mkey = _member_key(survey_col, version_col)
     exprs: dict[str, Column] = {}
     for target, sources in by_target.items():
-        types = {s.result_type for s in sources}
-        if len(types) > 1:
-            raise TypeConflictError(f"column {target!r} gets types {sorted(types)} in different versions")
+        rtype = _common_type({s.result_type for s in sources})
+        reader = next((op for op, t in RESULT_TYPES.items() if t == rtype and t != "string"), None)
         terms = []
         for spec, members in sorted(sources.items(), key=lambda kv: (kv[0].key, kv[0].ops)):
-            e = lookup(spec.key)
-            for op in spec.ops:
-                e = cast_expr(e, op, on_error)
+            e = spec.expr(lookup(spec.key), on_error)
+            if spec.result_type == "string" and reader:
+                e = cast_expr(e, reader, "null")
             if len(by_key[spec.key]) > 1:  # same key treated differently elsewhere: guard it
                 e = F.when(mkey.isin(*[_member_lit(*m) for m in members]), e)
-            terms.append(e)
-        rtype = types.pop()
-        expr = terms[0] if len(terms) == 1 else F.coalesce(*terms)
-        exprs[target] = expr.cast({"string": "string", "boolean": "boolean",
-                                   "timestamp": "timestamp"}[rtype])
+            terms.append(e.cast(rtype))
+        exprs[target] = terms[0] if len(terms) == 1 else F.coalesce(*terms)
     return exprs
 
 
@@ -299,18 +343,47 @@ def output_order(names: Sequence[str]) -> list[str]:
     return std + rest
 
 
-def discover_members(raw: DataFrame, survey_col: str = "survey", data_col: str = "data") -> dict[tuple, list[str]]:
-    """(survey, version) -> sorted payload keys; one small aggregate job.
+def discover_schema(raw: DataFrame, data_col: str = "data", survey_col: str = "survey",
+                    numbers: bool = True) -> tuple[dict[tuple, list[str]], dict[str, str]]:
+    """Payload keys of each (survey, version), and the keys whose values are all JSON numbers (``int``/``float``).
 
-    ``json_object_keys`` parses the payload without building values; the
-    distinct triples are combined map-side.  The result is the survey schema
-    (versions x questions), not the data.
+    One aggregate of distinct (survey, version, key, kind of value), combined in
+    each task.  Payloads that do not decode have no keys.
     """
     s = F.col(survey_col) if survey_col in raw.columns else F.lit(None).cast("string")
-    rows = (raw.select(s.alias("s"), F.col("version").alias("v"),
-                       F.explode(F.json_object_keys(F.col(data_col).cast("string"))).alias("k"))
-            .groupBy("s", "v").agg(F.collect_set("k").alias("keys")).collect())
-    return {(r["s"], r["v"]): sorted(r["keys"]) for r in rows}
+    if numbers:
+        entry = F.from_json(F.col(data_col).cast("string"), "map<string,variant>")
+        rows = raw.select(s.alias("s"), F.col("version").alias("v"), F.explode(entry).alias("k", "x"))
+        kind = F.schema_of_variant("x")
+        kind = (F.when(kind == "BIGINT", F.lit("int")).when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.lit("float"))
+                .when(kind == "VOID", F.lit("null")).otherwise(F.lit("text")))
+    else:
+        keys = F.explode(F.json_object_keys(F.col(data_col).cast("string")))
+        rows, kind = raw.select(s.alias("s"), F.col("version").alias("v"), keys.alias("k")), F.lit("text")
+    got = schema_rows(rows.select("s", "v", "k", kind.alias("kind")).distinct(), "set of payload keys")
+    members: dict[tuple, set] = {}
+    kinds: dict[str, set] = {}
+    for r in got:
+        members.setdefault((r["s"], r["v"]), set()).add(r["k"])
+        kinds.setdefault(r["k"], set()).add(r["kind"])
+    number = {k: "float" if "float" in x else "int" for k, x in kinds.items() if x - {"null"} and x <= {"int", "float", "null"}}
+    return {m: sorted(k) for m, k in members.items()}, number
+
+
+def discover_members(raw: DataFrame, survey_col: str = "survey", data_col: str = "data") -> dict[tuple, list[str]]:
+    """(survey, version) -> sorted payload keys; one small aggregate job."""
+    return discover_schema(raw, data_col, survey_col, numbers=False)[0]
+
+
+def keys_listed(data: Column, keys: Mapping[tuple, Sequence[str]], survey_col: Column, version_col: Column) -> Column:
+    """True; an error where a payload holds a key that ``keys`` does not list for its (survey, version)."""
+    pairs = [x for m, ks in keys.items() for x in (F.lit(_member_lit(*m)), F.array(*[F.lit(k) for k in ks]).cast("array<string>"))]
+    listed = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
+    known = F.coalesce(F.try_element_at(listed, _member_key(survey_col, version_col)), F.array().cast("array<string>"))
+    extra = F.array_except(F.json_object_keys(data.cast("string")), known)
+    where = F.concat_ws(" ", F.coalesce(survey_col, F.lit("")), version_col)
+    return F.when(F.coalesce(F.size(extra), F.lit(0)) <= 0, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("payload keys missing from the key catalog, "), where, F.lit(": "), F.array_join(extra, ", "))).cast("boolean"))
 
 
 def payload_struct(keys: Sequence[str]) -> T.StructType:
@@ -340,18 +413,6 @@ def payload_ok(p: Column) -> Column:
     return p.isNotNull() & p.getField(BAD_FIELD).isNull()
 
 
-def dedupe_raw(df: DataFrame, keys: Sequence[str], mode: bool | str = "auto") -> DataFrame:
-    """In-batch de-duplication of raw rows on ``keys``; first by (version, submitted, data).
-
-    ``auto`` shuffles the keys only unless duplicates exist (``store.first_per_key``).
-    """
-    if not mode:
-        return df
-    from ..operators.store import first_per_key
-    order = [version_array(F.col("version")), F.col("submitted"), F.col("data")]
-    return first_per_key(df, keys, order, mode="auto" if mode == "auto" else "full")
-
-
 def prepare_raw(raw: DataFrame, profile: BuildProfile, survey: str | None = None) -> DataFrame:
     """Survey, time and version predicates on the raw rows (all pushed before decode)."""
     df = raw
@@ -363,31 +424,77 @@ def prepare_raw(raw: DataFrame, profile: BuildProfile, survey: str | None = None
     return df
 
 
+def _scanned(raw: DataFrame, prof: BuildProfile, survey: str | None) -> DataFrame:
+    df = prepare_raw(raw, prof, survey)
+    if prof.compressor not in (None, "none") or isinstance(df.schema["data"].dataType, T.BinaryType):
+        from ..sources.raw import decompress
+        df = df.withColumn("data", decompress("data", prof.compressor or "none"))
+    return df
+
+
+def build_rejects(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | None = None) -> DataFrame:
+    """Rows of the build's scan whose payload does not decode: ``(survey?, id, submitted, version, data, lost)``.
+
+    ``lost``: no other row of the scan holds a payload for the id that decodes.
+    """
+    from ..operators.store import _without
+    from ..sources.raw import decode
+    df = _scanned(raw, profile if isinstance(profile, BuildProfile) else parse_profile(profile), survey)
+    keys = [c for c in ("survey", "id") if c in df.columns]
+    bad = df.where(decode("data").isNull())
+    whole = df.where(decode("data").isNotNull()).select(*keys).distinct()
+    return (_without(bad, whole, keys, "left_semi").withColumn("lost", F.lit(False))
+            .unionByName(_without(bad, whole, keys).withColumn("lost", F.lit(True))))
+
+
 def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | None = None,
                include_survey: bool | None = None) -> DataFrame:
     """Raw responses -> typed flat rows (one row per response id).
 
-    ``raw`` has ``(survey?, id, submitted, version, data)``.  Rows whose payload
-    does not decode are left out (see ``sources.raw.split_quarantine``).
+    ``raw`` has ``(survey?, id, submitted, version, data)``.  Of several copies
+    of an id the first by (version, submitted, payload) that decodes is taken;
+    the rows left out are those of ``build_rejects``.
     """
+    from ..operators.store import first_per_key
     prof = profile if isinstance(profile, BuildProfile) else parse_profile(profile)
-    df = prepare_raw(raw, prof, survey)
-    if prof.compressor not in (None, "none") or isinstance(df.schema["data"].dataType, T.BinaryType):
-        from ..sources.raw import decompress
-        df = df.withColumn("data", decompress("data", prof.compressor or "none"))
+    df = _scanned(raw, prof, survey)
     has_survey = "survey" in df.columns
-    df = dedupe_raw(df, ["survey", "id"] if has_survey else ["id"], prof.dedupe)
-    members = prof.keys if prof.keys is not None else discover_members(df)
-    plans = member_plans(members or {}, prof)
-    keys = sorted({spec.key for plan in plans.values() for spec in plan.values()})
-    # The payload is parsed once per row (see ``evaluate_once``), then read field by field.
-    carried = [c for c in ("survey", "version") if c in df.columns] + ([] if keys else ["id"])
-    dec = evaluate_once(df.select(*carried, "data"),
-                        _p=decode_struct(F.col("data"), keys)).where(payload_ok(F.col("_p")))
     s_col = F.col("survey") if has_survey else F.lit(None).cast("string")
+    if prof.keys is not None:
+        members, numbers = {m: list(k) for m, k in prof.keys.items()}, prof.numbers
+        if prof.verify_keys:
+            df = df.where(keys_listed(F.col("data"), members, s_col, F.col("version")))
+    else:
+        members, numbers = discover_schema(df, numbers=prof.infer_numbers)
+    keys = sorted({k for ks in members.values() for k in ks})
+    # The payload is parsed once per row (see ``evaluate_once``), then read field by field.
+    dec = evaluate_once(df.select(s_col.alias(MEMBER_SURVEY), F.col("version").alias(MEMBER_VERSION), "id", "submitted", "data"),
+                        _p=decode_struct(F.col("data"), keys)).where(payload_ok(F.col("_p"))).drop("data")
+    if prof.dedupe:
+        order = [version_array(F.col(MEMBER_VERSION)), F.col("submitted"), F.col("_p")]
+        dec = first_per_key(dec, [MEMBER_SURVEY, "id"] if has_survey else ["id"], order)
+    s_col, v_col = F.col(MEMBER_SURVEY), F.col(MEMBER_VERSION)
     index = {k: i for i, k in enumerate(keys)}
-    exprs = compile_projection(plans, lambda k: F.col("_p").getField(positional_name(index[k])), s_col,
-                               F.col("version"), prof.on_error)
+    plans = _payload_plans(members, numbers)
+    lookup = lambda k: F.col("_p").getField(positional_name(index[k]))
+    chain: list[Processor] = []
+    for p in prof.processors:
+        if not (isinstance(p, Custom) and p.fn is not None):
+            chain.append(p)
+            continue
+        plans = run_processors(plans, chain)
+        exprs = compile_projection(plans, lookup, s_col, v_col, prof.on_error)
+        before = dec.select(s_col, v_col, *[e.alias(n) for n, e in exprs.items()])
+        dec, chain = p.run(before), []
+        if not {MEMBER_SURVEY, MEMBER_VERSION} <= set(dec.columns):
+            raise ValueError(f"processor {p.name!r} must keep {MEMBER_SURVEY} and {MEMBER_VERSION}")
+        types = {f.name: f.dataType.simpleString() for f in dec.schema.fields if f.name not in (MEMBER_SURVEY, MEMBER_VERSION)}
+        added = [c for c in types if c not in before.columns]
+        plans = {m: {c: ColumnSpec(c, base=types[c]) for c in [*[c for c in cols if c in types], *(added if p.applies_to(m[1]) else [])]}
+                 for m, cols in plans.items()}
+        lookup = lambda k: F.col(f"`{k}`")
+    plans = run_processors(plans, chain)
+    exprs = compile_projection(plans, lookup, s_col, v_col, prof.on_error)
     # JSON-typed columns parse text again (no code generation for JSON): they are
     # computed in their own one-row generator so the final projection stays in
     # whole-stage codegen.
@@ -398,21 +505,14 @@ def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | No
     out_cols = []
     if include_survey or (include_survey is None and has_survey):
         out_cols.append(s_col.alias("survey"))
-    for name in output_order(list(exprs)):
-        out_cols.append(exprs[name].alias(name))
-    if not exprs:
-        out_cols.append(F.col("id"))
-    out = dec.select(*out_cols)
-    for p in prof.processors:
-        if isinstance(p, Custom) and p.fn is not None:
-            out = p.fn(out)
-    return out
+    out_cols += [exprs[name].alias(name) for name in output_order(list(exprs))]
+    return dec.select(*out_cols, *(["id"] if not exprs and "id" in dec.columns else []))
 
 
 def version_dispatch_table(members: Mapping[tuple, Sequence[str]], profile: BuildProfile) -> list[tuple]:
     """O43 as data: (survey, version, processor names applied in order)."""
     rows = []
-    for (survey, version) in sorted(members, key=lambda m: (m[0] or "", padded(parse_version(m[1])))):
+    for (survey, version) in sorted(members, key=lambda m: (m[0] or "", canonical(m[1]))):
         rows.append((survey, version, [p.name for p in profile.chain_for(version)]))
     return rows
 
@@ -433,7 +533,7 @@ def infer_column_types(si_rows: DataFrame, surveys: Sequence[str] | None = None,
         rows = rows.where(F.col("survey").isin(list(surveys)))
     if versions is not None and not versions.is_empty:
         rows = rows.where(versions.column(F.col("version")))
-    types = latest_type(schema_rows_from_info(rows, column)).collect()
+    types = schema_rows(latest_type(schema_rows_from_info(rows, column)), "set of survey columns")
     out: dict[str, dict] = {}
     for r in types:
         out.setdefault(r["survey"], {})[r["column"]] = r["type"]
@@ -507,24 +607,31 @@ def build_plan(raw: DataFrame, plan: Mapping, base_dir: str = ".") -> dict[str,
     # the shared keys are narrowed to each profile's versions.
     need = [s for s, spec in entries if spec.get("keys") is None and not spec.get("compressor")
             and spec.get("start_time") is None and spec.get("end_time") is None]
-    members = discover_members(raw.where(F.col("survey").isin(need))) if need else {}
+    members, numbers = discover_schema(raw.where(F.col("survey").isin(need))) if need else ({}, {})
     out = {}
     for s, spec in entries:
         if s in need:
             sel = parse_selector(spec.get("versions"))
-            spec = {**spec, "keys": {m: k for m, k in members.items()
-                                     if m[0] == s and (sel.is_empty or sel.matches(m[1]))}}
+            mine = {m: k for m, k in members.items() if m[0] == s and (sel.is_empty or sel.matches(m[1]))}
+            # found in these very rows: nothing to verify
+            spec = {**spec, "keys": mine, "verify_keys": False, "numbers": numbers if spec.get("infer_numbers", True) else {}}
         out[s] = build_flat(raw, spec, survey=s, include_survey=True)
     return out
 
 
+REGISTRY_TABLE = "survey_response_table"
+DIMENSION_TABLE = "survey_surveyuser"
+
+
 def run_build_plan(spark, raw: DataFrame, plan: Mapping, target_dir: str, base_dir: str = ".") -> DataFrame:
     """O45/O46 end to end: build every survey of the plan and write its flat table
-    (keyed on ``id`` with the profile's mode), then record the tables (O33).
+    (keyed on ``id`` with the profile's mode), extend the participant dimension
+    (O34) by the participants seen, and record the tables (O33).
 
-    Returns the registry entries ``(survey, table, type, rows_written)``.
+    All tables are under ``target_dir``; returns ``(survey, table, type,
+    rows_written)`` of this run.
     """
-    from ..operators.store import FLAT_TABLE_PREFIX, write_keyed
+    from ..operators.store import FLAT_TABLE_PREFIX, read_keyed, update_dimension, write_keyed
     profiles = plan.get("profiles", {}) or {}
     shared = plan.get("defaults", {}) or {}
     rows = []
@@ -532,5 +639,9 @@ def run_build_plan(spark, raw: DataFrame, plan: Mapping, target_dir: str, base_d
         spec = {**shared, **resolve_profile(dict(_plan_entries(plan))[s], profiles, base_dir)}
         table = spec.get("target_table", FLAT_TABLE_PREFIX + "{survey}").format(survey=s)
         n = write_keyed(spark, f"{target_dir}/{table}", flat, ["id"], spec.get("mode", "ignore"), ())
+        if "global_id" in flat.columns:
+            update_dimension(spark, f"{target_dir}/{DIMENSION_TABLE}", read_keyed(spark, f"{target_dir}/{table}"))
         rows.append((s, table, "flat", int(n)))
-    return spark.createDataFrame(rows, "survey string, table string, type string, rows_written long")
+    done = spark.createDataFrame(rows, "survey string, table string, type string, rows_written long")
+    write_keyed(spark, f"{target_dir}/{REGISTRY_TABLE}", done.drop("rows_written"), ["table"], "ignore", ())
+    return done

@@ -73,7 +73,7 @@ KEYS = f"WITH {E}, {PAYLOAD_LONG}, keys AS (SELECT DISTINCT key FROM kv)"
 
 P = """p AS (
   SELECT c_custkey, 'p' || c_custkey AS participantId, c_acctbal, c_mktsegment AS segment,
-    CASE WHEN c_custkey % 10 = 0 THEN 'temporary' WHEN c_custkey % 10 = 1 THEN 'inactive' ELSE 'active' END AS studyStatus,
+    CASE WHEN c_custkey % 23 = 0 THEN NULL WHEN c_custkey % 10 = 0 THEN 'temporary' WHEN c_custkey % 10 = 1 THEN 'inactive' ELSE 'active' END AS studyStatus,
     c_custkey % 13 <> 0 AS has_minor,
     CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 2 AS VARCHAR) END AS minor,
     c_custkey % 17 = 0 AS is_nan,
@@ -117,8 +117,9 @@ ORACLE["quarantine_rows"] = f"""WITH {E}
 SELECT survey, CAST(count(*) AS BIGINT) AS n_bad FROM e WHERE event_id % 97 = 0 GROUP BY survey"""
 
 ORACLE["recode_flags"] = f"""WITH {E}
-SELECT 'r' || event_id AS id, survey || '.main.Q1|0' AS key,
-  CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS value FROM e"""
+SELECT 'r' || event_id AS id, 'BOOLEAN' AS q1_type, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS q1,
+  CASE WHEN k % 10 <> 0 THEN 'STRING' END AS q2_type, CASE WHEN k % 10 <> 0 THEN '"' || k || '"' END AS q2,
+  'OBJECT' AS q5_type, {Q5_JSON} AS q5, 'BIGINT' AS submitted_type, CAST(sub AS VARCHAR) AS submitted FROM e"""
 
 ORACLE["flatten_survey_info"] = f"""WITH {SI}
 SELECT survey, version, published, "column" AS question, questionType FROM si"""
@@ -127,11 +128,20 @@ ORACLE["participants_by_status"] = f"""WITH {P}
 SELECT participantId, studyStatus FROM p WHERE studyStatus = 'active'"""
 
 ORACLE["id_list"] = """SELECT DISTINCT id FROM (
-  SELECT 'p' || o_custkey AS id FROM orders UNION ALL SELECT 'p' || (o_custkey % 7) FROM orders)"""
+  SELECT 'p' || o_custkey AS id FROM orders UNION ALL SELECT 'p' || (o_custkey % 7) FROM orders
+  UNION ALL SELECT unnest(['l' || c_custkey, 'j' || c_custkey, 'j0', 'k' || c_custkey, 'k0', 'v' || c_custkey, 'v0']) FROM customer)"""
 
-ORACLE["export_roundtrip"] = f"""WITH {E}
-SELECT survey, CAST({ANCHOR} + floor((sub - {ANCHOR}) / 604800) * 604800 AS BIGINT) AS period_start,
-  'r' || event_id AS id, version, sub AS submitted FROM e"""
+PERIOD = f"CAST({ANCHOR} + floor((sub - {ANCHOR}) / 604800) * 604800 AS BIGINT)"
+FILE_TIME = lambda x: f"strftime(make_timestamp(({x}) * 1000000), '%Y-%m-%d-%H-%M-%S')"
+
+ORACLE["export_roundtrip"] = f"""{FLAT},
+f AS (SELECT flat.*, e.sub, {PERIOD} AS period_start FROM flat JOIN e ON flat.id = 'r' || e.event_id),
+n AS (SELECT survey, period_start, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1, 2),
+c AS (UNPIVOT (SELECT survey, id, version, sub AS submitted, period_start, Q2, Q3_lk_1 AS Q3_likert_1, Q4_multi_row1_col2, Q5, EX_Q2 FROM f)
+  ON Q2, Q3_likert_1, Q4_multi_row1_col2, Q5, EX_Q2 INTO NAME key VALUE value)
+SELECT survey, id, version, submitted, key, value, value AS long_value, period_start, n,
+  survey || '_responses_' || {FILE_TIME('period_start')} || '_' || {FILE_TIME('period_start + 604800')} || '.csv' AS file
+FROM c JOIN n USING (survey, period_start)"""
 
 ORACLE["wide_to_long"] = f"""{FLAT}
 SELECT id, key, value FROM (UNPIVOT (SELECT id, Q2, Q3_lk_1, Q4_multi_row1_col2, Q5, EX_Q2 FROM flat)
@@ -140,14 +150,30 @@ SELECT id, key, value FROM (UNPIVOT (SELECT id, Q2, Q3_lk_1, Q4_multi_row1_col2,
 ORACLE["long_to_wide"] = f"""{FLAT}
 SELECT id, Q2, Q3_lk_1, Q4_multi_row1_col2, Q5, EX_Q2 FROM flat"""
 
-ORACLE["version_order"] = f"""WITH {E}, {SI}, v AS (
-  SELECT DISTINCT version FROM si UNION SELECT DISTINCT version FROM e)
-SELECT version, CAST(dense_rank() OVER (ORDER BY list_transform(string_split(version, '-'), lambda x: CAST(x AS INTEGER))) AS BIGINT) AS rank
-FROM v"""
+LONG = """lv AS (
+  SELECT p_partkey, array_to_string(list_transform(range(1, CAST(p_partkey % 9 + 2 AS BIGINT)),
+    lambda i: CAST((p_partkey * i) % 4 + CASE WHEN (p_partkey + i) % 11 = 0 THEN 20240101120000 ELSE 0 END AS VARCHAR)), '-') AS version FROM part)"""
+
+
+def PARTS(v: str) -> str:
+    """Nine numbers, missing ones 0: their order is the order of versions."""
+    return f"list_resize(list_transform(string_split({v}, '-'), lambda x: CAST(x AS BIGINT)), 9, 0)"
+
+
+ORACLE["version_order"] = f"""WITH {E}, {SI}, {LONG}, v AS (
+  SELECT DISTINCT version FROM si UNION SELECT DISTINCT version FROM e UNION SELECT DISTINCT version FROM lv)
+SELECT version, CAST(dense_rank() OVER (ORDER BY {PARTS('version')}) AS BIGINT) AS rank FROM v"""
 
-ORACLE["version_filter"] = f"""WITH {SI}
-SELECT survey, version, "column" FROM si
-WHERE NOT (v2 = 4) AND (((v2 > 2 OR (v2 = 2 AND v3 >= 1)) AND (v2 < 6 OR (v2 = 6 AND v3 <= 3))) OR (v2 = 9 AND v3 = 2))"""
+#: Ranges over short and long versions, one open, a single version, exclusions.
+VERSION_SELECTOR = [["24-2-1:24-6-3", "24-9-2, !24-4-1:24-4-3"], "1-1:1-1-20240101120000-2", "20240101120000:", "!20240101120001-2"]
+
+ORACLE["version_filter"] = f"""WITH {SI}, {LONG}, v AS (
+  SELECT p_partkey, version FROM si UNION ALL SELECT p_partkey, version FROM lv),
+p AS (SELECT *, {PARTS('version')} AS p FROM v)
+SELECT p_partkey, version FROM p
+WHERE (p BETWEEN {PARTS("'24-2-1'")} AND {PARTS("'24-6-3'")} OR p = {PARTS("'24-9-2'")}
+    OR p BETWEEN {PARTS("'1-1'")} AND {PARTS("'1-1-20240101120000-2'")} OR p >= {PARTS("'20240101120000'")})
+  AND NOT p BETWEEN {PARTS("'24-4-1'")} AND {PARTS("'24-4-3'")} AND p <> {PARTS("'20240101120001-2'")}"""
 
 ORACLE["rename_strip_prefix"] = f"""{KEYS}
 SELECT key AS source, regexp_replace(key, '^(?:[^|]*\\.)?([^.|]*)((?:\\|.*)?)$', '\\1\\2') AS target FROM keys"""
@@ -218,37 +244,61 @@ FROM nation LEFT JOIN region ON n_regionkey = r_regionkey"""
 ORACLE["localize_map"] = """SELECT n_nationkey, CAST(0 AS INTEGER) AS pos, 'en' AS code, n_name AS text FROM nation
 UNION ALL SELECT n_nationkey, CAST(1 AS INTEGER), 'fr', lower(n_name) FROM nation"""
 
-ORACLE["published_iso"] = f"""WITH {SI}
-SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'Unknown'
-  ELSE strftime(make_timestamp(published * 1000000), '%Y-%m-%dT%H:%M:%S') END AS published_iso FROM si"""
+ORACLE["published_iso"] = f"""WITH {SI},
+t AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '0' WHEN p_partkey % 10 = 0 THEN CAST(published AS VARCHAR)
+  ELSE substr(published || '123456789', 1, CAST(p_partkey % 19 AS INTEGER)) END AS s FROM si),
+n AS (SELECT p_partkey, TRY_CAST(s AS BIGINT) AS n FROM t)
+SELECT p_partkey, CASE WHEN n BETWEEN 1 AND 253402300799 THEN strftime(make_timestamp(n * 1000000), '%Y-%m-%dT%H:%M:%S')
+  ELSE 'Unknown' END AS published_iso FROM n"""
 
 ORACLE["midnight_floor"] = f"""WITH {E}
 SELECT 'r' || event_id AS id, CAST(epoch_us(date_trunc('day', ts)) // 1000000 AS BIGINT) AS midnight FROM e"""
 
-DISPATCH = """CASE WHEN version = '24-1-4' THEN 'default_casting,rename,default_renaming'
-  ELSE 'default_casting,default_renaming' END"""
+DISPATCH = """CASE version WHEN '24-1-1' THEN 'to_bool,default_casting,default_renaming,rename'
+  WHEN '24-1-2' THEN 'to_bool,default_casting,custom,default_renaming,rename'
+  WHEN '24-1-3' THEN 'default_casting,custom,default_renaming,custom,rename'
+  ELSE 'default_casting,rename,custom,default_renaming,rename' END"""
+
+#: Q4 is a boolean where some version casts it; the mark is set from 24-1-2 on, in capitals in 24-1-3.
+ORDERED = f"""{FLAT}, o AS (SELECT survey, version, id, Q2, EX_Q2, Q1_0, Q3_lk_1 AS likert,
+  CASE Q4_multi_row1_col2 WHEN '0' THEN false WHEN '1' THEN true END AS Q4_multi_row1_col2,
+  CASE WHEN version = '24-1-3' THEN 'M' || coalesce(Q2, '-') WHEN version <> '24-1-1' THEN 'm' || coalesce(Q2, '-') END AS tag FROM flat)"""
 
-ORACLE["version_dispatch"] = f"""WITH {E}
-SELECT DISTINCT survey, version, {DISPATCH} AS processors FROM e"""
+ORACLE["version_dispatch"] = f"""{ORDERED}
+SELECT survey, version, {DISPATCH} AS processors, max(likert) AS max_likert, CAST(count(Q4_multi_row1_col2) AS BIGINT) AS n_q4, max(tag) AS max_tag
+FROM o GROUP BY survey, version"""
 
-ORACLE["processor_order"] = f"""{FLAT} SELECT id, Q2, EX_Q2, Q1_0 FROM flat"""
+ORACLE["processor_order"] = f"""{ORDERED} SELECT id, Q2, EX_Q2, Q1_0, likert, Q4_multi_row1_col2, tag FROM o"""
 
-ORACLE["build_flat"] = f"""{FLAT} SELECT * FROM flat"""
+ORACLE["build_flat"] = f"""WITH {E}, flat AS ({flat_sql("event_id % 97 <> 0")}) SELECT * FROM flat"""
+
+ORACLE["build_rejects"] = f"""WITH {E}, r AS (
+  SELECT survey, event_id, event_id % 97 = 0 AS lost FROM e WHERE event_id % 97 = 0
+  UNION ALL SELECT survey, event_id, event_id % 97 = 0 FROM e WHERE event_id % 5 = 0)
+SELECT survey, lost, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT event_id) AS BIGINT) AS n_ids FROM r GROUP BY 1, 2"""
 
 ORACLE["build_plan"] = f"""{FLAT}
-SELECT survey, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(Q2) AS BIGINT) AS n_q2,
-  CAST(count(EX_Q2) AS BIGINT) AS n_ex_q2 FROM flat GROUP BY survey"""
+SELECT survey, '{FLAT_TABLE_PREFIX}' || survey AS "table", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(Q2) AS BIGINT) AS n_q2,
+  CAST(count(EX_Q2) AS BIGINT) AS n_ex_q2, CAST(count(DISTINCT global_id) AS BIGINT) AS n_participants FROM flat GROUP BY survey"""
 
 BASE = flat_sql(f"sub < {BASE_UNTIL}")
 BATCH = flat_sql(f"sub >= {BATCH_FROM}", "'b' || CAST(k AS VARCHAR)")
 
-ORACLE["upsert_ignore"] = f"""WITH {E}, base AS ({BASE}), batch AS ({BATCH})
-SELECT id, Q2, version FROM base
-UNION ALL SELECT id, Q2, version FROM batch WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.id = batch.id)"""
+#: A stored load, and a batch with rows dated a day later, without an id, or twice; of a key one row stays.
+STORED = f"""WITH {E}, base AS (
+  SELECT survey, 'r' || event_id AS id, sub AS submitted, version, CASE WHEN k % 10 <> 0 THEN CAST(k AS VARCHAR) END AS q2, 'r' || event_id AS payload_id
+  FROM e WHERE sub < {BASE_UNTIL}),
+moved AS (
+  SELECT survey, CASE WHEN event_id % 101 <> 0 THEN 'r' || event_id END AS id, sub + CASE WHEN event_id % 6 = 0 THEN 86400 ELSE 0 END AS submitted,
+    version, CASE WHEN k % 10 <> 0 THEN 'b' || k END AS q2, 'r' || event_id AS payload_id FROM e WHERE sub >= {BATCH_FROM}),
+batch AS (SELECT * FROM moved QUALIFY row_number() OVER (PARTITION BY survey, id ORDER BY submitted {{0}}, payload_id || '"' {{0}}) = 1)"""
+SAME = "base.survey = batch.survey AND base.id IS NOT DISTINCT FROM batch.id"
+
+ORACLE["upsert_ignore"] = f"""{STORED.format('ASC')}
+SELECT * FROM base UNION ALL SELECT * FROM batch WHERE NOT EXISTS (SELECT 1 FROM base WHERE {SAME})"""
 
-ORACLE["upsert_replace"] = f"""WITH {E}, base AS ({BASE}), batch AS ({BATCH})
-SELECT id, Q2, version FROM base WHERE NOT EXISTS (SELECT 1 FROM batch WHERE base.id = batch.id)
-UNION ALL SELECT id, Q2, version FROM batch"""
+ORACLE["upsert_replace"] = f"""{STORED.format('DESC')}
+SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM batch WHERE {SAME}) UNION ALL SELECT * FROM batch"""
 
 ORACLE["evolve_schema"] = f"""WITH {E}, base AS ({BASE}), batch AS ({BATCH})
 SELECT id, Q2, CAST(NULL AS VARCHAR) AS Q6 FROM base
@@ -273,25 +323,28 @@ SELECT survey, version, published, 'existing' AS source FROM ex
 UNION ALL SELECT survey, version, published, 'batch' FROM bt
   WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.survey = bt.survey AND ex.version = bt.version)"""
 
-ORACLE["meta_check"] = f"""WITH {E}
-SELECT CAST(count(DISTINCT '|') AS BIGINT) AS n_values, count(DISTINCT '|') <= 1 AS consistent FROM e"""
+ORACLE["meta_check"] = f"""WITH {E}, s AS (
+  SELECT survey, '|' AS sep FROM e UNION ALL SELECT survey, ';' FROM e WHERE sub >= {BATCH_FROM} AND length(survey) % 2 = 0)
+SELECT survey, CAST(count(DISTINCT sep) AS BIGINT) AS n_values, count(DISTINCT sep) <= 1 AS consistent FROM s GROUP BY survey"""
 
 ORACLE["import_log"] = f"""WITH {E}
 SELECT survey, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, min(sub) AS start, max(sub) AS "end", CAST(count(*) AS BIGINT) AS n
 FROM e GROUP BY survey, CAST(ts AS DATE)"""
 
-WANTED = "w AS (SELECT 'p' || c_custkey AS participantId FROM customer WHERE c_custkey % 4 = 0)"
+WANTED = """w AS (SELECT 'p' || c_custkey AS participantId, CASE WHEN c_custkey % 12 <> 0 THEN '0' END AS want_minor
+  FROM customer WHERE c_custkey % 4 = 0)"""
+#: A flag without a value is always to be set.
+MINOR_DIFFERS = "((CASE WHEN has_minor THEN minor END) IS NULL OR (CASE WHEN has_minor THEN minor END) IS DISTINCT FROM want_minor)"
 
 ORACLE["flag_sync_diff"] = f"""WITH {P}, {WANTED},
-j AS (SELECT p.* FROM p JOIN w USING (participantId) WHERE studyStatus <> 'temporary')
+j AS (SELECT p.*, want_minor FROM p JOIN w USING (participantId) WHERE studyStatus IS DISTINCT FROM 'temporary')
 SELECT participantId, 'segment' AS flag, segment AS current, 'BUILDING' AS wanted FROM j WHERE segment IS DISTINCT FROM 'BUILDING'
 UNION ALL
-SELECT participantId, 'minor', CASE WHEN has_minor THEN minor END, '0' FROM j
-  WHERE (CASE WHEN has_minor THEN minor END) IS DISTINCT FROM '0'"""
+SELECT participantId, 'minor', CASE WHEN has_minor THEN minor END, want_minor FROM j WHERE {MINOR_DIFFERS}"""
 
 ORACLE["flag_sync_summary"] = f"""WITH {P}, {WANTED},
-j AS (SELECT p.*, (segment IS DISTINCT FROM 'BUILDING') OR ((CASE WHEN has_minor THEN minor END) IS DISTINCT FROM '0') AS upd
-      FROM p JOIN w USING (participantId) WHERE studyStatus <> 'temporary')
+j AS (SELECT p.*, (segment IS DISTINCT FROM 'BUILDING') OR {MINOR_DIFFERS} AS upd
+      FROM p JOIN w USING (participantId) WHERE studyStatus IS DISTINCT FROM 'temporary')
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM w) AS in_file, CAST(count(*) AS BIGINT) AS found,
   CAST(count(*) FILTER (WHERE NOT upd) AS BIGINT) AS synced, CAST(count(*) FILTER (WHERE upd) AS BIGINT) AS to_update FROM j"""
 
@@ -367,7 +420,7 @@ UNION ALL SELECT 'summary_counter', 'summary', 'Summary of field ''counter''', k
   FROM p)"""
 
 ORACLE["assigned_counts"] = """SELECT o_orderstatus AS surveyKey, o_orderpriority AS category, CAST(count(*) AS BIGINT) AS n
-FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 NOT IN (0, 1)
+FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 10 NOT IN (0, 1) AND c_custkey % 23 <> 0
 GROUP BY o_orderstatus, o_orderpriority"""
 
 ORACLE["response_counts"] = """SELECT event_type AS survey, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type"""
@@ -388,7 +441,8 @@ SELECT 'raw' AS "table", CAST(count(*) AS BIGINT) AS rows, min(sub) AS min_time,
 UNION ALL SELECT 'flat', CAST(count(*) AS BIGINT), min(sub), max(sub) FROM e"""
 
 ORACLE["latest_version"] = f"""WITH {SI}
-SELECT survey, arg_max(version, published) AS version, max(published) AS published FROM si GROUP BY survey"""
+SELECT survey, version, published FROM si
+QUALIFY row_number() OVER (PARTITION BY survey ORDER BY published DESC, v2 DESC, v3 DESC) = 1"""
 
 ORACLE["counter_snapshot"] = """WITH c AS (
   SELECT event_type AS name, value, epoch_us(ts) AS time FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0)
@@ -445,8 +499,10 @@ ORACLE["ordered_page"] = f"""WITH {E}
 SELECT survey, 'r' || event_id AS id, version, sub AS submitted FROM e ORDER BY version, sub, 'r' || event_id
 LIMIT 100 OFFSET 200"""
 
-ORACLE["stream_ingest"] = f"""WITH {E} SELECT survey, 'r' || event_id AS id, version, sub AS submitted FROM e"""
+ORACLE["stream_ingest"] = f"""WITH {E}, {PAYLOAD_LONG}
+SELECT kv.survey, kv.id, kv.version, e.sub AS submitted, key,
+  CASE WHEN key LIKE '%.main.Q1|0' THEN lower(kv.value) ELSE kv.value END AS value FROM kv JOIN e ON kv.id = 'r' || e.event_id"""
 
-ORACLE["stream_build"] = f"""{FLAT} SELECT survey, id, version, Q1_0, Q2, Q5, EX_Q2 FROM flat"""
+ORACLE["stream_build"] = f"""{FLAT} SELECT * FROM flat"""
 
 ORACLE["stream_daily"] = ORACLE["daily_counts"]

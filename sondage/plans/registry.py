@@ -13,13 +13,12 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import cast as C
 from ..functions import rename as RN
 from ..functions import text as TX
 from ..functions.select import project_fields, select_columns
-from ..functions.versions import version_array
+from ..functions.versions import filter_versions, version_array
 from ..operators import migrate as MG
 from ..operators import periods as PD
 from ..operators import reconcile as RC
@@ -31,7 +30,11 @@ from ..sources import fixtures as fx
 from ..sources import raw as RW
 from ..streaming import stream as SM
 from . import oracle as O
-from .build import build_flat, build_plan, parse_profile
+from . import build as B
+from .build import build_flat, parse_profile
+
+#: Rows of a landed file in the stream queries.
+LANDED_ROWS = 1_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,9 +111,14 @@ def quarantine_rows(spark, sf):
 
 @query
 def recode_flags(spark, sf):
-    d = RW.decode_payload(R(spark, sf)).select("id", RW.recode_flags("payload").alias("m"))
-    e = d.select("id", F.explode("m").alias("key", "value"))
-    return e.where(F.col("value").isin("true", "false"))
+    """The payload text after the ingest recode: values, and the JSON types they have."""
+    member = lambda name: F.concat(F.lit("$['"), F.col("survey"), F.lit(f"{name}']"))
+    d = R(spark, sf).select("id", "survey", F.parse_json(RW.recode_json("data")).alias("v"))
+    out = [F.col("id")]
+    for name, path in (("q1", member(".main.Q1|0")), ("q2", member(".main.Q2")), ("q5", member(".main.Q5")), ("submitted", F.lit("$.submitted"))):
+        got = F.variant_get("v", path, "variant")
+        out += [F.regexp_extract(F.schema_of_variant(got), "^[A-Z]+", 0).alias(f"{name}_type"), F.to_json(got).alias(name)]
+    return d.select(*out)
 
 
 @query
@@ -127,20 +135,39 @@ def participants_by_status(spark, sf):
 @query
 def id_list(spark, sf):
     orders = fx.table(spark, sf, "orders")
-    text = F.concat(F.lit(" p"), F.col("o_custkey").cast("string"), F.lit(" ,, p"),
-                    (F.col("o_custkey") % 7).cast("string"), F.lit(" "))
-    return orders.select(F.explode(RW.parse_id_list(text, "comma")).alias("id")).distinct()
+    customer = fx.table(spark, sf, "customer")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    key = F.col("o_custkey").cast("string")
+    own = F.col("c_custkey").cast("string")
+    lists = [(orders, text(" p", key, " ,, p", (F.col("o_custkey") % 7).cast("string"), " "), "comma"),
+             (customer, text("  l", own, " "), "lines"), (customer, text('["j', own, '", " ", null, " j0 "]'), "json_list"),
+             (customer, text('{"k', own, '": 1, " k0 ": 2}'), "json_keys"), (customer, text('{"a": "v', own, '", "b": " v0 "}'), "json_values")]
+    out = None
+    for df, column, mode in lists:
+        ids = df.select(F.explode(RW.parse_id_list(column, mode)).alias("id"))
+        out = ids if out is None else out.unionByName(ids)
+    return out.distinct()
 
 
 @query
 def export_roundtrip(spark, sf):
-    r = R(spark, sf).select("survey", "id", "version", "submitted",
-                            PD.period_of(F.col("submitted"), O.ANCHOR).alias("period_start"))
-    path = _scratch(spark, "export")
-    SO.export_responses(r, path, "csv")
-    back = SO.read_export(spark, path, "csv", "id string, version string, submitted bigint")
-    return back.select("survey", F.col("period_start").cast("bigint").alias("period_start"), "id", "version",
-                       "submitted")
+    """Flat rows, payload columns included, exported wide and long under renamed headers and read back through the catalog."""
+    flat = FLAT(spark, sf).select("survey", "id", "version", F.unix_seconds("timestamp").alias("submitted"),
+                                  "Q2", "Q3_lk_1", "Q4_multi_row1_col2", "Q5", "EX_Q2")
+    wide, long = _scratch(spark, "export_wide"), _scratch(spark, "export_long")
+    rules = [("_lk_", "_likert_")]
+    catalog = SO.export_with_catalog(spark, flat, wide, O.ANCHOR, "csv", headers=rules)
+    SO.export_with_catalog(spark, flat, long, O.ANCHOR, "json", "long", headers=rules)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    columns = ["Q2", "Q3_likert_1", "Q4_multi_row1_col2", "Q5", "EX_Q2"]
+    rows = SO.read_export(spark, f"{wide}/*.csv", "csv", "survey string, id string, version string, submitted bigint, "
+                          + ", ".join(f"{c} string" for c in columns)).withColumn("file", name)
+    rows = RS.wide_to_long(rows, ["survey", "id", "version", "submitted", "file"], columns)
+    rows = rows.join(catalog.select("file", F.col("start").alias("period_start"), "n"), "file")
+    cells = SO.read_export(spark, f"{long}/*.json", "json", "survey string, id string, key string, value string")
+    cells = cells.where(F.col("key").isin("Q2", "Q3_lk_1", "Q4_multi_row1_col2", "Q5", "EX_Q2")).select(
+        "id", F.regexp_replace("key", "_lk_", "_likert_").alias("key"), F.col("value").alias("long_value"))
+    return rows.join(cells, ["id", "key"], "full_outer")
 
 
 @query
@@ -158,17 +185,18 @@ def long_to_wide(spark, sf):
 
 @query
 def version_order(spark, sf):
-    v = fx.survey_info_rows(spark, sf).select("version").union(R(spark, sf).select("version")).distinct()
-    # The window runs over the distinct versions only (a few dozen rows).
-    rank = F.dense_rank().over(Window.orderBy(version_array(F.col("version"))))
-    return v.select("version", rank.cast("bigint").alias("rank"))
+    v = fx.survey_info_rows(spark, sf).select("version").union(R(spark, sf).select("version")) \
+        .union(fx.long_versions(spark, sf).select("version")).distinct()
+    v = v.select("version", version_array("version").alias("parts"))
+    # versions of one order share their number; they are numbered inside sorted ranges
+    ranks = SO.dense_index(spark, v.select("parts").distinct(), "parts", 1, "rank")
+    return v.join(ranks, "parts").select("version", "rank")
 
 
 @query
 def version_filter(spark, sf):
-    sel = "24-2-1:24-6-3, 24-9-2, !24-4-1:24-4-3"
-    from ..functions.versions import filter_versions
-    return filter_versions(fx.survey_info_rows(spark, sf), sel).select("survey", "version", "column")
+    rows = fx.survey_info_rows(spark, sf).select("p_partkey", "version").unionByName(fx.long_versions(spark, sf))
+    return filter_versions(rows, O.VERSION_SELECTOR)
 
 
 def _key_rename(spark, sf, expr_fn):
@@ -306,7 +334,8 @@ def localize_map(spark, sf):
 @query
 def published_iso(spark, sf):
     si = fx.survey_info_rows(spark, sf)
-    pub = F.when(F.col("p_partkey") % 9 == 0, F.lit(0)).otherwise(F.col("published"))
+    digits = F.substring(F.concat(F.col("published").cast("string"), F.lit("123456789")), F.lit(1), (F.col("p_partkey") % 19).cast("int"))
+    pub = F.when(F.col("p_partkey") % 9 == 0, F.lit("0")).when(F.col("p_partkey") % 10 == 0, F.col("published").cast("string")).otherwise(digits)
     return si.select("p_partkey", TX.published_iso(pub).alias("published_iso"))
 
 
@@ -320,41 +349,56 @@ def midnight_floor(spark, sf):
 
 @query
 def version_dispatch(spark, sf):
-    prof = parse_profile(fx.fixture_profile())
+    """Which processors each version's rows went through, in order, and what they made of a row."""
+    prof = parse_profile(fx.fixture_profile(processors=fx.ORDERED_PROCESSORS, processors_defaults=False))
     names = F.array_compact(F.array(*[
         (F.lit(p.name) if p.version is None or p.version.is_empty
          else F.when(p.version.column(F.col("version")), F.lit(p.name)))
         for p in prof.processors]))
-    return R(spark, sf).select("survey", "version").distinct() \
-        .select("survey", "version", F.array_join(names, ",").alias("processors"))
+    made = ORDERED(spark, sf).groupBy("survey", "version").agg(
+        F.max("likert").alias("max_likert"), F.count("Q4_multi_row1_col2").alias("n_q4"), F.max("tag").alias("max_tag"))
+    return made.select("*", F.array_join(names, ",").alias("processors"))
+
+
+def ORDERED(spark, sf):
+    spec = fx.fixture_profile(processors=fx.ORDERED_PROCESSORS, processors_defaults=False, on_error="null")
+    return build_flat(R(spark, sf), spec)
 
 
 @query
 def processor_order(spark, sf):
-    spec = fx.fixture_profile()
-    spec["processors"] = list(reversed(spec["processors"]))
-    flat = build_flat(R(spark, sf), spec)
-    return flat.select("id", "Q2", "EX_Q2", "Q1_0")
+    """Seven processors over all positions, given in no order: defaults by name, two custom functions, a limited cast."""
+    return ORDERED(spark, sf).select("id", "Q2", "EX_Q2", "Q1_0", "likert", "Q4_multi_row1_col2", "tag")
 
 
 @query
 def build_flat_q(spark, sf):
-    return FLAT(spark, sf)
+    return FLAT(spark, sf, "R_dirty")
 
 
 QUERIES["build_flat"] = QUERIES.pop("build_flat_q")
 
 
+@query
+def build_rejects(spark, sf):
+    bad = B.build_rejects(R(spark, sf, "R_dirty"), fx.fixture_profile())
+    return bad.groupBy("survey", "lost").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
 @query
 def build_plan_q(spark, sf):
     raw = R(spark, sf)
     surveys = [r[0] for r in raw.select("survey").distinct().collect()]  # the survey list (a handful)
     plan = {"profiles": {"std": fx.fixture_profile()},
             "surveys": [{"survey": s, "profile": "std"} for s in sorted(surveys)]}
+    path = _scratch(spark, "plan")
+    B.run_build_plan(spark, raw, plan, path)
+    dim = SO.read_keyed(spark, f"{path}/{B.DIMENSION_TABLE}")
     out = None
-    for s, df in build_plan(raw, plan).items():
-        c = df.agg(F.lit(s).alias("survey"), F.count("*").alias("n_rows"), F.count("Q2").alias("n_q2"),
-                   F.count("EX_Q2").alias("n_ex_q2"))
+    for r in SO.read_keyed(spark, f"{path}/{B.REGISTRY_TABLE}").collect():  # a row per survey
+        flat = SO.read_keyed(spark, f"{path}/{r['table']}").join(dim.withColumnRenamed("id", "participant"), "global_id")
+        c = flat.agg(F.lit(r["survey"]).alias("survey"), F.lit(r["table"]).alias("table"), F.count("*").alias("n_rows"), F.count("Q2").alias("n_q2"),
+                     F.count("EX_Q2").alias("n_ex_q2"), F.count_distinct("participant").alias("n_participants"))
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -368,16 +412,24 @@ def _base_batch(spark, sf):
     return FLAT(spark, sf, "R_base"), FLAT(spark, sf, "R_batch")
 
 
+def _keyed_store(spark, sf, mode):
+    """A first load, then a batch with re-dated, repeated and missing ids, into the day-partitioned raw store."""
+    store, order = _scratch(spark, f"store_{mode}"), [F.col("submitted"), F.col("data")]
+    for variant in ("R_base", "R_moved"):
+        rows = R(spark, sf, variant).withColumn("day", RW.day_of(F.col("submitted")))
+        SO.write_keyed(spark, store, rows, ["survey", "id"], mode, ("survey", "day"), order)
+    q2 = F.call_function("get_json_object", F.col("data"), F.concat(F.lit("$['"), F.col("survey"), F.lit(".main.Q2']")))
+    return SO.read_keyed(spark, store).select("survey", "id", "submitted", "version", q2.alias("q2"), F.get_json_object("data", "$.ID").alias("payload_id"))
+
+
 @query
 def upsert_ignore(spark, sf):
-    base, batch = _base_batch(spark, sf)
-    return SO.upsert(base, batch, ["id"], "ignore").select("id", "Q2", "version")
+    return _keyed_store(spark, sf, "ignore")
 
 
 @query
 def upsert_replace(spark, sf):
-    base, batch = _base_batch(spark, sf)
-    return SO.upsert(base, batch, ["id"], "replace").select("id", "Q2", "version")
+    return _keyed_store(spark, sf, "replace")
 
 
 @query
@@ -402,8 +454,11 @@ def registry_upsert(spark, sf):
 @query
 def participant_dim(spark, sf):
     # The dimension as built from the first load, then extended by the whole table.
-    dim = SO.participant_dim(spark, FLAT(spark, sf, "R_base").select("global_id"), None)
-    return SO.participant_dim(spark, FLAT(spark, sf).select("global_id"), dim)
+    ids = lambda variant: R(spark, sf, variant).select(F.get_json_object("data", "$.participantID").alias("global_id"))
+    path = _scratch(spark, "dimension")
+    SO.update_dimension(spark, path, ids("R_base"))
+    SO.update_dimension(spark, path, ids("R"))
+    return SO.read_keyed(spark, path)
 
 
 @query
@@ -417,8 +472,12 @@ def survey_info_upsert(spark, sf):
 
 @query
 def meta_check(spark, sf):
-    meta = R(spark, sf).select("survey", F.lit(RN.DEFAULT_SEPARATOR).alias("key_separator"))
-    return SO.meta_check(meta)
+    """Separators found in the payload keys of two loads; the second wrote ';' in the surveys of even name length."""
+    first = R(spark, sf).select("survey", "data")
+    other = fx.raw_responses(spark, sf, "R_batch", separator=";").where(F.length("survey") % 2 == 0).select("survey", "data")
+    keys = first.unionByName(other).select("survey", F.explode(F.json_object_keys("data")).alias("key"))
+    found = keys.select("survey", F.regexp_extract("key", r"([^\w.])", 1).alias("key_separator")).where("key_separator <> ''").distinct()
+    return SO.meta_check(found, by=["survey"])
 
 
 @query
@@ -441,7 +500,7 @@ def flag_sync_summary(spark, sf):
 
 def _pending(spark, sf):
     ids = fx.participants(spark, sf).select(F.col("participantId").alias("id"))
-    done = FLAT(spark, sf).select(F.col("global_id").alias("id"))
+    done = R(spark, sf).select(F.get_json_object("data", "$.participantID").alias("id"))
     return RC.pending_ids(ids, done)
 
 
@@ -529,7 +588,10 @@ def response_counts(spark, sf):
 
 @query
 def daily_counts(spark, sf):
-    return ST.daily_counts(R(spark, sf))
+    """Counted over the first load, then resumed over the whole table."""
+    path = _scratch(spark, "daily_counts")
+    ST.resume_daily(spark, path, R(spark, sf, "R_base"))
+    return ST.resume_daily(spark, path, R(spark, sf)).select("day", "survey", "n")
 
 
 @query
@@ -569,11 +631,6 @@ def counter_snapshot(spark, sf):
     return ST.counter_snapshot(counters)
 
 
-@query
-def codec_sizes(spark, sf):
-    return ST.codec_sizes(R(spark, sf))
-
-
 # --- 2.8 migration --------------------------------------------------------------------------------------
 
 @query
@@ -595,10 +652,6 @@ def main_profile_first(spark, sf):
     return ranked.select("user_key", "pos", "gid", "main")
 
 
-def _records(spark, sf):
-    return MG.migration_records(fx.old_users(spark, sf), [fx.SKIP_SUFFIX], True, "en", ["study"])
-
-
 @query
 def migration_report(spark, sf):
     users = fx.old_users(spark, sf).select("user_key", "email")
@@ -608,10 +661,11 @@ def migration_report(spark, sf):
 
 @query
 def migration_records(spark, sf):
-    r = _records(spark, sf)
-    return r.select("accountId", F.size("oldParticipantIDs").alias("n_profiles"),
-                    F.try_element_at("oldParticipantIDs", F.lit(1)).alias("first_gid"),
-                    "preferredLanguage", "status")
+    users = fx.old_users(spark, sf).select("user_key", "email")
+    records, profiles = MG.migration_records_long(spark, users, fx.user_profiles(spark, sf), [fx.SKIP_SUFFIX], True, "en", ["study"])
+    own = profiles.groupBy("user_key").agg(F.count("*").cast("int").alias("n"), F.max(F.when(F.col("pos") == 0, F.col("gid"))).alias("first_gid"))
+    return records.join(own, "user_key", "left").select(
+        "accountId", F.coalesce("n", F.lit(0)).alias("n_profiles"), "first_gid", "preferredLanguage", "status")
 
 
 # --- 2.9 periods, sort, limit --------------------------------------------------------------------------
@@ -647,33 +701,46 @@ def ordered_page(spark, sf):
 
 # --- 2.10 streaming --------------------------------------------------------------------------------------
 
-def _land(spark, sf, variant="R", files=8):
-    path = _scratch(spark, "landed")
-    SM.land_files(R(spark, sf, variant), path, "json", files)
-    return path
+def _in_two_runs(spark, sf, variant, run):
+    """Land the rows in two parts; run the stream on the first, archive its files, run it again on the second.
+
+    The parts mix all days and files come in no order of time; each run takes
+    several micro-batches.
+    """
+    src = _scratch(spark, "landed")
+    rows = R(spark, sf, variant)
+    late = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    for k, part in enumerate((rows.where(~late), rows.where(late))):
+        SM.land_files(part, f"{src}/part={k}", "json", LANDED_ROWS)
+        run(f"{src}/part=*")
+        if k == 0:
+            fs, old = SO._hadoop(spark, f"{src}/part=0")
+            fs.rename(old, SO._hadoop(spark, f"{src}_archived")[1])
 
 
 @query
 def stream_ingest(spark, sf):
-    src = _land(spark, sf, "R_dup")
     store = _scratch(spark, "raw_store")
-    SM.ingest_stream(spark, src, store, max_files_per_trigger=3, key_catalog=store + "_keys")
-    return SO.read_keyed(spark, store).select("survey", "id", "version", "submitted")
+    _in_two_runs(spark, sf, "R_dup", lambda src: SM.ingest_stream(
+        spark, src, store, max_files_per_trigger=3, key_catalog=store + "_keys", import_log_path=store + "_log"))
+    rows = SO.read_keyed(spark, store)
+    payload = F.explode(RW.decode("data")).alias("key", "value")
+    return rows.select("survey", "id", "version", "submitted", payload)
 
 
 @query
 def stream_build(spark, sf):
-    src = _land(spark, sf)
     table = _scratch(spark, "flat")
-    SM.build_stream(spark, src, table, fx.fixture_profile())
-    return SO.read_keyed(spark, table).select("survey", "id", "version", "Q1_0", "Q2", "Q5", "EX_Q2")
+    _in_two_runs(spark, sf, "R_dup", lambda src: SM.build_stream(
+        spark, src, table, fx.fixture_profile(), max_files_per_trigger=3, dimension=table + "_dim"))
+    flat = SO.read_keyed(spark, table)
+    return flat.join(SO.read_keyed(spark, table + "_dim").select("global_id"), "global_id").select(*flat.columns)
 
 
 @query
 def stream_daily(spark, sf):
-    src = _land(spark, sf)
     table = _scratch(spark, "daily")
-    SM.daily_stream(spark, src, table)
+    _in_two_runs(spark, sf, "R_dup", lambda src: SM.daily_stream(spark, src, table, store=table + "_store", max_files_per_trigger=3))
     return SO.read_keyed(spark, table).select("day", "survey", "n")
 
 

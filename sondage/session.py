@@ -38,18 +38,29 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, for what a job may lose when it ends.
 
-    On a cluster the operator sets it to shared storage.  Only when it is unset
-    (tests, local benches) do we take a fresh private folder under /tmp.
+    A cluster must name one: its driver and executors share no other folder,
+    so an unset name is an error there.  With a local master (tests, benches) a
+    fresh private folder is taken.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sondage-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of tables that stay: ``sondage`` in the session's warehouse."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sondage"

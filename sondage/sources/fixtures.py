@@ -31,19 +31,9 @@ BATCH_FROM = 1705276800  # 2024-01-15T00:00:00Z (inclusive)
 # ------------------------------------------------------------------------------------------------
 
 
-SMALL_TABLES = {"region", "nation"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table.  A scan with fewer splits than the cluster has cores
-    (a small file written as one row group) is spread round-robin so every core
-    works; at scale the scan already has far more splits and this never fires."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name not in SMALL_TABLES:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores)
-    return df
+    """One driver table; how a scan is split is left to ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _k(events: DataFrame) -> Column:
@@ -86,70 +76,27 @@ def _payload(survey: Column, rid: Column, pid: Column, version: Column, submitte
 RAW_COLUMNS = ["survey", "id", "submitted", "version", "data"]
 
 
-def _fingerprint(spark: SparkSession, path: str) -> str:
-    """Size and modification time of a file, through its Hadoop FileSystem."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
-    return f"{st.getLen()}-{st.getModificationTime()}"
-
-
-def raw_store(spark: SparkSession, sf_dir: str, variant: str = "R") -> DataFrame:
-    """R written once as a Parquet raw store in the shared checkpoint folder.
-
-    A real deployment keeps its raw responses in such a store; queries then read
-    Parquet (partition pruning on ``survey``, row-group statistics on
-    ``submitted``) instead of generating JSON from ``events`` each time.  The
-    store is keyed by the events file's size and modification time, written to a
-    private folder, then published by an atomic rename; a concurrent writer that
-    loses the rename simply reads the winner's copy.
-    """
-    import uuid
-
-    from ..session import checkpoint_dir
-    base = checkpoint_dir(spark).rstrip("/")
-    tag = _fingerprint(spark, f"{sf_dir}/events.parquet")
-    name = sf_dir.rstrip("/").replace("/", "_").strip("_")
-    final = f"{base}/fixtures/{variant}-{name}-{tag}"
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path(final)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        tmp = f"{base}/fixtures/.tmp-{uuid.uuid4().hex}"
-        (raw_responses(spark, sf_dir, variant, stored=False).sortWithinPartitions("survey", "submitted")
-         .write.partitionBy("survey").parquet(tmp))
-        fs.mkdirs(fs_path.getParent())
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), fs_path):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)  # another writer published first
-    return spark.read.parquet(final).select(*RAW_COLUMNS)
-
-
 def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
-                  separator: str = DEFAULT_SEPARATOR, stored: bool = True) -> DataFrame:
-    """R: ``raw(survey, id, submitted, version, data)`` from ``events``.
-
-    Variants: ``R_bad`` (10-character payload where ``event_id % 97 = 0``),
-    ``R_dup`` (rows with ``event_id % 5 = 0`` twice), ``R_base`` (responses
-    before ``BASE_UNTIL``) and ``R_batch`` (responses from ``BATCH_FROM`` on,
-    with Q2 changed): together they cover the whole table and overlap on the
-    re-fetched days.
+                  separator: str = DEFAULT_SEPARATOR) -> DataFrame:
+    """R: ``raw(survey, id, submitted, version, data)`` from ``events``, computed where it is used.
+
+    Variants:
+
+    * ``R_bad``   10-character payload where ``event_id % 97 = 0``
+    * ``R_dup``   rows with ``event_id % 5 = 0`` twice
+    * ``R_dirty`` ``R_bad``, and a truncated copy, submitted 1,000 s earlier,
+      of each row with ``event_id % 5 = 0``
+    * ``R_base``  responses before ``BASE_UNTIL``
+    * ``R_batch`` responses from ``BATCH_FROM`` on, with Q2 changed: together
+      with ``R_base`` the whole table, overlapping on the re-fetched days
+    * ``R_moved`` ``R_batch`` where ``event_id % 6 = 0`` is dated one day later,
+      ``event_id % 101 = 0`` has no id, and ``event_id % 7 = 0`` comes twice
     """
-    if stored and separator == DEFAULT_SEPARATOR and variant == "R_batch":
-        return raw_store(spark, sf_dir, "R_batch")  # its payloads differ: stored on their own
-    if stored and separator == DEFAULT_SEPARATOR:
-        r = raw_store(spark, sf_dir)
-        eid = F.substring("id", 2, 20).cast("bigint")
-        if variant == "R_base":
-            return r.where(F.col("submitted") < F.lit(BASE_UNTIL))
-        if variant == "R_bad":
-            return r.withColumn("data", F.when(eid % 97 == 0, F.substring("data", 1, 10)).otherwise(F.col("data")))
-        if variant == "R_dup":
-            return r.unionByName(r.where(eid % 5 == 0))
-        return r
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    batch = variant in ("R_batch", "R_moved")
     if variant == "R_base":
         ev = ev.where(F.col("ts") < F.timestamp_seconds(F.lit(BASE_UNTIL)).cast("timestamp_ntz"))
-    elif variant == "R_batch":
+    elif batch:
         ev = ev.where(F.col("ts") >= F.timestamp_seconds(F.lit(BATCH_FROM)).cast("timestamp_ntz"))
     ev = evaluate_once(ev, _k=_k(ev), _sub=_submitted(ev["ts"]))  # props parsed once per row
     k = F.col("_k")
@@ -158,19 +105,33 @@ def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
     rid = F.concat(F.lit("r"), F.col("event_id").cast("string"))
     pid = F.concat(F.lit("p"), F.col("user_id").cast("string"))
     opened = submitted - F.col("event_id") % 600
-    q2 = F.concat(F.lit("b"), k.cast("string")) if variant == "R_batch" else k.cast("string")
+    q2 = F.concat(F.lit("b"), k.cast("string")) if batch else k.cast("string")
     data = _payload(F.col("event_type"), rid, pid, version, submitted, opened, k, q2, separator)
     out = ev.select(
         F.col("event_type").alias("survey"), rid.alias("id"), submitted.alias("submitted"),
         version.alias("version"), data.alias("data"), F.col("event_id").alias("_eid"))
-    if variant == "R_bad":
-        out = out.withColumn("data", F.when(F.col("_eid") % 97 == 0, F.substring("data", 1, 10))
-                             .otherwise(F.col("data")))
+    cut = F.substring("data", 1, 10)
+    if variant in ("R_bad", "R_dirty"):
+        out = out.withColumn("data", F.when(F.col("_eid") % 97 == 0, cut).otherwise(F.col("data")))
+    if variant == "R_dirty":
+        out = out.unionByName(out.where(F.col("_eid") % 5 == 0).withColumn("data", cut)
+                              .withColumn("submitted", F.col("submitted") - 1000))
     elif variant == "R_dup":
         out = out.unionByName(out.where(F.col("_eid") % 5 == 0))
+    elif variant == "R_moved":
+        out = out.withColumn("submitted", F.col("submitted") + F.when(F.col("_eid") % 6 == 0, 86400).otherwise(0))
+        out = out.withColumn("id", F.when(F.col("_eid") % 101 != 0, F.col("id")))
+        out = out.unionByName(out.where(F.col("_eid") % 7 == 0))
     return out.drop("_eid")
 
 
+def write_raw_store(spark: SparkSession, sf_dir: str, path: str, variant: str = "R") -> DataFrame:
+    """R as a Parquet raw store at ``path``, partitioned by survey; an explicit step, never reused by itself."""
+    rows = raw_responses(spark, sf_dir, variant).sortWithinPartitions("survey", "submitted")
+    rows.write.partitionBy("survey").parquet(path)
+    return spark.read.parquet(path).select(*RAW_COLUMNS)
+
+
 def fixture_column_types(survey: str, separator: str = DEFAULT_SEPARATOR) -> dict[str, str]:
     """Schema map of R for one survey (FIXTURES.md §2 'Schema type')."""
     s = survey
@@ -193,6 +154,30 @@ FIXTURE_PROCESSORS = [
      "position": "after_casting"},
 ]
 
+# Processors over all positions, in no order, one limited cast and two custom functions.
+# Q4 is cast in two versions only, rows from 24-1-2 on are marked with their Q2 before
+# the renaming and in capitals in 24-1-3 after it, and two columns are renamed at the end.
+
+
+def _mark(df: DataFrame) -> DataFrame:
+    q2 = [F.col(f"`{c}`") for c in df.columns if c.endswith(".main.Q2")]  # one for each survey
+    return df.withColumn("mark", F.concat(F.lit("m"), F.coalesce(*q2, F.lit("-"))))
+
+
+def _shout(df: DataFrame) -> DataFrame:
+    return df.withColumn("mark", F.upper("mark"))
+
+
+ORDERED_PROCESSORS = [
+    {"name": "custom", "fn": _shout, "position": "end", "version": "24-1-3"},
+    {"name": "rename", "rules": [{"fixed": {"mark": "tag", "Q3_lk_1": "likert"}}], "position": "end"},
+    *FIXTURE_PROCESSORS,
+    {"name": "custom", "fn": _mark, "position": "after_casting", "version": "24-1-2:"},
+    {"name": "to_bool", "columns": [{"glob": "*|mat.row1.col2"}], "version": "24-1-1:24-1-2", "position": "before_casting"},
+    "default_renaming",
+    "default_casting",
+]
+
 
 def fixture_profile(**overrides) -> dict:
     prof = {
@@ -211,7 +196,7 @@ def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                                    "o_orderpriority")
     key = F.col("c_custkey")
-    status = F.when(key % 10 == 0, F.lit(STUDY_STATUSES[0])) \
+    status = F.when(key % 23 == 0, F.lit(None).cast("string")).when(key % 10 == 0, F.lit(STUDY_STATUSES[0])) \
         .when(key % 10 == 1, F.lit(STUDY_STATUSES[1])).otherwise(F.lit("active"))
     minor = F.when(key % 7 == 0, F.lit(None).cast("string")).otherwise((key % 2).cast("string"))
     counter = F.when(key % 17 == 0, F.lit("nan")).when(key % 19 == 0, F.lit("abc")) \
@@ -243,11 +228,12 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wanted_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flag-sync input ``(participantId, flags)``: custkey % 4 = 0 -> segment BUILDING, minor 0."""
+    """Flag-sync input ``(participantId, flags)``: custkey % 4 = 0 -> segment BUILDING, minor 0 (null where custkey % 12 = 0)."""
     cust = table(spark, sf_dir, "customer").select("c_custkey")
     return cust.where(F.col("c_custkey") % 4 == 0).select(
         F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("participantId"),
-        F.create_map(F.lit("segment"), F.lit("BUILDING"), F.lit("minor"), F.lit("0")).alias("flags"))
+        F.create_map(F.lit("segment"), F.lit("BUILDING"), F.lit("minor"),
+                     F.when(F.col("c_custkey") % 12 != 0, F.lit("0"))).alias("flags"))
 
 
 def survey_info_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +252,15 @@ def survey_info_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey"))
 
 
+def long_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(p_partkey, version)``: versions of 1 to 9 parts, some parts beyond 32 bits, some with zeros at the end."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    key = F.col("p_partkey")
+    value = lambda i: (key * i) % 4 + F.when((key + i) % 11 == 0, F.lit(20240101120000)).otherwise(F.lit(0))
+    parts = F.transform(F.sequence(F.lit(1).cast("bigint"), key % 9 + 1), lambda i: value(i).cast("string"))
+    return part.select("p_partkey", F.array_join(parts, "-").alias("version"))
+
+
 def repository_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repository side of ``missing_versions``: SI rows with ``p_partkey % 5 <> 0``."""
     si = survey_info_rows(spark, sf_dir)

@@ -111,31 +111,45 @@ def recode_flags(payload: Column | str) -> Column:
 
 
 def recode_json(data: Column | str) -> Column:
-    """O03 on payload text: re-encode with the recoded map (objects stay embedded as text)."""
-    return F.to_json(recode_flags(decode(data)))
+    """O03 on payload text: top-level ``"TRUE"``/``"FALSE"`` become JSON booleans.
+
+    All other members keep their JSON type (numbers, objects, arrays, null).
+    Text that is no JSON object stays as it is, for the quarantine.
+    """
+    c = (F.col(data) if isinstance(data, str) else data).cast("string")
+    as_variant = F.from_json(c, "map<string,variant>")
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    recoded = F.transform_values(as_variant, lambda k, v: F.when(text(v) == INGEST_TRUE, F.parse_json(F.lit("true")))
+                                 .when(text(v) == INGEST_FALSE, F.parse_json(F.lit("false"))).otherwise(v))
+    return F.when(as_variant.isNull(), c).otherwise(F.to_json(recoded))
 
 
 def decompress(data: Column | str, codec: str = "zlib") -> Column:
-    """BINARY payloads: ``zlib`` (any level) via an Arrow-batched helper; ``none`` casts.
+    """BINARY payloads: ``zlib`` (any level) or ``zstd`` via an Arrow-batched helper; ``none`` casts.
 
-    zlib has no Spark expression; the helper is per value but batched by
-    Arrow and self-contained (executors need only the standard library).
+    Neither has a Spark expression.  ``zstd`` needs the ``zstandard`` package on
+    the executors.  A payload that does not inflate is null, as one that does
+    not decode.
     """
     c = F.col(data) if isinstance(data, str) else data
     if codec in ("none", "plain", None):
         return c.cast("string")
-    if not codec.startswith("zlib"):
+    if not codec.startswith(("zlib", "zstd")):
         raise ValueError(f"unknown codec {codec!r}")
 
     def inflate(b):
-        import zlib as _z
+        if codec.startswith("zlib"):
+            import zlib
+            open_one, errors = zlib.decompress, (zlib.error, UnicodeDecodeError)
+        else:
+            import zstandard
+            z = zstandard.ZstdDecompressor().decompressobj  # the size need not be in the frame
+            open_one, errors = lambda x: z().decompress(x), (zstandard.ZstdError, UnicodeDecodeError)
 
         def one(x):
-            if x is None:
-                return None
             try:
-                return _z.decompress(bytes(x)).decode("utf-8")
-            except (_z.error, UnicodeDecodeError):
+                return None if x is None else open_one(bytes(x)).decode("utf-8")
+            except errors:
                 return None
         return b.map(one)
 
@@ -173,20 +187,16 @@ def flatten_survey_info(info: DataFrame, explode_responses: bool = False) -> Dat
 
 
 def survey_info_documents(si_rows: DataFrame) -> DataFrame:
-    """Nest flat survey-info rows into documents (the inverse of O06).
+    """Flat survey-info rows as documents (the inverse of O06), one question each.
 
-    One document per survey; its size is that survey's definition (bounded by
-    the number of its versions and questions), not by the response data.
+    Documents of one survey and version may be many; nothing is gathered, so
+    the work is a projection whatever the size of a survey's definition.
     """
-    q = si_rows.groupBy("survey", "version", "published").agg(
-        F.sort_array(F.collect_list(F.struct(
-            F.col("column").alias("key"), F.col("questionType").alias("questionType"),
-            F.lit(None).cast("string").alias("title"),
-            F.array().cast("array<struct<key:string,label:string>>").alias("responses")))).alias("questions"))
-    return q.groupBy("survey").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("version").alias("versionId"), F.col("published").alias("published"),
-        F.col("questions").alias("questions")))).alias("versions")) \
-        .select(F.col("survey").alias("key"), "versions")
+    question = F.struct(F.col("column").alias("key"), F.col("questionType").alias("questionType"),
+                        F.lit(None).cast("string").alias("title"),
+                        F.array().cast("array<struct<key:string,label:string>>").alias("responses"))
+    version = F.struct(F.col("version").alias("versionId"), F.col("published").alias("published"), F.array(question).alias("questions"))
+    return si_rows.select(F.col("survey").alias("key"), F.array(version).alias("versions"))
 
 
 # --- participants and id lists ------------------------------------------------------------------

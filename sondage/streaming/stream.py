@@ -1,22 +1,25 @@
 """Structured Streaming jobs.
 
-* ``ingest_stream``  new response files -> raw store, one row per (survey, id).
-  Each micro-batch *appends* only the keys the store lacks (``write_keyed``
-  'ignore': the anti-join reads the batch's survey partitions only), so a
-  retried micro-batch adds nothing and stored files are never rewritten.  The
-  same micro-batch also records its distinct ``(survey, version, key)`` in a
+* ``ingest_stream``  new response files -> raw store, one row per (survey, id),
+  ``"TRUE"``/``"FALSE"`` recoded (O03).  Each micro-batch *appends* only the keys
+  the store lacks, so a retried micro-batch adds nothing and stored files are
+  never rewritten.  It also records its distinct ``(survey, version, key)`` in a
   key catalog, so a later build needs no discovery pass over the payloads.
-  The stream checkpoint replaces the reference's restart point.
 * ``build_stream``   each micro-batch through the flat build, appended to the
-  flat table the same way (additive schema evolution).
-* ``daily_stream``   tumbling daily counts per survey with a watermark and
-  bounded lateness, ``update`` mode, merged into a keyed table with
-  ``replace`` (only the touched survey partitions are rewritten).
+  flat table the same way (additive schema evolution), the participant
+  dimension extended with it.
+* ``daily_stream``   daily counts per survey.  Each micro-batch goes into the raw
+  store, then the days it touches are counted anew from the store, so counts
+  are right in whatever order files land.  With ``lateness`` the counts come
+  from windowed state with a watermark instead (``update`` mode).
+
+Every job's checkpoint belongs to its target (``<target>.checkpoint`` unless
+named), so a job started again goes on where the last one stopped; files it has
+read may be archived.  A micro-batch is persisted while it is worked on.
 
 Jobs run with ``Trigger.AvailableNow`` by default (process what has landed,
-then stop); on a cluster the same code runs continuously with a
-processing-time trigger.  Checkpoints and tables live under
-``spark.checkpoint.dir`` unless paths are given.
+then stop).  With ``interval`` ('30 seconds') they run on until stopped, and
+the running query is returned.
 
 Streaming state: no unbounded ``dropDuplicates`` on ids (it would grow for
 ever); de-duplication happens against the store inside ``foreachBatch``, and
@@ -25,49 +28,66 @@ the watermark bounds the windowed-count state.
 
 from __future__ import annotations
 
-import uuid
-from typing import Mapping
+from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import read_keyed, write_keyed
+from ..functions import schema_rows
+from ..operators.store import _without, import_log, read_keyed, update_dimension, write_keyed
 from ..plans.build import build_flat, parse_profile
-from ..session import checkpoint_dir
-from ..sources.raw import day_of
+from ..session import tables_dir
+from ..sources.raw import day_of, recode_json
 
 RAW_SCHEMA = "survey string, id string, submitted bigint, version string, data string"
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/tables/{name}"
+    return f"{tables_dir(spark)}/{name}"
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
+def _start(stream: DataFrame, merge: Callable[[DataFrame, int], None], target: str, checkpoint: str | None,
+           interval: str | None, mode: str = "append"):
+    """Run ``merge`` on every micro-batch that has rows; the checkpoint belongs to the target."""
 
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                merge(batch, epoch)
+        finally:
+            batch.unpersist()
 
-def _run(writer, available_now: bool = True):
-    w = writer.trigger(availableNow=True) if available_now else writer
-    q = w.start()
+    w = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint or f"{target}.checkpoint")
+    if interval:
+        return w.trigger(processingTime=interval).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     return q
 
 
+def _source(spark: SparkSession, source_dir: str, fmt: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(source_dir)
+
+
 def batch_keys(batch: DataFrame) -> DataFrame:
     """Distinct ``(survey, version, key)`` of a batch of raw rows (schema-sized)."""
     return batch.select("survey", "version", F.explode(F.json_object_keys("data")).alias("key")).distinct()
 
 
 def load_key_catalog(spark: SparkSession, path: str) -> dict[tuple, list[str]]:
-    """The key catalog as build ``keys``: ``{(survey, version): [keys]}`` (the survey schema)."""
+    """The key catalog as build ``keys``: ``{(survey, version): [keys]}`` (the survey schema, of a declared size)."""
     cat = read_keyed(spark, path)
-    if cat is None:
-        return {}
-    rows = cat.groupBy("survey", "version").agg(F.collect_set("key").alias("keys")).collect()
-    return {(r["survey"], r["version"]): sorted(r["keys"]) for r in rows}
+    rows = [] if cat is None else schema_rows(cat.select("survey", "version", "key").distinct(), f"key catalog at {path}")
+    out: dict[tuple, list[str]] = {}
+    for r in sorted(rows, key=lambda r: r["key"]):
+        out.setdefault((r["survey"], r["version"]), []).append(r["key"])
+    return out
 
 
 def ensure_meta(spark: SparkSession, meta_path: str, key_separator: str = "|", compressor: str = "none") -> None:
@@ -85,66 +105,62 @@ def ensure_meta(spark: SparkSession, meta_path: str, key_separator: str = "|", c
 
 
 def ingest_batch(spark: SparkSession, rows: DataFrame, store: str, key_catalog: str | None = None,
-                 import_log_path: str | None = None, partition_by=("survey", "day"), load_time=None) -> int:
-    """O47 (batch form) + O50: one load of raw rows into the keyed raw store.
-
-    New ``(survey, id)`` are appended (a repeated load adds nothing), the key
-    catalog gets the load's keys, and the import log one row per survey with
-    the load's time range.  Returns the number of rows added.
+                 import_log_path: str | None = None, partition_by=("survey", "day"), load: str | None = None,
+                 recode: bool = True) -> int:
+    """O47 (batch form) + O03 + O50: one load of raw rows into the keyed raw store.
+
+    New ``(survey, id)`` are appended wherever the stored row lies (a repeated
+    load adds nothing), the key catalog gets the load's keys, and the import
+    log one row per survey with the load's time range.  A load without a name
+    is logged if it added rows; a named one (``load``) once, however often it is
+    tried.  Returns the number of rows added.
     """
-    from ..operators.store import import_log
+    if recode:
+        rows = rows.withColumn("data", recode_json("data"))
     order = [F.col("version"), F.col("submitted"), F.col("data")]
     data = rows.withColumn("day", day_of(F.col("submitted"))) if "day" in partition_by else rows
     added = write_keyed(spark, store, data, ["survey", "id"], "ignore", tuple(partition_by), order)
     if key_catalog:
         write_keyed(spark, key_catalog, batch_keys(rows), ["survey", "version", "key"], "ignore", ("survey",))
-    if import_log_path:
-        t = F.current_timestamp() if load_time is None else F.lit(load_time)
-        import_log(rows, load_time=t).write.mode("append").parquet(import_log_path)
+    if import_log_path and (added or load is not None):
+        log = import_log(rows, load_time=F.current_timestamp())
+        name = F.lit(load) if load is not None else F.date_format("time", "yyyyMMddHHmmssSSSSSS")
+        write_keyed(spark, import_log_path, log.withColumn("load", name), ["survey", "load"], "ignore", ())
     return added
 
 
 def ingest_stream(spark: SparkSession, source_dir: str, store: str, fmt: str = "json",
-                  available_now: bool = True, max_files_per_trigger: int | None = None,
+                  interval: str | None = None, max_files_per_trigger: int | None = None,
                   key_catalog: str | None = None, partition_by=("survey", "day"),
                   import_log_path: str | None = None, meta_path: str | None = None,
-                  key_separator: str = "|"):
-    """Landed response files -> raw store (``ignore`` on ``(survey, id)``).
-
-    The store is partitioned by survey and submission day, so each micro-batch
-    reads the stored ids of the days it touches only.  ``submitted`` is the
-    server's submission time: a re-fetched response keeps it, so its
-    duplicate always lands in the same day partition.
-    """
-    reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.load(source_dir)
+                  key_separator: str = "|", checkpoint: str | None = None, recode: bool = True):
+    """Landed response files -> raw store (``ignore`` on ``(survey, id)``)."""
     if meta_path:
         ensure_meta(spark, meta_path, key_separator)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        ingest_batch(spark, batch, store, key_catalog, import_log_path, partition_by)
+        ingest_batch(spark, batch, store, key_catalog, import_log_path, partition_by, f"batch {epoch}", recode)
 
-    return _run(src.writeStream.foreachBatch(merge).option("checkpointLocation", _ckpt(spark, "ingest")),
-                available_now)
+    return _start(_source(spark, source_dir, fmt, max_files_per_trigger), merge, store, checkpoint, interval)
 
 
 def build_stream(spark: SparkSession, source_dir: str, table: str, profile: Mapping,
-                 fmt: str = "json", available_now: bool = True):
-    """Each micro-batch of raw rows through the flat build into the flat table."""
-    prof = parse_profile(profile)
-    src = spark.readStream.schema(RAW_SCHEMA).format(fmt).load(source_dir)
+                 fmt: str = "json", interval: str | None = None, max_files_per_trigger: int | None = None,
+                 checkpoint: str | None = None, key_catalog: str | None = None, dimension: str | None = None):
+    """Each micro-batch of raw rows through the flat build into the flat table.
+
+    With ``key_catalog`` the build takes its keys from there (kept by
+    ``ingest_stream``); with ``dimension`` the participants are added to it.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
-        write_keyed(spark, table, build_flat(batch, prof), ["survey", "id"], "ignore", ("survey",))
+        spec = dict(profile, keys=load_key_catalog(spark, key_catalog)) if key_catalog else profile
+        write_keyed(spark, table, build_flat(batch, parse_profile(spec)), ["survey", "id"], "ignore", ("survey",))
+        if dimension:
+            seen = batch.select(F.get_json_object("data", "$.participantID").alias("global_id"))
+            update_dimension(spark, dimension, seen)
 
-    return _run(src.writeStream.foreachBatch(merge).option("checkpointLocation", _ckpt(spark, "build")),
-                available_now)
+    return _start(_source(spark, source_dir, fmt, max_files_per_trigger), merge, table, checkpoint, interval)
 
 
 def daily_counts_stream(events: DataFrame, lateness: str = "1 day", window: str = "1 day") -> DataFrame:
@@ -156,23 +172,38 @@ def daily_counts_stream(events: DataFrame, lateness: str = "1 day", window: str
         .select(F.to_date(F.col("w.start")).alias("day"), "survey", "n")
 
 
-def daily_stream(spark: SparkSession, source_dir: str, table: str, fmt: str = "json",
-                 lateness: str = "1 day", available_now: bool = True):
-    """``update``-mode windowed counts merged into a keyed ``replace`` table."""
-    src = spark.readStream.schema(RAW_SCHEMA).format(fmt).load(source_dir)
-    counts = daily_counts_stream(src, lateness)
+def daily_stream(spark: SparkSession, source_dir: str, table: str, store: str | None = None, fmt: str = "json",
+                 lateness: str | None = None, interval: str | None = None, max_files_per_trigger: int | None = None,
+                 checkpoint: str | None = None):
+    """Daily counts per survey in a keyed table (``replace`` on day and survey).
+
+    Either from the raw ``store``, which each micro-batch is added to first, or
+    with ``lateness`` from windowed state: rows later than the watermark are
+    then not counted.
+    """
+    if (store is None) == (lateness is None):
+        raise ValueError("give either the store to count from or the lateness of windowed counts")
+    src = _source(spark, source_dir, fmt, max_files_per_trigger)
+
+    def put(counts: DataFrame) -> None:
+        write_keyed(spark, table, counts, ["day", "survey"], "replace", ("survey",), [F.col("n")])
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
+        if lateness is not None:
+            put(batch)
             return
-        write_keyed(spark, table, batch, ["day", "survey"], "replace", ("survey",), [F.col("n")])
+        ingest_batch(spark, batch, store)
+        # of the whole batch, not of the rows added: a retry after a failed count counts again
+        touched = batch.select("survey", day_of(F.col("submitted")).alias("day")).distinct()
+        put(_without(read_keyed(spark, store), touched, ["survey", "day"], "left_semi").groupBy("day", "survey").agg(F.count("*").alias("n")))
 
-    return _run(counts.writeStream.outputMode("update").foreachBatch(merge)
-                .option("checkpointLocation", _ckpt(spark, "daily")), available_now)
+    if lateness is not None:
+        return _start(daily_counts_stream(src, lateness), merge, table, checkpoint, interval, "update")
+    return _start(src, merge, table, checkpoint, interval)
 
 
-def land_files(df: DataFrame, path: str, fmt: str = "json", files: int | None = None) -> str:
-    """Write rows as landed files (the stream's input); ``files`` sets the file count."""
-    out = df.repartition(files) if files else df
-    out.write.mode("errorifexists").format(fmt).save(path)
+def land_files(df: DataFrame, path: str, fmt: str = "json", rows_per_file: int | None = None) -> str:
+    """Write rows as landed files (the stream's input), of so many rows at most."""
+    w = df.write.mode("errorifexists").format(fmt)
+    (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).save(path)
     return path

@@ -3,10 +3,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sondage.functions.rename import DuplicateColumnError
-from sondage.plans.build import (TypeConflictError, build_flat, build_plan, dedupe_raw, discover_members,
-                                 member_plans, order_processors, parse_profile)
+from sondage.plans import build as B
+from sondage.plans.build import (build_flat, build_plan, build_rejects, discover_members, discover_schema, member_plans,
+                                 order_processors, parse_profile)
 
 RAW = "survey string, id string, submitted long, version string, data string"
 
@@ -56,12 +58,14 @@ def test_same_key_renamed_differently_per_version(spark):
     assert out["b"]["Q9"] == "old" and out["b"]["Q9v2"] is None
 
 
-def test_type_conflict_across_versions(spark):
-    raw = spark.createDataFrame([row("s", "a", 1, "2-0-0", **{"s.main.Q7": "1"}),
-                                 row("s", "b", 1, "1-0-0", **{"s.main.Q7": "x"})], RAW)
-    rule = {"name": "to_bool", "columns": ["s.main.Q7"], "version": "2-0-0"}
-    with pytest.raises(TypeConflictError):
-        build_flat(raw, profile(processors=[rule]))
+def test_cast_limited_to_a_version_types_the_column(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "2-0-0", **{"s.main.Q7": "1", "s.main.Q8": "5"}),
+                                 row("s", "b", 1, "1-0-0", **{"s.main.Q7": "x", "s.main.Q8": 7}),
+                                 row("s", "c", 1, "1-0-0", **{"s.main.Q7": "FALSE", "s.main.Q8": 8})], RAW)
+    rules = [{"name": "to_bool", "columns": ["s.main.Q7"], "version": "2-0-0"}, {"name": "to_date", "columns": ["s.main.Q8"], "version": "2-0-0"}]
+    out = {r["id"]: r for r in build_flat(raw, profile(processors=rules)).collect()}
+    assert [out[i]["Q7"] for i in "abc"] == [True, None, False]
+    assert [out[i]["Q8"].timestamp() for i in "abc"] == [5, 7, 8]
 
 
 def test_profile_versions_filter_rows(spark):
@@ -82,19 +86,76 @@ def test_bad_json_left_out(spark):
     assert [r["id"] for r in build_flat(raw, profile()).collect()] == ["a"]
 
 
-@pytest.mark.parametrize("mode", ["auto", True])
-def test_dedupe_first_by_version_then_time(spark, mode):
+def test_dedupe_first_by_version_then_time(spark):
     raw = spark.createDataFrame([row("s", "a", 5, "1-0-10", **{"s.main.Q2": "late-version"}),
                                  row("s", "a", 9, "1-0-2", **{"s.main.Q2": "keep"}),
                                  row("s", "a", 1, "1-0-2", **{"s.main.Q2": "earliest"}),
                                  row("s", "b", 1, "1-0-2", **{"s.main.Q2": "solo"})], RAW)
-    out = {r["id"]: r["Q2"] for r in build_flat(raw, profile(dedupe=mode)).collect()}
+    out = {r["id"]: r["Q2"] for r in build_flat(raw, profile()).collect()}
     assert out == {"a": "earliest", "b": "solo"}
+    assert build_flat(raw, profile(dedupe=False)).count() == 4
 
 
-def test_dedupe_auto_without_duplicates_keeps_rows(spark):
-    raw = spark.createDataFrame([row("s", str(i), i, "1") for i in range(20)], RAW)
-    assert dedupe_raw(raw, ["survey", "id"], "auto").count() == 20
+def test_truncated_copy_does_not_displace_a_whole_one(spark):
+    whole = row("s", "a", 9, "1-0-2", **{"s.main.Q2": "whole"})
+    raw = spark.createDataFrame([whole, ("s", "a", 1, "1-0-1", whole[4][:12]), ("s", "b", 1, "1-0-1", "{"), ("s", "b", 2, "1-0-1", None),
+                                 ("s", None, 3, "1-0-2", whole[4]), ("s", None, 4, "1-0-2", whole[4])], RAW)
+    out = build_flat(raw, profile())
+    assert [(r["id"], r["Q2"]) for r in out.collect()] == [("a", "whole")] * 2  # the payload's own id; a null key is one key
+    bad = {(r["id"], r["submitted"]): r["lost"] for r in build_rejects(raw, profile()).collect()}
+    assert bad == {("a", 1): False, ("b", 1): True, ("b", 2): True}
+
+
+def test_stale_key_catalog_is_an_error(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Q1": "x"}), row("s", "b", 1, "2", **{"s.main.Q2": "y"})], RAW)
+    keys = discover_members(raw)
+    assert build_flat(raw, profile(keys=keys)).count() == 2
+    for stale in ({m: k for m, k in keys.items() if m[1] == "1"}, {m: [x for x in k if x != "s.main.Q2"] for m, k in keys.items()}):
+        with pytest.raises(Exception, match="missing from the key catalog.*s.main.Q2"):
+            build_flat(raw, profile(keys=stale)).collect()
+        assert build_flat(raw, profile(keys=stale, verify_keys=False)).count() == 2
+
+
+def test_numbers_become_number_columns(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "1", i=5, f=1, t=2, m=1), row("s", "b", 2, "1", i=None, f=2.5, t="2", m=True)], RAW)
+    out = build_flat(raw, profile())
+    types = dict(out.dtypes)
+    assert (types["i"], types["f"], types["t"], types["m"], types["timestamp"]) == ("bigint", "double", "string", "string", "timestamp")
+    got = {r["id"]: (r["i"], r["f"], r["t"], r["m"]) for r in out.collect()}
+    assert got == {"a": (5, 1.0, "2", "1"), "b": (None, 2.5, "2", "true")}
+    assert discover_schema(raw)[1] == {"i": "int", "f": "float", "submitted": "int"}
+    as_text = build_flat(raw, profile(infer_numbers=False, schema={"f": "float"}))
+    assert (dict(as_text.dtypes)["i"], dict(as_text.dtypes)["f"]) == ("string", "double")
+
+
+def test_schema_has_a_limit(spark, monkeypatch):
+    from sondage import functions
+    monkeypatch.setattr(functions, "MAX_SCHEMA_ENTRIES", 3)
+    with pytest.raises(functions.SchemaSizeError):
+        build_flat(spark.createDataFrame([row("s", "a", 1, "1")], RAW), profile())
+
+
+def test_custom_processors_run_at_their_place_for_their_versions(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "1-0", **{"s.main.Q1": "x", "s.main.Q1|0": "1"}),
+                                 row("s", "b", 1, "2-0", **{"s.main.Q1": "y", "s.main.Q1|0": "0"})], RAW)
+    early = {"name": "custom", "version": "2-0", "position": "before_casting",
+             "fn": lambda d: d.withColumn("s.main.N|1", F.concat(F.lit("n"), F.col("`s.main.Q1`"))).withColumn("s.main.Q1|0", F.lit("TRUE"))}
+    late = {"name": "custom", "position": "end", "fn": lambda d: d.withColumn("Q1", F.upper("Q1"))}
+    out = build_flat(raw, profile(processors=[late, early]))
+    got = {r["id"]: (r["Q1"], r["N_1"], r["Q1_0"]) for r in out.collect()}
+    assert got == {"a": ("X", None, True), "b": ("Y", "ny", True)}
+    with pytest.raises(ValueError, match="must keep"):
+        build_flat(raw, profile(processors=[{"name": "custom", "fn": lambda d: d.select("ID")}]))
+
+
+def test_defaults_by_name(spark):
+    raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Q1|0": "1"})], RAW)
+    whole = build_flat(raw, profile())
+    named = build_flat(raw, profile(processors_defaults=False, processors=["default_renaming", "default_casting"]))
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, whole.collect()))
+    assert dict(build_flat(raw, profile(processors_defaults=False, processors=["default_renaming"])).dtypes)["Q1_0"] == "string"
+    with pytest.raises(ValueError, match="unknown default"):
+        parse_profile({"processors": ["default_nothing"]})
 
 
 def test_processor_order_is_by_position():
@@ -172,6 +233,9 @@ def test_plan_file_forms(spark, tmp_path):
         [("pollster_results_s", 1), ("pollster_results_t", 1), ("pollster_results_u", 1)]
     again = run_build_plan(spark, raw, plan, str(tmp_path / "out"), base_dir=str(tmp_path))
     assert all(r["rows_written"] == 0 for r in again.collect())  # building twice adds nothing
+    from sondage.operators.store import read_keyed
+    assert read_keyed(spark, str(tmp_path / "out" / B.REGISTRY_TABLE)).count() == 3
+    assert [tuple(r) for r in read_keyed(spark, str(tmp_path / "out" / B.DIMENSION_TABLE)).collect()] == [(1, "p1")]
     with pytest.raises(KeyError):
         build_plan(raw, {"surveys": {"s": "missing"}})
 
@@ -220,6 +284,15 @@ def test_zlib_compressed_raw_store(spark):
     assert out == {"a": True, "b": False}
 
 
+def test_zstd_compressed_raw_store(spark):
+    zstandard = pytest.importorskip("zstandard")
+    plain = [row("s", "a", 1, "1", **{"s.main.Q1|0": "1"}), row("s", "b", 2, "1", **{"s.main.Q1|0": "0"})]
+    packed = [(s_, i, t, v, bytearray(zstandard.compress(d.encode()))) for s_, i, t, v, d in plain] + [("s", "c", 1, "1", bytearray(b"x"))]
+    raw = spark.createDataFrame(packed, "survey string, id string, submitted long, version string, data binary")
+    out = {r["id"]: r["Q1_0"] for r in build_flat(raw, profile(compressor="zstd")).collect()}
+    assert out == {"a": True, "b": False}
+
+
 def test_plan_shared_discovery_respects_versions(spark):
     raw = spark.createDataFrame([row("s", "a", 1, "1", **{"s.main.Old": "x"}), row("s", "b", 1, "2", **{"s.main.New": "y"})],
                                 RAW)

@@ -30,9 +30,10 @@ def _schema():
     return {"schema": {"s.main.Q1|0": "bool", "s.main.Q5": "json"}}
 
 
-def test_build_has_no_shuffle_when_ids_are_unique(spark):
+def test_build_shuffles_once_by_key_and_not_at_all_over_a_keyed_store(spark):
     plan = _static_plan(spark, build_flat(_raw(spark), _schema()))
-    assert "Exchange" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2  # one row per key in each task, then of all
+    assert "Exchange" not in _static_plan(spark, build_flat(_raw(spark), {**_schema(), "dedupe": False}))
 
 
 def test_build_parses_the_payload_once(spark):
@@ -48,14 +49,27 @@ def test_build_projection_is_whole_stage_codegen(spark):
     assert re.match(r"\*\(\d+\) Project", top), top
 
 
-def test_auto_dedupe_shuffles_keys_only_without_duplicates(spark):
+def test_one_plan_with_and_without_duplicates(spark):
     df = _raw(spark)
-    out = SO.first_per_key(df, ["survey", "id"])
-    assert "Exchange" not in _static_plan(spark, out)  # the rows pass through untouched
-    dup = df.unionByName(df.limit(3))
-    got = SO.first_per_key(dup, ["survey", "id"])
-    assert got.count() == 200
-    assert "BroadcastHashJoin" in _static_plan(spark, got)  # only the few duplicated keys are fixed
+    dup = df.unionByName(df)
+    assert SO.first_per_key(dup, ["survey", "id"]).count() == SO.first_per_key(df, ["survey", "id"]).count() == 200
+    assert _static_plan(spark, SO.first_per_key(dup, ["survey", "id"])).count("Exchange") == 1
+
+
+def test_upsert_moves_each_side_once(spark):
+    df = _raw(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _static_plan(spark, SO.upsert(df, df, ["survey", "id"], "ignore"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 3 and "BroadcastExchange" not in plan
+
+
+def test_numbering_has_no_window_over_all_rows(spark):
+    ids = spark.range(1000).selectExpr("concat('g', id) as g")
+    df = SO.dense_index(spark, ids, "g")
+    assert "Window" not in _static_plan(spark, df) and df.agg({"idx": "max"}).first()[0] == 1000
 
 
 def test_keyed_append_scans_only_touched_partitions(spark, tmp_path):

@@ -92,3 +92,11 @@ def test_column_form_equals_driver_form_property(spark, names):
     chain = default_chain(SEP)
     got = dict(df.select("source", chain.column(F.col("source")).alias("t")).collect())
     assert got == {n: chain.target(n) for n in names}
+
+
+@pytest.mark.parametrize("rule", [(r"sé(\d+)", r"se\1"), (r"\w+É", "x"), ("straSSe", "road")])
+def test_both_forms_fold_unicode_alike(spark, rule):
+    names = ["SÉ12", "sé٣", "été_É1", "é", "STRASSE", "Q1", "Ünï|É"]
+    r = RegexRename(*rule)
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", r.column(F.col("n")).alias("m"))
+    assert {x["n"]: x["m"] for x in df.collect()} == {n: r.apply(n) for n in names}

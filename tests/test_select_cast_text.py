@@ -92,3 +92,28 @@ def test_published_iso_and_midnight(spark):
         ["2024-01-01T00:01:01", "Unknown", "Unknown", "Unknown", "Unknown"]
     ts = spark.createDataFrame([(1704070000,)], "s long").select(F.timestamp_seconds("s").alias("t"))
     assert ts.select(F.unix_seconds(TX.midnight_floor("t"))).first()[0] == 1704067200
+
+
+def test_recode_keeps_json_types(spark):
+    from sondage.sources.raw import recode_json
+    rows = ['{"o":{"k":"TRUE"},"n":5,"a":"TRUE","b":"FALSE","c":"True","d":null,"f":2.5,"l":["TRUE"],"t":"5","q":"say \\"TRUE\\""}', "[1]", "{", "", None]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "d string").select(recode_json("d")).collect()]
+    assert got[0] == '{"o":{"k":"TRUE"},"n":5,"a":true,"b":false,"c":"True","d":null,"f":2.5,"l":["TRUE"],"t":"5","q":"say \\"TRUE\\""}'
+    assert got[1:] == rows[1:]
+
+
+def test_published_iso_over_all_lengths(spark):
+    from sondage.functions.text import published_iso
+    cases = {"0": "Unknown", "-5": "Unknown", "1": "1970-01-01T00:00:01", "1704067200": "2024-01-01T00:00:00", "253402300799": "9999-12-31T23:59:59",
+             "253402300800": "Unknown", "1704067200123": "Unknown", "170406720012345678": "Unknown", "9" * 30: "Unknown", "x": "Unknown", None: "Unknown", " 7 ": "1970-01-01T00:00:07"}
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", published_iso("s").alias("t"))
+    assert {r["s"]: r["t"] for r in df.collect()} == cases
+
+
+def test_project_fields_checks_the_schema(spark):
+    from sondage.functions.select import project_fields
+    df = spark.createDataFrame([(1, {"k": "v"}, (2,))], "a int, m map<string,string>, s struct<b: int>")
+    assert project_fields(df, {"x": "s.b", "y": "m.k"}).first().asDict() == {"x": 2, "y": "v"}
+    for missing in ("z", "s.c", "a.b"):
+        with pytest.raises(KeyError):
+            project_fields(df, [missing])

@@ -176,3 +176,40 @@ def test_main_profile_first_long_matches_nested(spark):
                                       (2, "g4", "n", None, 1)], "user_key int, gid string, name string, main boolean, seq int")
     got = sorted((r["user_key"], r["pos"], r["gid"]) for r in MG.main_profile_first_long(spark, profiles).collect())
     assert got == [(1, 0, "g2"), (1, 1, "g3"), (1, 2, "g1"), (2, 0, "g4")]
+
+
+def test_own_collector_type(spark):
+    from sondage.operators import stats as ST
+    states = spark.createDataFrame([("a", {"x": "12"}), ("b", {"x": "3"}), ("c", {"y": "4"})], "participantId string, flags map<string,string>")
+
+    def lengths(df, field):
+        return df.select(F.length(F.element_at("flags", F.lit(field))).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("value"))
+    out = ST.multi_stats(states, ["counts", {"type": "lengths", "field": "x", "name": "len"}], own={"lengths": lengths})
+    assert {(r["key"], r["value"]) for r in out.where("name = 'len'").collect()} == {("2", 1.0), ("1", 1.0)}
+    with pytest.raises(ValueError):
+        ST.parse_collectors("lengths:x")
+
+
+def test_flag_sync_with_nulls(spark):
+    from sondage.operators import reconcile as RC
+    states = spark.createDataFrame([("a", None, {"x": "1"}), ("b", "active", {"x": "1"}), ("c", "temporary", {"x": "0"}), ("d", "active", {"x": None})],
+                                   "participantId string, studyStatus string, flags map<string,string>")
+    wanted = spark.createDataFrame([("a", {"x": "2"}), ("b", {"x": None}), ("c", {"x": "1"}), ("d", {"x": None})], "participantId string, flags map<string,string>")
+    assert {(r["participantId"], r["current"], r["wanted"]) for r in RC.flag_sync_diff(states, wanted).collect()} == {
+        ("a", "1", "2"), ("b", "1", None), ("d", None, None)}
+    assert RC.flag_sync_summary(states, wanted).first().asDict() == {"in_file": 4, "found": 3, "synced": 0, "to_update": 3}
+
+
+def test_latest_version_breaks_ties_by_version(spark):
+    from sondage.operators import stats as ST
+    info = spark.createDataFrame([("s", "24-9", 5), ("s", "24-10", 5), ("s", "23-1", 4)], "survey string, version string, published long")
+    assert ST.latest_version(info).first()["version"] == "24-10"
+
+
+def test_daily_counts_resume(spark, tmp_path):
+    from sondage.operators import stats as ST
+    rows = lambda *days: spark.createDataFrame([("s", 86400 * d) for d in days], "survey string, submitted long")
+    path = str(tmp_path / "d")
+    ST.resume_daily(spark, path, rows(1, 1, 2))
+    got = ST.resume_daily(spark, path, rows(2, 2, 3))  # day 1 is archived, day 2 was incomplete
+    assert {(str(r["day"]), r["n"]) for r in got.collect()} == {("1970-01-02", 2), ("1970-01-03", 2), ("1970-01-04", 1)}

@@ -53,20 +53,21 @@ def test_participant_dim_dense_and_stable(spark):
 
 def test_meta_and_registry(spark):
     meta = spark.createDataFrame([("|",), ("|",)], "key_separator string")
-    SO.assert_meta(meta)
-    with pytest.raises(ValueError):
-        SO.assert_meta(spark.createDataFrame([("|",), (";",)], "key_separator string"))
+    assert SO.meta_check(meta).first()["consistent"]
+    assert not SO.meta_check(spark.createDataFrame([("|",), (";",)], "key_separator string")).first()["consistent"]
     reg = spark.createDataFrame([("s", "t1", "raw")], "survey string, table string, type string")
     new = spark.createDataFrame([("s", "t1", "flat"), ("s", "t2", "flat")], "survey string, table string, type string")
     assert dict((r["table"], r["type"]) for r in SO.registry_upsert(reg, new).collect()) == {"t1": "raw", "t2": "flat"}
 
 
-def test_publish_and_current(spark):
+def test_publish_and_current(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "id string, v int")
-    SO.publish(spark, df, "unit_tbl")
-    SO.publish(spark, SO.upsert(SO.current(spark, "unit_tbl"), spark.createDataFrame([("b", 2)], "id string, v int"),
-                                ["id"]), "unit_tbl")
-    assert sorted(r["id"] for r in SO.current(spark, "unit_tbl").collect()) == ["a", "b"]
+    base = str(tmp_path)
+    assert SO.current(spark, "unit_tbl", base) is None
+    SO.publish(spark, df, "unit_tbl", base=base)
+    SO.publish(spark, SO.upsert(SO.current(spark, "unit_tbl", base), spark.createDataFrame([("b", 2)], "id string, v int"),
+                                ["id"]), "unit_tbl", base=base)
+    assert sorted(r["id"] for r in SO.current(spark, "unit_tbl", base).collect()) == ["a", "b"]
 
 
 def test_export_roundtrip(spark, tmp_path):
@@ -172,7 +173,90 @@ def test_export_with_catalog_wide_and_long(spark, tmp_path):
     cat = SO.export_with_catalog(spark, df, str(tmp_path / "w"), anchor=0, fmt="json")
     assert sorted((r["survey"], r["start"], r["n"]) for r in cat.collect()) == \
         [("s", 0, 1), ("s", 7 * 86400, 1), ("t", 0, 1)]
-    back = SO.read_export(spark, str(tmp_path / "w"), "json")
+    back = SO.read_export(spark, str(tmp_path / "w" / "*.json"), "json")
     assert back.count() == 3
     long = SO.export_with_catalog(spark, df, str(tmp_path / "l"), anchor=0, fmt="json", layout="long")
-    assert sum(r["n"] for r in long.collect()) == 5  # submitted x3, q x2 (null q dropped)
+    assert sum(r["n"] for r in long.collect()) == 3  # responses; as cells, submitted x3 and q x2 (null q dropped)
+    assert SO.read_export(spark, str(tmp_path / "l" / "*.json"), "json").count() == 5
+
+
+DAYS = "survey string, id string, day string, v int"
+
+
+@pytest.mark.parametrize("mode,want", [("ignore", {("s", "a"): ("d1", 1), ("s", "b"): ("d1", 1), ("s", None): ("d2", 3), ("s", "c"): ("d2", 2)}),
+                                       ("replace", {("s", "a"): ("d2", 2), ("s", "b"): ("d1", 1), ("s", None): ("d2", 4), ("s", "c"): ("d2", 2)})])
+def test_key_holds_across_partitions(spark, tmp_path, mode, want):
+    path = str(tmp_path / "k")
+    SO.write_keyed(spark, path, spark.createDataFrame([("s", "a", "d1", 1), ("s", "b", "d1", 1)], DAYS), ["survey", "id"], mode, ("survey", "day"))
+    batch = spark.createDataFrame([("s", "a", "d2", 2), ("s", "c", "d2", 2), ("s", None, "d2", 3), ("s", None, "d2", 4)], DAYS)
+    for _ in range(2):  # a repeated batch changes nothing
+        SO.write_keyed(spark, path, batch, ["survey", "id"], mode, ("survey", "day"), [F.col("v")])
+        rows = SO.read_keyed(spark, path).collect()
+        assert len(rows) == len(want) and {(r["survey"], r["id"]): (r["day"], r["v"]) for r in rows} == want
+
+
+def test_replace_removes_a_partition_left_empty(spark, tmp_path):
+    path = str(tmp_path / "k")
+    SO.write_keyed(spark, path, spark.createDataFrame([("s", "a", "d1", 1)], DAYS), ["survey", "id"], "ignore", ("survey", "day"))
+    SO.write_keyed(spark, path, spark.createDataFrame([("s", "a", "d2", 2)], DAYS), ["survey", "id"], "replace", ("survey", "day"))
+    assert [tuple(r) for r in SO.read_keyed(spark, path).select("survey", "id", "day", "v").collect()] == [("s", "a", "d2", 2)]
+    assert not (tmp_path / "k" / "survey=s" / "day=d1").exists()
+
+
+def test_plain_raises_from_the_first_write(spark, tmp_path):
+    path = str(tmp_path / "p")
+    twice = spark.createDataFrame([("s", "a", "d1", 1), ("s", "a", "d2", 1)], DAYS)
+    with pytest.raises(SO.DuplicateKeyError):
+        SO.write_keyed(spark, path, twice, ["survey", "id"], "plain", ("survey", "day"))
+    assert SO.write_keyed(spark, path, twice.limit(1), ["survey", "id"], "plain", ("survey", "day")) == 1
+    with pytest.raises(SO.DuplicateKeyError):
+        SO.write_keyed(spark, path, twice.limit(1), ["survey", "id"], "plain", ("survey", "day"))
+
+
+def test_replace_without_partitions_leaves_the_old_snapshot_until_done(spark, tmp_path):
+    path = str(tmp_path / "u")
+    SO.write_keyed(spark, path, spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"), ["id"], "ignore", ())
+    old = SO.read_keyed(spark, path)
+    bad = spark.createDataFrame([("a", 2)], "id string, v int").withColumn("v", F.when(F.col("v") == 2, F.raise_error(F.lit("stop")).cast("int")))
+    with pytest.raises(Exception, match="stop"):
+        SO.write_keyed(spark, path, bad, ["id"], "replace", ())
+    assert sorted(map(tuple, SO.read_keyed(spark, path).collect())) == [("a", 1), ("b", 1)]
+    SO.write_keyed(spark, path, spark.createDataFrame([("a", 2), ("c", 3)], "id string, v int"), ["id"], "replace", ())
+    assert sorted(map(tuple, SO.read_keyed(spark, path).collect())) == [("a", 2), ("b", 1), ("c", 3)]
+    assert sorted(map(tuple, old.collect())) == [("a", 1), ("b", 1)]
+
+
+def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
+    from sondage import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
+def test_export_with_catalog_names_files_and_restarts(spark, tmp_path):
+    from sondage.operators import periods as PD
+    week = 7 * 86400
+    df = spark.createDataFrame([("s", "a", 10, "x"), ("s", "b", week + 5, "y"), ("t", "c", 20, None)], "survey string, id string, submitted long, Q_lk_1 string")
+    path = str(tmp_path / "out")
+    for layout, ext in (("wide", "csv"), ("long", "json")):
+        cat = SO.export_with_catalog(spark, df, f"{path}/{layout}", 0, ext, layout, headers=[("_lk_", "_likert_")])
+        files = {r["file"] for r in cat.collect()}
+        assert files == {f"s_responses_1970-01-01-00-00-00_1970-01-08-00-00-00.{ext}", f"s_responses_1970-01-08-00-00-00_1970-01-15-00-00-00.{ext}",
+                         f"t_responses_1970-01-01-00-00-00_1970-01-08-00-00-00.{ext}"}
+        assert files | {"catalog"} == {p.name for p in (tmp_path / "out" / layout).iterdir()}
+    assert "Q_likert_1" in SO.read_export(spark, f"{path}/wide/s_*.csv", "csv").columns
+    again = SO.export_with_catalog(spark, df.where("id = 'b'").withColumn("submitted", F.col("submitted") + 1), f"{path}/wide", 0)
+    assert again.count() == 3 and SO.read_export(spark, f"{path}/wide/s_*.csv", "csv").count() == 2
+    assert {r["survey"]: r["restart"] for r in PD.catalog_restart(again, now=10**9).collect()} == {"s": week, "t": 0}

@@ -60,7 +60,7 @@ def test_version_array_pads(spark):
     assert rows[0]["a"] == rows[1]["a"] and rows[0]["a"] < rows[2]["a"]
 
 
-versions = st.lists(st.integers(0, 30), min_size=1, max_size=4).map(lambda xs: "-".join(map(str, xs)))
+versions = st.lists(st.integers(0, 30) | st.integers(2**31, 10**20), min_size=1, max_size=9).map(lambda xs: "-".join(map(str, xs)))
 
 
 @settings(max_examples=25, deadline=None)
@@ -70,3 +70,24 @@ def test_column_form_matches_driver_form(spark, vs, lo, hi, ex):
     df = spark.createDataFrame([(v,) for v in vs], "version string")
     got = sorted(r[0] for r in filter_versions(df, sel).collect())
     assert got == sorted(v for v in vs if sel.matches(v))
+
+
+def test_long_versions_and_large_parts(spark):
+    vs = ["24-1-20240101120000", "24-1-20240101120001", "1-2-3-4-5-6-7", "1-2-3-4-5-6-7-0-0", "1-2-3-4-5-6-7-8-9", "0", "0-0", "24"]
+    df = spark.createDataFrame([(v,) for v in vs], "version string")
+    order = [r[0] for r in df.orderBy(version_array("version"), "version").collect()]
+    assert order == ["0", "0-0", "1-2-3-4-5-6-7", "1-2-3-4-5-6-7-0-0", "1-2-3-4-5-6-7-8-9", "24", "24-1-20240101120000", "24-1-20240101120001"]
+    assert sort_versions(vs) == sorted(vs, key=order.index) or sort_versions(vs)[-1] == order[-1]
+    kept = {r[0] for r in filter_versions(df, "1-2-3-4-5-6-7:24-1-20240101120000, !24").collect()}
+    assert kept == {"24-1-20240101120000", "1-2-3-4-5-6-7", "1-2-3-4-5-6-7-0-0", "1-2-3-4-5-6-7-8-9"}
+
+
+@pytest.mark.parametrize("bad", ["a", "1:2:3", "!", "1-x", "24-1:b", ["24", ["!"]], 5, "1!2", "!!1"])
+def test_bad_selectors(bad):
+    with pytest.raises(VersionError):
+        parse_selector(bad)
+
+
+def test_open_intervals():
+    assert parse_selector(":").matches("1") and parse_selector("24:").matches("99-1") and not parse_selector(":24").matches("24-0-1")
+    assert parse_selector(":24").matches("24-0-0") and parse_selector(" ! 24-1 : 24-2 ").exclude
