@@ -21,10 +21,11 @@ The steps:
 2. ``_ask``: each block sends its signatures' hashes, packed by bucket;
    ``_count`` tells how many sets hold each.  ``_choose``: each set with
    enough shared signatures keeps its d + 1 rarest (the shared ones of them).
-3. Stars: in each signature's group, members are checked against one centre,
-   and what is linked becomes one component.  Pairs inside a component need no
-   check; stars repeat while they save pairs, then the pairs left between
-   components are checked, each by its exact similarity.
+3. ``_links``: in each signature's group the members are checked against one
+   centre, and what is linked becomes one component.  Of the groups that then
+   hold several components, small ones are checked pair by pair, each by its
+   exact similarity; members of large ones are compared in blocks, in memory,
+   where pairs are counted and never sent (``_compare_blocks``).
 4. Components of all links, then one row for each document.
 
 No set is cut short, no group is dropped and no pair goes unchecked unless its
@@ -43,7 +44,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +54,14 @@ from sondage.llm.components import components
 
 #: Text of one block, and signatures of one bucket, on average.
 BLOCK_BYTES, BUCKET_SIGNATURES = 16 << 20, 1 << 21
+#: Distinct words whose hashes a task keeps.
+WORDS_HELD = 500_000
 #: Sets below this size use a part for each feature, so that none can crowd.
 SMALL = 128
 #: Bytes of a feature in the sets sent to be compared.
 FEATURE_BYTES = 6
-MAX_STARS = 6
+#: Rounds of stars; members of a signature's group that are compared pair by pair, larger ones in blocks of so many sets.
+STARS, FEW, BLOCK_SETS = 1, 32, 256
 #: Documents to go that are broadcast at most (some 40 MB).
 BROADCAST_ROWS = 400_000
 
@@ -74,17 +77,42 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: A-Z only, ASCII white space only
 
 
-def shingles(words: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    if len(words) <= k:
-        return np.array([xxhash.xxh3_64_intdigest(line)], np.uint64)
-    stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (stop - np.fromiter(map(len, words), np.int64, len(words)) - 1)[: len(words) - k + 1].tolist()
-    h = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((h(line[a:b]) for a, b in zip(starts, (stop[k - 1 :] - 1).tolist())), np.uint64, len(words) - k + 1))
+class Shingler:
+    """Distinct k-word shingles as 64-bit hashes, mixed from the hashes of their words.
+
+    Keeps the hashes of words it has seen, up to ``WORDS_HELD``.
+    """
+
+    def __init__(self, k: int):
+        self.k, self.factors = k, _mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.hashes = np.zeros(1 << 12, np.uint64)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Sorted; fewer than k words: the whole sequence as one."""
+        if not words:
+            return np.zeros(0, np.uint64)
+        if len(words) < self.k:
+            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
+        index, n = self.index, len(self.index)
+        new = [w for w in dict.fromkeys(words) if w not in index]
+        if new:
+            index.update(zip(new, range(n, n + len(new))))
+            if len(index) > len(self.hashes):
+                self.hashes = np.append(self.hashes, np.zeros(len(index) + len(self.hashes), np.uint64))
+            self.hashes[n : len(index)] = [xxhash.xxh3_64_intdigest(w) for w in new]
+        h = self.hashes[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
+        m = len(words) - self.k + 1
+        total = h[:m] * self.factors[0]
+        for j in range(1, self.k):
+            total = total + _mix(h[j : j + m]) * self.factors[j]
+        if len(index) > WORDS_HELD:
+            self._forget()
+        out = np.sort(_mix(total))
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 class Bands:
@@ -100,11 +128,11 @@ class Bands:
     def instances(self, size: int) -> list[tuple[int, int]]:
         """(band, differences allowed) for a set of ``size``."""
         band = size.bit_length() - 1
-        out = [(band, self.allowed(size, size * 100 // self.percent))]
         below = (1 << band) - 1  # the largest size of the band below
-        if below and 100 * below >= self.percent * size:
-            out.append((band - 1, self.allowed(size, below)))
-        return out
+        partners = [(band, size * 100 // self.percent)] + [(band - 1, below)] * (100 * below >= self.percent * size)
+        # where each feature is a part, only those that the other set lacks are spoiled
+        own = size - -(-self.percent * size // 100)
+        return [(b, self.allowed(size, other) if self.parts(b) else own) for b, other in partners if b >= 0]
 
     @staticmethod
     def parts(band: int) -> int:
@@ -170,13 +198,12 @@ def _texts(df: DataFrame, text_col: str, blocks: int) -> DataFrame:
 
 def _sets(table: pa.Table, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """(key, features) of a block's distinct sequences, in the order of their keys."""
-    keys, lines = table["key"], table["line"]
-    last = None
-    for i in pc.sort_indices(table, [("key", "ascending")]).to_pylist():
-        key = keys[i].as_py()
-        if key != last:
-            yield key, shingles(lines[i].as_py().split(b" "), k)
-        last = key
+    shingles, last = Shingler(k), None
+    keys = table["key"].to_pylist()
+    for i in sorted(range(len(keys)), key=keys.__getitem__):
+        if keys[i] != last:
+            last = keys[i]
+            yield last, shingles(table["line"][i].as_py().split(b" "))
 
 
 def _block_signatures(table: pa.Table, k: int, bands: Bands, buckets: int):
@@ -248,19 +275,21 @@ def _choose(texts: DataFrame, counts: DataFrame, k: int, bands: Bands, buckets:
 # --- 3. pairs -----------------------------------------------------------------------
 
 
+def _numbers(features: bytes) -> np.ndarray:
+    return np.pad(np.frombuffer(features, np.uint8).reshape(-1, FEATURE_BYTES), ((0, 0), (0, 8 - FEATURE_BYTES))).view("<u8").ravel()
+
+
 def _similar(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, fa, fb`` whose sets are similar enough, by their exact intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        as_numbers = lambda x: np.pad(np.frombuffer(x, np.uint8).reshape(-1, FEATURE_BYTES), ((0, 0), (0, 8 - FEATURE_BYTES))).view("<u8").ravel()
         for b in batches:
             keep = []
             for x, y in zip(b.column("fa"), b.column("fb")):
-                p, q = as_numbers(x.as_py()), as_numbers(y.as_py())
-                both = np.concatenate([p, q])
+                both = np.concatenate([_numbers(x.as_py()), _numbers(y.as_py())])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(p) + len(q) - same))
+                keep.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a binary, b binary")
@@ -276,34 +305,84 @@ def _near(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def block_links(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+    """Whether left[i] and right[j] are similar enough, by bit sets over the features that both sides have."""
+    sides = [[_numbers(x) for x in side] for side in (left, right)]
+    flat = [np.concatenate(side) for side in sides]
+    shared = np.intersect1d(*flat)
+    bits = []
+    for side, every in zip(sides, flat):
+        n = np.array([len(x) for x in side])
+        row, at = np.repeat(np.arange(len(side)), n), np.minimum(np.searchsorted(shared, every), max(0, len(shared) - 1))
+        has = shared[at] == every if len(shared) else np.zeros(len(every), bool)
+        words = np.zeros((len(side), len(shared) // 64 + 1), np.uint64)
+        np.bitwise_or.at(words, (row[has], at[has] // 64), np.uint64(1) << (at[has] % 64).astype(np.uint64))
+        bits.append((n, words))
+    (n, a), (m, b) = bits
+    same = np.array([np.bitwise_count(x & b).sum(1, dtype=np.int64) for x in a])
+    return 100 * same >= percent * (n[:, None] + m[None, :] - same)
+
+
+def _compare_blocks(crowds: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the members (``key``) of each ``crowd`` that are not linked yet.
+
+    A crowd is dealt into blocks of ``BLOCK_SETS`` on average; a task compares
+    two blocks in memory and gives one link for each two components that it
+    finds linked.  Pairs are counted there, never sent.
+    """
+    blocks = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    placed = (crowds.join(blocks, "crowd").join(labels, "key", "left").join(sets.select("key", "features"), "key")
+              .withColumn("label", F.coalesce("label", "key")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    pairs = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select("crowd", "p", "q", "own", "key", "label", "features"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        p, q = table["p"][0].as_py(), table["q"][0].as_py()
+        own = np.array(table["own"])
+        sides = [table.filter(pa.array(own == x)) for x in (p, q)]
+        keys, labels = ([s[c].to_pylist() for s in sides] for c in ("key", "label"))
+        out: dict[tuple, tuple] = {}
+        if all(s.num_rows for s in sides):
+            hit = block_links(*[s["features"].to_pylist() for s in sides], percent)
+            for i, j in np.argwhere(hit).tolist():
+                x, y = labels[0][i], labels[1][j]
+                if x != y:
+                    out.setdefault((min(x, y), max(x, y)), (keys[0][i], keys[1][j]))
+        return pa.table({"a": pa.array([a for a, _ in out.values()], pa.binary()), "b": pa.array([b for _, b in out.values()], pa.binary())})
+
+    return pairs.groupBy("crowd", "p", "q").applyInArrow(compare, "a binary, b binary")
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` between word sequences that join all that are similar."""
     spark = sets.sparkSession
-    holds = cut(sets.filter(F.col("sigs").isNotNull()).select("key", "size", F.explode(F.array_distinct("sigs")).alias("sig"))
-                .withColumn("label", F.col("key")), "signatures")
+    sets = sets.filter(F.col("sigs").isNotNull())
+    holds = cut(sets.select("key", "size", F.explode(F.array_distinct("sigs")).alias("sig")).withColumn("label", F.col("key")), "signatures")
     links = spark.createDataFrame([], "a binary, b binary")
-    for star in range(MAX_STARS):
-        groups = holds.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h"))
-        open_groups = groups.filter("l != h").select("sig", F.col("l").alias("_l"))
-        # the pairs left: all pairs of a group less those within one label
-        within = holds.groupBy("sig", "label").agg(F.count("*").alias("n")).groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        todo = within.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs"), F.sum(F.when(F.col("n") * F.col("n") > F.col("s"), F.col("n"))).alias("rows")).first()
-        if not todo["pairs"] or star and todo["pairs"] <= 8 * todo["rows"]:
-            break
-        rest = holds.join(open_groups, "sig")
-        centres = rest.filter(F.col("label") == F.col("_l")).groupBy("sig").agg(F.min("key").alias("a")).join(
-            sets.select(F.col("key").alias("a"), F.col("size").alias("_size")), "a")
-        pairs = (rest.filter(F.col("label") != F.col("_l")).join(centres, "sig").filter(_near("size", "_size", percent))
-                 .groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("n"))
-                 .groupBy("b").agg(F.max_by("a", "n").alias("a")))  # of a member's centres, the one that shares most
+    labels = spark.createDataFrame([], "key binary, label binary")
+    for star in range(STARS):
+        crowded = holds.groupBy("sig").agg(F.count("*").alias("n"))
+        score = holds.join(crowded, "sig").groupBy("key").agg(F.sum("n").alias("score"))  # the set that shares most: often the original
+        centres = holds.join(score, "key").groupBy("sig").agg(F.max_by(F.struct("key", "size", "label"), F.struct("score", "key")).alias("_c"))
+        pairs = (holds.join(centres, "sig").filter(F.col("label") != F.col("_c.label"))
+                 .select(F.col("_c.key").alias("a"), F.col("key").alias("b"), F.col("_c.size").alias("sa"), F.col("size").alias("sb"))
+                 .filter(_near("sa", "sb", percent)).groupBy("a", "b").agg(F.count("*").alias("n"))
+                 .groupBy("b").agg(F.max_by("a", "n").alias("a")))  # of a member's centres, the one it shares most with
         links = cut(links.union(_verify(pairs, sets, percent)), "links")
-        labels = components(links)
-        holds = cut(holds.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left")
-                    .select("key", "size", "sig", F.coalesce("label", "key").alias("label")), "signatures")
-    one = holds.select("sig", F.col("key").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
-    two = holds.select("sig", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
+        labels = cut(components(links).withColumnRenamed("node", "key"), "components")
+        holds = holds.drop("label").join(labels, "key", "left").select("key", "size", "sig", F.coalesce("label", "key").alias("label"))
+        groups = holds.groupBy("sig", "label").agg(F.count("*").alias("n")).groupBy("sig").agg(F.count("*").alias("labels"), F.sum("n").alias("members"))
+        # a group within one component has no more to tell
+        holds = cut(holds.drop("members").join(groups.filter("labels > 1").select("sig", "members"), "sig"), "signatures")
+    few = holds.filter(F.col("members") <= FEW)
+    one = few.select("sig", F.col("key").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
+    two = few.select("sig", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
     left = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("sa", "sb", percent)).select("a", "b").distinct()
-    return cut(links.union(_verify(left, sets, percent)), "links")
+    many = holds.filter(F.col("members") > FEW)
+    hubs = many.groupBy("sig").agg(F.min("key").alias("a"))
+    crowds = cut(components(many.join(hubs, "sig").select("a", F.col("key").alias("b")).distinct()).select("node", F.col("label").alias("crowd")), "crowds")
+    found = _compare_blocks(crowds.withColumnRenamed("node", "key"), labels, sets, percent)
+    return cut(links.union(_verify(left, sets, percent)).union(found), "links")
 
 
 # --- 4. result -----------------------------------------------------------------------
