@@ -31,29 +31,23 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.base import cut, pick, shuffle_width, texts_by_bytes
+from sondage.llm.hashing import hash_stretches
 
 BLOCK_BYTES = 16 << 20
-SEATED = 1024
-#: Distinct (word, context) that a counting task holds before it sends them on.
-HELD = 4_000_000
+SEATED = 128
+#: Tokens that a counting task holds before it sends their counts on.
+HELD = 8_000_000
 END = np.uint64(0)  # the end token's identity; words hash elsewhere
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) or 1
-
-
-def word_class(word: bytes, classes: int) -> int:
-    return 1 + (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % (classes - 1)
+#: Bytes between words.
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def is_held_out(doc_id: object) -> bool:
@@ -61,55 +55,57 @@ def is_held_out(doc_id: object) -> bool:
 
 
 class Tokens:
-    """Words and (word, context) codes of the texts given so far."""
+    """Identity and context of each token of the texts given so far."""
 
     def __init__(self, classes: int):
-        self.classes, self.index, self.words, self.contexts = classes, {}, [END], [0]
-        self.codes: list[np.ndarray] = []
-
-    def add(self, text: bytes) -> int:
-        """Adds a text's tokens; how many."""
-        index, words = self.index, text.lower().split()
-        ids = np.zeros(len(words) + 1, np.int64)  # the end token's number is 0
-        for k, w in enumerate(words):
-            n = index.get(w)
-            if n is None:
-                n = index[w] = len(self.words)
-                self.words.append(word_hash(w))
-                self.contexts.append(word_class(w, self.classes))
-            ids[k] = n
-        if len(self._class) < len(self.contexts):
-            self._class = np.array(self.contexts, np.int64)
-        before = np.append(0, self._class[ids[:-1]])
-        self.codes.append(ids * self.classes + before)
-        return len(ids)
-
-    _class = np.zeros(0, np.int64)
+        self.classes, self.held = classes, 0
+        self.words: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+
+    def add(self, texts: list[bytes]) -> np.ndarray:
+        """Adds the texts' tokens; how many of each."""
+        if not texts:
+            return np.zeros(0, np.int64)
+        octets = np.frombuffer(b"\n".join(texts).lower(), np.uint8)  # bytes: A-Z only
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        edge = np.diff(np.concatenate([[1], BLANK[octets], [1]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        word = np.maximum(hash_stretches(octets, first, last), np.uint64(1))
+        # a word's class as a context is its ending
+        end = octets[last - 1].astype(np.int64) * 31 + np.where(last - first > 1, octets[last - 2], 0) if len(last) else last
+        kind = 1 + end % (self.classes - 1)
+        counts = np.bincount(np.searchsorted(begins, first, "right") - 1, minlength=len(texts))
+        ends = np.cumsum(counts)
+        self.words.append(np.insert(word, ends, END))
+        kind = np.insert(kind, ends, 0)  # after an end token comes a beginning
+        self.contexts.append(np.append(0, kind[:-1]).astype(np.uint8))
+        self.held += len(kind)
+        return counts + 1
 
 
 @dataclass
 class Pairs:
-    """Distinct (word, context) in the order of buckets, words and contexts, with their counts."""
+    """Distinct (word, context) in the order of words and contexts, with their counts.
+
+    Buckets are ranges of word hashes, so this is the order of buckets too.
+    """
 
     bucket: np.ndarray  # of each word
     word: np.ndarray  # hashes
     start: np.ndarray  # of each word's pairs
     context: np.ndarray
     count: np.ndarray
-    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each token's pair
+    place: np.ndarray  # of each token's pair
 
     @staticmethod
     def of(tokens: Tokens, buckets: int) -> Pairs:
-        hashes = np.array(tokens.words, np.uint64)
-        bucket = hashes % np.uint64(buckets)
-        order = np.lexsort((hashes, bucket))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        codes = np.concatenate(tokens.codes) if tokens.codes else np.zeros(0, np.int64)
-        codes = rank[codes // tokens.classes] * tokens.classes + codes % tokens.classes
-        pair, place, count = np.unique(codes, return_inverse=True, return_counts=True)
-        words, start = np.unique(pair // tokens.classes, return_index=True)  # END may not occur
-        return Pairs(bucket[order][words].astype(np.int64), hashes[order][words], start, (pair % tokens.classes).astype(np.uint8), count, place)
+        every = np.concatenate(tokens.words) if tokens.words else np.zeros(0, np.uint64)
+        contexts = np.concatenate(tokens.contexts) if tokens.contexts else np.zeros(0, np.uint8)
+        words, number = np.unique(every, return_inverse=True)
+        pair, place, count = np.unique(number * 256 + contexts, return_inverse=True, return_counts=True)
+        start = np.searchsorted(pair, np.arange(len(words)) * 256)
+        bucket = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        return Pairs(bucket.astype(np.int64), words, start, (pair % 256).astype(np.uint8), count, place)
 
     def packed(self) -> Iterator[dict]:
         """A row for each bucket."""
@@ -138,20 +134,19 @@ def count_pairs(df: DataFrame, classes: int, buckets: int) -> DataFrame:
     """One row per bucket of words: its packed (word, context) counts in the training documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held = Tokens(classes), 0
+        tokens = Tokens(classes)
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(list(Pairs.of(tokens, buckets).packed()), pa.schema(PACK))
 
         for b in batches:
-            for at, texts in texts_by_bytes(b, "_text"):
-                for key, t in zip(b.column("doc_id").slice(at, len(texts)).to_pylist(), texts):
-                    if not is_held_out(key):
-                        held += tokens.add(t)
-                if held > HELD:
+            for at, texts in texts_by_bytes(b, "_text", 1 << 20):
+                keys = b.column("doc_id").slice(at, len(texts)).to_pylist()
+                tokens.add([t for key, t in zip(keys, texts) if not is_held_out(key)])
+                if tokens.held > HELD:
                     yield rows()
-                    tokens, held = Tokens(classes), 0
-        if held:
+                    tokens = Tokens(classes)
+        if tokens.held:
             yield rows()
 
     def merge(table: pa.Table) -> pa.Table:
@@ -247,7 +242,7 @@ class Model:
     discount: float
     root_discount: float
     strength: float = 1.0
-    steps: int = 12
+    steps: int = 8
 
 
 def _root(model: Model, totals: Totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -261,12 +256,8 @@ def sweep(model: Model, totals: Totals, sizes: np.ndarray, contexts: np.ndarray,
     rng = np.random.default_rng(seed)
     word = np.repeat(np.arange(len(sizes)), sizes)
     base = np.full(len(sizes), (model.strength + model.root_discount * totals.root_tables) / (model.vocabulary + 1))
-    about = _root(model, totals, sizes, np.ones(len(sizes)))  # one table in each context, one at the root
+    about = _root(model, totals, sizes, np.ones(len(sizes)))  # a table in each context, one at the root
     open_weight = model.strength + model.discount * totals.tables[contexts]
-    first = seat(counts, open_weight * about[word], model.discount, rng, 0)
-    root_customers = np.bincount(word, first, len(sizes)).astype(np.int64)
-    root_tables = seat(root_customers, base, model.root_discount, rng, 0)
-    about = _root(model, totals, root_customers, root_tables)
     tables = seat(counts, open_weight * about[word], model.discount, rng, model.steps)
     root_customers = np.bincount(word, tables, len(sizes)).astype(np.int64)
     return tables, root_customers, seat(root_customers, base, model.root_discount, rng, model.steps)
@@ -367,15 +358,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(blocks))).repartition(shuffle_width(df.sparkSession), "block")
     kind = docs.dtypes[0][1]
 
-    def read(table: pa.Table) -> tuple[pa.Table, Pairs, np.ndarray]:
+    def read(table: pa.Table) -> tuple[Pairs, np.ndarray]:
         tokens, sizes = Tokens(classes), []
-        for t in table["_text"].cast(pa.large_string()).to_pylist():
-            sizes.append(tokens.add((t or "").encode()))
-        return table, Pairs.of(tokens, blocks), np.array(sizes, np.int64)
+        for b in table.select(["_text"]).to_batches():
+            for _, texts in texts_by_bytes(b, "_text", 1 << 20):
+                sizes.append(tokens.add(texts))
+        return Pairs.of(tokens, blocks), np.concatenate(sizes)
 
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        rows = [{**r, "counts": b"", "block": block} for r in read(table)[1].packed()]
+        rows = [{**r, "counts": b"", "block": block} for r in read(table)[0].packed()]
         return pa.Table.from_pylist(rows, pa.schema({**PACK, "block": pa.int64()}))
 
     def answer(asked: pa.Table, trained: pa.Table) -> pa.Table:
@@ -385,7 +377,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
                          "freq": pa.array([f for f, _ in found], pa.binary()), "logs": pa.array([x for _, x in found], pa.binary())})
 
     def add(table: pa.Table, replies: pa.Table) -> pa.Table:
-        table, pairs, sizes = read(table)
+        pairs, sizes = read(table)
         got = sorted(replies.select(["bucket", "freq", "logs"]).to_pylist(), key=lambda r: r["bucket"])
         freq = np.frombuffer(b"".join(r["freq"] for r in got), "<i8")
         logs = np.frombuffer(b"".join(r["logs"] for r in got), "<f4").astype(float)
