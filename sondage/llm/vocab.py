@@ -4,31 +4,52 @@ The pre-tokenizers of both vocabularies never match across the chunk borders
 used here, so the ids of a text are those of its chunks in a row:
 
 * ``words``: texts cut at ASCII white space, for a vocabulary that drops
-  white space and never joins over it;
+  white space, folds case and never joins over white space;
 * ``spaced``: texts cut before each U+0020 that a character other than white
   space follows.  The byte-level pattern always starts a match there: a word
   takes one space before it, and a run of white space leaves its last
   character to the word.
 
+Both also cut at full stops and commas that stand between letters, digits and
+white space, and ``spaced`` at single line feeds between visible characters:
+there too each side is matched by itself.  A text where one of these stands
+beside anything else is cut at spaces only.
+
 New chunks go to the library in rows of ``ROW``, since short calls cost more
-than their text: spaced chunks as they are (their tokens' bytes tell where each
-ends), words with a ``|`` between them (a token of its own; words that hold one
-go alone).  A worker keeps the ids of chunks it has seen, up to ``LIMIT``
-chunks; then it starts anew.  This bounds memory and changes no result.
+than their text; the tokens' bytes, or a separator that is a token of its own,
+tell where each ends.  A worker keeps the ids of chunks it has seen, up to
+``LIMIT`` chunks; then it goes on with those it needs just then.  This bounds
+memory and changes no result.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import re
 
 import numpy as np
 
 LIMIT = 1_000_000
 ROW = 500
+#: Begins a chunk that no space goes before (a byte that UTF-8 has not).
+BARE = b"\xff"
 #: A space followed by what may be white space (its first byte in UTF-8), or by the end.
 _RISK = re.compile(rb" (?=[ \t-\r\x1c-\x1f\xc2\xe1-\xe3]|\Z)")
 _BORDER = re.compile(rb" (?![ \t-\r\x1c-\x1f\xc2\xe1-\xe3]|\Z)")
+#: Latin letters of two bytes (without the signs for times and divided by).
+_LETTER = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: A stop or comma (or line feed) beside something else than the module's text allows.
+_TIGHT_WORDS = re.compile(
+    rb"[.,](?:(?<![0-9a-z\s][.,])(?<!" + _LETTER + rb"[.,])|(?![0-9a-z\s]|" + _LETTER + rb"|\Z))")
+_TIGHT = re.compile(
+    rb"[.,](?:(?<![0-9A-Za-z][.,])(?<!" + _LETTER + rb"[.,])|(?![0-9A-Za-z \n]|" + _LETTER + rb"|\Z))"
+    rb"|\n(?:(?<![!-~]\n)(?<!" + _LETTER + rb"\n)|(?![!-~]|" + _LETTER + rb"))")
+
+
+def _solid(chunk: bytes) -> bool:
+    """Begins and ends with a visible ASCII character."""
+    return bool(chunk) and 0x20 < chunk[0] < 0x7F and 0x20 < chunk[-1] < 0x7F
 
 
 def byte_chars() -> dict[int, str]:
@@ -84,8 +105,7 @@ class Encoder:
 
     def __init__(self, tokenizer, cut: str, limit: int = LIMIT):
         self.tokenizer, self.spaced, self.limit = tokenizer, cut == "spaced", limit
-        self.after: dict[bytes, bytes] = {}  # chunks after a border (with its space, where it has one)
-        self.first: dict[bytes, bytes] = {}  # the first chunk of a text in spaced form
+        self.memo: dict[bytes, bytes] = {}  # ids of chunks
         if self.spaced:
             one = {c: 1 for c in byte_chars().values()}
             vocab = tokenizer.get_vocab()
@@ -97,50 +117,77 @@ class Encoder:
 
     def _chunks(self, text: bytes) -> list[bytes]:
         if not self.spaced:
+            text = text.lower()  # A-Z only, which the vocabulary folds anyway
+            if not _TIGHT_WORDS.search(text):
+                text = text.replace(b".", b" . ").replace(b",", b" , ")
             return text.split()
-        return _BORDER.split(text) if _RISK.search(text) else text.split(b" ")
+        if _RISK.search(text):
+            return _BORDER.split(BARE + text)
+        if not _TIGHT.search(text):
+            text = text.replace(b".", b" \xff.").replace(b",", b" \xff,").replace(b"\n", b" \xff\n \xff")
+        return (BARE + text).split(b" ")
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _row(self, row: list[bytes], ids: np.ndarray) -> list[bytes]:
-        """The ids of a row, cut into those of its chunks."""
+    def _row(self, row: list[bytes], ids: np.ndarray, gap: int) -> list[bytes]:
+        """The ids of a row, cut into those of its chunks, which stand ``gap`` bytes apart."""
         if self.spaced:
-            ends = np.cumsum([len(c) for c in row])
-            stop = np.searchsorted(np.cumsum(self.width[ids]), ends, "right")
-            start = np.append(0, stop[:-1])
+            stop = np.cumsum([len(c) + gap for c in row])
+            ends = np.cumsum(self.width[ids])
+            a, b = np.searchsorted(ends, np.append(0, stop[:-1]), "right"), np.searchsorted(ends, stop - gap, "right")
         else:
             bars = np.flatnonzero(ids == self.bar)
-            start, stop = np.append(0, bars + 1), np.append(bars, len(ids))
-        if len(start) != len(row):
+            a, b = np.append(0, bars + 1), np.append(bars, len(ids))
+        if len(a) != len(row):
             raise ValueError("the tokenizer joined tokens over a border of chunks")
         raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist())]
-
-    def _learn(self, memo: dict[bytes, bytes], chunks: set[bytes], lead: bytes) -> None:
-        if len(memo) + len(chunks) > self.limit:
-            memo.clear()  # the caller passes all chunks it needs next
-        todo = [c for c in chunks if c not in memo]
-        alone = [c for c in todo if not lead and (self.spaced or b"|" in c)]
-        memo.update((c, i.tobytes()) for c, i in zip(alone, self._ids([c.decode() for c in alone])))
-        todo = [c for c in todo if c not in memo]
-        glue = b"" if self.spaced else b" | "
-        rows = [[lead + c for c in todo[at : at + ROW]] for at in range(0, len(todo), ROW)]
-        for at in range(0, len(rows), 40):
-            some = rows[at : at + 40]
-            for row, ids in zip(some, self._ids([glue.join(r).decode() for r in some])):
-                memo.update(zip([c[len(lead):] for c in row], self._row(row, ids)))
+        return [raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist())]
+
+    def _add(self, chunks: list[bytes], texts: list[bytes], glue: bytes | None) -> None:
+        """Learn chunks by their texts, in rows with ``glue`` between, or each alone."""
+        size = 1 if glue is None else ROW
+        rows = [texts[at : at + size] for at in range(0, len(texts), size)]
+        for at in range(0, len(rows), 40 * ROW // size):
+            some = rows[at : at + 40 * ROW // size]
+            found = self._ids([(glue or b"").join(r).decode() for r in some])
+            ids = [i.tobytes() for i in found] if glue is None else [x for r, i in zip(some, found) for x in self._row(r, i, len(glue))]
+            self.memo.update(zip(chunks[at * size :], ids))
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        memo = self.memo
+        if len(memo) + len(chunks) > self.limit:  # these are all the chunks that are needed next
+            now = {c: memo[c] for c in chunks if c in memo}
+            memo.clear()
+            memo.update(now)
+        new = [c for c in chunks if c not in memo]
+        if self.spaced:
+            led = [c for c in new if c[:1] != BARE]
+            self._add(led, [b" " + c for c in led], b"")
+            bare = [c for c in new if c[:1] == BARE]
+            solid = [c for c in bare if _solid(c[1:])]
+            self._add(solid, [c[1:] for c in solid], b"\n")
+            alone = [c for c in bare if not _solid(c[1:])]
+            self._add(alone, [c[1:] for c in alone], None)
+        else:
+            plain, alone = [c for c in new if b"|" not in c], [c for c in new if b"|" in c]
+            self._add(plain, plain, b" | ")
+            self._add(alone, alone, None)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # many small objects and no cycles: searching for cycles takes a sixth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [self._chunks(t) for t in texts]
-        if not self.spaced:
-            self._learn(self.after, {c for p in parts for c in p}, b"")
-            get = self.after.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        self._learn(self.first, {p[0] for p in parts}, b"")
-        self._learn(self.after, {c for p in parts for c in p[1:]}, b" ")
-        get = self.after.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+        self._learn({c for p in parts for c in p})
+        get = self.memo.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
