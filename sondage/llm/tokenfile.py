@@ -74,11 +74,12 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def shard_row(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ids by rank, control bytes, data bytes) of a shard's tokens."""
-    known, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(known), np.uint32)
-    rank[order] = np.arange(len(known), dtype=np.uint32)
-    return (known[order].astype("<u4").tobytes(), *encode_ranks(rank[place]))
+    count = np.bincount(ids)  # as long as the vocabulary
+    known = np.flatnonzero(count)
+    order = known[np.argsort(-count[known], kind="stable")]
+    rank = np.empty(len(count), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return (order.astype("<u4").tobytes(), *encode_ranks(rank[ids]))
 
 
 def write_tokens(df: DataFrame, out: str, path: str, end_id: int, cut: str = "words", id_col: str = "doc_id", text_col: str = "text",
