@@ -54,10 +54,9 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages -> WARC responses -> derived WARC records, written and read back; a row for each derived record."""
     sources, derived = scratch(spark, "responses"), scratch(spark, "derivatives")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    warc.pack_records(warc.respond(pages, "2024-01-01T00:00:00Z")).write.option("compression", "none").parquet(sources)
-    responses = warc.read_records(spark.read.parquet(sources))
-    warc.pack_records(warc.derive(responses)).write.option("compression", "none").parquet(derived)
-    return warc.digests(warc.read_records(spark.read.parquet(derived)))
+    warc.respond(pages, "2024-01-01T00:00:00Z", packed=True).write.option("compression", "none").parquet(sources)
+    warc.derive_blocks(spark.read.parquet(sources)).write.option("compression", "none").parquet(derived)
+    return warc.digest_blocks(spark.read.parquet(derived))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

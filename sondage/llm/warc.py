@@ -42,6 +42,7 @@ from sondage.llm.base import pick
 RECORD = "record_id string, type string, refers_to string, target_uri string, date string, headers map<string,string>, block binary, truncated boolean"
 RECORD_SCHEMA = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()),
                            ("date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("truncated", pa.bool_())])
+BLOCK = "n_records long, data binary"
 BLOCK_SCHEMA = pa.schema([("n_records", pa.int64()), ("data", pa.binary())])
 #: Bytes of records in one block of output.
 BLOCK_BYTES = 4 << 20
@@ -117,44 +118,58 @@ def parse_records(data: bytes) -> Iterator[dict]:
             at = stop + 4 + n
 
 
-def read_records(blocks: DataFrame, data_col: str = "data") -> DataFrame:
-    """One row per record of rows of WARC data."""
-    rows = pick(blocks, _data=data_col)
+def _records(data: Iterator[bytes | None]) -> Iterator[dict]:
+    for x in data:
+        yield from parse_records(x or b"")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("_data"):
-                out, size = [], 0
-                for r in parse_records(data.as_py() or b""):
-                    out.append(r | {"headers": list(r["headers"].items())})
-                    size += len(r["block"])
-                    if size >= BLOCK_BYTES:
-                        yield pa.RecordBatch.from_pylist(out, RECORD_SCHEMA)
-                        out, size = [], 0
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, RECORD_SCHEMA)
 
-    return rows.mapInArrow(run, RECORD)
+def _column(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[bytes | None]:
+    for b in batches:
+        for x in b.column(name):
+            yield x.as_py()
 
 
-def pack_records(records: DataFrame) -> DataFrame:
-    """``n_records, data``: gzip members, about ``BLOCK_BYTES`` of records in each block."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of record batches as records."""
+    for b in batches:
+        for at in range(0, b.num_rows, 200):
+            yield from b.slice(at, 200).to_pylist(maps_as_pydicts="lossy")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                for r in b.slice(at, 200).to_pylist(maps_as_pydicts="lossy"):
-                    data = serialise(r)
-                    out.append(gzip_member(data))
-                    size += len(data)
-                    if size >= BLOCK_BYTES:
-                        yield pa.RecordBatch.from_pylist([{"n_records": len(out), "data": b"".join(out)}], BLOCK_SCHEMA)
-                        out, size = [], 0
-        if out:
+def _as_rows(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for r in records:
+        out.append(r | {"headers": list((r["headers"] or {}).items())})
+        size += len(r["block"])
+        if size >= BLOCK_BYTES or len(out) >= 2000:
+            yield pa.RecordBatch.from_pylist(out, RECORD_SCHEMA)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, RECORD_SCHEMA)
+
+
+def _as_blocks(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for r in records:
+        data = serialise(r)
+        out.append(gzip_member(data))
+        size += len(data)
+        if size >= BLOCK_BYTES:
             yield pa.RecordBatch.from_pylist([{"n_records": len(out), "data": b"".join(out)}], BLOCK_SCHEMA)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist([{"n_records": len(out), "data": b"".join(out)}], BLOCK_SCHEMA)
+
+
+def read_records(blocks: DataFrame, data_col: str = "data") -> DataFrame:
+    """One row per record of rows of WARC data."""
+    rows = pick(blocks, _data=data_col)
+    return rows.mapInArrow(lambda batches: _as_rows(_records(_column(batches, "_data"))), RECORD)
+
 
-    return records.mapInArrow(run, "n_records long, data binary")
+def pack_records(records: DataFrame) -> DataFrame:
+    """``n_records, data``: gzip members, about ``BLOCK_BYTES`` of records in each block."""
+    return records.mapInArrow(lambda batches: _as_blocks(_rows(batches)), BLOCK)
 
 
 # --- responses and their derivatives -------------------------------------------
@@ -210,57 +225,72 @@ def derive_one(record: dict) -> list[dict]:
         for i, t, c, block in ((meta_id, "metadata", "application/warc-fields", meta), (text_id, "conversion", "text/plain; charset=utf-8", text))]
 
 
+def _derived(records: Iterator[dict]) -> Iterator[dict]:
+    for r in records:
+        if r["type"] == "response":
+            yield from derive_one(r)
+
+
 def derive(records: DataFrame) -> DataFrame:
     """Rows of ``read_records`` -> metadata and conversion records of the responses among them."""
+    return records.mapInArrow(lambda batches: _as_rows(_derived(_rows(batches))), RECORD)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                out = [d | {"headers": list(d["headers"].items())}
-                       for r in b.slice(at, 200).to_pylist(maps_as_pydicts="lossy") if r["type"] == "response" for d in derive_one(r)]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, RECORD_SCHEMA)
 
-    return records.mapInArrow(run, RECORD)
+def derive_blocks(blocks: DataFrame, data_col: str = "data") -> DataFrame:
+    """The same from WARC data to WARC data, in one pass."""
+    rows = pick(blocks, _data=data_col)
+    return rows.mapInArrow(lambda batches: _as_blocks(_derived(_records(_column(batches, "_data")))), BLOCK)
 
 
-def respond(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as response records, as a crawler would have written them."""
-    rows = pick(pages, _id=id_col, _url=url_col, _html=html_col)
+def _responses(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[dict]:
+    for b in batches:
+        for at in range(0, b.num_rows, 200):
+            for r in b.slice(at, 200).to_pylist():
+                url, body = r["_url"] or "", (r["_html"] or "").encode()
+                block = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {r['_id']}\r\n\r\n").encode() + body
+                payload = digest(body)
+                yield {"record_id": record_id(url, str(r["_id"]), payload), "type": "response", "refers_to": None, "target_uri": url or None, "date": date,
+                       "headers": {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": payload, "WARC-Block-Digest": digest(block)},
+                       "block": block, "truncated": False}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                out = []
-                for r in b.slice(at, 200).to_pylist():
-                    url, body = r["_url"] or "", (r["_html"] or "").encode()
-                    block = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {r['_id']}\r\n\r\n").encode() + body
-                    headers = {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(body), "WARC-Block-Digest": digest(block)}
-                    out.append({"record_id": record_id(url, str(r["_id"]), digest(body)), "type": "response", "target_uri": url or None, "date": date,
-                                "headers": list(headers.items()), "block": block, "truncated": False})
-                yield pa.RecordBatch.from_pylist(out, RECORD_SCHEMA)
 
-    return rows.mapInArrow(run, RECORD)
+def respond(pages: DataFrame, date: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", packed: bool = False) -> DataFrame:
+    """Pages as response records (``packed``: as WARC data), as a crawler would have written them."""
+    rows = pick(pages, _id=id_col, _url=url_col, _html=html_col)
+    if packed:
+        return rows.mapInArrow(lambda batches: _as_blocks(_responses(batches, date)), BLOCK)
+    return rows.mapInArrow(lambda batches: _as_rows(_responses(batches, date)), RECORD)
+
+
+DIGEST = {"page_id": pa.int64(), "record_id": pa.string(), "type": pa.string(), "refers_to": pa.string(), "target_uri": pa.string(),
+          "block_digest": pa.string(), "digest_agrees": pa.bool_(), "source_digest": pa.string(), "n_chars": pa.int64(), "text_sha256": pa.string(),
+          "links": pa.int64(), "title": pa.string()}
+DIGEST_SQL = ("page_id long, record_id string, type string, refers_to string, target_uri string, block_digest string, digest_agrees boolean, "
+              "source_digest string, n_chars long, text_sha256 string, links long, title string")
+
+
+def _digest_rows(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), DIGEST.values())], list(DIGEST))
+    for r in records:
+        meta = _fields(r["block"].decode()) if r["type"] == "metadata" else {}
+        number, links, stated = meta.get("http-x-page-id", ""), meta.get("links"), r["headers"].get("WARC-Block-Digest")
+        out.append((int(number) if re.fullmatch(r"-?\d+", number) else None, r["record_id"], r["type"], r["refers_to"], r["target_uri"],
+                    stated, stated == digest(r["block"]), r["headers"].get("WARC-Source-Payload-Digest"),
+                    len(r["block"].decode()), hashlib.sha256(r["block"]).hexdigest(), int(links) if links else None, meta.get("title")))
+        if len(out) >= 2000:
+            yield batch()
+            out.clear()
+    if out:
+        yield batch()
 
 
 def digests(derived: DataFrame) -> DataFrame:
-    """A row for each derived record, with its fields read from its own block."""
-    names = ["page_id", "record_id", "type", "refers_to", "target_uri", "block_digest", "digest_agrees", "source_digest", "n_chars", "text_sha256", "links", "title"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                out = []
-                for r in b.slice(at, 200).to_pylist(maps_as_pydicts="lossy"):
-                    text = r["block"].decode()
-                    meta = _fields(text) if r["type"] == "metadata" else {}
-                    number = meta.get("http-x-page-id", "")
-                    out.append((int(number) if re.fullmatch(r"-?\d+", number) else None, r["record_id"], r["type"], r["refers_to"], r["target_uri"],
-                                r["headers"].get("WARC-Block-Digest"), r["headers"].get("WARC-Block-Digest") == digest(r["block"]),
-                                r["headers"].get("WARC-Source-Payload-Digest"), len(text), hashlib.sha256(r["block"]).hexdigest(),
-                                int(meta["links"]) if "links" in meta else None, meta.get("title")))
-                kinds = [pa.int64()] + [pa.string()] * 5 + [pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-
-    return derived.mapInArrow(run, "page_id long, record_id string, type string, refers_to string, target_uri string, block_digest string, digest_agrees boolean, "
-                                   "source_digest string, n_chars long, text_sha256 string, links long, title string")
+    """A row for each derived record of rows of records, with its fields read from its own block."""
+    return derived.mapInArrow(lambda batches: _digest_rows(_rows(batches)), DIGEST_SQL)
+
+
+def digest_blocks(blocks: DataFrame, data_col: str = "data") -> DataFrame:
+    """The same from WARC data."""
+    rows = pick(blocks, _data=data_col)
+    return rows.mapInArrow(lambda batches: _digest_rows(_records(_column(batches, "_data"))), DIGEST_SQL)
