@@ -194,7 +194,10 @@ def text_stretch(lines: list[Line]) -> tuple[int, int]:
         if (size := sum(weight[k:stop])) > best_size:
             best, best_size = (k, stop), size
         k = stop + 1
-    return best
+    first, stop = best
+    while first < stop and not weight[first]:  # links in the window before the surge
+        first += 1
+    return first, stop
 
 
 def main_text(html: str) -> str:
