@@ -51,11 +51,10 @@ from pyspark.sql import types as T
 
 from sondage.llm.base import cut, pick, shuffle_width, texts_by_bytes
 from sondage.llm.components import components
+from sondage.llm.hashing import hash_stretches, mix
 
 #: Text of one block, and signatures of one bucket, on average.
 BLOCK_BYTES, BUCKET_SIGNATURES = 16 << 20, 1 << 21
-#: Distinct words whose hashes a task keeps.
-WORDS_HELD = 500_000
 #: Sets below this size use a part for each feature, so that none can crowd.
 SMALL = 128
 #: Bytes of a feature in the sets sent to be compared.
@@ -66,53 +65,23 @@ STARS, FEW, BLOCK_SETS = 1, 32, 256
 BROADCAST_ROWS = 400_000
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A finaliser over 64 bits (public constants of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: A-Z only, ASCII white space only
 
 
-class Shingler:
-    """Distinct k-word shingles as 64-bit hashes, mixed from the hashes of their words.
+def shingles(line: bytes, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of words joined by one space.
 
-    Keeps the hashes of words it has seen, up to ``WORDS_HELD``.
+    Fewer words: the whole line is the one shingle.
     """
-
-    def __init__(self, k: int):
-        self.k, self.factors = k, _mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.hashes = np.zeros(1 << 12, np.uint64)
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Sorted; fewer than k words: the whole sequence as one."""
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < self.k:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
-        index, n = self.index, len(self.index)
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
-            index.update(zip(new, range(n, n + len(new))))
-            if len(index) > len(self.hashes):
-                self.hashes = np.append(self.hashes, np.zeros(len(index) + len(self.hashes), np.uint64))
-            self.hashes[n : len(index)] = [xxhash.xxh3_64_intdigest(w) for w in new]
-        h = self.hashes[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
-        m = len(words) - self.k + 1
-        total = h[:m] * self.factors[0]
-        for j in range(1, self.k):
-            total = total + _mix(h[j : j + m]) * self.factors[j]
-        if len(index) > WORDS_HELD:
-            self._forget()
-        out = np.sort(_mix(total))
-        return out[np.append(True, out[1:] != out[:-1])]
+    if not line:
+        return np.zeros(0, np.uint64)
+    octets = np.frombuffer(line, np.uint8)
+    spaces = np.flatnonzero(octets == 32)
+    first, last = np.append(0, spaces + 1), np.append(spaces, len(line))
+    first, last = (first[: len(first) - k + 1], last[k - 1 :]) if len(first) >= k else (first[:1], last[-1:])
+    h = np.sort(hash_stretches(octets, first, last))
+    return h[np.append(True, h[1:] != h[:-1])]
 
 
 class Bands:
@@ -146,11 +115,11 @@ def signatures(features: np.ndarray, band: int) -> np.ndarray:
     n = Bands.parts(band)
     salt = np.uint64(0x9E3779B97F4A7C15 * (band + 1) % 2**64)
     if not n:
-        return _mix(features ^ salt)
+        return mix(features ^ salt)
     part = ((features >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # rises with the sorted features
     starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    content = np.add.reduceat(_mix(features), starts)
-    return _mix(content ^ _mix(part[starts] ^ salt))
+    content = np.add.reduceat(mix(features), starts)
+    return mix(content ^ mix(part[starts] ^ salt))
 
 
 # --- 1. texts ------------------------------------------------------------------
@@ -198,12 +167,12 @@ def _texts(df: DataFrame, text_col: str, blocks: int) -> DataFrame:
 
 def _sets(table: pa.Table, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
     """(key, features) of a block's distinct sequences, in the order of their keys."""
-    shingles, last = Shingler(k), None
+    last = None
     keys = table["key"].to_pylist()
     for i in sorted(range(len(keys)), key=keys.__getitem__):
         if keys[i] != last:
             last = keys[i]
-            yield last, shingles(table["line"][i].as_py().split(b" "))
+            yield last, shingles(table["line"][i].as_py(), k)
 
 
 def _block_signatures(table: pa.Table, k: int, bands: Bands, buckets: int):
