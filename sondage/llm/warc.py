@@ -60,7 +60,7 @@ def record_id(*names: str) -> str:
 
 def _clean(value: str) -> str:
     """A header value on one line."""
-    return re.sub(r"[\r\n]+", " ", value).strip()
+    return (re.sub(r"[\r\n]+", " ", value) if "\n" in value or "\r" in value else value).strip()
 
 
 def serialise(record: dict) -> bytes:
@@ -81,10 +81,15 @@ def _members(data: bytes) -> Iterator[bytes]:
     if not data.startswith(b"\x1f\x8b"):
         yield data
         return
-    while data.startswith(b"\x1f\x8b"):
-        z = zlib.decompressobj(31)
-        yield z.decompress(data) + z.flush()
-        data = z.unused_data
+    at = 0
+    while data.startswith(b"\x1f\x8b", at):
+        z, parts = zlib.decompressobj(31), []
+        while at < len(data) and not z.eof:  # in steps: what is left over is copied
+            step = data[at : at + (1 << 14)]
+            parts.append(z.decompress(step))
+            at += len(step)
+        at -= len(z.unused_data)
+        yield b"".join(parts)
 
 
 def _fields(text: str) -> dict[str, str]:
