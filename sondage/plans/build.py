@@ -437,14 +437,13 @@ def build_rejects(raw: DataFrame, profile: BuildProfile | Mapping, survey: str |
 
     ``lost``: no other row of the scan holds a payload for the id that decodes.
     """
-    from ..operators.store import _without
+    from ..operators.store import _same_key
     from ..sources.raw import decode
     df = _scanned(raw, profile if isinstance(profile, BuildProfile) else parse_profile(profile), survey)
     keys = [c for c in ("survey", "id") if c in df.columns]
     bad = df.where(decode("data").isNull())
-    whole = df.where(decode("data").isNotNull()).select(*keys).distinct()
-    return (_without(bad, whole, keys, "left_semi").withColumn("lost", F.lit(False))
-            .unionByName(_without(bad, whole, keys).withColumn("lost", F.lit(True))))
+    whole = df.where(decode("data").isNotNull()).select(*keys).distinct().withColumn("_whole", F.lit(True))
+    return bad.join(whole, _same_key(bad, whole, keys), "left").select(*[bad[c] for c in df.columns], F.col("_whole").isNull().alias("lost"))
 
 
 def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | None = None,

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from sondage.plans.registry import ORACLE, QUERIES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
@@ -41,10 +42,10 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "id" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     got = entry.queries()[name](spark, SF_SMALL).toPandas()
-    want = con.execute(entry.oracle_sql()[name]).df()
+    want = con.execute(ORACLE[name]).df()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
     assert gc == wc
@@ -53,7 +54,6 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_of_the_reference_has_an_oracle():
-    from sondage.plans.registry import ORACLE, QUERIES
     assert set(QUERIES) == set(ORACLE)
 
 
