@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sondage.session import checkpoint_dir
 
+BATCH = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,8 +47,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH`` bytes at most: with long texts the usual bound takes much memory in each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) != BATCH:
+        spark.conf.set(key, f"{BATCH}b")
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; a worker keeps it otherwise, next to its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Select ``new=old`` columns only, so that no other column can clash."""
+    """Select ``new=old`` columns only, so that no other column can clash; bounds Arrow batches on the way."""
+    bound_batches(df.sparkSession)
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
@@ -60,7 +80,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def texts_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) over slices of a batch of about ``limit`` bytes; null is empty."""
     col = batch.column(column)
     size = max(1, col.nbytes // max(1, limit))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondage.llm.base import ascii_lower, cut, fresh, pick, shuffle_width
+from sondage.llm.base import ascii_lower, bound_batches, cut, fresh, pick, shuffle_width
 
 #: Leading bytes in the sort key; the hash of the whole text follows them.
 KEY_BYTES = 32
@@ -49,6 +49,7 @@ def find_runs(df: DataFrame, text: str, row_id: str, keep: str, carry: list[str]
     A run is a stretch of equal texts in one range.  Its rows are held until
     it ends; the edge text is given for the first rows of a range's outer runs.
     """
+    bound_batches(df.sparkSession)
     head, digest = fresh(df, "_head", "_digest")
     rows = _sorted(df, text, row_id, keep, head, digest)
     kinds = {f.name: f.dataType for f in df.schema}

@@ -49,12 +49,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondage.llm.base import cut, pick, shuffle_width, texts_by_bytes
+from sondage.llm.base import cut, pick, release_memory, shuffle_width, texts_by_bytes
 from sondage.llm.components import components
 from sondage.llm.hashing import hash_stretches, mix
 
 #: Text of one block, and signatures of one bucket, on average.
-BLOCK_BYTES, BUCKET_SIGNATURES = 16 << 20, 1 << 21
+BLOCK_BYTES, BUCKET_SIGNATURES = 4 << 20, 1 << 20
 #: Sets below this size use a part for each feature, so that none can crowd.
 SMALL = 128
 #: Bytes of a feature in the sets sent to be compared.
@@ -146,6 +146,7 @@ def _texts(df: DataFrame, text_col: str, blocks: int) -> DataFrame:
     rows = pick(df, _text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         seen: set[bytes] = set()
         for b in batches:
             for _, texts in texts_by_bytes(b, "_text"):
@@ -195,6 +196,7 @@ def _counts(texts: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
     """``block, bucket, counts``: in how many sets each of the block's signatures is (255: so many or more)."""
 
     def ask(table: pa.Table) -> pa.Table:
+        release_memory()  # of the block before
         _, _, sigs, bucket, order = _block_signatures(table, k, bands, buckets)
         kinds, starts = np.unique(bucket[order], return_index=True)
         low = (sigs[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -203,6 +205,7 @@ def _counts(texts: DataFrame, k: int, bands: Bands, buckets: int) -> DataFrame:
         return pa.table({"block": pa.array([block] * len(kinds), pa.int64()), "bucket": pa.array(kinds.astype(np.int64)), "low": pa.array(packs, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
+        release_memory()  # of the bucket before
         packs = [np.frombuffer(x.as_py(), "<u4") for x in table["low"]]
         _, place, n = np.unique(np.concatenate(packs), return_inverse=True, return_counts=True)
         n = np.minimum(n, 255).astype(np.uint8)[place]
@@ -217,6 +220,7 @@ def _choose(texts: DataFrame, counts: DataFrame, k: int, bands: Bands, buckets:
     """``key, size, sigs, features`` of every distinct sequence; the last two only where links are possible."""
 
     def choose(table: pa.Table, replies: pa.Table) -> pa.Table:
+        release_memory()  # of the block before
         sets, parts, sigs, _, order = _block_signatures(table, k, bands, buckets)
         found = np.empty(len(sigs), np.uint8)
         answers = sorted(zip(replies["bucket"].to_pylist(), replies["counts"].to_pylist()))
@@ -306,6 +310,7 @@ def _compare_blocks(crowds: DataFrame, labels: DataFrame, sets: DataFrame, perce
              .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select("crowd", "p", "q", "own", "key", "label", "features"))
 
     def compare(table: pa.Table) -> pa.Table:
+        release_memory()  # of the blocks before
         p, q = table["p"][0].as_py(), table["q"][0].as_py()
         own = np.array(table["own"])
         sides = [table.filter(pa.array(own == x)) for x in (p, q)]
@@ -391,11 +396,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     found = members.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(classes.filter("n_shingles > 0"), "key")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     marked = cut(found.filter(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), stays.alias("_stays")), "marked")
-    n = marked.count()
+    few = marked.count() <= BROADCAST_ROWS
+    if members.groupBy("doc_id").count().filter("count > 1").isEmpty():  # the id alone tells a row: texts need not be read as words again
+        ids = marked.select("_id")
+        return df.join(F.broadcast(ids) if few else ids, df[id_col].eqNullSafe(ids["_id"]), "left_anti")
     rows = _keyed(df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), df[id_col].alias("doc_id"), df[text_col].alias("_text")))
     same = rows["doc_id"].eqNullSafe(marked["_id"]) & (rows["key"] == marked["_key"])
-    out = rows.join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, same, "left")
+    out = rows.join(F.broadcast(marked) if few else marked, same, "left")
     once = out.filter("_stays is null").select("_row.*")
-    if marked.filter("_stays").isEmpty():
-        return once
     return once.unionByName(out.filter("_stays").dropDuplicates(["doc_id", "key"]).select("_row.*"))

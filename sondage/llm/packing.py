@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondage.llm.base import cut, pick, texts_by_bytes
+from sondage.llm.base import cut, pick, release_memory, texts_by_bytes
 from sondage.llm.vocab import encoder
 
 
@@ -152,6 +152,7 @@ def tokenize_pieces(df: DataFrame, path: str, end_id: int, capacity: int, id_col
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_number"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         enc, part = encoder(path, "spaced"), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:

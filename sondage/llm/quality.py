@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sondage.llm.base import cut, texts_by_bytes
+from sondage.llm.base import bound_batches, cut, texts_by_bytes
 
 SYMBOLS = "#*$%&|<>"
 #: A host breaks a rule when more than this share of its documents fails it, after shrinking.
@@ -65,6 +65,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", whole_row: bool = False) -> DataFrame:
     """``doc_id, host`` and the measures of each text; ``_row``, the whole row, if asked for."""
+    bound_batches(df.sparkSession)
     cols = [df[id_col].alias("doc_id"), df[host_col].alias("host"), df[text_col].alias("_text")]
     rows = df.select(*cols, *[F.struct(*[df[c] for c in df.columns]).alias("_row")] * whole_row)
     passed = ["doc_id", "host"] + ["_row"] * whole_row
