@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.base import cut, pick, shuffle_width, texts_by_bytes
+from sondage.llm.base import cut, pick, release_memory, shuffle_width, texts_by_bytes
 from sondage.llm.hashing import hash_stretches
 
 BLOCK_BYTES = 16 << 20
@@ -346,7 +346,7 @@ def predict(model: Model, before: list[Totals], after: list[Totals], burn: int,
     return out
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 32, burn: int = 1, samples: int = 2, seed: int = 1) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 256, burn: int = 1, samples: int = 2, seed: int = 1) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     if not 2 <= classes <= 256:
         raise ValueError("classes must lie between 2 and 256")
@@ -359,6 +359,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     kind = docs.dtypes[0][1]
 
     def read(table: pa.Table) -> tuple[Pairs, np.ndarray]:
+        release_memory()  # of the block before
         tokens, sizes = Tokens(classes), []
         for b in table.select(["_text"]).to_batches():
             for _, texts in texts_by_bytes(b, "_text", 1 << 20):
