@@ -30,7 +30,7 @@ import re
 
 import numpy as np
 
-LIMIT = 1_000_000
+LIMIT = 400_000
 ROW = 500
 #: Begins a chunk that no space goes before (a byte that UTF-8 has not).
 BARE = b"\xff"
@@ -104,8 +104,15 @@ class Encoder:
     """Ids of texts as little-endian 32-bit integers in bytes."""
 
     def __init__(self, tokenizer, cut: str, limit: int = LIMIT):
+        from tokenizers import normalizers, pre_tokenizers
+
         self.tokenizer, self.spaced, self.limit = tokenizer, cut == "spaced", limit
         self.memo: dict[bytes, bytes] = {}  # ids of chunks
+        # ASCII letters need no normalising and no pattern: their bytes are their characters
+        self.letters = type(tokenizer).from_str(tokenizer.to_str())
+        self.letters.encode_special_tokens = True
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         if self.spaced:
             one = {c: 1 for c in byte_chars().values()}
             vocab = tokenizer.get_vocab()
@@ -127,15 +134,16 @@ class Encoder:
             text = text.replace(b".", b" \xff.").replace(b",", b" \xff,").replace(b"\n", b" \xff\n \xff")
         return (BARE + text).split(b" ")
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _row(self, row: list[bytes], ids: np.ndarray, gap: int) -> list[bytes]:
-        """The ids of a row, cut into those of its chunks, which stand ``gap`` bytes apart."""
+        """The ids of a row, cut into those of its chunks, which stand ``gap`` bytes apart (negative: so much shorter)."""
         if self.spaced:
             stop = np.cumsum([len(c) + gap for c in row])
             ends = np.cumsum(self.width[ids])
-            a, b = np.searchsorted(ends, np.append(0, stop[:-1]), "right"), np.searchsorted(ends, stop - gap, "right")
+            a, b = np.searchsorted(ends, np.append(0, stop[:-1]), "right"), np.searchsorted(ends, stop - max(gap, 0), "right")
         else:
             bars = np.flatnonzero(ids == self.bar)
             a, b = np.append(0, bars + 1), np.append(bars, len(ids))
@@ -144,14 +152,14 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist())]
 
-    def _add(self, chunks: list[bytes], texts: list[bytes], glue: bytes | None) -> None:
-        """Learn chunks by their texts, in rows with ``glue`` between, or each alone."""
+    def _add(self, chunks: list[bytes], texts: list[bytes], glue: bytes | None, gap: int = 0, tokenizer=None) -> None:
+        """Learn chunks by their texts, in rows with ``glue`` (``gap`` bytes of it in the tokens) between, or each alone."""
         size = 1 if glue is None else ROW
         rows = [texts[at : at + size] for at in range(0, len(texts), size)]
         for at in range(0, len(rows), 40 * ROW // size):
             some = rows[at : at + 40 * ROW // size]
-            found = self._ids([(glue or b"").join(r).decode() for r in some])
-            ids = [i.tobytes() for i in found] if glue is None else [x for r, i in zip(some, found) for x in self._row(r, i, len(glue))]
+            found = self._ids(tokenizer or self.tokenizer, [(glue or b"").join(r).decode() for r in some])
+            ids = [i.tobytes() for i in found] if glue is None else [x for r, i in zip(some, found) for x in self._row(r, i, gap)]
             self.memo.update(zip(chunks[at * size :], ids))
 
     def _learn(self, chunks: set[bytes]) -> None:
@@ -161,16 +169,20 @@ class Encoder:
             memo.clear()
             memo.update(now)
         new = [c for c in chunks if c not in memo]
+        letters, other = [c for c in new if c.isalpha()], [c for c in new if not c.isalpha()]
         if self.spaced:
-            led = [c for c in new if c[:1] != BARE]
+            space = byte_chars()[32].encode()
+            self._add(letters, [space + c for c in letters], b" ", 1 - len(space), self.letters)
+            led = [c for c in other if c[:1] != BARE]
             self._add(led, [b" " + c for c in led], b"")
-            bare = [c for c in new if c[:1] == BARE]
+            bare = [c for c in other if c[:1] == BARE]
             solid = [c for c in bare if _solid(c[1:])]
-            self._add(solid, [c[1:] for c in solid], b"\n")
+            self._add(solid, [c[1:] for c in solid], b"\n", 1)
             alone = [c for c in bare if not _solid(c[1:])]
             self._add(alone, [c[1:] for c in alone], None)
         else:
-            plain, alone = [c for c in new if b"|" not in c], [c for c in new if b"|" in c]
+            plain, alone = [c for c in other if b"|" not in c], [c for c in other if b"|" in c]
+            self._add(letters, letters, b" | ", 0, self.letters)
             self._add(plain, plain, b" | ")
             self._add(alone, alone, None)
 
