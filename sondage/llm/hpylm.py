@@ -3,14 +3,16 @@
 Every context has a Chinese restaurant whose customers are the training
 tokens that follow it; its tables are customers of the root restaurant, which
 all contexts share, and whose base is uniform over the vocabulary and one
-unknown word.  A context is the class of the word before: its ending, hashed
-to ``classes`` - 1 classes, or the beginning of a text.
+unknown word.  A context is the word before, or the beginning of a text, so
+contexts grow with the vocabulary.  If ``classes`` is given, it is the class
+of the word before instead: its ending, hashed to ``classes`` - 1 classes.
 
 Seating is sampled: customers sit down one after the other (in batches that
 double), then Gibbs steps take a random customer of every (context, word) up
-and seat it anew.  Given the restaurants' totals the words are independent,
-so each task seats its own words; after each sweep the totals of the contexts
-(``classes`` + 1 rows) are added up for the next one.  ``burn`` sweeps come
+and seat it anew.  Given the restaurants' totals the (context, word) pairs are
+independent, so each task seats its own pairs; after each sweep the totals are
+added up for the next one, by the tasks that own a range of word hashes (with
+``classes``, which are few, at the driver).  ``burn`` sweeps come
 first; the predictive probabilities of the next ``samples`` are averaged.
 Discounts come from the counts of ones and twos of each level.
 
@@ -19,8 +21,10 @@ by one; later ones matter through the number of tables they open, drawn in
 batches that grow by a tenth.  So a very common word takes bounded memory.
 
 Text and counts move in packed blocks.  Tasks count (word, context) and send
-them to word buckets.  Documents lie in blocks by hash; a block asks each
-bucket once for all its words, and scores its documents with the answers.
+them to buckets of pairs by a hash of both, so that a common word's pairs lie
+in all of them (with ``classes``: to word buckets).  Documents lie in blocks by
+hash; a block asks each bucket once for all its pairs and each owner for all
+its words, and scores its documents with the answers.
 
 Null text: empty, its end token only.  Null ids are held out.  Repeated rows
 count and score each.  An empty table gives an empty table; with no training
@@ -39,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.base import cut, pick, release_memory, shuffle_width, texts_by_bytes
-from sondage.llm.hashing import hash_stretches
+from sondage.llm.hashing import hash_stretches, mix
 
 BLOCK_BYTES = 16 << 20
 SEATED = 128
@@ -55,9 +59,9 @@ def is_held_out(doc_id: object) -> bool:
 
 
 class Tokens:
-    """Identity and context of each token of the texts given so far."""
+    """Identity of each token of the texts given so far, and its context if that is a class."""
 
-    def __init__(self, classes: int):
+    def __init__(self, classes: int | None):
         self.classes, self.held = classes, 0
         self.words: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
@@ -71,15 +75,17 @@ class Tokens:
         edge = np.diff(np.concatenate([[1], BLANK[octets], [1]]).astype(np.int8))
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         word = np.maximum(hash_stretches(octets, first, last), np.uint64(1))
-        # a word's class as a context is its ending
-        end = octets[last - 1].astype(np.int64) * 31 + np.where(last - first > 1, octets[last - 2], 0) if len(last) else last
-        kind = 1 + end % (self.classes - 1)
         counts = np.bincount(np.searchsorted(begins, first, "right") - 1, minlength=len(texts))
         ends = np.cumsum(counts)
         self.words.append(np.insert(word, ends, END))
+        self.held += len(self.words[-1])
+        if self.classes is None:  # the token before is the context
+            return counts + 1
+        # a word's class as a context is its ending
+        end = octets[last - 1].astype(np.int64) * 31 + np.where(last - first > 1, octets[last - 2], 0) if len(last) else last
+        kind = 1 + end % (self.classes - 1)
         kind = np.insert(kind, ends, 0)  # after an end token comes a beginning
         self.contexts.append(np.append(0, kind[:-1]).astype(np.uint8))
-        self.held += len(kind)
         return counts + 1
 
 
@@ -346,13 +352,347 @@ def predict(model: Model, before: list[Totals], after: list[Totals], burn: int,
     return out
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 256, burn: int = 1, samples: int = 2, seed: int = 1) -> DataFrame:
-    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
-    if not 2 <= classes <= 256:
+# --- whole words as contexts --------------------------------------------------------
+
+#: One shape for all that moves: packs, messages, replies, states, seatings, questions and answers.
+ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("peer", pa.int64()), ("data", pa.list_(pa.binary())), ("numbers", pa.list_(pa.int64()))])
+ROW_SQL = "bucket long, kind string, peer long, data array<binary>, numbers array<long>"
+
+
+def _row(bucket: int, kind: str, peer: int, data: list[bytes], numbers: list[int] | None = None) -> dict:
+    return {"bucket": int(bucket), "kind": kind, "peer": int(peer), "data": data, "numbers": numbers or []}
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers in as many bytes each as the largest needs, first bytes first."""
+    width = (int(numbers.max()).bit_length() + 7) // 8 if len(numbers) else 0
+    return np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, : max(1, width)].T.tobytes()
+
+
+def _wide(octets: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(octets) // n] = np.frombuffer(octets, np.uint8).reshape(-1, n).T
+    return out.view("<i8").reshape(n)
+
+
+def _hashes(octets: bytes) -> np.ndarray:
+    return np.frombuffer(octets, "<u8")
+
+
+def _range(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Identity of pairs; by its ranges, pairs of one common word, or after one, lie in all buckets."""
+    return mix(word ^ mix(context + np.uint64(1)))
+
+
+def _runs(sorted_buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    kinds, first = np.unique(sorted_buckets, return_index=True)
+    yield from zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_buckets)])
+
+
+@dataclass
+class WordPairs:
+    """Distinct words of texts, and distinct (word, word before) in the order of pair buckets, words and contexts."""
+
+    words: np.ndarray  # hashes
+    word: np.ndarray  # numbers in ``words``, of each pair
+    context: np.ndarray
+    key: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    number: np.ndarray  # of each token's word
+    place: np.ndarray  # of each token's pair
+
+    @staticmethod
+    def of(tokens: Tokens, buckets: int) -> WordPairs:
+        words, number = np.unique(np.concatenate(tokens.words) if tokens.words else np.zeros(0, np.uint64), return_inverse=True)
+        before = np.concatenate([np.zeros(1, np.int64), number[:-1]])[: len(number)]  # END comes first in ``words``, and before every text
+        pair, place, count = np.unique(number * len(words) + before, return_inverse=True, return_counts=True)
+        word, context = np.divmod(pair, max(1, len(words)))
+        key = _pair_key(words[word], words[context])
+        bucket = _range(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return WordPairs(words, word[order], context[order], key[order], bucket[order], count[order], number, rank[place])
+
+    def packed(self) -> Iterator[dict]:
+        """A row of counts for each pair bucket."""
+        for bucket, a, b in _runs(self.bucket):
+            yield _row(bucket, "pack", 0, _pack(self.words[self.word[a:b]], self.words[self.context[a:b]], self.count[a:b]))
+
+    def questions(self, block: int, buckets: int) -> Iterator[dict]:
+        """A row for each owner of words and for each pair bucket."""
+        yield from _sent(self.words, [], "ask words", block, buckets, [])
+        for bucket, a, b in _runs(self.bucket):
+            yield _row(bucket, "ask pairs", block, [self.key[a:b].astype("<u8").tobytes()])
+
+
+def _pack(word: np.ndarray, context: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Pairs in the order of words: all names, the pairs of each, and the numbers of the contexts."""
+    names = np.unique(np.concatenate([word, context]))
+    sizes = np.bincount(np.searchsorted(names, word), minlength=len(names))
+    return [names.astype("<u8").tobytes(), _narrow(sizes), _narrow(np.searchsorted(names, context)), _narrow(count)]
+
+
+def _pairs(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, count) of each pair."""
+    names = _hashes(data[0])
+    word = np.repeat(names, _wide(data[1], len(names)))
+    return word, names[_wide(data[2], len(word))], _wide(data[3], len(word))
+
+
+def _gather(df: DataFrame, work) -> DataFrame:
+    """``work`` on the rows of each bucket."""
+    return df.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_pylist(list(work(t.to_pylist())), ROW), ROW_SQL)
+
+
+def count_words(df: DataFrame, buckets: int) -> DataFrame:
+    """One row per pair bucket: its (word, word before) counts in the training documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(None)
+        for b in batches:
+            for at, texts in texts_by_bytes(b, "_text", 1 << 20):
+                keys = b.column("doc_id").slice(at, len(texts)).to_pylist()
+                tokens.add([t for key, t in zip(keys, texts) if not is_held_out(key)])
+                if tokens.held > HELD:
+                    yield pa.RecordBatch.from_pylist(list(WordPairs.of(tokens, buckets).packed()), ROW)
+                    tokens = Tokens(None)
+        if tokens.held:
+            yield pa.RecordBatch.from_pylist(list(WordPairs.of(tokens, buckets).packed()), ROW)
+
+    def merge(rows: list[dict]) -> Iterator[dict]:
+        word, context, n = (np.concatenate(x) for x in zip(*(_pairs(r["data"]) for r in rows)))
+        order = np.lexsort((context, word))
+        word, context, n = word[order], context[order], n[order]
+        new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
+        yield _row(rows[0]["bucket"], "pack", 0, _pack(word[new], context[new], np.add.reduceat(n, new)))
+
+    return _gather(df.mapInArrow(count, ROW_SQL), merge)
+
+
+def _sum_at(names: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.bincount(np.searchsorted(names, hashes), values, len(names)).astype(np.int64)
+
+
+def _sent(names: np.ndarray, values: list[np.ndarray], kind: str, peer: int, buckets: int, numbers: list[int]) -> Iterator[dict]:
+    """Rows to the owners of words; the first carries the numbers."""
+    for k, (owner, a, b) in enumerate(_runs(_range(names, buckets))):
+        yield _row(owner, kind, peer, [names[a:b].astype("<u8").tobytes(), *(_narrow(v[a:b]) for v in values)], [] if k else numbers)
+
+
+def _first(df: DataFrame, kind: str, n: int) -> list[int]:
+    """Sums of the first ``n`` numbers of the rows of a kind."""
+    rows = df.filter((F.col("kind") == kind) & (F.size("numbers") > 0))
+    return [x or 0 for x in rows.agg(*[F.sum(F.col("numbers")[k]) for k in range(n)]).first()]
+
+
+def train_words(packs: DataFrame, buckets: int, burn: int, samples: int, seed: int) -> tuple[Model, list[tuple[int, int]], DataFrame | None]:
+    """(model, customers and tables of the root in each sample, rows of the samples' seatings and states).
+
+    Pairs lie in pair buckets, words in ranges of hashes that own them.  A
+    sweep seats the pairs; each bucket sends the tables that its pairs have
+    beyond one to the owners of both words, which add them up (of the word as
+    a dish: customers of the root; as a context: tables of its restaurant),
+    seat the root, and reply.  A pair that occurs once has one table, so only
+    the others are sent and replied to.
+    """
+    mapped = lambda work: lambda batches: (
+        pa.RecordBatch.from_pylist([x for r in b.slice(k, 1).to_pylist() for x in work(r)], ROW) for b in batches for k in range(b.num_rows))
+
+    def tell(r: dict) -> Iterator[dict]:
+        """Of each word: its occurrences, contexts, and words after it."""
+        word, context, n = _pairs(r["data"])
+        names, one = np.unique(np.concatenate([word, context])), np.ones(len(n))
+        yield from _sent(names, [_sum_at(names, word, n), _sum_at(names, word, one), _sum_at(names, context, one)], "base", r["bucket"], buckets,
+                         [int((n == 1).sum()), int((n == 2).sum())])
+
+    def own(rows: list[dict]) -> Iterator[dict]:
+        names = np.unique(np.concatenate([_hashes(r["data"][0]) for r in rows]))
+        sums = np.zeros((3, len(names)), np.int64)
+        for r in rows:
+            at = np.searchsorted(names, _hashes(r["data"][0]))
+            for k in range(3):
+                sums[k, at] += _wide(r["data"][1 + k], len(at))
+        one, two = (sum(r["numbers"][k] for r in rows if r["numbers"]) for k in range(2))
+        yield _row(rows[0]["bucket"], "base", 0, [names.astype("<u8").tobytes(), *map(_narrow, sums)],
+                   [int(sums[0].sum()), len(names), one, two, int((sums[1] == 1).sum()), int((sums[1] == 2).sum()), int(sums[1].sum())])
+
+    base = cut(_gather(packs.mapInArrow(mapped(tell), ROW_SQL), own), "words")
+    n, kinds, ones, twos, root_ones, root_twos, pairs = _first(base, "base", 7)
+    share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b) if a else 0.5))
+    model = Model(kinds, n, share(ones, twos), share(root_ones, root_twos))
+    if not n:
+        return model, [(0, 0)], None
+
+    def repeated(r: dict) -> Iterator[dict]:
+        word, context, n = _pairs(r["data"])
+        yield _row(r["bucket"], "pack", 0, _pack(word[n > 1], context[n > 1], n[n > 1]))
+
+    def several(word: np.ndarray, context: np.ndarray, tables: np.ndarray, bucket: int) -> Iterator[dict]:
+        names = np.unique(np.concatenate([word, context]))
+        yield from _sent(names, [_sum_at(names, word, tables - 1), _sum_at(names, context, tables - 1)], "message", bucket, buckets, [])
+
+    def begin(r: dict) -> Iterator[dict]:
+        word, context, n = _pairs(r["data"])
+        yield from several(word, context, np.ones(len(n), np.int64), r["bucket"])
+
+    def state(turn: int, root_tables: int):
+        def work(rows: list[dict]) -> Iterator[dict]:
+            base = next(r for r in rows if r["kind"] == "base")
+            names = _hashes(base["data"][0])
+            customers, tables = (_wide(base["data"][k], len(names)) for k in (2, 3))
+            asked = [(r["peer"], np.searchsorted(names, h := _hashes(r["data"][0])), *(_wide(x, len(h)) for x in r["data"][1:])) for r in rows if r["kind"] == "message"]
+            for _, at, dish, context in asked:
+                customers[at] += dish
+                tables[at] += context
+            weight = np.full(len(names), (model.strength + model.root_discount * root_tables) / (model.vocabulary + 1))
+            root = seat(customers, weight, model.root_discount, np.random.default_rng((seed + turn, base["bucket"], 0)), model.steps)
+            yield _row(base["bucket"], "state", turn, [_narrow(customers), _narrow(root), _narrow(tables)], [int(customers.sum()), int(root.sum())])
+            for peer, at, _, _ in asked:
+                yield _row(peer, "reply", base["bucket"], [_narrow(x[at]) for x in (customers, root, tables)], [len(at)])
+        return work
+
+    def seating(turn: int, total: tuple[int, int]):
+        def work(rows: list[dict]) -> Iterator[dict]:
+            pack = next(r for r in rows if r["kind"] == "pack")
+            word, context, n = _pairs(pack["data"])
+            names = np.unique(np.concatenate([word, context]))
+            replies = sorted((r for r in rows if r["kind"] == "reply"), key=lambda r: r["peer"])
+            customers, root, tables = (np.concatenate([np.zeros(0, np.int64), *(_wide(r["data"][k], r["numbers"][0]) for r in replies)]) for k in range(3))
+            about = _root(model, Totals(None, None, *total), customers, root)[np.searchsorted(names, word)]
+            weight = (model.strength + model.discount * tables[np.searchsorted(names, context)]) * about
+            got = seat(n, weight, model.discount, np.random.default_rng((seed + turn, pack["bucket"], 1)), model.steps)
+            yield _row(pack["bucket"], "seats", turn + 1, [_narrow(got)])
+            yield from several(word, context, got, pack["bucket"])
+        return work
+
+    packs = cut(packs.mapInArrow(mapped(repeated), ROW_SQL), "repeated")
+    seated, root_tables, totals, kept = packs.mapInArrow(mapped(begin), ROW_SQL), kinds, [], []
+    for turn in range(burn + samples + 1):
+        owned = cut(_gather(base.unionByName(seated.filter("kind = 'message'")), state(turn, root_tables)), "states")
+        totals.append(tuple(_first(owned, "state", 2)))
+        root_tables = totals[-1][1]
+        if turn > burn:
+            kept += [owned.filter("kind = 'state'"), seated.filter("kind = 'seats'")]
+        if turn < burn + samples:
+            seated = cut(_gather(packs.unionByName(owned.filter("kind = 'reply'")), seating(turn, totals[-1])), "seats")
+    rows = base
+    for k in kept:
+        rows = rows.unionByName(k)
+    return model, totals[burn + 1 :], rows
+
+
+def _answer_words(rows: list[dict], samples: int) -> Iterator[dict]:
+    """For each question: occurrences of its words, and in each sample root customers, root tables and tables after them."""
+    base = next((r for r in rows if r["kind"] == "base"), None)
+    names = _hashes(base["data"][0]) if base else np.zeros(0, np.uint64)
+    states = [r["data"] for r in sorted((r for r in rows if r["kind"] == "state"), key=lambda r: r["peer"])]
+    columns = [_wide(x, len(names)) for x in ([base["data"][1], *(x for s in states for x in s)] if base else [b""] * (1 + 3 * samples))]
+    yield from _look_up(rows, "ask words", "words", names, columns)
+
+
+def _answer_pairs(rows: list[dict], samples: int) -> Iterator[dict]:
+    """For each question: occurrences of its pairs, and their tables in each sample."""
+    pack = next((r for r in rows if r["kind"] == "pack"), None)
+    if pack is None:
+        names, columns = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * (1 + samples)
+    else:
+        word, context, n = _pairs(pack["data"])
+        columns = [n]
+        for r in sorted((r for r in rows if r["kind"] == "seats"), key=lambda r: r["peer"]):
+            tables = np.ones(len(n), np.int64)
+            tables[n > 1] = _wide(r["data"][0], int((n > 1).sum()))
+            columns.append(tables)
+        names = _pair_key(word, context)
+        order = np.argsort(names)
+        names, columns = names[order], [c[order] for c in columns]
+    yield from _look_up(rows, "ask pairs", "pairs", names, columns)
+
+
+def _look_up(rows: list[dict], kind: str, answer: str, names: np.ndarray, columns: list[np.ndarray]) -> Iterator[dict]:
+    for r in rows:
+        if r["kind"] == kind:
+            want = _hashes(r["data"][0])
+            at = np.minimum(np.searchsorted(names, want), max(0, len(names) - 1))
+            has = names[at] == want if len(names) else np.zeros(len(want), bool)
+            found = [np.where(has, c[at], 0) if len(names) else np.zeros(len(want), np.int64) for c in columns]
+            yield _row(r["peer"], answer, r["bucket"], [_narrow(c) for c in found], [len(want)])
+
+
+def word_logs(model: Model, totals: list[tuple[int, int]], pairs: WordPairs, words: list[np.ndarray], found: list[np.ndarray]) -> np.ndarray:
+    """log10 probabilities of the pairs, averaged over the samples, from the answers to their block."""
+    total = np.zeros(len(pairs.word))
+    for k, t in enumerate(totals):
+        customers, root, tables = words[1 + 3 * k : 4 + 3 * k]
+        about = _root(model, Totals(None, None, *t), customers, root)[pairs.word]
+        own = found[0] - model.discount * found[1 + k]
+        total += (own + (model.strength + model.discount * tables[pairs.context]) * about) / (model.strength + words[0][pairs.context])
+    return np.log10(total / len(totals))
+
+
+def score_words(docs: DataFrame, blocks: int, burn: int, samples: int, seed: int) -> DataFrame:
+    packs = cut(count_words(docs, blocks), "counts")
+    model, totals, trained = train_words(packs, blocks, burn, samples, seed)
+    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(blocks))).repartition(shuffle_width(docs.sparkSession), "block")
+    kind, n = docs.dtypes[0][1], len(totals)
+
+    def read(table: pa.Table) -> tuple[WordPairs, np.ndarray]:
+        release_memory()  # of the block before
+        tokens, sizes = Tokens(None), []
+        for b in table.select(["_text"]).to_batches():
+            for _, texts in texts_by_bytes(b, "_text", 1 << 20):
+                sizes.append(tokens.add(texts))
+        return WordPairs.of(tokens, blocks), np.concatenate(sizes)
+
+    def ask(table: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(list(read(table)[0].questions(table["block"][0].as_py(), blocks)), ROW)
+
+    def answer(rows: list[dict]) -> Iterator[dict]:
+        yield from _answer_words(rows, n)
+        yield from _answer_pairs(rows, n)
+
+    def add(table: pa.Table, replies: pa.Table) -> pa.Table:
+        pairs, sizes = read(table)
+        got = sorted(replies.to_pylist(), key=lambda r: r["peer"])
+        words, found = ([np.concatenate(c) for c in zip(*([_wide(x, r["numbers"][0]) for x in r["data"]] for r in got if r["kind"] == k))] for k in ("words", "pairs"))
+        c = words[0][pairs.number]  # of each token
+        base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
+        first = np.append(0, np.cumsum(sizes)[:-1])
+        sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, word_logs(model, totals, pairs, words, found)[pairs.place])]
+        return _scored(table, sizes, model, sums)
+
+    rows = packs.unionByName(placed.groupBy("block").applyInArrow(ask, ROW_SQL))
+    replies = _gather(rows if trained is None else rows.unionByName(trained), answer).withColumnRenamed("bucket", "block")
+    return placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(add, SCORED_SQL.format(kind))
+
+
+SCORED_SQL = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(table: pa.Table, sizes: np.ndarray, model: Model, sums: list[np.ndarray]) -> pa.Table:
+    return pa.table({"doc_id": table["doc_id"], "held_out": pa.array([is_held_out(x) for x in table["doc_id"].to_pylist()], pa.bool_()),
+                     "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), model.tokens, np.int64)),
+                     "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, burn: int = 1, samples: int = 2, seed: int = 1) -> DataFrame:
+    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    ``classes``: contexts are that many classes of the word before instead of the word itself.
+    """
+    if classes is not None and not 2 <= classes <= 256:
         raise ValueError("classes must lie between 2 and 256")
     docs = pick(df, doc_id=id_col, _text=text_col)
     total = docs.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     blocks = max(1, total // BLOCK_BYTES)
+    if classes is None:
+        return score_words(docs, blocks, burn, samples, seed)
     packs = cut(count_pairs(docs, classes, blocks), "counts")
     model, before, after = train(packs, classes, burn, samples, seed)
     placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(blocks))).repartition(shuffle_width(df.sparkSession), "block")
@@ -386,11 +726,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
         base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
         first = np.append(0, np.cumsum(sizes)[:-1])
         sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, logs[pairs.place])]
-        return pa.table({"doc_id": table["doc_id"], "held_out": pa.array([is_held_out(x) for x in table["doc_id"].to_pylist()], pa.bool_()),
-                         "n_tokens": pa.array(sizes), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(sizes), model.tokens, np.int64)),
-                         "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+        return _scored(table, sizes, model, sums)
 
     asked = placed.groupBy("block").applyInArrow(ask, PACK_SQL + ", block long")
     replies = asked.groupBy("bucket").cogroup(packs.groupBy("bucket")).applyInArrow(answer, "block long, bucket long, freq binary, logs binary")
     return placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        add, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        add, SCORED_SQL.format(kind))

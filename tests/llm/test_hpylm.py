@@ -98,3 +98,47 @@ def test_empty_tables(spark):
     assert hpylm.score(spark.createDataFrame([], SCHEMA)).count() == 0
     only = hpylm.score(spark.createDataFrame([(None, "a b", 0, "")], SCHEMA)).collect()[0]
     assert (only["n_tokens"], only["n_known"], only["train_tokens"]) == (3, 0, 0) and math.isclose(only["score"], 0, abs_tol=1e-6)
+
+
+def test_whole_words_are_contexts(spark):
+    """Words with one ending lead to different words: only the whole word before tells which, however many words there are."""
+    rng = np.random.default_rng(5)
+    names = [f"{a}{b}{c}ing" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]  # 512 contexts, one ending
+    rows = [(i, " ".join(f"{names[k]} after{names[k]}x" for k in rng.integers(0, len(names), 60))) for i in range(200)]
+    got = hpylm.score(spark.createDataFrame([(*r, 0, "x") for r in rows], SCHEMA)).collect()
+    held = [g for g in got if g["held_out"]]
+    tokens = sum(g["n_tokens"] for g in held)
+    assert len(held) > 10 and sum(g["score"] for g in held) / tokens > -0.5 * math.log10(512) - 0.3
+    assert sum(g["base_score"] for g in held) / tokens < -2.5
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_word_contexts_sum_to_one(spark, blocks):
+    """After every word, the beginning and an unknown word: over the vocabulary and the one unknown word."""
+    rows = [(i, t) for i, t in corpus(60) if not held_out(i)][:40]
+    df = spark.createDataFrame(rows, "doc_id long, _text string")
+    packs = hpylm.cut(hpylm.count_words(df, blocks), "counts")
+    model, totals, trained = hpylm.train_words(packs, blocks, 1, 2, 1)
+    state = [r.asDict() for r in trained.collect()]
+    packed = [r.asDict() for r in packs.collect()]
+    words = np.unique(np.concatenate([np.frombuffer(r["data"][0], "<u8") for r in state if r["kind"] == "base"] + [np.array([12345], np.uint64)]))
+    count = Counter()
+    for i, t in rows:
+        for w in tokens(t):
+            count[w] += 1
+    assert len(words) == len(count) + 1 == model.vocabulary + 1 and model.tokens == sum(count.values())
+    n = len(words)
+    w, u = np.divmod(np.arange(n * n), n)
+    key = hpylm._pair_key(words[w], words[u])
+    order = np.argsort(key)
+    pairs = hpylm.WordPairs(words, w[order], u[order], key[order], hpylm._range(key[order], blocks), None, None, None)
+    ask = list(pairs.questions(0, blocks))
+    answers = [[], []]
+    for k in range(blocks):
+        mine = [r for r in ask + state + packed if r["bucket"] == k]
+        answers[0] += hpylm._answer_words(mine, len(totals))
+        answers[1] += hpylm._answer_pairs(mine, len(totals))
+    of_words, found = ([np.concatenate(c) for c in zip(*([hpylm._wide(x, r["numbers"][0]) for x in r["data"]] for r in a))] for a in answers)
+    p = np.zeros((n, n))
+    p[pairs.word, pairs.context] = 10 ** hpylm.word_logs(model, totals, pairs, of_words, found)
+    assert np.allclose(p.sum(0), 1, atol=1e-9) and (p > 0).all()
