@@ -8,9 +8,10 @@ several such stretches the one with most text counts.
 
 Scripts, styles, forms, menus, headers, footers, asides and elements that
 their class, id or role names as adverts, notices, comments and the like are
-markup too and give no lines.  Where the page marks its article (``article``,
-or ``main``), the points found inside it move out to its borders: short lines
-at either end are part of it.  If no window surges, an article's lines, or
+markup too and give no lines.  Where most of the stretch's text lies in one
+marked region (an ``article``, or ``main``), the points move out to its
+borders: short lines at either end are part of it.  Regions elsewhere, such as
+teasers marked as articles, are not main text.  If no window surges, an article's lines, or
 else all lines, are kept: a short page is not an empty one.
 
 Null html: empty text.  Pages of any length are read whole.  Unclosed and
@@ -203,12 +204,16 @@ def text_stretch(lines: list[Line]) -> tuple[int, int]:
 def main_text(html: str) -> str:
     """The blocks of the main text, one space between them."""
     lines = lines_of(html)
-    marked = [x.region for x in lines if x.region > 0] or [x.region for x in lines if x.region]
     first, stop = text_stretch(lines)
-    if marked:
-        inside = {x.region for x in lines[first:stop]} & set(marked) or set(marked)
-        return " ".join(x.text for x in lines if x.region in inside)
-    return " ".join(x.text for x in (lines[first:stop] if stop > first else lines))
+    if stop > first:
+        size: dict[int, int] = {}
+        for x in lines[first:stop]:
+            size[x.region] = size.get(x.region, 0) + x.weight
+        region = max(size, key=size.__getitem__)
+        wide = region if region and 2 * size[region] > sum(size.values()) else None
+        return " ".join(x.text for k, x in enumerate(lines) if first <= k < stop or x.region == wide)
+    marked = {x.region for x in lines if x.region > 0} or {x.region for x in lines if x.region}
+    return " ".join(x.text for x in lines if not marked or x.region in marked)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -34,6 +34,15 @@ def test_lines_decide_where_no_article_is_marked():
     assert main_text("<p>tiny</p>") == "tiny" and main_text("") == "" and main_text("plain & <b>bold</b>") == "plain & bold"
 
 
+def test_stretch_decides_over_marked_teasers():
+    cards = "".join(f"<article class='card'><h3><a href=x>Teaser {k}</a></h3><p>Few words.</p></article>" for k in range(3))
+    links = "<div><a href=x>One</a></div><div><a href=x>Two</a></div><div><a href=x>Three</a></div>"
+    body = f"<p>{LONG}</p><p>{LONG}</p>"
+    want = f"{LONG.strip()} {LONG.strip()}"
+    assert main_text(page(f"<div>{body}</div>{links}{cards}")) == want
+    assert main_text(page(f"<main><div><h1>Head</h1>{body}</div>{links}{cards}<p>End.</p></main>")) == f"Head {want} One Two Three End."
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b>", "</b>", "<a href='>'>", "</a>", "<article>", "</article>", "<script>", "</script>", "<!--",
                                  "-->", "<", ">", "&amp", "&#x41;", "text ", "\n", "<br/>", "<nav>", "</nav>", "<li>", "<x y=\"", "İ"]), max_size=25).map("".join))
