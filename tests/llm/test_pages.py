@@ -43,6 +43,21 @@ def test_stretch_decides_over_marked_teasers():
     assert main_text(page(f"<main><div><h1>Head</h1>{body}</div>{links}{cards}<p>End.</p></main>")) == f"Head {want} One Two Three End."
 
 
+def test_names_do_not_hide_the_wrappers_of_the_article():
+    body = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head {LONG.strip()} {LONG.strip()}"
+    for tag in ("<div class='content has-sidebar'>", "<div id='main' class='no-ads'>", "<section id='search-methods'>", "<div class='legal-text'>", "<form action=x>"):
+        close = "</" + re.match("<([a-z]+)", tag)[1] + ">"
+        for inner in (body, f"<article>{body}</article>"):
+            assert main_text(page(f"{tag}{inner}<div class='sidebar'>Side</div>{close}")).endswith(want.removeprefix("Head ")), tag
+        assert main_text(page(f"{tag}<article>{body}</article><div class='sidebar'>Side</div>{close}")) == want
+    # what holds little stays hidden, text in a line too, and so do comments longer than the article beside them
+    assert main_text(page(f"<article>{body}<form>Name <button>Go</button></form><p class='notice'>Note<p>End <span class='share'>Share</span>here.</article>")) == f"{want} End here."
+    assert main_text(page(f"<article>{body}</article><div class='related'><article>Card</article></div>")) == want
+    assert main_text(page(f"<div>{body}</div><div class='comments'>{f'<p>{LONG}</p>' * 9}</div>")) == want
+    assert main_text(page(f"<article>{body}<span class=share><div>x</span>y</div><p>End.</article>")).endswith("End.")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b>", "</b>", "<a href='>'>", "</a>", "<article>", "</article>", "<script>", "</script>", "<!--",
                                  "-->", "<", ">", "&amp", "&#x41;", "text ", "\n", "<br/>", "<nav>", "</nav>", "<li>", "<x y=\"", "İ"]), max_size=25).map("".join))
