@@ -76,19 +76,38 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of data one by one, or the data itself if plain."""
+def _members(data: bytes) -> Iterator[bytes | None]:
+    """The gzip members of data one by one, or the data itself if plain; None for bytes that are no member."""
     if not data.startswith(b"\x1f\x8b"):
         yield data
         return
-    at = 0
-    while data.startswith(b"\x1f\x8b", at):
-        z, parts = zlib.decompressobj(31), []
-        while at < len(data) and not z.eof:  # in steps: what is left over is copied
-            step = data[at : at + (1 << 14)]
-            parts.append(z.decompress(step))
-            at += len(step)
+    at, lost = 0, False
+    while at < len(data):
+        if not data.startswith(b"\x1f\x8b", at):  # go on at the next header
+            if not lost:
+                yield None
+            lost, at = True, data.find(b"\x1f\x8b\x08", at)
+            if at < 0:
+                return
+        z, parts, begin = zlib.decompressobj(31), [], at
+        try:
+            while at < len(data) and not z.eof:  # in steps: what is left over is copied
+                step = data[at : at + (1 << 14)]
+                parts.append(z.decompress(step))
+                at += len(step)
+            broken = lost and not z.eof  # what looked like a header
+        except zlib.error:
+            broken = True
+        if broken:
+            yield b"".join(parts)
+            if not lost:
+                yield None
+            lost, at = True, data.find(b"\x1f\x8b\x08", begin + 2)
+            if at < 0:
+                return
+            continue
         at -= len(z.unused_data)
+        lost = False
         yield b"".join(parts)
 
 
@@ -105,13 +124,20 @@ def _fields(text: str) -> dict[str, str]:
     return out
 
 
+#: Stands for data that could not be read.
+LOST = {**dict.fromkeys(FIELDS), "truncated": True, "block": b"", "headers": {}}
+
+
 def parse_records(data: bytes) -> Iterator[dict]:
     for member in _members(data):
+        if member is None:
+            yield dict(LOST)
+            continue
         at = 0
         while (at := member.find(b"WARC/1.", at)) >= 0:
             stop = member.find(b"\r\n\r\n", at)
             if stop < 0:
-                yield {"truncated": True, "block": b"", "headers": {}}
+                yield dict(LOST)
                 break
             headers = _fields(member[at:stop].decode("utf-8", "replace").partition("\r\n")[2])
             by_name = {k.lower(): v for k, v in headers.items()}
@@ -119,7 +145,7 @@ def parse_records(data: bytes) -> Iterator[dict]:
             n = int(size) if size.isdigit() else 0
             block = member[stop + 4 : stop + 4 + n]
             yield {field: by_name.get(name.lower()) for field, name in FIELDS.items()} | {
-                "headers": headers, "block": block, "truncated": len(block) < n or not size.isdigit()}
+                "headers": headers, "block": block, "truncated": len(block) < n or not size.isdigit() or "warc-truncated" in by_name}
             at = stop + 4 + n
 
 
@@ -201,20 +227,69 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return status, _fields(rest), payload
 
 
+def _dechunked(payload: bytes) -> bytes:
+    """The body of a chunked payload, or the payload as it is where the crawler joined the chunks already."""
+    out, at = [], 0
+    while at < len(payload):
+        stop = payload.find(b"\r\n", at)
+        size = payload[at : max(at, stop)].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]+", size):
+            return b"".join(out) if out else payload
+        n = int(size, 16)
+        if not n:
+            break
+        out.append(payload[stop + 2 : stop + 2 + n])
+        at = stop + 4 + n
+    return b"".join(out)
+
+
+def _inflated(payload: bytes) -> bytes:
+    """The content of a gzip or deflate payload, as far as it goes, or the payload as it is where it is none."""
+    for bits in (47, -15):
+        out, rest = [], payload
+        try:
+            while rest:
+                z = zlib.decompressobj(bits)
+                out.append(z.decompress(rest))
+                rest = z.unused_data if z.eof else b""
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return payload
+
+
+def decoded(http: dict[str, str], payload: bytes) -> tuple[bytes, str]:
+    """(payload without its transfer and content encodings, an encoding that is not known)."""
+    by_name = {k.lower(): v.lower() for k, v in http.items()}
+    for name in ("transfer-encoding", "content-encoding"):
+        for kind in reversed([x.strip() for x in by_name.get(name, "").split(",")]):
+            if kind == "chunked":
+                payload = _dechunked(payload)
+            elif kind in ("gzip", "x-gzip", "deflate"):
+                payload = _inflated(payload)
+            elif kind not in ("", "identity"):
+                return payload, kind
+    return payload, ""
+
+
 def derive_one(record: dict) -> list[dict]:
     """The metadata and the conversion record of a response."""
     source, headers = record["record_id"] or "", record["headers"] or {}
     by_name = {k.lower(): v for k, v in headers.items()}
     status, http, payload = split_http(record["block"] or b"")
     kind = next((v for k, v in http.items() if k.lower() == "content-type"), "")
+    body, unknown = decoded(http, payload)
     charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
     try:
-        html = payload.decode(charset[1] if charset else "utf-8", "replace")
+        html = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
-        html = payload.decode("utf-8", "replace")
+        html = body.decode("utf-8", "replace")
     title, text = _TITLE.search(html), plain_text(html).encode()
     meta_id, text_id = record_id(source, "metadata"), record_id(source, "conversion")
-    fields = {"http-status": status, **{f"http-{k.lower()}": v for k, v in http.items()},
+    truncated = bool(record["truncated"]) or "warc-truncated" in by_name
+    fields = {**{f"source-{k}": v for k, v in by_name.items()}, "payload-undecoded": unknown,
+              "http-status": status, **{f"http-{k.lower()}": v for k, v in http.items()},
               "payload-length": str(len(payload)), "payload-digest": digest(payload),
               "source-payload-digest": by_name.get("warc-payload-digest", ""), "source-block-digest": by_name.get("warc-block-digest", ""),
               "title": " ".join(unescape(title[1]).split()) if title else "", "links": str(len(_LINK.findall(html))),
@@ -222,8 +297,10 @@ def derive_one(record: dict) -> list[dict]:
     if (given := by_name.get("warc-payload-digest", "")).startswith("sha1:"):
         fields["payload-digest-agrees"] = str(given == fields["payload-digest"]).lower()
     meta = "".join(f"{k}: {_clean(v)}\r\n" for k, v in fields.items() if v).encode()
-    shared = {"refers_to": source, "target_uri": record["target_uri"], "date": record["date"], "truncated": False}
+    shared = {"refers_to": source, "target_uri": record["target_uri"], "date": record["date"], "truncated": truncated}
     own = {k: v for k, v in headers.items() if k.lower() in ("warc-ip-address", "warc-warcinfo-id", "warc-identified-payload-type")}
+    if truncated:
+        own["WARC-Truncated"] = by_name.get("warc-truncated", "unspecified")
     return [
         {"record_id": i, "type": t, "block": block, **shared, "headers": {
             **own, "Content-Type": c, "WARC-Block-Digest": digest(block), "WARC-Source-Payload-Digest": fields["payload-digest"]}}

@@ -1,4 +1,5 @@
 import re
+import zlib
 from html import unescape
 
 from hypothesis import given, settings
@@ -124,3 +125,30 @@ def test_warc_data():
         assert [(g["record_id"], g["block"], g["truncated"]) for g in got] == [("<urn:a>", b"WARC/1.0 inside\r\n\r\nx", False), ("<urn:b>", b"", False)]
     assert [g["truncated"] for g in warc.parse_records(one[:-10])] == [True] and list(warc.parse_records(b"")) == []
     assert warc._fields("A: 1\r\n b\r\nA: 2\r\nbad") == {"A": "1 b, 2"}
+
+
+def test_derivatives_keep_source_headers_and_decode_bodies():
+    html = b"<title>T</title><p>Some text</p>"
+    z = warc.gzip_member(html)
+    for head, body in ((b"", html), (b"Transfer-Encoding: chunked\r\n", b"8;x=1\r\n" + html[:8] + b"\r\n" + b"%x\r\n" % len(html[8:]) + html[8:] + b"\r\n0\r\n\r\n"),
+                       (b"Content-Encoding: gzip\r\n", z), (b"Content-Encoding: deflate\r\n", zlib.compress(html)), (b"Content-Encoding: gzip\r\n", html),
+                       (b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", b"%x\r\n" % len(z) + z + b"\r\n0\r\n\r\n")):
+        source = {"record_id": "<urn:a>", "type": "response", "refers_to": None, "target_uri": "u", "date": "d", "truncated": False,
+                  "headers": {"WARC-Concurrent-To": "<urn:r>", "WARC-Truncated": "time"}, "block": b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + body}
+        [read] = warc.parse_records(warc.serialise(source))
+        meta, text = [r for d in warc.derive_one(read) for r in warc.parse_records(warc.serialise(d))]
+        assert text["block"] == b"T\nSome text" and read["truncated"] and meta["truncated"] and text["truncated"]
+        fields = warc._fields(meta["block"].decode())
+        assert fields["source-warc-concurrent-to"] == "<urn:r>" and fields["source-warc-truncated"] == meta["headers"]["WARC-Truncated"] == "time"
+    cut = warc.derive_one({**source, "headers": {}, "truncated": True})
+    assert [d["headers"]["WARC-Truncated"] for d in cut] == ["unspecified"] * 2
+
+
+def test_records_after_broken_bytes():
+    one, two = (warc.gzip_member(warc.serialise({"record_id": f"<urn:{k}>", "type": "response", "headers": {}, "block": b"x"})) for k in "ab")
+    broken = one[:12] + b"\xff" * 8 + one[20:]
+    for data, want in ((one + b"junk" + two, ["<urn:a>", None, "<urn:b>"]), (one + b"junk\x1f\x8b\x08" + two, ["<urn:a>", None, "<urn:b>"]),
+                       (broken + two, [None, "<urn:b>"]), (one + b"\0", ["<urn:a>", None])):
+        got = list(warc.parse_records(data))
+        assert [g["record_id"] for g in got] == want and all(g["truncated"] == (g["record_id"] is None) for g in got)
+        assert len(list(warc._derived(iter(got)))) == 2 * sum(x is not None for x in want)
