@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sondage.llm import bytebpe, chat, exact, hpylm, htmltext, jaccard, packing, quality, tokenfile, warc
+from sondage.llm import bytebpe, chat, exact, hpylm, htmltext, jaccard, packing, quality, relative, repair, resample, tokenfile, warc
 from sondage.llm.base import documents, scratch
 from sondage.llm.sql import ORACLE  # noqa: F401
 
@@ -63,7 +63,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=1, buckets=10_000, percent=10)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative.report(documents(spark, sf_dir), window=13)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.report(repair.damage(talks), ids=talks)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_ngram_jaccard_join, op2_chat_formatting, op3_quality_rules, op4_lm_scoring, op5_exact_dedup, op6_token_ids,
-        op7_byte_bpe, op8_html_extraction, op9_warc_derivatives, op10_best_fit_packing)}
+        op7_byte_bpe, op8_html_extraction, op9_warc_derivatives, op10_best_fit_packing, op11_importance_resampling,
+        op12_substring_dedup, op13_conversation_repair)}
