@@ -1,0 +1,119 @@
+"""Daily counts kept in streaming state (O49): no store behind them.
+
+Each (survey, day) is a group of state, dealt over ``slots`` by response id so
+that a busy day is not one task: the ids seen, a count, and the rows that came
+too late.  A micro-batch touches the groups of its own rows only; what it
+emits are those groups' new totals, written as absolute numbers, so a retried
+micro-batch writes the same again.
+
+A group is open for ``retention`` after its first row, whatever order days come
+in: within that time an id counts once.  Then a timer closes it and forgets its
+ids (their entries carry a TTL of twice that time, should no timer run);
+``n`` stays, and rows that come later are counted as ``late``.
+
+State lies in RocksDB under the checkpoint, so it may outgrow memory.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.store import read_keyed, write_keyed
+from ..sources.raw import day_of
+
+OUT = "survey string, day date, slot int, n bigint, late bigint, open boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def milliseconds(span: str) -> int:
+    """``'90 days'`` -> milliseconds."""
+    m = re.fullmatch(r"\s*(\d+)\s+(second|minute|hour|day|week)s?\s*", span)
+    if not m:
+        raise ValueError(f"unknown time span {span!r}")
+    return int(m[1]) * UNITS[m[2]] * 1000
+
+
+class DayCounter(StatefulProcessor):
+    """One (survey, day, slot): which ids it has, how many, and how many came after it was closed."""
+
+    def __init__(self, retention_ms: int):
+        self.retention_ms = retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "id string", "at bigint", ttlDurationMs=2 * self.retention_ms)
+        self.total = handle.getValueState("total", "n bigint, late bigint, open boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        now = timer_values.getCurrentProcessingTimeInMs()
+        if self.total.exists():
+            n, late, is_open = self.total.get()
+        else:
+            n, late, is_open = 0, 0, True
+            self.handle.registerTimer(now + self.retention_ms)
+        for part in rows:
+            if not is_open:
+                late += len(part)
+                continue
+            for i in part["id"].fillna("").unique().tolist():
+                if not self.seen.containsKey((i,)):
+                    self.seen.updateValue((i,), (now,))
+                    n += 1
+        self.total.update((n, late, is_open))
+        yield self._line(key, n, late, is_open)
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+        n, late, _ = self.total.get()
+        self.seen.clear()
+        self.total.update((n, late, False))
+        yield self._line(key, n, late, False)
+
+    @staticmethod
+    def _line(key, n: int, late: int, is_open: bool) -> pd.DataFrame:
+        survey, day, slot = key
+        return pd.DataFrame({"survey": [survey], "day": [day], "slot": [slot], "n": [n], "late": [late], "open": [is_open]})
+
+    def close(self) -> None:
+        pass
+
+
+def counted(stream: DataFrame, retention: str, slots: int) -> DataFrame:
+    """The query part: raw rows -> changed totals ``survey, day, slot, n, late, open``.
+
+    A null id has a prefix of its own in the state's key, as any other id.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")
+    name = F.when(F.col("id").isNull(), "n").otherwise(F.concat(F.lit(":"), "id"))
+    rows = stream.where("submitted IS NOT NULL").select("survey", day_of(F.col("submitted")).alias("day"), slot.alias("slot"), name.alias("id"))
+    return rows.groupBy("survey", "day", "slot").transformWithStateInPandas(DayCounter(milliseconds(retention)), OUT, "Update", "ProcessingTime")
+
+
+def daily_state_stream(spark: SparkSession, source_dir: str, table: str, fmt: str = "json", retention: str = "90 days", slots: int = 8,
+                       interval: str | None = None, max_files_per_trigger: int | None = None, checkpoint: str | None = None):
+    """Daily counts of landed rows in the keyed table ``table``, from state alone."""
+    from .stream import _source, _start
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        write_keyed(spark, table, batch, ["day", "survey", "slot"], "replace", ("survey",), [F.col("n"), F.col("late")])
+
+    names = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        return _start(counted(_source(spark, source_dir, fmt, max_files_per_trigger), retention, slots), merge, table, checkpoint, interval, "update")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_counts(spark: SparkSession, table: str) -> DataFrame:
+    """The counts of all slots: ``day, survey, n, late``."""
+    return read_keyed(spark, table).groupBy("day", "survey").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
