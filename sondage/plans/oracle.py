@@ -506,3 +506,26 @@ SELECT kv.survey, kv.id, kv.version, e.sub AS submitted, key,
 ORACLE["stream_build"] = f"""{FLAT} SELECT * FROM flat"""
 
 ORACLE["stream_daily"] = ORACLE["daily_counts"]
+
+ORACLE["landed_scan"] = ORACLE["scan_raw"]
+
+ORACLE["stream_landed"] = ORACLE["stream_ingest"]
+
+ORACLE["export_commit"] = f"""WITH {E}, p AS (
+  SELECT survey, event_id, CAST(floor((sub - {ANCHOR}) / 604800.0) * 604800 + {ANCHOR} AS BIGINT) AS start FROM e)
+SELECT survey, start, start + 604800 AS "end", CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_read,
+  CAST(count(DISTINCT event_id) AS BIGINT) AS n_ids FROM p GROUP BY survey, start"""
+
+ORACLE["keyed_ignore"] = ORACLE["upsert_ignore"]
+
+ORACLE["keyed_replace"] = ORACLE["upsert_replace"]
+
+ORACLE["keyed_daily"] = f"""SELECT {iso('submitted')}[1:10] AS day, survey, CAST(count(*) AS BIGINT) AS n
+FROM ({ORACLE["upsert_replace"]}) GROUP BY ALL"""
+
+ORACLE["watched_import"] = f"""WITH {E}
+SELECT survey, min(sub) AS start, max(sub) AS "end", CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (event_id % 97 = 0) AS BIGINT) AS rejects, string_agg(DISTINCT version, ',' ORDER BY version) AS versions
+FROM e GROUP BY survey"""
+
+ORACLE["stream_state_daily"] = f"""SELECT *, CAST(0 AS BIGINT) AS late FROM ({ORACLE["daily_counts"]})"""

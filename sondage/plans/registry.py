@@ -20,13 +20,17 @@ from ..functions import text as TX
 from ..functions.select import project_fields, select_columns
 from ..functions.versions import filter_versions, version_array
 from ..operators import migrate as MG
+from ..operators import observed as OB
 from ..operators import periods as PD
 from ..operators import reconcile as RC
 from ..operators import reshape as RS
 from ..operators import stats as ST
 from ..operators import store as SO
+from ..operators.keyed import KeyedStore
 from ..session import checkpoint_dir
+from ..sources import export_sink as ES
 from ..sources import fixtures as fx
+from ..sources import landed as LD
 from ..sources import raw as RW
 from ..streaming import stream as SM
 from . import oracle as O
@@ -92,6 +96,13 @@ def scan_raw(spark, sf):
                        columns=("survey", "id", "submitted", "version"))
 
 
+@query
+def landed_scan(spark, sf):
+    """O01 through the data source: landed JSON lines, read with the scan's time range pushed into the reader."""
+    src = SM.land_files(R(spark, sf), _scratch(spark, "landed"), "json", LANDED_ROWS)
+    return RW.scan_raw(LD.read_landed(spark, src), start=O.TIME_FROM, end=O.TIME_TO, columns=("survey", "id", "submitted", "version"))
+
+
 @query
 def time_range_filter(spark, sf):
     return RW.time_range_filter(R(spark, sf), start=O.TIME_ONLY_FROM).select("survey", "id", "submitted")
@@ -170,6 +181,17 @@ def export_roundtrip(spark, sf):
     return rows.join(cells, ["id", "key"], "full_outer")
 
 
+@query
+def export_commit(spark, sf):
+    """O09 + O39 through the sink: a first export, the next one over its last periods, catalog and files read back."""
+    path = _scratch(spark, "exported")
+    for variant in ("R_base", "R_batch"):
+        ES.export_periods(R(spark, sf, variant), path, O.ANCHOR)
+    rows = ES.read_exported(spark, path, SM.RAW_SCHEMA).withColumn("start", PD.period_of(F.col("submitted"), O.ANCHOR))
+    read = rows.groupBy("survey", "start").agg(F.count("*").alias("n_read"), F.count_distinct("id").alias("n_ids"))
+    return ES.exported_catalog(spark, path).select("survey", "start", "end", "n").join(read, ["survey", "start"], "full")
+
+
 @query
 def wide_to_long(spark, sf):
     return RS.wide_to_long(FLAT(spark, sf), ["id"], ["Q2", "Q3_lk_1", "Q4_multi_row1_col2", "Q5", "EX_Q2"])
@@ -432,6 +454,48 @@ def upsert_replace(spark, sf):
     return _keyed_store(spark, sf, "replace")
 
 
+def _bucketed_store(spark, sf, mode):
+    """The same two loads as ``_keyed_store``, into a store bucketed by key."""
+    store = KeyedStore(spark, _scratch(spark, f"keyed_{mode}"))
+    for variant in ("R_base", "R_moved"):
+        store.load(R(spark, sf, variant), variant, mode, [F.col("submitted"), F.col("data")])
+    return store
+
+
+def _stored_rows(store):
+    q2 = F.call_function("get_json_object", F.col("data"), F.concat(F.lit("$['"), F.col("survey"), F.lit(".main.Q2']")))
+    return store.current().select("survey", "id", "submitted", "version", q2.alias("q2"), F.get_json_object("data", "$.ID").alias("payload_id"))
+
+
+@query
+def keyed_ignore(spark, sf):
+    return _stored_rows(_bucketed_store(spark, sf, "ignore"))
+
+
+@query
+def keyed_replace(spark, sf):
+    """Compacted at the end, so the rewritten store is what is compared."""
+    store = _bucketed_store(spark, sf, "replace")
+    store.compact()
+    return _stored_rows(store)
+
+
+@query
+def keyed_daily(spark, sf):
+    """O63 from the loads' signed changes: the second load dates rows anew and replaces others."""
+    return _bucketed_store(spark, sf, "replace").daily()
+
+
+@query
+def watched_import(spark, sf):
+    """O50 + O02 + O65 observed while a load is written, without a job of their own."""
+    rows = R(spark, sf, "R_bad")
+    surveys = sorted(r[0] for r in R(spark, sf).select("survey").distinct().collect())  # the survey list (a handful)
+    watch = OB.LoadWatch(surveys)
+    KeyedStore(spark, _scratch(spark, "watched")).load(rows, "first", "ignore", watch=watch)
+    return watch.log(spark).withColumn("versions", F.concat_ws(",", "versions"))
+
+
 @query
 def evolve_schema(spark, sf):
     base, batch = _base_batch(spark, sf)
@@ -728,6 +792,17 @@ def stream_ingest(spark, sf):
     return rows.select("survey", "id", "version", "submitted", payload)
 
 
+@query
+def stream_landed(spark, sf):
+    """O47 through the data source: a restarted stream goes on behind the files it has taken."""
+    src, store = _scratch(spark, "landed"), _scratch(spark, "raw_store")
+    rows, late = R(spark, sf, "R_dup"), F.pmod(F.xxhash64("id"), F.lit(2)) == 1
+    for k, part in enumerate((rows.where(~late), rows.where(late))):
+        SM.land_files(part, f"{src}/part={k}", "json", LANDED_ROWS)
+        SM.ingest_stream(spark, src, store, fmt=LD.LANDED)
+    return SO.read_keyed(spark, store).select("survey", "id", "version", "submitted", F.explode(RW.decode("data")).alias("key", "value"))
+
+
 @query
 def stream_build(spark, sf):
     table = _scratch(spark, "flat")

@@ -37,6 +37,7 @@ from ..functions import schema_rows
 from ..operators.store import _without, import_log, read_keyed, update_dimension, write_keyed
 from ..plans.build import build_flat, parse_profile
 from ..session import tables_dir
+from ..sources.landed import LANDED, register_landed
 from ..sources.raw import day_of, recode_json
 
 RAW_SCHEMA = "survey string, id string, submitted bigint, version string, data string"
@@ -69,6 +70,9 @@ def _start(stream: DataFrame, merge: Callable[[DataFrame, int], None], target: s
 
 
 def _source(spark: SparkSession, source_dir: str, fmt: str, max_files_per_trigger: int | None) -> DataFrame:
+    """Landed rows as a stream; ``landed_responses`` is the library's own data source, which takes all that has landed."""
+    if fmt == LANDED:
+        return spark.readStream.format(register_landed(spark)).option("path", source_dir).load()
     reader = spark.readStream.schema(RAW_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
