@@ -201,10 +201,11 @@ def response_counts(raw: DataFrame, start=None, end=None) -> DataFrame:
 
 def daily_counts(raw: DataFrame, time_col: str = "submitted", since=None) -> DataFrame:
     """Responses per (day, survey); ``since`` (a date) restricts to the restart day on."""
-    day = F.to_date(F.timestamp_seconds(F.col(time_col)))
-    df = raw.select(day.alias("day"), "survey")
-    if since is not None:
-        df = df.where(F.col("day") >= F.lit(since).cast("date"))
+    from ..sources.raw import day_of, time_range_filter
+    if since is not None:  # on the time itself, which the scan can push down (and the day partition, if there is one)
+        at = since if isinstance(since, str) else since.isoformat()
+        raw = time_range_filter(raw, at[:10] + "T00:00:00", column=time_col)
+    df = raw.select(day_of(F.col(time_col)).alias("day"), "survey")
     return df.groupBy("day", "survey").agg(F.count("*").alias("n"))
 
 
@@ -218,7 +219,7 @@ def resume_daily(spark: SparkSession, path: str, raw: DataFrame, time_col: str =
     """O63 end to end: the stored counts at ``path``, brought up to date from ``raw``.
 
     Counts restart at the last day stored, which may have been incomplete; its
-    rows are replaced and earlier days are not read again.
+    rows are replaced, and earlier days are pruned from the scan of ``raw``.
     """
     from .store import read_keyed, write_keyed
     done = read_keyed(spark, path)

@@ -56,6 +56,22 @@ def _without(df: DataFrame, other: DataFrame, keys: Sequence[str], kind: str = "
     return df.join(right, _same_key(df, right, keys), kind)
 
 
+def _in_partitions(df: DataFrame, touched: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Rows of the table ``df`` in the partitions of ``touched``, whose values become literal filters of the scan.
+
+    Their number is that of the partitions a load touches, as in a listing of its files.
+    """
+    rows = touched.select(*parts).distinct().collect()
+    for p in parts:
+        values = {r[p] for r in rows}
+        known = [F.lit(v).cast(df.schema[p].dataType) for v in values if v is not None]
+        here = df[p].isin(known) if known else F.lit(False)
+        df = df.where(here | df[p].isNull() if None in values else here)
+    if len(parts) > 1:  # not every pair of the values is touched
+        df = _without(df, df.sparkSession.createDataFrame(rows, touched.select(*parts).schema), parts, "left_semi")
+    return df
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None,
                   latest: bool = False) -> DataFrame:
     """One row per key: the smallest (or, with ``latest``, largest) by ``order``.
@@ -199,7 +215,7 @@ def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
 
     Stored keys are looked up in the partitions that can hold them: those that
     agree with the batch on the partition columns that are part of the key
-    (dynamic partition pruning scans these only, and only the key columns).
+    (a filter of the partitions scans these only, and only the key columns).
 
     * ``ignore``: the batch's first row per key, minus keys already stored, is
       *appended*; stored files are never rewritten.  Re-running the same batch
@@ -236,7 +252,7 @@ def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
         known = target
         shared = [p for p in parts if p in keys]
         if known is not None and shared:
-            known = _without(known, batch.select(*shared).distinct(), shared, "left_semi")
+            known = _in_partitions(known, batch, shared)
         if mode == "plain":
             upsert(known, batch, keys, "plain")  # raises on a duplicate key
             fresh = batch
@@ -256,9 +272,10 @@ def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
     fresh = first_per_key(batch, keys, order, latest=True).checkpoint()
     scope = target
     if parts:
-        held = _without(target.select(*dict.fromkeys([*keys, *parts])), fresh, keys, "left_semi").select(*parts)
+        near = _in_partitions(target, fresh, shared) if (shared := [p for p in parts if p in keys]) else target
+        held = _without(near.select(*dict.fromkeys([*keys, *parts])), fresh, keys, "left_semi").select(*parts)
         touched = held.unionByName(fresh.select(*parts)).distinct().checkpoint()
-        scope = _without(target, touched, parts, "left_semi")
+        scope = _in_partitions(target, touched, parts)
     new = evolve_schema(_without(scope, fresh, keys), fresh).checkpoint()
     if parts:
         gone = _without(touched, new.select(*parts).distinct(), parts).collect()  # partitions of this batch only

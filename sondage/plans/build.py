@@ -39,7 +39,7 @@ from ..functions.cast import CAST_TYPES, RESULT_TYPES, cast_expr
 from ..functions.rename import (DEFAULT_SEPARATOR, RenameChain, default_chain, parse_rename_rules)
 from ..functions.select import ColumnSelector
 from ..functions.versions import VersionSelector, canonical, parse_selector, parse_version, version_array
-from ..sources.raw import time_range_filter
+from ..sources.raw import STRICT, one_value, time_range_filter
 
 # --- fixed values ----------------------------------------------------------------------------
 POSITIONS = ["before_casting", "default_casting", "after_casting", "default_renaming", "end"]
@@ -352,7 +352,7 @@ def discover_schema(raw: DataFrame, data_col: str = "data", survey_col: str = "s
     """
     s = F.col(survey_col) if survey_col in raw.columns else F.lit(None).cast("string")
     if numbers:
-        entry = F.from_json(F.col(data_col).cast("string"), "map<string,variant>")
+        entry = F.from_json(one_value(F.col(data_col)), "map<string,variant>", STRICT)
         rows = raw.select(s.alias("s"), F.col("version").alias("v"), F.explode(entry).alias("k", "x"))
         kind = F.schema_of_variant("x")
         kind = (F.when(kind == "BIGINT", F.lit("int")).when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.lit("float"))
@@ -402,7 +402,7 @@ def decode_struct(data: Column, keys: Sequence[str]) -> Column:
     field names (``k0..kN``, the corrupt-record flag last), so keys that differ
     only in case never make a field reference ambiguous.
     """
-    parsed = F.from_json(data.cast("string"), payload_struct(keys), {"columnNameOfCorruptRecord": BAD_FIELD})
+    parsed = F.from_json(one_value(data), payload_struct(keys), {"columnNameOfCorruptRecord": BAD_FIELD, **STRICT})
     positional = T.StructType([T.StructField(positional_name(i), T.StringType()) for i in range(len(keys))]
                               + [T.StructField(BAD_FIELD, T.StringType())])
     return parsed.cast(positional)

@@ -507,6 +507,11 @@ ORACLE["stream_build"] = f"""{FLAT} SELECT * FROM flat"""
 
 ORACLE["stream_daily"] = ORACLE["daily_counts"]
 
+ODD = "event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 OR event_id % 79 = 0"
+ORACLE["strict_payloads"] = f"""WITH {E}
+SELECT survey, CAST(count(*) FILTER (NOT ({ODD})) AS BIGINT) AS n_flat, CAST(count(*) FILTER ({ODD}) AS BIGINT) AS n_bad,
+  CAST(count(*) FILTER ({ODD}) AS BIGINT) AS n_lost FROM e GROUP BY survey"""
+
 ORACLE["landed_scan"] = ORACLE["scan_raw"]
 
 ORACLE["stream_landed"] = ORACLE["stream_ingest"]

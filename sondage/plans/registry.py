@@ -407,6 +407,16 @@ def build_rejects(spark, sf):
     return bad.groupBy("survey", "lost").agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
 
 
+@query
+def strict_payloads(spark, sf):
+    """O02 + O45: text behind the object, a second object, single quotes and NaN; every id is built or rejected."""
+    raw, spec = R(spark, sf, "R_odd"), fx.fixture_profile()
+    rows = lambda df, n: df.groupBy("survey").agg(F.count("*").alias(n))
+    bad = rows(RW.split_quarantine(raw)[1], "n_bad")
+    lost = rows(B.build_rejects(raw, spec).where("lost"), "n_lost")
+    return rows(build_flat(raw, spec), "n_flat").join(bad, "survey", "full").join(lost, "survey", "full")
+
+
 @query
 def build_plan_q(spark, sf):
     raw = R(spark, sf)

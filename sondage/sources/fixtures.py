@@ -116,6 +116,11 @@ def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
     if variant == "R_dirty":
         out = out.unionByName(out.where(F.col("_eid") % 5 == 0).withColumn("data", cut)
                               .withColumn("submitted", F.col("submitted") - 1000))
+    elif variant == "R_odd":  # text that only a lenient parser takes
+        data, eid = F.col("data"), F.col("_eid")
+        out = out.withColumn("data", F.when(eid % 97 == 0, F.concat(data, F.lit(" x"))).when(eid % 89 == 0, F.concat(data, data))
+                             .when(eid % 83 == 0, F.translate(data, '"', "'")).when(eid % 79 == 0, F.concat(F.lit('{"ID":NaN,'), F.substr(data, F.lit(2))))
+                             .otherwise(data))
     elif variant == "R_dup":
         out = out.unionByName(out.where(F.col("_eid") % 5 == 0))
     elif variant == "R_moved":

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 PAYLOAD_TYPE = "map<string,string>"
+#: What Spark's parser accepts beyond JSON, switched off.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 RAW_COLUMNS = ["survey", "id", "submitted", "version", "data"]
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -76,13 +78,24 @@ def scan_raw(source: DataFrame | str, spark: SparkSession | None = None, survey:
     return df.select(*[c for c in columns if c in df.columns])
 
 
+def one_value(data: Column) -> Column:
+    """Payload text that is one JSON value, else null: with a number behind it, it makes an array of two.
+
+    The parsers below stop at the end of the first value, so text behind an
+    object, or a second object, would be lost without a trace.
+    """
+    c = data.cast("string")
+    return F.when(F.json_array_length(F.concat(F.lit("["), c, F.lit(",0]"))) == 2, c)
+
+
 def decode(data: Column | str) -> Column:
     """Payload text -> ``MAP<STRING,STRING>``; nested objects stay JSON text.
 
-    Truncated JSON, ``''`` and non-objects give null; ``{}`` gives an empty map.
+    Truncated JSON, ``''``, non-objects, text behind the object, single quotes
+    and ``NaN`` give null; ``{}`` gives an empty map.
     """
     c = F.col(data) if isinstance(data, str) else data
-    return F.from_json(c.cast("string"), PAYLOAD_TYPE, {"mode": "PERMISSIVE"})
+    return F.from_json(one_value(c), PAYLOAD_TYPE, {"mode": "PERMISSIVE", **STRICT})
 
 
 def decode_payload(df: DataFrame, data_col: str = "data", keep_data: bool = False) -> DataFrame:
@@ -117,7 +130,7 @@ def recode_json(data: Column | str) -> Column:
     Text that is no JSON object stays as it is, for the quarantine.
     """
     c = (F.col(data) if isinstance(data, str) else data).cast("string")
-    as_variant = F.from_json(c, "map<string,variant>")
+    as_variant = F.from_json(one_value(c), "map<string,variant>", STRICT)
     text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     recoded = F.transform_values(as_variant, lambda k, v: F.when(text(v) == INGEST_TRUE, F.parse_json(F.lit("true")))
                                  .when(text(v) == INGEST_FALSE, F.parse_json(F.lit("false"))).otherwise(v))

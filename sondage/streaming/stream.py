@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema_rows
-from ..operators.store import _without, import_log, read_keyed, update_dimension, write_keyed
+from ..operators.store import _in_partitions, import_log, read_keyed, update_dimension, write_keyed
 from ..plans.build import build_flat, parse_profile
 from ..session import tables_dir
 from ..sources.landed import LANDED, register_landed
@@ -198,8 +198,8 @@ def daily_stream(spark: SparkSession, source_dir: str, table: str, store: str |
             return
         ingest_batch(spark, batch, store)
         # of the whole batch, not of the rows added: a retry after a failed count counts again
-        touched = batch.select("survey", day_of(F.col("submitted")).alias("day")).distinct()
-        put(_without(read_keyed(spark, store), touched, ["survey", "day"], "left_semi").groupBy("day", "survey").agg(F.count("*").alias("n")))
+        touched = batch.select("survey", day_of(F.col("submitted")).alias("day"))
+        put(_in_partitions(read_keyed(spark, store), touched, ["survey", "day"]).groupBy("day", "survey").agg(F.count("*").alias("n")))
 
     if lateness is not None:
         return _start(daily_counts_stream(src, lateness), merge, table, checkpoint, interval, "update")
