@@ -167,3 +167,12 @@ def json_flatten(df: DataFrame, column: str, keys: Sequence[str] | None = None,
     parsed = evaluate_once(df, _m=F.from_json(_col(column).cast("string"), "map<string,string>"))
     cols = [_col(c) for c in df.columns if c != column]
     return parsed.select(*cols, *[F.element_at("_m", F.lit(k)).alias(f"{column}{separator}{k}") for k in keys])
+
+
+#: Kinds of a key's values, each one wide enough for those before it.
+KINDS = ("null", "int", "float", "text")
+
+
+def widest(kinds: Iterable[str]) -> str:
+    """The kind that holds values of all these kinds, in whatever order they come."""
+    return max(kinds, key=KINDS.index, default="null")

@@ -21,13 +21,14 @@ from __future__ import annotations
 import datetime as _dt
 import functools
 import uuid
-from typing import Sequence
+from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.cast import widest
 from ..session import checkpoint_dir, tables_dir
 
 
@@ -188,11 +189,56 @@ def current(spark: SparkSession, table: str, base: str | None = None) -> DataFra
 # --- keyed tables --------------------------------------------------------------------------------
 
 
+KIND_TYPES = {"null": "string", "int": "bigint", "float": "double", "text": "string"}
+
+
+def _record_kinds(spark: SparkSession, path: str, kinds: Mapping[str, str]) -> None:
+    """Add the kinds of a load's columns to the table's record, an append-only log; those it holds already add nothing."""
+    known = _recorded_kinds(spark, path)
+    new = [(c, k) for c, k in kinds.items() if k not in known.get(c, ())]
+    if new:
+        spark.createDataFrame(new, "column string, kind string").coalesce(1).write.mode("append").json(f"{path}/_kinds")
+
+
+def _recorded_kinds(spark: SparkSession, path: str) -> dict[str, set]:
+    """{column: kinds of its values in all loads}; at most a few rows for each column."""
+    if not path_exists(spark, f"{path}/_kinds"):
+        return {}
+    out: dict[str, set] = {}
+    for r in spark.read.schema("column string, kind string").json(f"{path}/_kinds").distinct().collect():
+        out.setdefault(r["column"], set()).add(r["kind"])
+    return out
+
+
 def read_keyed(spark: SparkSession, path: str) -> DataFrame | None:
-    """A keyed Parquet table (files of several schema generations are merged); None before the first write."""
+    """A keyed Parquet table (files of several schema generations are merged); None before the first write.
+
+    Columns stored as text with a record of their kinds get the type that holds
+    the values of all loads: BIGINT where all are whole numbers, DOUBLE where
+    all are numbers, else the text.  So the type widens and never stops a load.
+    """
+    df = _stored(spark, path)
+    if df is None:
+        return None
+    types = {c.lower(): KIND_TYPES[widest(k)] for c, k in _recorded_kinds(spark, path).items()}
+    if set(types.values()) <= {"string"}:
+        return df
+    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) if (t := types.get(c.lower(), "string")) != "string" else F.col(f"`{c}`")
+                       for c in df.columns])
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table as its files have it; None while it has no file or partition (only records that precede them)."""
     path = _pointed(spark, path) or path
     if not path_exists(spark, path):
         return None
+    fs, p = _hadoop(spark, path)
+    names = fs.listStatusIterator(p)
+    while names.hasNext():  # up to the first name of data
+        if not names.next().getPath().getName().startswith(("_", ".")):
+            break
+    else:
+        return None
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
@@ -210,7 +256,8 @@ def _drop_partitions(spark: SparkSession, path: str, parts: Sequence[str], gone:
 
 
 def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], mode: str = "ignore",
-                partition_by: Sequence[str] = ("survey",), order: Sequence[Column] | None = None) -> int:
+                partition_by: Sequence[str] = ("survey",), order: Sequence[Column] | None = None,
+                kinds: Mapping[str, str] | None = None) -> int:
     """Keyed write into a Parquet table; the key holds across all partitions.
 
     Stored keys are looked up in the partitions that can hold them: those that
@@ -230,15 +277,20 @@ def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
     Without partitions the table is a chain of snapshots: ``replace`` writes a
     new one and then points to it, so a failure leaves the old one current.
     New columns are added (files are read with schema merging); a column whose
-    type changes is an error.  Returns the number of rows written.
+    type changes is an error, but for those in ``kinds`` (from ``build_held``),
+    which are stored as text and typed by all loads' kinds in ``read_keyed``.
+    The kinds are recorded before the rows, so readers in between see the wider
+    type at most.  Returns the number of rows written.
     """
     keys, parts = list(keys), list(partition_by)
     if mode not in ("ignore", "replace", "plain"):
         raise ValueError(f"unknown mode {mode!r}")
     checkpoint_dir(spark)  # checkpoints below go to the shared folder the session names
-    target = read_keyed(spark, path)
+    target = _stored(spark, path)
     if target is not None:
         _check_types(target, batch)
+    if kinds:
+        _record_kinds(spark, path, kinds)
     home = path if parts else _pointed(spark, path)
 
     def w(df: DataFrame):

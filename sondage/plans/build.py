@@ -27,7 +27,7 @@ Plan shape
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import evaluate_once, schema_rows
-from ..functions.cast import CAST_TYPES, RESULT_TYPES, cast_expr
+from ..functions.cast import CAST_TYPES, RESULT_TYPES, cast_expr, widest
 from ..functions.rename import (DEFAULT_SEPARATOR, RenameChain, default_chain, parse_rename_rules)
 from ..functions.select import ColumnSelector
 from ..functions.versions import VersionSelector, canonical, parse_selector, parse_version, version_array
@@ -345,7 +345,14 @@ def output_order(names: Sequence[str]) -> list[str]:
 
 def discover_schema(raw: DataFrame, data_col: str = "data", survey_col: str = "survey",
                     numbers: bool = True) -> tuple[dict[tuple, list[str]], dict[str, str]]:
-    """Payload keys of each (survey, version), and the keys whose values are all JSON numbers (``int``/``float``).
+    """Payload keys of each (survey, version), and the keys whose values are all JSON numbers (``int``/``float``)."""
+    members, kinds = discover_kinds(raw, data_col, survey_col, numbers)
+    return members, {k: x for k, x in kinds.items() if x in ("int", "float")}
+
+
+def discover_kinds(raw: DataFrame, data_col: str = "data", survey_col: str = "survey",
+                   numbers: bool = True) -> tuple[dict[tuple, list[str]], dict[str, str]]:
+    """Payload keys of each (survey, version), and the widest kind of each key's values (``KINDS``; else text).
 
     One aggregate of distinct (survey, version, key, kind of value), combined in
     each task.  Payloads that do not decode have no keys.
@@ -366,8 +373,7 @@ def discover_schema(raw: DataFrame, data_col: str = "data", survey_col: str = "s
     for r in got:
         members.setdefault((r["s"], r["v"]), set()).add(r["k"])
         kinds.setdefault(r["k"], set()).add(r["kind"])
-    number = {k: "float" if "float" in x else "int" for k, x in kinds.items() if x - {"null"} and x <= {"int", "float", "null"}}
-    return {m: sorted(k) for m, k in members.items()}, number
+    return {m: sorted(k) for m, k in members.items()}, {k: widest(x) for k, x in kinds.items()}
 
 
 def discover_members(raw: DataFrame, survey_col: str = "survey", data_col: str = "data") -> dict[tuple, list[str]]:
@@ -508,6 +514,40 @@ def build_flat(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | No
     return dec.select(*out_cols, *(["id"] if not exprs and "id" in dec.columns else []))
 
 
+def build_held(raw: DataFrame, profile: BuildProfile | Mapping, survey: str | None = None, include_survey: bool | None = None,
+               found: tuple[Mapping, Mapping] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """One load's flat rows for a table that other loads go to as well, and the kind of each column no rule types.
+
+    Those columns are text (a JSON number as Spark writes it), so a load fits the
+    stored files whatever its values are; ``write_keyed(kinds=...)`` records
+    the kinds and ``read_keyed`` gives each column the widest of all loads.
+    Custom functions see such columns as text in every load, and since they may
+    change any column, their profile's untyped columns stay text.  So do keys that
+    the profile gives with no numbers, and all with ``infer_numbers`` off.
+    ``found``: keys and kinds of these very rows, if they are known.
+    """
+    prof = profile if isinstance(profile, BuildProfile) else parse_profile(profile)
+    if found is not None:
+        members, kinds = found
+        prof = replace(prof, keys=members, numbers={}, verify_keys=False)
+    elif prof.keys is not None:
+        members, kinds = prof.keys, prof.numbers
+        prof = replace(prof, numbers={})
+    else:
+        members, kinds = discover_kinds(_scanned(raw, prof, survey), numbers=prof.infer_numbers)
+        prof = replace(prof, keys=members, numbers={}, verify_keys=False)
+    flat = build_flat(raw, prof, survey, include_survey)
+    text = {f.name for f in flat.schema.fields if isinstance(f.dataType, T.StringType)}
+    custom = any(isinstance(p, Custom) and p.fn is not None for p in prof.processors)
+    numbers = {k: x for k, x in kinds.items() if x in ("int", "float")} if prof.infer_numbers and not custom else {}
+    seen: dict[str, set] = {}
+    for plan in member_plans(members, prof, numbers).values():
+        for name, spec in plan.items():
+            if name in text:
+                seen.setdefault(name, set()).add(spec.number or ("null" if not spec.ops and kinds.get(spec.key) == "null" else "text"))
+    return flat, {c: widest(x) for c, x in sorted(seen.items())}
+
+
 def version_dispatch_table(members: Mapping[tuple, Sequence[str]], profile: BuildProfile) -> list[tuple]:
     """O43 as data: (survey, version, processor names applied in order)."""
     rows = []
@@ -589,7 +629,27 @@ def resolve_profile(config, profiles: Mapping, base_dir: str = ".") -> dict:
 
 
 def build_plan(raw: DataFrame, plan: Mapping, base_dir: str = ".") -> dict[str, DataFrame]:
-    """Several surveys from one partitioned source.
+    """Several surveys from one partitioned source, each a lazy job with the number types of these rows.
+
+    ``held_plan`` gives the same for tables that several loads go to.
+    """
+    out = {}
+    for s, spec, found in _plan_specs(raw, plan, base_dir):
+        if found is not None:
+            numbers = {k: x for k, x in found[1].items() if x in ("int", "float")}
+            # found in these very rows: nothing to verify
+            spec = {**spec, "keys": found[0], "verify_keys": False, "numbers": numbers if spec.get("infer_numbers", True) else {}}
+        out[s] = build_flat(raw, spec, survey=s, include_survey=True)
+    return out
+
+
+def held_plan(raw: DataFrame, plan: Mapping, base_dir: str = ".") -> dict[str, tuple[DataFrame, dict[str, str]]]:
+    """``build_plan`` with ``build_held``: each survey's rows and the kinds of its columns."""
+    return {s: build_held(raw, spec, s, True, found) for s, spec, found in _plan_specs(raw, plan, base_dir)}
+
+
+def _plan_specs(raw: DataFrame, plan: Mapping, base_dir: str) -> list[tuple[str, dict, tuple | None]]:
+    """(survey, its profile, its keys and kinds if they were found in these rows).
 
     ``plan = {'profiles': {name: profile}, 'surveys': {survey: profile | name |
     '@file' | None}, 'only': [...]}`` (a list of ``{'survey': s, 'profile':
@@ -606,15 +666,14 @@ def build_plan(raw: DataFrame, plan: Mapping, base_dir: str = ".") -> dict[str,
     # the shared keys are narrowed to each profile's versions.
     need = [s for s, spec in entries if spec.get("keys") is None and not spec.get("compressor")
             and spec.get("start_time") is None and spec.get("end_time") is None]
-    members, numbers = discover_schema(raw.where(F.col("survey").isin(need))) if need else ({}, {})
-    out = {}
+    members, kinds = discover_kinds(raw.where(F.col("survey").isin(need))) if need else ({}, {})
+    out = []
     for s, spec in entries:
+        found = None
         if s in need:
             sel = parse_selector(spec.get("versions"))
-            mine = {m: k for m, k in members.items() if m[0] == s and (sel.is_empty or sel.matches(m[1]))}
-            # found in these very rows: nothing to verify
-            spec = {**spec, "keys": mine, "verify_keys": False, "numbers": numbers if spec.get("infer_numbers", True) else {}}
-        out[s] = build_flat(raw, spec, survey=s, include_survey=True)
+            found = {m: k for m, k in members.items() if m[0] == s and (sel.is_empty or sel.matches(m[1]))}, kinds
+        out.append((s, spec, found))
     return out
 
 
@@ -634,10 +693,10 @@ def run_build_plan(spark, raw: DataFrame, plan: Mapping, target_dir: str, base_d
     profiles = plan.get("profiles", {}) or {}
     shared = plan.get("defaults", {}) or {}
     rows = []
-    for s, flat in build_plan(raw, plan, base_dir).items():
+    for s, (flat, kinds) in held_plan(raw, plan, base_dir).items():
         spec = {**shared, **resolve_profile(dict(_plan_entries(plan))[s], profiles, base_dir)}
         table = spec.get("target_table", FLAT_TABLE_PREFIX + "{survey}").format(survey=s)
-        n = write_keyed(spark, f"{target_dir}/{table}", flat, ["id"], spec.get("mode", "ignore"), ())
+        n = write_keyed(spark, f"{target_dir}/{table}", flat, ["id"], spec.get("mode", "ignore"), (), kinds=kinds)
         if "global_id" in flat.columns:
             update_dimension(spark, f"{target_dir}/{DIMENSION_TABLE}", read_keyed(spark, f"{target_dir}/{table}"))
         rows.append((s, table, "flat", int(n)))

@@ -512,6 +512,13 @@ ORACLE["strict_payloads"] = f"""WITH {E}
 SELECT survey, CAST(count(*) FILTER (NOT ({ODD})) AS BIGINT) AS n_flat, CAST(count(*) FILTER ({ODD}) AS BIGINT) AS n_bad,
   CAST(count(*) FILTER ({ODD}) AS BIGINT) AS n_lost FROM e GROUP BY survey"""
 
+ORACLE["typed_loads"] = """SELECT o_orderstatus AS survey, CAST(o_orderkey AS VARCHAR) AS id,
+  CASE o_custkey % 4 WHEN 0 THEN CAST(o_custkey AS DOUBLE) WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS a,
+  CASE o_custkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 2 THEN o_orderpriority WHEN 3 THEN CAST(o_custkey AS VARCHAR) END AS b,
+  CASE WHEN o_custkey % 4 IN (1, 2) THEN CAST(o_orderkey AS BIGINT) END AS c FROM orders"""
+
+ORACLE["stream_typed"] = ORACLE["typed_loads"]
+
 ORACLE["landed_scan"] = ORACLE["scan_raw"]
 
 ORACLE["stream_landed"] = ORACLE["stream_ingest"]

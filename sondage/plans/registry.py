@@ -822,6 +822,26 @@ def stream_build(spark, sf):
     return flat.join(SO.read_keyed(spark, table + "_dim").select("global_id"), "global_id").select(*flat.columns)
 
 
+@query
+def typed_loads(spark, sf):
+    """O45 + O32: keys that are whole numbers, numbers, null or text by load; one load comes twice."""
+    table, rows = _scratch(spark, "typed"), fx.changing_loads(spark, sf)
+    for load in (1, 0, 3, 2, 0):
+        flat, kinds = B.build_held(rows.where(F.col("load") == load).drop("load"), {})
+        SO.write_keyed(spark, table, flat, ["survey", "id"], kinds=kinds)
+    return SO.read_keyed(spark, table).select("survey", "id", "a", "b", "c")
+
+
+@query
+def stream_typed(spark, sf):
+    """O48 over the same loads in another order, a run of the stream after each."""
+    table, src, rows = _scratch(spark, "flat"), _scratch(spark, "landed"), fx.changing_loads(spark, sf)
+    for load in (2, 3, 1, 0):
+        SM.land_files(rows.where(F.col("load") == load).drop("load"), f"{src}/part={load}", "json")
+        SM.build_stream(spark, f"{src}/part=*", table, {})
+    return SO.read_keyed(spark, table).select("survey", "id", "a", "b", "c")
+
+
 @query
 def stream_daily(spark, sf):
     table = _scratch(spark, "daily")

@@ -257,6 +257,26 @@ def survey_info_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey"))
 
 
+def changing_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows of four loads (``load``: o_custkey % 4), one per order, whose keys change their kind of value.
+
+    ``a``: whole number, number, null, not there.  ``b``: whole number, null,
+    text, whole number.  ``c``: null, whole number, whole number, not there.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    load, key = F.col("o_custkey") % 4, F.col("o_custkey")
+    pair = lambda name, value: F.concat(F.lit(f', "{name}": '), F.coalesce(value.cast("string"), F.lit("null")))
+    number = F.col("o_totalprice").cast("decimal(18,2)")
+    a = F.when(load == 0, pair("a", key)).when(load == 1, pair("a", number)).when(load == 2, pair("a", F.lit(None))).otherwise(F.lit(""))
+    text = F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))
+    b = F.when(load == 1, pair("b", F.lit(None))).when(load == 2, pair("b", text)).otherwise(pair("b", key))
+    c = F.when(load == 0, pair("c", F.lit(None))).when(load == 3, F.lit("")).otherwise(pair("c", F.col("o_orderkey")))
+    ident = F.col("o_orderkey").cast("string")
+    data = F.concat(F.lit('{"ID": "'), ident, F.lit('"'), a, b, c, F.lit("}"))
+    return orders.select(load.cast("int").alias("load"), F.col("o_orderstatus").alias("survey"), ident.alias("id"),
+                         F.lit(SI_EPOCH).cast("bigint").alias("submitted"), F.lit("25-1-1").alias("version"), data.alias("data"))
+
+
 def long_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(p_partkey, version)``: versions of 1 to 9 parts, some parts beyond 32 bits, some with zeros at the end."""
     part = table(spark, sf_dir, "part").select("p_partkey")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema_rows
 from ..operators.store import _in_partitions, import_log, read_keyed, update_dimension, write_keyed
-from ..plans.build import build_flat, parse_profile
+from ..plans.build import build_held
 from ..session import tables_dir
 from ..sources.landed import LANDED, register_landed
 from ..sources.raw import day_of, recode_json
@@ -154,12 +154,15 @@ def build_stream(spark: SparkSession, source_dir: str, table: str, profile: Mapp
     """Each micro-batch of raw rows through the flat build into the flat table.
 
     With ``key_catalog`` the build takes its keys from there (kept by
-    ``ingest_stream``); with ``dimension`` the participants are added to it.
+    ``ingest_stream``), all text; with ``dimension`` the participants are added
+    to it.  A key may change from numbers to others or to text from batch to
+    batch: ``read_keyed`` gives it the type that holds them all.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spec = dict(profile, keys=load_key_catalog(spark, key_catalog)) if key_catalog else profile
-        write_keyed(spark, table, build_flat(batch, parse_profile(spec)), ["survey", "id"], "ignore", ("survey",))
+        flat, kinds = build_held(batch, spec)
+        write_keyed(spark, table, flat, ["survey", "id"], "ignore", ("survey",), kinds=kinds)
         if dimension:
             seen = batch.select(F.get_json_object("data", "$.participantID").alias("global_id"))
             update_dimension(spark, dimension, seen)
