@@ -18,7 +18,7 @@ beside anything else is cut at spaces only.
 New chunks go to the library in rows of ``ROW``, since short calls cost more
 than their text; the tokens' bytes, or a separator that is a token of its own,
 tell where each ends.  A worker keeps the ids of chunks it has seen, up to
-``LIMIT`` chunks; then it goes on with those it needs just then.  This bounds
+a limit (``LIMIT`` unless an operator sets its own); then it goes on with those it needs just then.  This bounds
 memory and changes no result.
 """
 
@@ -103,7 +103,7 @@ def load_ranks(path: str, pattern: str):
 class Encoder:
     """Ids of texts as little-endian 32-bit integers in bytes."""
 
-    def __init__(self, tokenizer, cut: str, limit: int = LIMIT):
+    def __init__(self, tokenizer, cut: str, limit: int):
         from tokenizers import normalizers, pre_tokenizers
 
         self.tokenizer, self.spaced, self.limit = tokenizer, cut == "spaced", limit
@@ -205,12 +205,12 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, cut: str, pattern: str | None = None) -> Encoder:
+def encoder(path: str, cut: str, pattern: str | None = None, limit: int = LIMIT) -> Encoder:
     """The worker's encoder for a vocabulary file; ``pattern`` for a rank file."""
-    key = (path, cut, pattern)
+    key = (path, cut, pattern, limit)
     if key not in _ENCODERS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
-        _ENCODERS[key] = Encoder(load_ranks(path, pattern) if pattern else load_json(path), cut)
+        _ENCODERS[key] = Encoder(load_ranks(path, pattern) if pattern else load_json(path), cut, limit)
     return _ENCODERS[key]

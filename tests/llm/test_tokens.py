@@ -86,6 +86,9 @@ def test_token_files(spark, tmp_path):
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
     assert spark.read.parquet(out).count() > 5
+    count = np.bincount([i for r in got for i in r["ids"]])  # ranked over all shards, ties by id
+    ranked = sorted(np.flatnonzero(count).tolist(), key=lambda i: (-count[i], i))
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/_ranking").collect())) == list(enumerate(ranked))
     empty = str(tmp_path / "none")
     tokenfile.write_tokens(df.limit(0), empty, WORDS, end_id=1)
     assert tokenfile.read_tokens(spark, empty).count() == 0
