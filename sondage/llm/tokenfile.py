@@ -111,7 +111,7 @@ def _encoded(df: DataFrame, path: str, end_id: int, cut: str, id_col: str, text_
             yield pa.RecordBatch.from_pylist([dict(id=None, hash=None, wide=None, tokens=None, seen=seen)], IDS_SCHEMA)
 
     out = scratch(df.sparkSession, "ids")
-    rows.mapInArrow(run, IDS).write.option("compression", "none").parquet(out)
+    rows.mapInArrow(run, IDS).write.option("compression", "zstd").parquet(out)
     return df.sparkSession.read.schema(IDS).parquet(out)
 
 
