@@ -23,8 +23,10 @@ BOOL_FALSE = ["0", "false"]
 CAST_TYPES = ["bool", "json", "date", "int", "float"]
 # ---------------------------------------------------------------------------------------------
 
-# A plain decimal number, as Python's float() reads it (no '1d'/'1f' suffixes).
-NUMBER_RE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# A plain decimal number (white space around it), infinity or a signed NaN, as Python's float()
+# reads it (no '1d'/'1f' suffixes); the group is what the engine's cast reads.
+NUMBER_RE = (r"(?i)^(?:\s*(?=[+-]?[.0-9]))?(?:[+-](?=nan\z))?"
+             r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|[+-]?inf(?:inity)?|nan)(?:(?<=[0-9.])\s*)?\z")
 # Years 0001..9999 in epoch seconds: beyond them a timestamp overflows.
 _MIN_EPOCH, _MAX_EPOCH = -62135596800, 253402300799
 
@@ -63,11 +65,8 @@ def parse_number(c: Column | str) -> Column:
     """
     # Python also accepts single underscores between digits ('1_000').
     s = F.regexp_replace(F.trim(_col(c).cast("string")), r"(?<=[0-9])_(?=[0-9])", "")
-    low = F.lower(s)
-    special = (F.when(low.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
-               .when(low.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
-               .when(low.isin("-inf", "-infinity"), F.lit(float("-inf"))))
-    return F.coalesce(special, F.when(s.rlike(NUMBER_RE), s.try_cast("double")))
+    # One chain: a value is read once, however often callers name the result.
+    return F.regexp_extract(s, NUMBER_RE, 1).try_cast("double")
 
 
 def to_int(c: Column | str) -> Column:
@@ -78,9 +77,9 @@ def to_int(c: Column | str) -> Column:
 
 def epoch_to_timestamp(c: Column | str) -> Column:
     """Epoch seconds (number or text) -> TIMESTAMP; anything uncastable -> null."""
-    x = parse_number(c)
-    ok = x.isNotNull() & ~F.isnan(x) & (x >= _MIN_EPOCH) & (x <= _MAX_EPOCH)
-    return F.when(ok, F.timestamp_seconds(x))
+    # The parse stands in the plan once (a one-element filter keeps a single copy); NaN is above every number.
+    inside = F.filter(F.array(parse_number(c)), lambda x: (x >= _MIN_EPOCH) & (x <= _MAX_EPOCH))
+    return F.timestamp_seconds(F.try_element_at(inside, F.lit(1)))
 
 
 def json_item_keys(c: Column | str) -> Column:

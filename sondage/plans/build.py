@@ -307,6 +307,8 @@ def compile_projection(plans: Mapping[tuple, Plan], lookup: Callable[[str], Colu
 
     A column that only some versions cast gets the cast type; the text of the
     other versions is read as that type, null where it is no such value.
+    Keys with the same casts are coalesced first, so a value is cast once
+    however many surveys there are.
     """
     # raw key -> {(target, spec)} over the members that contain it
     by_key: dict[str, set] = {}
@@ -321,13 +323,17 @@ def compile_projection(plans: Mapping[tuple, Plan], lookup: Callable[[str], Colu
     for target, sources in by_target.items():
         rtype = _common_type({s.result_type for s in sources})
         reader = next((op for op, t in RESULT_TYPES.items() if t == rtype and t != "string"), None)
-        terms = []
+        alike: dict[ColumnSpec, list[Column]] = {}  # the casts -> the sources they apply to
         for spec, members in sorted(sources.items(), key=lambda kv: (kv[0].key, kv[0].ops)):
-            e = spec.expr(lookup(spec.key), on_error)
-            if spec.result_type == "string" and reader:
-                e = cast_expr(e, reader, "null")
+            e = lookup(spec.key)
             if len(by_key[spec.key]) > 1:  # same key treated differently elsewhere: guard it
                 e = F.when(mkey.isin(*[_member_lit(*m) for m in members]), e)
+            alike.setdefault(replace(spec, key=""), []).append(e)
+        terms = []
+        for spec, found in alike.items():
+            e = spec.expr(found[0] if len(found) == 1 else F.coalesce(*found), on_error)
+            if spec.result_type == "string" and reader:
+                e = cast_expr(e, reader, "null")
             terms.append(e.cast(rtype))
         exprs[target] = terms[0] if len(terms) == 1 else F.coalesce(*terms)
     return exprs
@@ -361,18 +367,16 @@ def discover_kinds(raw: DataFrame, data_col: str = "data", survey_col: str = "su
     if numbers:
         entry = F.from_json(one_value(F.col(data_col)), "map<string,variant>", STRICT)
         rows = raw.select(s.alias("s"), F.col("version").alias("v"), F.explode(entry).alias("k", "x"))
-        kind = F.schema_of_variant("x")
-        kind = (F.when(kind == "BIGINT", F.lit("int")).when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.lit("float"))
-                .when(kind == "VOID", F.lit("null")).otherwise(F.lit("text")))
+        kind = F.substring(F.schema_of_variant("x"), 1, 6)  # a handful; named at the driver, as each test of it here would work it out again
     else:
         keys = F.explode(F.json_object_keys(F.col(data_col).cast("string")))
-        rows, kind = raw.select(s.alias("s"), F.col("version").alias("v"), keys.alias("k")), F.lit("text")
+        rows, kind = raw.select(s.alias("s"), F.col("version").alias("v"), keys.alias("k")), F.lit("STRING")
     got = schema_rows(rows.select("s", "v", "k", kind.alias("kind")).distinct(), "set of payload keys")
     members: dict[tuple, set] = {}
     kinds: dict[str, set] = {}
     for r in got:
         members.setdefault((r["s"], r["v"]), set()).add(r["k"])
-        kinds.setdefault(r["k"], set()).add(r["kind"])
+        kinds.setdefault(r["k"], set()).add({"BIGINT": "int", "DECIMA": "float", "DOUBLE": "float", "VOID": "null"}.get(r["kind"], "text"))
     return {m: sorted(k) for m, k in members.items()}, {k: widest(x) for k, x in kinds.items()}
 
 

@@ -64,7 +64,7 @@ def _payload(survey: Column, rid: Column, pid: Column, version: Column, submitte
     ), lambda key, v: v.isNotNull())
     items = F.array(*[F.struct(F.lit(str(i)).alias("key")) for i in (1, 2, 3)])
     q5 = F.to_json(F.struct(F.slice(items, 1, (k % 4).cast("int")).alias("items")))
-    head = F.regexp_replace(F.to_json(texts), "}$", "")
+    head = F.rtrim(F.to_json(texts), F.lit("}"))  # the object's own brace: its values are quoted
     return F.concat(
         head,
         F.lit(',"submitted":'), submitted.cast("string"),
@@ -73,6 +73,12 @@ def _payload(survey: Column, rid: Column, pid: Column, version: Column, submitte
         F.lit("}"))
 
 
+def _with_copy(rows: DataFrame, which: Column) -> DataFrame:
+    """The rows, and ``which`` of them once more (``_copy`` true); each is computed once."""
+    twice = F.when(which, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return rows.select("*", F.explode(twice).alias("_copy"))
+
+
 RAW_COLUMNS = ["survey", "id", "submitted", "version", "data"]
 
 
@@ -114,19 +120,20 @@ def raw_responses(spark: SparkSession, sf_dir: str, variant: str = "R",
     if variant in ("R_bad", "R_dirty"):
         out = out.withColumn("data", F.when(F.col("_eid") % 97 == 0, cut).otherwise(F.col("data")))
     if variant == "R_dirty":
-        out = out.unionByName(out.where(F.col("_eid") % 5 == 0).withColumn("data", cut)
-                              .withColumn("submitted", F.col("submitted") - 1000))
+        out = _with_copy(out, F.col("_eid") % 5 == 0)
+        out = out.withColumn("data", F.when(F.col("_copy"), cut).otherwise(F.col("data"))) \
+            .withColumn("submitted", F.col("submitted") - F.when(F.col("_copy"), 1000).otherwise(0)).drop("_copy")
     elif variant == "R_odd":  # text that only a lenient parser takes
         data, eid = F.col("data"), F.col("_eid")
         out = out.withColumn("data", F.when(eid % 97 == 0, F.concat(data, F.lit(" x"))).when(eid % 89 == 0, F.concat(data, data))
                              .when(eid % 83 == 0, F.translate(data, '"', "'")).when(eid % 79 == 0, F.concat(F.lit('{"ID":NaN,'), F.substr(data, F.lit(2))))
                              .otherwise(data))
     elif variant == "R_dup":
-        out = out.unionByName(out.where(F.col("_eid") % 5 == 0))
+        out = _with_copy(out, F.col("_eid") % 5 == 0).drop("_copy")
     elif variant == "R_moved":
         out = out.withColumn("submitted", F.col("submitted") + F.when(F.col("_eid") % 6 == 0, 86400).otherwise(0))
         out = out.withColumn("id", F.when(F.col("_eid") % 101 != 0, F.col("id")))
-        out = out.unionByName(out.where(F.col("_eid") % 7 == 0))
+        out = _with_copy(out, F.col("_eid") % 7 == 0).drop("_copy")
     return out.drop("_eid")
 
 
