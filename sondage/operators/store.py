@@ -23,6 +23,7 @@ import functools
 import uuid
 from typing import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -483,8 +484,15 @@ def export_with_catalog(spark: SparkSession, df: DataFrame, path: str, anchor: i
     are rename rules for the written columns.  The catalog at
     ``path/catalog`` has a row per exported period ``(survey, start, end, n,
     file, updated)``; an export replaces the periods present in ``df`` and
-    keeps the others, and ``periods.catalog_restart`` reads it.
+    keeps the others, and ``periods.catalog_restart`` reads it.  The rows are
+    counted and written from one evaluation (kept meanwhile, if the caller does not).
     """
+    if df.storageLevel == StorageLevel.NONE:
+        df.persist()
+        try:
+            return export_with_catalog(spark, df, path, anchor, fmt, layout, ids, time_col, period_days, headers)
+        finally:
+            df.unpersist()
     from ..functions.rename import header_rename
     from .periods import file_name, period_of
     from .reshape import wide_to_long

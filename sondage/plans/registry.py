@@ -167,8 +167,12 @@ def export_roundtrip(spark, sf):
                                   "Q2", "Q3_lk_1", "Q4_multi_row1_col2", "Q5", "EX_Q2")
     wide, long = _scratch(spark, "export_wide"), _scratch(spark, "export_long")
     rules = [("_lk_", "_likert_")]
-    catalog = SO.export_with_catalog(spark, flat, wide, O.ANCHOR, "csv", headers=rules)
-    SO.export_with_catalog(spark, flat, long, O.ANCHOR, "json", "long", headers=rules)
+    flat.persist()  # built once for both exports
+    try:
+        catalog = SO.export_with_catalog(spark, flat, wide, O.ANCHOR, "csv", headers=rules)
+        SO.export_with_catalog(spark, flat, long, O.ANCHOR, "json", "long", headers=rules)
+    finally:
+        flat.unpersist()
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     columns = ["Q2", "Q3_likert_1", "Q4_multi_row1_col2", "Q5", "EX_Q2"]
     rows = SO.read_export(spark, f"{wide}/*.csv", "csv", "survey string, id string, version string, submitted bigint, "
