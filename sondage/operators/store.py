@@ -295,6 +295,10 @@ def write_keyed(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence
     home = path if parts else _pointed(spark, path)
 
     def w(df: DataFrame):
+        # A table partition's new rows come together before they are written (a large one is
+        # spread): every task would else add a file to every partition, and later loads open them all.
+        if parts:
+            df = df.hint("rebalance", *[F.col(f"`{p}`") for p in parts])
         # Files sorted by submission time inside each partition keep row-group
         # statistics selective for time filters (a local sort, no shuffle).
         if "submitted" in df.columns:

@@ -37,8 +37,8 @@ from . import oracle as O
 from . import build as B
 from .build import build_flat, parse_profile
 
-#: Rows of a landed file in the stream queries.
-LANDED_ROWS = 1_000
+#: Files that a part of the rows lands in, however many rows there are.
+LANDED_FILES = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,7 +99,7 @@ def scan_raw(spark, sf):
 @query
 def landed_scan(spark, sf):
     """O01 through the data source: landed JSON lines, read with the scan's time range pushed into the reader."""
-    src = SM.land_files(R(spark, sf), _scratch(spark, "landed"), "json", LANDED_ROWS)
+    src = SM.land_files(R(spark, sf), _scratch(spark, "landed"), "json", files=LANDED_FILES)
     return RW.scan_raw(LD.read_landed(spark, src), start=O.TIME_FROM, end=O.TIME_TO, columns=("survey", "id", "submitted", "version"))
 
 
@@ -789,7 +789,7 @@ def _in_two_runs(spark, sf, variant, run):
     rows = R(spark, sf, variant)
     late = F.pmod(F.xxhash64("id"), F.lit(2)) == 1
     for k, part in enumerate((rows.where(~late), rows.where(late))):
-        SM.land_files(part, f"{src}/part={k}", "json", LANDED_ROWS)
+        SM.land_files(part, f"{src}/part={k}", "json", files=LANDED_FILES)
         run(f"{src}/part=*")
         if k == 0:
             fs, old = SO._hadoop(spark, f"{src}/part=0")
@@ -812,7 +812,7 @@ def stream_landed(spark, sf):
     src, store = _scratch(spark, "landed"), _scratch(spark, "raw_store")
     rows, late = R(spark, sf, "R_dup"), F.pmod(F.xxhash64("id"), F.lit(2)) == 1
     for k, part in enumerate((rows.where(~late), rows.where(late))):
-        SM.land_files(part, f"{src}/part={k}", "json", LANDED_ROWS)
+        SM.land_files(part, f"{src}/part={k}", "json", files=LANDED_FILES)
         SM.ingest_stream(spark, src, store, fmt=LD.LANDED)
     return SO.read_keyed(spark, store).select("survey", "id", "version", "submitted", F.explode(RW.decode("data")).alias("key", "value"))
 

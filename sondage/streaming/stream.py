@@ -119,8 +119,12 @@ def ingest_batch(spark: SparkSession, rows: DataFrame, store: str, key_catalog:
     is logged if it added rows; a named one (``load``) once, however often it is
     tried.  Returns the number of rows added.
     """
-    if recode:
-        rows = rows.withColumn("data", recode_json("data"))
+    if recode:  # read by the store and by the key catalog
+        rows = rows.withColumn("data", recode_json("data")).persist()
+        try:
+            return ingest_batch(spark, rows, store, key_catalog, import_log_path, partition_by, load, False)
+        finally:
+            rows.unpersist()
     order = [F.col("version"), F.col("submitted"), F.col("data")]
     data = rows.withColumn("day", day_of(F.col("submitted"))) if "day" in partition_by else rows
     added = write_keyed(spark, store, data, ["survey", "id"], "ignore", tuple(partition_by), order)
@@ -209,8 +213,14 @@ def daily_stream(spark: SparkSession, source_dir: str, table: str, store: str |
     return _start(src, merge, table, checkpoint, interval)
 
 
-def land_files(df: DataFrame, path: str, fmt: str = "json", rows_per_file: int | None = None) -> str:
-    """Write rows as landed files (the stream's input), of so many rows at most."""
+def land_files(df: DataFrame, path: str, fmt: str = "json", rows_per_file: int | None = None, files: int | None = None) -> str:
+    """Write rows as landed files (the stream's input), of so many rows at most, or dealt out to so many files.
+
+    A stream pays for every micro-batch, and each looks up what is stored; with
+    a number of files its micro-batches do not become more as the rows do.
+    """
+    if files:
+        df = df.repartition(files)
     w = df.write.mode("errorifexists").format(fmt)
     (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).save(path)
     return path
