@@ -18,7 +18,8 @@ extension.  Options:
 * ``survey``       survey of files that do not name one (a column, ``survey=...`` in the
                    path, or the export's ``{survey}_responses_{start}_{end}`` name does)
 * ``columns``      the columns to read, of the five
-* ``splitBytes``   bytes of a split (64 MB).  JSON lines and Parquet are split, a CSV file is one split
+* ``splitBytes``   bytes of a split (64 MB).  JSON lines and Parquet are split, a CSV file is not;
+                   a task reads small files up to as many bytes, each counted with ``OPEN_BYTES``
 * ``settleSeconds``  streams leave files alone that changed within so many seconds (0)
 
 A period in the name of a file set prunes it as a partition would.  Files
@@ -55,6 +56,8 @@ ROW = pa.schema([("survey", pa.string()), ("id", pa.string()), ("submitted", pa.
 SPARK_ROW = {"survey": T.StringType(), "id": T.StringType(), "submitted": T.LongType(), "version": T.StringType(), "data": T.StringType()}
 #: Bytes of lines parsed at once.
 READ_BYTES = 4 << 20
+#: What opening a file costs, in bytes that could be read meanwhile.
+OPEN_BYTES = 1 << 20
 
 # --- fixed values ----------------------------------------------------------------------------
 FILE_SET = re.compile(r"^(?P<survey>.+)_responses_(?P<start>\d{4}(?:-\d\d){5})_(?P<end>\d{4}(?:-\d\d){5})\.\w+$")
@@ -120,12 +123,13 @@ class Bounds:
 
 @dataclass
 class Split(DS.InputPartition):
-    """One task's part of a source: bytes ``[first, last)`` of an object."""
+    """One task's part of a source: bytes ``[first, last)`` of an object, and the splits it reads after it."""
 
     path: str
     first: int = 0
     last: int | None = None
     survey: str | None = None
+    more: tuple["Split", ...] = ()
 
     def __post_init__(self):
         super().__init__(self.path)
@@ -201,8 +205,9 @@ class _Batch(DS.DataSourceReader):
         return self.loader.splits(self.bounds) or [Split("")]
 
     def read(self, split):
-        if split.path:
-            yield from _batches(self.loader.read(split, self.bounds), self.columns)
+        for s in (split, *split.more):
+            if s.path:
+                yield from _batches(self.loader.read(s, self.bounds), self.columns)
 
 
 class _Stream(DS.DataSourceStreamReader):
@@ -221,7 +226,8 @@ class _Stream(DS.DataSourceStreamReader):
         return self.loader.splits_between(Mark(start["time"], start["path"]), Mark(end["time"], end["path"]))
 
     def read(self, split):
-        yield from _batches(self.loader.read(split, Bounds()), self.columns)
+        for s in (split, *split.more):
+            yield from _batches(self.loader.read(s, Bounds()), self.columns)
 
 
 def register_loader(spark: SparkSession, name: str, make: Callable[[Mapping[str, str]], Loader]) -> None:
@@ -313,15 +319,30 @@ class LandedFiles(Loader):
             return [Split(path, 0, f.size, f.survey)]
         return [Split(path, at, min(at + step, f.size), f.survey) for at in range(0, f.size, step)]
 
+    def _packed(self, files: Iterator[_File]) -> list[Split]:
+        """The files' splits; small ones share a task."""
+        step = int(self.options.get("splitbytes", 64 << 20))
+        out: list[list[Split]] = []
+        held = 0
+        for s in (s for f in files for s in self._split(f)):
+            size = s.last - s.first + OPEN_BYTES
+            if out and held + size <= step:
+                out[-1].append(s)
+                held += size
+            else:
+                out.append([s])
+                held = size
+        return [replace(s, more=tuple(more)) for s, *more in out]
+
     def splits(self, bounds: Bounds) -> list[Split]:
-        return [s for f in self.files() if bounds.may_hold(f.survey, f.start, f.end) for s in self._split(f)]
+        return self._packed(f for f in self.files() if bounds.may_hold(f.survey, f.start, f.end))
 
     def landed(self) -> list[Mark]:
         quiet = time.time_ns() - int(float(self.options.get("settleseconds", 0)) * 1e9)
         return [f.mark for f in self.files() if f.mark.time <= quiet]
 
     def splits_between(self, after: Mark | None, until: Mark) -> list[Split]:
-        return [s for f in self.files() if (after is None or f.mark > after) and f.mark <= until for s in self._split(f)]
+        return self._packed(f for f in self.files() if (after is None or f.mark > after) and f.mark <= until)
 
     # task side
 
