@@ -77,9 +77,8 @@ def to_int(c: Column | str) -> Column:
 
 def epoch_to_timestamp(c: Column | str) -> Column:
     """Epoch seconds (number or text) -> TIMESTAMP; anything uncastable -> null."""
-    # The parse stands in the plan once (a one-element filter keeps a single copy); NaN is above every number.
-    inside = F.filter(F.array(parse_number(c)), lambda x: (x >= _MIN_EPOCH) & (x <= _MAX_EPOCH))
-    return F.timestamp_seconds(F.try_element_at(inside, F.lit(1)))
+    x = parse_number(c)
+    return F.when((x >= _MIN_EPOCH) & (x <= _MAX_EPOCH), F.timestamp_seconds(x))  # NaN is above every number
 
 
 def json_item_keys(c: Column | str) -> Column:
