@@ -20,11 +20,15 @@ Of the customers of one (context, word), the first ``SEATED`` are seated one
 by one; later ones matter through the number of tables they open, drawn in
 batches that grow by a tenth.  So a very common word takes bounded memory.
 
-Text and counts move in packed blocks.  Tasks count (word, context) and send
-them to buckets of pairs by a hash of both, so that a common word's pairs lie
-in all of them (with ``classes``: to word buckets).  Documents lie in blocks by
-hash; a block asks each bucket once for all its pairs and each owner for all
-its words, and scores its documents with the answers.
+Texts are read once, into blocks of numbered words, where they lie.  A block
+sends each of its (word, context) with its count to buckets of pairs by a hash
+of both, so that a common word's pairs lie in all of them.  A bucket adds the
+counts up and notes which of its pairs each block has; by these notes it
+answers in the end.  A block asks each owner for all its words, and scores its
+documents with the answers.  Hashes move as the steps between them, numbers in
+as many bytes as they need, both compressed; tables on the way go when they are
+spent.  With ``classes``, tasks send counts to word buckets, and documents lie
+in blocks by hash, which ask each bucket for all their pairs.
 
 Null text: empty, its end token only.  Null ids are held out.  Repeated rows
 count and score each.  An empty table gives an empty table; with no training
@@ -36,6 +40,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,7 @@ from pyspark.sql import functions as F
 
 from sondage.llm.base import cut, pick, release_memory, shuffle_width, texts_by_bytes
 from sondage.llm.hashing import hash_stretches, mix
+from sondage.operators.store import _hadoop
 
 BLOCK_BYTES = 16 << 20
 SEATED = 128
@@ -354,9 +360,13 @@ def predict(model: Model, before: list[Totals], after: list[Totals], burn: int,
 
 # --- whole words as contexts --------------------------------------------------------
 
-#: One shape for all that moves: packs, messages, replies, states, seatings, questions and answers.
+#: One shape for all that moves: packs, messages, replies, states, seatings, notes, questions and answers.
 ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.string()), ("peer", pa.int64()), ("data", pa.list_(pa.binary())), ("numbers", pa.list_(pa.int64()))])
 ROW_SQL = "bucket long, kind string, peer long, data array<binary>, numbers array<long>"
+#: A block of texts: hashes of its words, the number of each token's word, tokens of each text, their ids (an Arrow stream).
+TEXTS_SQL = "names binary, tokens binary, sizes binary, ids binary"
+TEXTS = pa.schema([(n, pa.binary()) for n in ("names", "tokens", "sizes", "ids")])
+ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def _row(bucket: int, kind: str, peer: int, data: list[bytes], numbers: list[int] | None = None) -> dict:
@@ -364,18 +374,48 @@ def _row(bucket: int, kind: str, peer: int, data: list[bytes], numbers: list[int
 
 
 def _narrow(numbers: np.ndarray) -> bytes:
-    """Numbers in as many bytes each as the largest needs, first bytes first."""
-    width = (int(numbers.max()).bit_length() + 7) // 8 if len(numbers) else 0
-    return np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, : max(1, width)].T.tobytes()
+    """Numbers in as many bytes each as the largest needs, first bytes first, compressed."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    octets = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + ZSTD.compress(octets, asbytes=True)
 
 
 def _wide(octets: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n:
-        out[:, : len(octets) // n] = np.frombuffer(octets, np.uint8).reshape(-1, n).T
+        width = octets[0]
+        out[:, :width] = np.frombuffer(ZSTD.decompress(octets[1:], width * n, asbytes=True), np.uint8).reshape(width, n).T
     return out.view("<i8").reshape(n)
 
 
+def _sized(numbers: np.ndarray) -> bytes:
+    """``_narrow`` with the length before."""
+    return len(numbers).to_bytes(8, "little") + _narrow(numbers)
+
+
+def _unsized(octets: bytes) -> np.ndarray:
+    return _wide(octets[8:], int.from_bytes(octets[:8], "little"))
+
+
+def _steps(names: np.ndarray) -> bytes:
+    """Rising hashes as the steps between them."""
+    return _sized(np.diff(names, prepend=np.uint64(0)))
+
+
+def _names(octets: bytes) -> np.ndarray:
+    return np.cumsum(_unsized(octets).view(np.uint64), dtype=np.uint64)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    coded = pa.array(values).dictionary_encode()
+    kinds = coded.dictionary.to_numpy()
+    order = np.argsort(kinds)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return kinds[order], rank[coded.indices.to_numpy()]
+
+
 def _hashes(octets: bytes) -> np.ndarray:
     return np.frombuffer(octets, "<u8")
 
@@ -408,22 +448,23 @@ class WordPairs:
     place: np.ndarray  # of each token's pair
 
     @staticmethod
-    def of(tokens: Tokens, buckets: int) -> WordPairs:
-        words, number = np.unique(np.concatenate(tokens.words) if tokens.words else np.zeros(0, np.uint64), return_inverse=True)
+    def of(words: np.ndarray, number: np.ndarray, counted: np.ndarray, buckets: int) -> WordPairs:
+        """Of tokens by the number of their word; ``counted``: those that count."""
         before = np.concatenate([np.zeros(1, np.int64), number[:-1]])[: len(number)]  # END comes first in ``words``, and before every text
-        pair, place, count = np.unique(number * len(words) + before, return_inverse=True, return_counts=True)
+        pair, place = _distinct(number * len(words) + before)
         word, context = np.divmod(pair, max(1, len(words)))
         key = _pair_key(words[word], words[context])
         bucket = _range(key, buckets)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return WordPairs(words, word[order], context[order], key[order], bucket[order], count[order], number, rank[place])
+        place = rank[place]
+        return WordPairs(words, word[order], context[order], key[order], bucket[order], np.bincount(place, counted, len(pair)).astype(np.int64), number, place)
 
-    def packed(self) -> Iterator[dict]:
+    def packed(self, block: int) -> Iterator[dict]:
         """A row of counts for each pair bucket."""
         for bucket, a, b in _runs(self.bucket):
-            yield _row(bucket, "pack", 0, _pack(self.words[self.word[a:b]], self.words[self.context[a:b]], self.count[a:b]))
+            yield _row(bucket, "count", block, _pack(self.words, self.word[a:b], self.context[a:b], self.count[a:b]))
 
     def questions(self, block: int, buckets: int) -> Iterator[dict]:
         """A row for each owner of words and for each pair bucket."""
@@ -432,18 +473,17 @@ class WordPairs:
             yield _row(bucket, "ask pairs", block, [self.key[a:b].astype("<u8").tobytes()])
 
 
-def _pack(word: np.ndarray, context: np.ndarray, count: np.ndarray) -> list[bytes]:
-    """Pairs in the order of words: all names, the pairs of each, and the numbers of the contexts."""
-    names = np.unique(np.concatenate([word, context]))
-    sizes = np.bincount(np.searchsorted(names, word), minlength=len(names))
-    return [names.astype("<u8").tobytes(), _narrow(sizes), _narrow(np.searchsorted(names, context)), _narrow(count)]
+def _pack(names: np.ndarray, word: np.ndarray, context: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """Pairs of numbers in ``names`` in the order of words: the names they use, the pairs of each, contexts and counts."""
+    used, at = _distinct(np.concatenate([word, context]))
+    return [_steps(names[used]), _narrow(np.bincount(at[: len(word)], minlength=len(used))), _sized(at[len(word) :]), _narrow(count)]
 
 
-def _pairs(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, count) of each pair."""
-    names = _hashes(data[0])
-    word = np.repeat(names, _wide(data[1], len(names)))
-    return word, names[_wide(data[2], len(word))], _wide(data[3], len(word))
+def _pairs(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, number of each pair's word, of its context, count)."""
+    names, context = _names(data[0]), _unsized(data[2])
+    word = np.repeat(np.arange(len(names)), _wide(data[1], len(names)))
+    return names, word, context, _wide(data[3], len(context))
 
 
 def _gather(df: DataFrame, work) -> DataFrame:
@@ -451,39 +491,110 @@ def _gather(df: DataFrame, work) -> DataFrame:
     return df.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_pylist(list(work(t.to_pylist())), ROW), ROW_SQL)
 
 
-def count_words(df: DataFrame, buckets: int) -> DataFrame:
-    """One row per pair bucket: its (word, word before) counts in the training documents."""
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """``cut``; the shuffle files behind the table go as soon as it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Removes tables that ``cut`` wrote, once all that reads them is written itself."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:  # encoded as in a URL
+            fs, path = _hadoop(t.sparkSession, unquote(folder))
+            fs.delete(path, True)
+
+
+def number_texts(df: DataFrame) -> DataFrame:
+    """A row for each block of texts, made where they lie."""
+    limit = BLOCK_BYTES
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, sizes, ids, held = Tokens(None), [], [], 0
+
+        def block() -> pa.RecordBatch:
+            words, place = _distinct(np.concatenate(tokens.words))
+            out = pa.BufferOutputStream()
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays(ids)], ["doc_id"])
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+            row = [_steps(words), _sized(place), _sized(np.concatenate(sizes)), out.getvalue().to_pybytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], schema=TEXTS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(None)
         for b in batches:
-            for at, texts in texts_by_bytes(b, "_text", 1 << 20):
-                keys = b.column("doc_id").slice(at, len(texts)).to_pylist()
-                tokens.add([t for key, t in zip(keys, texts) if not is_held_out(key)])
-                if tokens.held > HELD:
-                    yield pa.RecordBatch.from_pylist(list(WordPairs.of(tokens, buckets).packed()), ROW)
-                    tokens = Tokens(None)
-        if tokens.held:
-            yield pa.RecordBatch.from_pylist(list(WordPairs.of(tokens, buckets).packed()), ROW)
+            for at, texts in texts_by_bytes(b, "_text", min(limit, 1 << 20)):
+                sizes.append(tokens.add(texts))
+                ids.append(b.column("doc_id").slice(at, len(texts)))
+                held += sum(map(len, texts))
+                if held >= limit:
+                    yield block()
+                    tokens, sizes, ids, held = Tokens(None), [], [], 0
+                    release_memory()
+        if ids:
+            yield block()
+
+    return df.mapInArrow(number, TEXTS_SQL).withColumn("block", F.monotonically_increasing_id())
+
+
+def _ids(row: dict) -> pa.Table:
+    return pa.ipc.open_stream(row["ids"]).read_all()
+
+
+def _block_pairs(row: dict, buckets: int) -> tuple[WordPairs, np.ndarray]:
+    """Pairs of a block, counted in its training documents, and tokens of each document."""
+    sizes = _unsized(row["sizes"])
+    training = np.array([not is_held_out(x) for x in _ids(row)["doc_id"].to_pylist()])
+    return WordPairs.of(_names(row["names"]), _unsized(row["tokens"]), np.repeat(training, sizes), buckets), sizes
+
+
+def _mapped(work):
+    """``work`` on each row."""
+    return lambda batches: (
+        pa.RecordBatch.from_pylist([x for r in b.slice(k, 1).to_pylist() for x in work(r)], ROW) for b in batches for k in range(b.num_rows))
+
+
+def count_blocks(blocks: DataFrame, buckets: int) -> DataFrame:
+    """For each pair bucket the packed counts of its pairs in training documents, the counts alone, and which pairs each block has."""
 
     def merge(rows: list[dict]) -> Iterator[dict]:
-        word, context, n = (np.concatenate(x) for x in zip(*(_pairs(r["data"]) for r in rows)))
-        order = np.lexsort((context, word))
-        word, context, n = word[order], context[order], n[order]
-        new = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
-        yield _row(rows[0]["bucket"], "pack", 0, _pack(word[new], context[new], np.add.reduceat(n, new)))
+        bucket, parts = rows[0]["bucket"], [_pairs(r["data"]) for r in rows]
+        names, at = _distinct(np.concatenate([p[0] for p in parts]))
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+        code = [at[a + p[1]] * len(names) + at[a + p[2]] for a, p in zip(ends, parts)]
+        pair, place = _distinct(np.concatenate(code))
+        n = np.bincount(place, np.concatenate([p[3] for p in parts]), len(pair)).astype(np.int64)
+        known = n > 0
+        rank = np.cumsum(known) - 1
+        if known.any():
+            yield _row(bucket, "pack", 0, _pack(names, *np.divmod(pair[known], len(names)), n[known]))
+            yield _row(bucket, "counts", 0, [_sized(n[known])])
+        first = np.cumsum([0, *map(len, code)])
+        for r, a, b in zip(rows, first, first[1:]):
+            mine = place[a:b]  # rising
+            has = known[mine]
+            yield _row(bucket, "has", r["peer"], [np.packbits(has).tobytes(), _sized(np.diff(rank[mine[has]], prepend=0))], [b - a])
+
+    def count(row: dict) -> Iterator[dict]:
+        release_memory()  # of the block before
+        yield from _block_pairs(row, buckets)[0].packed(row["block"])
 
-    return _gather(df.mapInArrow(count, ROW_SQL), merge)
+    return _gather(blocks.mapInArrow(_mapped(count), ROW_SQL), merge)
 
 
-def _sum_at(names: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.bincount(np.searchsorted(names, hashes), values, len(names)).astype(np.int64)
+def count_words(df: DataFrame, buckets: int) -> DataFrame:
+    """One row per pair bucket: its (word, word before) counts in the training documents."""
+    return count_blocks(number_texts(df), buckets).filter("kind = 'pack'")
 
 
 def _sent(names: np.ndarray, values: list[np.ndarray], kind: str, peer: int, buckets: int, numbers: list[int]) -> Iterator[dict]:
     """Rows to the owners of words; the first carries the numbers."""
     for k, (owner, a, b) in enumerate(_runs(_range(names, buckets))):
-        yield _row(owner, kind, peer, [names[a:b].astype("<u8").tobytes(), *(_narrow(v[a:b]) for v in values)], [] if k else numbers)
+        yield _row(owner, kind, peer, [_steps(names[a:b]), *(_narrow(v[a:b]) for v in values)], [] if k else numbers)
 
 
 def _first(df: DataFrame, kind: str, n: int) -> list[int]:
@@ -502,28 +613,26 @@ def train_words(packs: DataFrame, buckets: int, burn: int, samples: int, seed: i
     seat the root, and reply.  A pair that occurs once has one table, so only
     the others are sent and replied to.
     """
-    mapped = lambda work: lambda batches: (
-        pa.RecordBatch.from_pylist([x for r in b.slice(k, 1).to_pylist() for x in work(r)], ROW) for b in batches for k in range(b.num_rows))
 
     def tell(r: dict) -> Iterator[dict]:
         """Of each word: its occurrences, contexts, and words after it."""
-        word, context, n = _pairs(r["data"])
-        names, one = np.unique(np.concatenate([word, context])), np.ones(len(n))
-        yield from _sent(names, [_sum_at(names, word, n), _sum_at(names, word, one), _sum_at(names, context, one)], "base", r["bucket"], buckets,
+        names, word, context, n = _pairs(r["data"])
+        sums = [np.bincount(x, v, len(names)).astype(np.int64) for x, v in ((word, n), (word, None), (context, None))]
+        yield from _sent(names, sums, "base", r["bucket"], buckets,
                          [int((n == 1).sum()), int((n == 2).sum())])
 
     def own(rows: list[dict]) -> Iterator[dict]:
-        names = np.unique(np.concatenate([_hashes(r["data"][0]) for r in rows]))
-        sums = np.zeros((3, len(names)), np.int64)
-        for r in rows:
-            at = np.searchsorted(names, _hashes(r["data"][0]))
+        told = [_names(r["data"][0]) for r in rows]
+        names, place = _distinct(np.concatenate(told))
+        sums, ends = np.zeros((3, len(names)), np.int64), np.cumsum([0, *map(len, told)])
+        for r, a, b in zip(rows, ends, ends[1:]):
             for k in range(3):
-                sums[k, at] += _wide(r["data"][1 + k], len(at))
+                sums[k, place[a:b]] += _wide(r["data"][1 + k], b - a)
         one, two = (sum(r["numbers"][k] for r in rows if r["numbers"]) for k in range(2))
         yield _row(rows[0]["bucket"], "base", 0, [names.astype("<u8").tobytes(), *map(_narrow, sums)],
                    [int(sums[0].sum()), len(names), one, two, int((sums[1] == 1).sum()), int((sums[1] == 2).sum()), int(sums[1].sum())])
 
-    base = cut(_gather(packs.mapInArrow(mapped(tell), ROW_SQL), own), "words")
+    base = _cut(_gather(packs.mapInArrow(_mapped(tell), ROW_SQL), own), "words")
     n, kinds, ones, twos, root_ones, root_twos, pairs = _first(base, "base", 7)
     share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b) if a else 0.5))
     model = Model(kinds, n, share(ones, twos), share(root_ones, root_twos))
@@ -531,23 +640,23 @@ def train_words(packs: DataFrame, buckets: int, burn: int, samples: int, seed: i
         return model, [(0, 0)], None
 
     def repeated(r: dict) -> Iterator[dict]:
-        word, context, n = _pairs(r["data"])
-        yield _row(r["bucket"], "pack", 0, _pack(word[n > 1], context[n > 1], n[n > 1]))
+        names, word, context, n = _pairs(r["data"])
+        yield _row(r["bucket"], "pack", 0, _pack(names, word[n > 1], context[n > 1], n[n > 1]))
 
-    def several(word: np.ndarray, context: np.ndarray, tables: np.ndarray, bucket: int) -> Iterator[dict]:
-        names = np.unique(np.concatenate([word, context]))
-        yield from _sent(names, [_sum_at(names, word, tables - 1), _sum_at(names, context, tables - 1)], "message", bucket, buckets, [])
+    def several(names: np.ndarray, word: np.ndarray, context: np.ndarray, tables: np.ndarray, bucket: int) -> Iterator[dict]:
+        sums = [np.bincount(x, tables - 1, len(names)).astype(np.int64) for x in (word, context)]
+        yield from _sent(names, sums, "message", bucket, buckets, [])
 
     def begin(r: dict) -> Iterator[dict]:
-        word, context, n = _pairs(r["data"])
-        yield from several(word, context, np.ones(len(n), np.int64), r["bucket"])
+        names, word, context, n = _pairs(r["data"])
+        yield from several(names, word, context, np.ones(len(n), np.int64), r["bucket"])
 
     def state(turn: int, root_tables: int):
         def work(rows: list[dict]) -> Iterator[dict]:
             base = next(r for r in rows if r["kind"] == "base")
             names = _hashes(base["data"][0])
             customers, tables = (_wide(base["data"][k], len(names)) for k in (2, 3))
-            asked = [(r["peer"], np.searchsorted(names, h := _hashes(r["data"][0])), *(_wide(x, len(h)) for x in r["data"][1:])) for r in rows if r["kind"] == "message"]
+            asked = [(r["peer"], np.searchsorted(names, h := _names(r["data"][0])), *(_wide(x, len(h)) for x in r["data"][1:])) for r in rows if r["kind"] == "message"]
             for _, at, dish, context in asked:
                 customers[at] += dish
                 tables[at] += context
@@ -561,27 +670,30 @@ def train_words(packs: DataFrame, buckets: int, burn: int, samples: int, seed: i
     def seating(turn: int, total: tuple[int, int]):
         def work(rows: list[dict]) -> Iterator[dict]:
             pack = next(r for r in rows if r["kind"] == "pack")
-            word, context, n = _pairs(pack["data"])
-            names = np.unique(np.concatenate([word, context]))
+            names, word, context, n = _pairs(pack["data"])
             replies = sorted((r for r in rows if r["kind"] == "reply"), key=lambda r: r["peer"])
             customers, root, tables = (np.concatenate([np.zeros(0, np.int64), *(_wide(r["data"][k], r["numbers"][0]) for r in replies)]) for k in range(3))
-            about = _root(model, Totals(None, None, *total), customers, root)[np.searchsorted(names, word)]
-            weight = (model.strength + model.discount * tables[np.searchsorted(names, context)]) * about
+            about = _root(model, Totals(None, None, *total), customers, root)[word]
+            weight = (model.strength + model.discount * tables[context]) * about
             got = seat(n, weight, model.discount, np.random.default_rng((seed + turn, pack["bucket"], 1)), model.steps)
             yield _row(pack["bucket"], "seats", turn + 1, [_narrow(got)])
-            yield from several(word, context, got, pack["bucket"])
+            yield from several(names, word, context, got, pack["bucket"])
         return work
 
-    packs = cut(packs.mapInArrow(mapped(repeated), ROW_SQL), "repeated")
-    seated, root_tables, totals, kept = packs.mapInArrow(mapped(begin), ROW_SQL), kinds, [], []
+    packs = _cut(packs.mapInArrow(_mapped(repeated), ROW_SQL), "repeated")
+    seated, root_tables, totals, kept = packs.mapInArrow(_mapped(begin), ROW_SQL), kinds, [], []
+    spent = []
     for turn in range(burn + samples + 1):
-        owned = cut(_gather(base.unionByName(seated.filter("kind = 'message'")), state(turn, root_tables)), "states")
+        owned = _cut(_gather(base.unionByName(seated.filter("kind = 'message'")), state(turn, root_tables)), "states")
         totals.append(tuple(_first(owned, "state", 2)))
         root_tables = totals[-1][1]
         if turn > burn:
             kept += [owned.filter("kind = 'state'"), seated.filter("kind = 'seats'")]
+        else:
+            spent += [owned, *([seated] if turn else [])]
         if turn < burn + samples:
-            seated = cut(_gather(packs.unionByName(owned.filter("kind = 'reply'")), seating(turn, totals[-1])), "seats")
+            seated = _cut(_gather(packs.unionByName(owned.filter("kind = 'reply'")), seating(turn, totals[-1])), "seats")
+    _drop(packs, *spent)
     rows = base
     for k in kept:
         rows = rows.unionByName(k)
@@ -598,27 +710,35 @@ def _answer_words(rows: list[dict], samples: int) -> Iterator[dict]:
 
 
 def _answer_pairs(rows: list[dict], samples: int) -> Iterator[dict]:
-    """For each question: occurrences of its pairs, and their tables in each sample."""
-    pack = next((r for r in rows if r["kind"] == "pack"), None)
-    if pack is None:
-        names, columns = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * (1 + samples)
-    else:
-        word, context, n = _pairs(pack["data"])
-        columns = [n]
-        for r in sorted((r for r in rows if r["kind"] == "seats"), key=lambda r: r["peer"]):
-            tables = np.ones(len(n), np.int64)
-            tables[n > 1] = _wide(r["data"][0], int((n > 1).sum()))
-            columns.append(tables)
-        names = _pair_key(word, context)
-        order = np.argsort(names)
-        names, columns = names[order], [c[order] for c in columns]
-    yield from _look_up(rows, "ask pairs", "pairs", names, columns)
-
-
-def _look_up(rows: list[dict], kind: str, answer: str, names: np.ndarray, columns: list[np.ndarray]) -> Iterator[dict]:
+    """For each note or question: occurrences of its pairs, and their tables in each sample."""
+    names, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for r in rows:
+        if r["kind"] == "counts":
+            n = _unsized(r["data"][0])
+        elif r["kind"] == "pack":
+            words, word, context, n = _pairs(r["data"])
+            names = _pair_key(words[word], words[context])
+    columns = [n]
+    for r in sorted((r for r in rows if r["kind"] == "seats"), key=lambda r: r["peer"]):
+        columns.append(np.ones(len(n), np.int64))
+        columns[-1][n > 1] = _wide(r["data"][0], int((n > 1).sum()))
+    columns += [n] * (1 + samples - len(columns))  # nothing was seated
+    for r in rows:
+        if r["kind"] == "has":
+            has = np.unpackbits(np.frombuffer(r["data"][0], np.uint8), count=r["numbers"][0]).astype(bool)
+            at = np.cumsum(_unsized(r["data"][1]))
+            found = np.zeros((len(columns), len(has)), np.int64)
+            for f, c in zip(found, columns):
+                f[has] = c[at]
+            yield _row(r["peer"], "pairs", r["bucket"], [_narrow(f) for f in found], [len(has)])
+    order = np.argsort(names)
+    yield from _look_up(rows, "ask pairs", "pairs", names[order], [c[order] for c in columns], _hashes)
+
+
+def _look_up(rows: list[dict], kind: str, answer: str, names: np.ndarray, columns: list[np.ndarray], asked=_names) -> Iterator[dict]:
     for r in rows:
         if r["kind"] == kind:
-            want = _hashes(r["data"][0])
+            want = asked(r["data"][0])
             at = np.minimum(np.searchsorted(names, want), max(0, len(names) - 1))
             has = names[at] == want if len(names) else np.zeros(len(want), bool)
             found = [np.where(has, c[at], 0) if len(names) else np.zeros(len(want), np.int64) for c in columns]
@@ -636,40 +756,37 @@ def word_logs(model: Model, totals: list[tuple[int, int]], pairs: WordPairs, wor
     return np.log10(total / len(totals))
 
 
-def score_words(docs: DataFrame, blocks: int, burn: int, samples: int, seed: int) -> DataFrame:
-    packs = cut(count_words(docs, blocks), "counts")
-    model, totals, trained = train_words(packs, blocks, burn, samples, seed)
-    placed = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(blocks))).repartition(shuffle_width(docs.sparkSession), "block")
+def score_words(docs: DataFrame, buckets: int, burn: int, samples: int, seed: int) -> DataFrame:
+    blocks = cut(number_texts(docs), "texts")
+    counted = _cut(count_blocks(blocks, buckets), "counts")
+    model, totals, trained = train_words(counted.filter("kind = 'pack'"), buckets, burn, samples, seed)
+    notes = cut(counted.filter("kind in ('counts', 'has')"), "notes")
+    _drop(counted)
     kind, n = docs.dtypes[0][1], len(totals)
 
-    def read(table: pa.Table) -> tuple[WordPairs, np.ndarray]:
-        release_memory()  # of the block before
-        tokens, sizes = Tokens(None), []
-        for b in table.select(["_text"]).to_batches():
-            for _, texts in texts_by_bytes(b, "_text", 1 << 20):
-                sizes.append(tokens.add(texts))
-        return WordPairs.of(tokens, blocks), np.concatenate(sizes)
-
-    def ask(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(read(table)[0].questions(table["block"][0].as_py(), blocks)), ROW)
+    def ask(row: dict) -> Iterator[dict]:
+        yield from _sent(_names(row["names"]), [], "ask words", row["block"], buckets, [])
 
     def answer(rows: list[dict]) -> Iterator[dict]:
         yield from _answer_words(rows, n)
         yield from _answer_pairs(rows, n)
 
     def add(table: pa.Table, replies: pa.Table) -> pa.Table:
-        pairs, sizes = read(table)
+        release_memory()  # of the block before
+        row = table.to_pylist()[0]
+        pairs, sizes = _block_pairs(row, buckets)
         got = sorted(replies.to_pylist(), key=lambda r: r["peer"])
         words, found = ([np.concatenate(c) for c in zip(*([_wide(x, r["numbers"][0]) for x in r["data"]] for r in got if r["kind"] == k))] for k in ("words", "pairs"))
-        c = words[0][pairs.number]  # of each token
+        c = words[0]  # of each word
         base = np.log10((c + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
         first = np.append(0, np.cumsum(sizes)[:-1])
-        sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, word_logs(model, totals, pairs, words, found)[pairs.place])]
-        return _scored(table, sizes, model, sums)
+        logs = word_logs(model, totals, pairs, words, found)
+        sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64)[pairs.number], base[pairs.number], logs[pairs.place])]
+        return _scored(_ids(row), sizes, model, sums)
 
-    rows = packs.unionByName(placed.groupBy("block").applyInArrow(ask, ROW_SQL))
+    rows = notes.unionByName(blocks.select("block", "names").mapInArrow(_mapped(ask), ROW_SQL))
     replies = _gather(rows if trained is None else rows.unionByName(trained), answer).withColumnRenamed("bucket", "block")
-    return placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(add, SCORED_SQL.format(kind))
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(add, SCORED_SQL.format(kind))
 
 
 SCORED_SQL = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -1,4 +1,5 @@
 import math
+import pathlib
 import zlib
 from collections import Counter
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 
 from sondage.llm import hpylm
+from sondage.session import checkpoint_dir
 
 SCHEMA = "doc_id long, text string, block long, held_out string"
 
@@ -142,3 +144,56 @@ def test_word_contexts_sum_to_one(spark, blocks):
     p = np.zeros((n, n))
     p[pairs.word, pairs.context] = 10 ** hpylm.word_logs(model, totals, pairs, of_words, found)
     assert np.allclose(p.sum(0), 1, atol=1e-9) and (p > 0).all()
+
+
+def test_notes_answer_as_questions_do(spark):
+    """What a bucket noted of a block while counting gives the answers that the block's own questions by hash give."""
+    rows = corpus(80)
+    df = spark.createDataFrame(rows, "doc_id long, _text string").repartition(3)
+    old = hpylm.BLOCK_BYTES
+    hpylm.BLOCK_BYTES = 3_000
+    try:
+        blocks = hpylm.cut(hpylm.number_texts(df), "texts")
+    finally:
+        hpylm.BLOCK_BYTES = old
+    counted = hpylm.cut(hpylm.count_blocks(blocks, 4), "counts")
+    model, totals, trained = hpylm.train_words(counted.filter("kind = 'pack'"), 4, 1, 2, 1)
+    counted, trained, texts = ([r.asDict() for r in x.collect()] for x in (counted, trained, blocks))
+    assert len(texts) > 4 and sorted(map(str, (i for r in texts for i in hpylm._ids(r)["doc_id"].to_pylist()))) == sorted(str(i) for i, _ in rows)
+    unknown = 0
+    for r in texts:
+        pairs, sizes = hpylm._block_pairs(r, 4)
+        assert len(pairs.number) == sizes.sum()
+        ask = list(pairs.questions(r["block"], 4))
+        for k in range(4):
+            mine = [x for x in counted + trained if x["bucket"] == k]
+            seats = [x for x in mine if x["kind"] == "seats"]
+            by_note = list(hpylm._answer_pairs([x for x in mine if x["kind"] == "counts" or x["kind"] == "has" and x["peer"] == r["block"]] + seats, 2))
+            by_hash = list(hpylm._answer_pairs([x for x in mine if x["kind"] == "pack"] + [x for x in ask if x["bucket"] == k] + seats, 2))
+            assert by_note == by_hash and len(by_note) <= 1
+            unknown += sum(int((hpylm._wide(x["data"][0], x["numbers"][0]) == 0).sum()) for x in by_note)
+    assert unknown > 0  # of held-out documents
+
+
+def test_disk_on_the_way(spark):
+    """No shuffle file of the training and no spent table stays, and notes take less than a quarter of the hashes of their pairs."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 400) % 100_000)) for i in range(400)]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], SCHEMA)
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {p: p.stat().st_size for d in local for p in pathlib.Path(d).rglob("shuffle_*.data")}
+    shared = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"))
+    old, before, tables = hpylm.BLOCK_BYTES, set(shuffled()), set(shared.glob("llm-*/*"))
+    hpylm.BLOCK_BYTES = 100_000
+    try:
+        out = hpylm.score(df)
+        left = sum(n for p, n in shuffled().items() if p not in before)
+        tables = sorted(p.name for p in set(shared.glob("llm-*/*")) - tables)
+        assert out.count() == len(rows)
+        blocks = hpylm.number_texts(hpylm.pick(df, doc_id="doc_id", _text="text"))
+        has = hpylm.count_blocks(blocks, 4).filter("kind = 'has'").collect()
+    finally:
+        hpylm.BLOCK_BYTES = old
+    assert tables == ["notes", "seats", "seats", "states", "states", "texts", "words"]
+    assert left < 0.05 * sum(len(t) for _, t in rows)  # totals only
+    assert sum(len(x) for r in has for x in r["data"]) < 2 * sum(r["numbers"][0] for r in has)
